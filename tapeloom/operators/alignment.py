@@ -122,36 +122,35 @@ def point_in_time_ratios(facts: DataFrame) -> DataFrame:
     """Ratios as known at each filing date (the change points).
 
     Flow facts count only when they span about a year; the growth needs a
-    period that ended between 365 and 465 days before the latest one.
+    period that ended between 365 and 465 days before the latest one. One pass:
+    facts are reduced to one row per (ticker, filing date), whose annual
+    revenues travel as a short array; the running array of a ticker holds one
+    entry per distinct period it reported.
     """
     span = F.datediff("fiscal_period_end", "start_date")
     annual = F.col("start_date").isNotNull() & span.between(350, 380)
-    usable = facts.filter(~F.col("concept").isin("Revenues", "NetIncomeLoss") | annual)
-    concepts = {"Revenues": "_rev", "NetIncomeLoss": "_ni", "Liabilities": "_tl", "StockholdersEquity": "_eq"}
-    daily = usable.groupBy("ticker", "filed_date").agg(*[
-        F.max_by(F.when(F.col("concept") == c, F.col("value")),
-                 F.when(F.col("concept") == c, F.col("fiscal_period_end"))).alias(a) for c, a in concepts.items()])
-    every = facts.select("ticker", "filed_date").distinct()
+    flow = F.col("concept").isin("Revenues", "NetIncomeLoss")
+    value = F.when(~flow | annual, F.col("value"))
+    names = {"Revenues": "_rev", "NetIncomeLoss": "_ni", "Liabilities": "_tl", "StockholdersEquity": "_eq"}
+    periods = facts.groupBy("ticker", "filed_date", "fiscal_period_end").agg(
+        *[F.max(F.when(F.col("concept") == c, value)).alias(a) for c, a in names.items()])
+    end = F.col("fiscal_period_end")
+    revenue = F.when(F.col("_rev").isNotNull(), F.struct(end.alias("end"), "filed_date", F.col("_rev").alias("value")))
+    daily = periods.groupBy("ticker", "filed_date").agg(
+        *[F.max_by(a, F.when(F.col(a).isNotNull(), end)).alias(a) for a in names.values()], F.collect_list(revenue).alias("_new"))
     known = Window.partitionBy("ticker").orderBy("filed_date").rowsBetween(Window.unboundedPreceding, 0)
-    state = every.join(daily, ["ticker", "filed_date"], "left").select(
-        "ticker", "filed_date", *[F.last(a, ignorenulls=True).over(known).alias(a) for a in concepts.values()])
+    state = daily.select("ticker", "filed_date", *[F.last(a, ignorenulls=True).over(known).alias(a) for a in names.values()],
+                         F.flatten(F.collect_list("_new").over(known)).alias("_seen"))
+    state = state.withColumn("_now", F.array_max("_seen"))
+    prior = F.filter("_seen", lambda r: (r["end"] <= F.date_sub(F.col("_now.end"), 365)) & (r["end"] > F.date_sub(F.col("_now.end"), 465)))
+    state = state.withColumn("_was", F.array_max(prior))
 
     def share(top, bottom):
         return F.when(F.col(bottom) != 0, F.col(top) / F.col(bottom))
-    ratios = state.select("ticker", "filed_date", share("_ni", "_rev").alias("profit_margin"),
-                          share("_ni", "_eq").alias("roe"), share("_tl", "_eq").alias("debt_to_equity"))
-    revenue = usable.filter(F.col("concept") == "Revenues").select(
-        "ticker", F.col("filed_date").alias("_filed"), F.col("fiscal_period_end").alias("_end"), F.col("value").alias("_value"))
-    seen = every.join(revenue, "ticker").filter(F.col("_filed") <= F.col("filed_date"))
-    newest = seen.groupBy("ticker", "filed_date").agg(
-        F.max("_end").alias("_now"), F.max_by("_value", F.struct("_end", "_filed")).alias("_rev_now"), F.count("*").alias("_n"))
-    prior = (seen.join(newest.filter("_n >= 2"), ["ticker", "filed_date"])
-             .filter((F.col("_end") <= F.date_sub("_now", 365)) & (F.col("_end") > F.date_sub("_now", 465)))
-             .groupBy("ticker", "filed_date").agg(F.first("_rev_now").alias("_rev_now"),
-                                                  F.max_by("_value", F.struct("_end", "_filed")).alias("_rev_was")))
-    growth = prior.select("ticker", "filed_date", F.when(
-        F.col("_rev_was") != 0, (F.col("_rev_now") - F.col("_rev_was")) / F.abs("_rev_was")).alias("revenue_growth"))
-    return ratios.join(growth, ["ticker", "filed_date"], "left").select("ticker", "filed_date", *RATIOS)
+    was = F.col("_was.value")
+    return state.select("ticker", "filed_date", F.when(was != 0, (F.col("_now.value") - was) / F.abs(was)).alias("revenue_growth"),
+                        share("_ni", "_rev").alias("profit_margin"), share("_ni", "_eq").alias("roe"),
+                        share("_tl", "_eq").alias("debt_to_equity"))
 
 
 def sector_valuation(info: DataFrame, sectors: DataFrame) -> DataFrame:

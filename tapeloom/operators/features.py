@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.exprs import by_date, by_ticker, change, clip, frame, newest, rolling, total
 from tapeloom.functions.ranks import exact_median
 from tapeloom.operators import indicators as ind
+from tapeloom.session import cut_lineage
 from tapeloom.operators.alignment import RATIOS, point_in_time_ratios, trailing_sentiment
 
 # The ordered feature contract.
@@ -32,13 +33,12 @@ MIN_BARS = 100
 
 
 def oscillator_features(df: DataFrame) -> DataFrame:
-    staged = ind.bollinger(ind.macd(ind.rsi(df)))
-    staged = staged.withColumn("_s20", rolling(F.avg, F.col("close"), 20)).withColumn("_s50", rolling(F.avg, F.col("close"), 50))
+    staged = ind.common_indicators(df)
     above = F.coalesce(F.col("macd") > F.col("macd_signal"), F.lit(False)).cast("double")
     band = clip((F.col("close") - F.col("bb_lower")) / (F.col("bb_upper") - F.col("bb_lower") + EPS), 0, 1)
     return staged.select(*df.columns, (clip(F.col("rsi"), 0, 100) / 100).alias("rsi"), above.alias("macd_above_signal"),
                          band.alias("bb_position"),
-                         clip(F.col("_s20") / (F.col("_s50") + EPS) - 1, -0.5, 0.5).alias("sma20_vs_sma50"))
+                         clip(F.col("sma20") / (F.col("sma50") + EPS) - 1, -0.5, 0.5).alias("sma20_vs_sma50"))
 
 
 def volume_features(df: DataFrame) -> DataFrame:
@@ -83,10 +83,7 @@ def _fit(n: int) -> tuple[Column, Column, Column]:
 def regression_features(df: DataFrame) -> DataFrame:
     """Slope, R-squared and mean absolute residual on the bar index."""
     lags = df.select("*", *[F.lag("close", k).over(by_ticker()).alias(f"_c{k}") for k in range(20)])
-    fits = lags
-    for n in (5, 10, 20):
-        slope, newest_fit, mean = _fit(n)
-        fits = fits.withColumns({f"_b{n}": slope, f"_a{n}": newest_fit, f"_m{n}": mean})
+    fits = lags.select("*", *[value.alias(f"_{part}{n}") for n in (5, 10, 20) for part, value in zip("bam", _fit(n))])
     columns = [clip(F.col(f"_b{n}") / F.col("close"), -0.5, 0.5).alias(f"beta_{n}") for n in (5, 10, 20)]
     for n in (10, 20):
         deviations = total([F.pow(F.col(f"_c{k}") - F.col(f"_m{n}"), 2) for k in range(n)])
@@ -164,9 +161,8 @@ def snapshot_features(info: DataFrame) -> DataFrame:
 
 def fundamental_features(info: DataFrame, statements: DataFrame) -> DataFrame:
     """One row per ticker: snapshot fields, profitability and score cards."""
-    from tapeloom.operators.scorecards import altman_book, piotroski_eight, statement_years
-    years = statement_years(statements)
-    cards = (years.select("ticker", "ta0").join(piotroski_eight(years), "ticker").join(altman_book(years), "ticker"))
+    from tapeloom.operators.scorecards import altman_book_value, eight_test_score, statement_years
+    cards = statement_years(statements).select("ticker", "ta0", eight_test_score().alias("score8"), altman_book_value().alias("z_book"))
     joined = snapshot_features(info).join(cards, "ticker", "left")
     gross = F.when(F.col("ta0") > 0, clip(F.col("_gp") / F.col("ta0"), -1, 2))
     return joined.select(*[c for c in joined.columns if c not in ("_gp", "ta0", "score8", "z_book")], gross.alias("gross_profitability"),
@@ -175,9 +171,8 @@ def fundamental_features(info: DataFrame, statements: DataFrame) -> DataFrame:
 
 def overlay(df: DataFrame) -> DataFrame:
     """Point-in-time value where known, else the snapshot."""
-    for name in RATIOS:
-        df = df.withColumn(name, F.coalesce(F.col(f"pit_{name}"), F.col(name)))
-    return df.drop(*[f"pit_{name}" for name in RATIOS])
+    kept = [c for c in df.columns if not c.startswith("pit_")]
+    return df.select(*[F.coalesce(F.col(f"pit_{c}"), F.col(c)).alias(c) if c in RATIOS else F.col(c) for c in kept])
 
 
 def contract(df: DataFrame, *lead: str) -> DataFrame:
@@ -199,14 +194,14 @@ def feature_frame(m, with_overlay: bool = True) -> DataFrame:
 def impute(df: DataFrame, columns=FEATURES) -> DataFrame:
     """Per-date median, then the column's global median, then zero.
 
-    The per-date medians are one window on date. The global fallback matters
-    only for columns that still hold NULLs; for those an exact distributed
-    median is computed, never a single-task one.
+    The per-date medians are one window on date. Their result is cut from its
+    lineage (a reliable checkpoint), because the fallback reads it again: an
+    exact distributed median is computed for the columns that still hold NULLs.
     """
     w = by_date()
     daily = df.select(*[c for c in df.columns if c not in columns],
                       *[F.coalesce(F.col(c), F.median(c).over(w)).alias(c) for c in columns])
-    daily = daily.select(*df.columns)
+    daily = cut_lineage(daily.select(*df.columns))
     gaps = daily.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     open_columns = [c for c in columns if gaps[c]]
     if not open_columns:

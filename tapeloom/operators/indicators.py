@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.exprs import (by_ticker, change, clip, frame, full, lagged, last_rows, mean_of, newest, rolling,
                                       total, upto)
-from tapeloom.functions.smoothing import ewm, ewm_span
+from tapeloom.functions.smoothing import ewm_many, ewm_span, span_alpha
 
 TRADING_DAYS = 252
 
@@ -20,22 +20,35 @@ def sma(df: DataFrame, n: int, value: str = "close", out: str | None = None) ->
     return df.withColumn(out or f"sma{n}", rolling(F.avg, F.col(value), n))
 
 
+def _steps(*extra: str) -> list:
+    step = F.col("close") - lagged("close", 1, *extra)
+    return [F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))).alias("_gain"),
+            F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0))).alias("_loss")]
+
+
+def _strength():
+    return F.when(F.col("_down") > 0, 100 - 100 / (1 + F.col("_up") / F.col("_down"))).when(F.col("_up") > 0, F.lit(100.0))
+
+
 def rsi(df: DataFrame, n: int = 14, *extra: str) -> DataFrame:
     """Relative strength with Wilder smoothing of gains and losses."""
-    step = F.col("close") - lagged("close", 1, *extra)
-    staged = (df.withColumn("_gain", F.greatest(step, F.lit(0.0)) + step * 0)
-              .withColumn("_loss", F.greatest(-step, F.lit(0.0)) + step * 0))
-    staged = ewm(staged, "_gain", "_up", 1.0 / n, *extra)
-    staged = ewm(staged, "_loss", "_down", 1.0 / n, *extra)
-    value = F.when(F.col("_down") > 0, 100 - 100 / (1 + F.col("_up") / F.col("_down"))).when(
-        F.col("_up") > 0, F.lit(100.0))
-    return staged.withColumn("rsi", value).drop("_gain", "_loss", "_up", "_down")
+    staged = ewm_many(df.select("*", *_steps(*extra)), [("_gain", "_up", 1.0 / n), ("_loss", "_down", 1.0 / n)], *extra)
+    return staged.select(*df.columns, _strength().alias("rsi"))
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    staged = ewm_span(ewm_span(df, "close", "_fast", fast), "close", "_slow", slow)
-    staged = staged.withColumn("macd", F.col("_fast") - F.col("_slow"))
-    return ewm_span(staged, "macd", "macd_signal", signal).drop("_fast", "_slow")
+    staged = ewm_many(df, [("close", "_fast", span_alpha(fast)), ("close", "_slow", span_alpha(slow))])
+    staged = staged.select(*df.columns, (F.col("_fast") - F.col("_slow")).alias("macd"))
+    return ewm_span(staged, "macd", "macd_signal", signal)
+
+
+def oscillators(df: DataFrame, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """RSI and MACD together: their four first-level means share one pass."""
+    staged = ewm_many(df.select("*", *_steps()), [
+        ("_gain", "_up", 1.0 / n), ("_loss", "_down", 1.0 / n),
+        ("close", "_fast", span_alpha(fast)), ("close", "_slow", span_alpha(slow))])
+    staged = staged.select(*df.columns, _strength().alias("rsi"), (F.col("_fast") - F.col("_slow")).alias("macd"))
+    return ewm_span(staged, "macd", "macd_signal", signal)
 
 
 def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -47,7 +60,9 @@ def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
 
 def common_indicators(df: DataFrame) -> DataFrame:
     """SMA20/50, RSI, MACD and Bollinger columns on every bar."""
-    return bollinger(macd(rsi(sma(sma(df, 20), 50))))
+    close = F.col("close")
+    means = [rolling(F.avg, close, n).alias(f"sma{n}") for n in (20, 50)]
+    return bollinger(oscillators(df)).select("*", *means)
 
 
 def volume_indicators(df: DataFrame, n: int = 20) -> DataFrame:

@@ -95,12 +95,15 @@ def piotroski_signal(scores: DataFrame) -> DataFrame:
     return scores.select("ticker", *signal("Piotroski F-Score", status, text))
 
 
-def piotroski_eight(years: DataFrame) -> DataFrame:
-    """The variant without the share test; every test needs total assets."""
-    flags = [test for name, (_, test) in piotroski_flags().items() if name != "no_new_shares"]
+def eight_test_score() -> Column:
+    """Score without the share test; every test needs total assets."""
+    flags = [test.cast("int") for name, (_, test) in piotroski_flags().items() if name != "no_new_shares"]
     usable = F.coalesce(F.col("ta0") != 0, F.lit(False))
-    return years.select("ticker", F.when(usable, F.least(total([f.cast("int") for f in flags]), F.lit(9)))
-                        .otherwise(0).alias("score8"))
+    return F.when(usable, F.least(total(flags), F.lit(9))).otherwise(0)
+
+
+def piotroski_eight(years: DataFrame) -> DataFrame:
+    return years.select("ticker", eight_test_score().alias("score8"))
 
 
 # Weights of the five Z-Score terms and the zone limits.
@@ -134,15 +137,19 @@ def altman_signal(scores: DataFrame) -> DataFrame:
     return scores.select("ticker", *signal("Altman Z-Score", status, text))
 
 
-def altman_book(years: DataFrame) -> DataFrame:
+def altman_book_value() -> Column:
     """Z-Score with book equity; missing items count as zero."""
     def zero(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0.0))
     ta = F.col("ta0")
-    base = F.when(F.coalesce(F.col("tl0"), F.lit(0.0)) != 0, F.col("tl0")).otherwise(ta)
+    base = F.when(zero("tl0") != 0, F.col("tl0")).otherwise(ta)
     z = (1.2 * (zero("ca0") - zero("cl0")) / ta + 1.4 * zero("re0") / ta + 3.3 * zero("ebit0") / ta
          + 0.6 * zero("eq0") / base + zero("rev0") / ta)
-    return years.select("ticker", F.when(ta != 0, z).alias("z_book"))
+    return F.when(ta != 0, z)
+
+
+def altman_book(years: DataFrame) -> DataFrame:
+    return years.select("ticker", altman_book_value().alias("z_book"))
 
 
 def snapshot_ratios(years: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def group(name, covers, columns, build):
 group("oscillator_features", "C-01, C-02, C-03, C-04", ["rsi", "macd_above_signal", "bb_position", "sma20_vs_sma50"], lambda m: ft.oscillator_features(m.bars))
 group("volume_features", "C-05, C-06, C-07, C-23", ["volume_surge_20d", "atr_pct", "cmf_20d", "vma_20"], lambda m: ft.volume_features(m.bars))
 group("return_features", "C-08, C-11", ["roc_21d", "roc_5", "roc_10", "roc_60", "high_52w_proximity"], lambda m: ft.return_features(m.bars))
-group("relative_return_features", "C-09, C-10", ["alpha_21d", "sector_alpha_21d"], lambda m: ft.relative_features(ft.return_features(m.bars), m.bench, m.sectors, m.etf))
+group("relative_return_features", "C-09, C-10", ["alpha_21d", "sector_alpha_21d"], lambda m: ft.relative_features(ft.return_features(m.staged().bars), m.bench, m.sectors, m.etf))
 group("candle_features", "C-12", ["kmid", "klen", "kup", "klow", "ksft"], lambda m: ft.candle_features(m.bars))
 group("level_features", "C-13, C-14, C-18", [f"{a}_{n}" for a in ("ma", "std") for n in (5, 10, 20, 60)] + ["max_20", "min_20"], lambda m: ft.level_features(m.bars))
 group("regression_features", "C-15, C-16, C-17", ["beta_5", "beta_10", "beta_20", "rsqr_10", "rsqr_20", "resi_10", "resi_20"], lambda m: ft.regression_features(m.bars))
@@ -114,7 +114,7 @@ def _(m):
 
 @query("feature_contract", "C-32", "SELECT ticker, date, high, low, close, " + ", ".join(f"r6({c}) AS {c}" for c in ft.FEATURES) + " FROM v_feat")
 def _(m):
-    out = ft.feature_frame(m)
+    out = ft.feature_frame(m.staged())
     return out.select("ticker", "date", "high", "low", "close", *[F.round(c, 6).alias(c) for c in ft.FEATURES])
 
 
@@ -141,7 +141,7 @@ ORACLE_VIEWS["v_panel"] = imputed("v_panel_raw", ft.FEATURES, "ticker, date, hig
 
 @query("training_panel", "C-33, F-01", "SELECT ticker, date, high, low, close, market_regime, label, label_binary, " + ", ".join(f"r6({c}) AS {c}" for c in ft.FEATURES) + " FROM v_panel")
 def _(m):
-    out = ft.impute(lb.training_panel(ft.feature_frame(m), m.bench))
+    out = ft.impute(lb.training_panel(ft.feature_frame(m.staged()), m.bench))
     return out.select("ticker", "date", "high", "low", "close", "market_regime", "label", "label_binary", *[F.round(c, 6).alias(c) for c in ft.FEATURES])
 
 
@@ -150,5 +150,5 @@ ORACLE_VIEWS["v_live"] = imputed(f"{last('v_feat_live')} z", ft.FEATURES, "ticke
 
 @query("live_snapshot", "C-34", "SELECT ticker, date, " + ", ".join(f"r6({c}) AS {c}" for c in ft.FEATURES) + " FROM v_live")
 def _(m):
-    out = ft.live_snapshot(ft.feature_frame(m, with_overlay=False))
+    out = ft.live_snapshot(ft.feature_frame(m.staged(), with_overlay=False))
     return out.select("ticker", "date", *[F.round(c, 6).alias(c) for c in ft.FEATURES])

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.session import cut_lineage
 from tapeloom.sources.tables import BASE_TABLES, run_sql, table
 
 BRAND_NUMBER = "CAST(replace(p.p_brand, 'Brand#', '') AS INT)"
@@ -76,24 +77,24 @@ SELECT event_id AS id, concat('U', CAST(user_id % 25 AS STRING)) AS ticker, even
        value/1000 AS cost_usd, ts AS created_at, props FROM events""",
     "v_info": f"""
 SELECT ticker, n,
-       CASE WHEN n % 7 <> 0 THEN round((n-5)*2 + q/10, 6) END AS trailing_pe,
-       CASE WHEN n % 5 <> 0 THEN round((n-4)*1.5 + q/10, 6) END AS forward_pe,
-       CASE WHEN n % 11 <> 0 THEN round(d*(n-8)/5, 6) END AS profit_margin,
-       CASE WHEN n % 13 <> 0 THEN round(t*(n-5), 6) END AS roe,
-       CASE WHEN n % 9 <> 0 THEN round(q*n/3, 6) END AS debt_to_equity,
-       CASE WHEN n % 8 <> 0 THEN round((d-0.05)*10 + (n-12)*0.02, 6) END AS revenue_growth,
-       CASE WHEN n % 6 <> 0 THEN round((t-0.04)*10 + (n-15)*0.025, 6) END AS earnings_growth,
+       CASE WHEN n % 7 <> 0 THEN round((n-5)*2 + q/10, 8) END AS trailing_pe,
+       CASE WHEN n % 5 <> 0 THEN round((n-4)*1.5 + q/10, 8) END AS forward_pe,
+       CASE WHEN n % 11 <> 0 THEN round(d*(n-8)/5, 8) END AS profit_margin,
+       CASE WHEN n % 13 <> 0 THEN round(t*(n-5), 8) END AS roe,
+       CASE WHEN n % 9 <> 0 THEN round(q*n/3, 8) END AS debt_to_equity,
+       CASE WHEN n % 8 <> 0 THEN round((d-0.05)*10 + (n-12)*0.02, 8) END AS revenue_growth,
+       CASE WHEN n % 6 <> 0 THEN round((t-0.04)*10 + (n-15)*0.025, 8) END AS earnings_growth,
        CASE WHEN n % 10 <> 0 THEN round(rev*(n-6)*0.004, 2) END AS free_cashflow,
        CASE WHEN n % 12 <> 0 THEN round(rev*0.8, 2) END AS market_cap,
        round(rev*0.3*(n%4), 2) AS gross_profit,
-       CASE WHEN n % 14 <> 0 THEN round(q/(10+n), 6) END AS current_ratio,
-       CASE WHEN n % 15 <> 0 THEN round(n*0.08 + d, 6) END AS beta,
-       CASE WHEN n % 16 <> 0 THEN round(n*0.5 + d, 6) END AS short_ratio,
-       CASE WHEN n % 17 <> 0 THEN round(n*0.012 + d/10, 6) END AS short_pct_float,
-       round(n*0.035 + t/10, 6) AS insider_pct, round(0.95 - n*0.035, 6) AS institution_pct,
+       CASE WHEN n % 14 <> 0 THEN round(q/(10+n), 8) END AS current_ratio,
+       CASE WHEN n % 15 <> 0 THEN round(n*0.08 + d, 8) END AS beta,
+       CASE WHEN n % 16 <> 0 THEN round(n*0.5 + d, 8) END AS short_ratio,
+       CASE WHEN n % 17 <> 0 THEN round(n*0.012 + d/10, 8) END AS short_pct_float,
+       round(n*0.035 + t/10, 8) AS insider_pct, round(0.95 - n*0.035, 8) AS institution_pct,
        round(rev*0.05*(n-3), 2) AS ebitda, round(rev*(0.4 + n*0.02), 2) AS enterprise_value,
        round(qty*10, 2) AS shares_outstanding,
-       round(95 + n*1.3 + d, 6) AS target_mean, round(80 + n + d, 6) AS target_low, round(120 + n + d, 6) AS target_high,
+       round(95 + n*1.3 + d, 8) AS target_mean, round(80 + n + d, 8) AS target_low, round(120 + n + d, 8) AS target_high,
        CASE n % 6 WHEN 0 THEN 'strong_buy' WHEN 1 THEN 'buy' WHEN 2 THEN 'hold' WHEN 3 THEN 'sell'
             WHEN 4 THEN 'strong_sell' ELSE 'none' END AS recommendation, n % 20 AS n_analysts
 FROM (SELECT p.p_brand AS ticker, {BRAND_NUMBER} AS n, avg(l.l_quantity) AS q, avg(l.l_discount) AS d,
@@ -172,8 +173,22 @@ class Market:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def staged(self, *names: str) -> "Market":
+        """Derive views once for a query that reads them several times.
+
+        Each is a reliable checkpoint in the shared folder, so the trades are
+        scanned once and a lost executor re-reads files.
+        """
+        for name in names or ("v_bars",):
+            if name not in self._kept:
+                self._kept[name] = cut_lineage(self[name])
+        return self
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self._kept:
+            return self._kept[name]
         if name in BASE_TABLES:
             return table(self.spark, self.sf_dir, name)
         if name == "v_bars":

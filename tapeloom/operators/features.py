@@ -3,19 +3,21 @@
 Every price feature is a frame of the one (ticker, date) window, so the whole
 panel costs one shuffle of the bars on ticker; filings and events enter through
 the same shuffle as unioned day rows. Windows over fixed positions (ranks,
-quantiles, regressions on the bar index) are unrolled into lag columns: they
-run as compiled projections instead of per-row array work.
+quantiles, regressions on the bar index) are unrolled into lag columns and
+wide frames are put together from narrow ones, so no frame is re-aggregated
+row by row.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import by_date, by_ticker, change, clip, frame, newest, rolling, total
+from tapeloom.functions.exprs import by_date, by_ticker, clip, newest, total
 from tapeloom.functions.ranks import exact_median
+from tapeloom.functions.rolling import Roll, rolled
 from tapeloom.operators import indicators as ind
-from tapeloom.session import cut_lineage
 from tapeloom.operators.alignment import RATIOS, point_in_time_ratios, trailing_sentiment
+from tapeloom.session import cut_lineage
 
 # The ordered feature contract.
 TECHNICAL = (
@@ -33,94 +35,114 @@ MIN_BARS = 100
 
 
 def oscillator_features(df: DataFrame) -> DataFrame:
-    staged = ind.common_indicators(df)
+    """RSI and MACD state; the Bollinger and mean features need only price_features."""
+    staged = ind.oscillators(df)
     above = F.coalesce(F.col("macd") > F.col("macd_signal"), F.lit(False)).cast("double")
-    band = clip((F.col("close") - F.col("bb_lower")) / (F.col("bb_upper") - F.col("bb_lower") + EPS), 0, 1)
-    return staged.select(*df.columns, (clip(F.col("rsi"), 0, 100) / 100).alias("rsi"), above.alias("macd_above_signal"),
-                         band.alias("bb_position"),
-                         clip(F.col("sma20") / (F.col("sma50") + EPS) - 1, -0.5, 0.5).alias("sma20_vs_sma50"))
-
-
-def volume_features(df: DataFrame) -> DataFrame:
-    surge = clip(F.col("volume") / (F.avg("volume").over(frame(20)) + EPS) - 1, -1, 3)
-    vma = clip(rolling(F.avg, F.col("volume"), 20) / (F.col("close") * 1e4), 0, 10)
-    return ind.money_flow(ind.atr_partial(df)).select("*", surge.alias("volume_surge_20d"), vma.alias("vma_20"))
-
+    kept = [c for c in df.columns]
+    return staged.select(*kept, (clip(F.col("rsi"), 0, 100) / 100).alias("rsi"), above.alias("macd_above_signal"))
 
-def candle_features(df: DataFrame) -> DataFrame:
-    o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    base = o + EPS
-    shapes = {"kmid": c - o, "klen": h - low, "kup": h - F.greatest(o, c), "klow": F.least(o, c) - low, "ksft": c * 2 - h - low}
-    return df.select("*", *[clip(v / base, -0.5, 0.5).alias(n) for n, v in shapes.items()])
-
-
-def return_features(df: DataFrame) -> DataFrame:
-    horizons = {"roc_21d": 21, "roc_5": 5, "roc_10": 10, "roc_60": 60}
-    proximity = clip(F.col("close") / F.greatest(rolling(F.max, F.col("close"), 252), F.lit(EPS))
-                     + rolling(F.max, F.col("close"), 252) * 0, 0, 1)
-    return df.select("*", *[clip(change("close", n), -0.5, 0.5).alias(name) for name, n in horizons.items()],
-                     proximity.alias("high_52w_proximity"), change("close", 21).alias("_ret21"))
 
+def _closes(n: int) -> list[Column]:
+    return [F.col(f"_c{k}") for k in range(n)]
 
-def level_features(df: DataFrame) -> DataFrame:
-    close = F.col("close")
-    columns = [clip(rolling(F.avg, close, n) / close, -0.5, 1.5).alias(f"ma_{n}") for n in (5, 10, 20, 60)]
-    columns += [clip(rolling(F.stddev_samp, close, n) / close, 0, 1).alias(f"std_{n}") for n in (5, 10, 20, 60)]
-    columns += [clip(rolling(F.max, F.col("high"), 20) / close, 0, 2).alias("max_20"),
-                clip(rolling(F.min, F.col("low"), 20) / close, 0, 1).alias("min_20")]
-    return df.select("*", *columns)
 
+def _fit(n: int) -> dict[str, Column]:
+    """Mean, squared deviations and least-squares line of the last n closes."""
+    center, sxx = (n - 1) / 2.0, n * (n * n - 1) / 12.0
+    mean = total(_closes(n)) / n
+    slope = total([c * ((n - 1 - k) - center) for k, c in enumerate(_closes(n))]) / sxx
+    return {f"_m{n}": mean, f"_b{n}": slope}
 
-def _fit(n: int) -> tuple[Column, Column, Column]:
-    """Slope, intercept at the newest bar, and mean of the last n closes from lag columns _c0.._c{n-1}."""
-    center = (n - 1) / 2.0
-    sxx = n * (n * n - 1) / 12.0
-    mean = total([F.col(f"_c{k}") for k in range(n)]) / n
-    slope = total([F.col(f"_c{k}") * ((n - 1 - k) - center) for k in range(n)]) / sxx
-    return slope, mean + slope * center, mean
 
+def price_features(df: DataFrame) -> DataFrame:
+    """All features that need only a ticker's own bars, except the oscillators.
 
-def regression_features(df: DataFrame) -> DataFrame:
-    """Slope, R-squared and mean absolute residual on the bar index."""
-    lags = df.select("*", *[F.lag("close", k).over(by_ticker()).alias(f"_c{k}") for k in range(20)])
-    fits = lags.select("*", *[value.alias(f"_{part}{n}") for n in (5, 10, 20) for part, value in zip("bam", _fit(n))])
-    columns = [clip(F.col(f"_b{n}") / F.col("close"), -0.5, 0.5).alias(f"beta_{n}") for n in (5, 10, 20)]
+    Lag columns of the close serve means, deviations, regressions and order
+    statistics; wider frames are put together from them.
+    """
+    w = by_ticker()
+    o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
+    rn = F.row_number().over(w)
+    staged = df.select("*", rn.alias("_rn"), F.lag("volume", 1).over(w).alias("_pv"), c.alias("_c0"),
+                       *[F.lag("close", k).over(w).alias(f"_c{k}") for k in range(1, 22)], F.lag("close", 60).over(w).alias("_c60"))
+    prior = F.col("_c1")
+    spread = h - low + EPS
+    dc, dv = F.when(prior != 0, c / prior - 1), F.when(F.col("_pv") != 0, v / F.col("_pv") - 1)
+    staged = staged.select("*", F.greatest(h - low, F.abs(h - prior), F.abs(low - prior)).alias("_tr"),
+                           (((c - low) - (h - c)) / spread * v).alias("_mf"),
+                           F.when(dv.isNotNull(), dc).alias("_dc"), F.when(dc.isNotNull(), dv).alias("_dv"))
+    fits: dict[str, Column] = {}
+    for n in (5, 10, 20):
+        fits |= _fit(n)
+    staged = staged.select("*", *[value.alias(name) for name, value in fits.items()])
+
+    def spreads(n: int) -> Column:
+        return total([(x - F.col(f"_m{n}")) * (x - F.col(f"_m{n}")) for x in _closes(n)])
+    staged = staged.select("*", *[spreads(n).alias(f"_q{n}") for n in (5, 10, 20)],
+                           F.sort_array(F.array(*_closes(10))).alias("_sorted"), F.greatest(*_closes(20)).alias("_top20"))
+    pair = F.col("_dc").isNotNull()
+    staged = rolled(staged, [
+        Roll("max", h, {20: "_hi20"}), Roll("min", low, {20: "_lo20"}), Roll("sum", v, {20: "_v20"}),
+        Roll("sum", F.col("_mf"), {20: "_mf20"}), Roll("sum", F.col("_tr"), {14: "_tr14"}),
+        Roll("sum", F.col("_dc"), {10: "_sx"}), Roll("sum", F.col("_dv"), {10: "_sy"}), Roll("sum", F.col("_dc") * F.col("_dc"), {10: "_sxx"}),
+        Roll("sum", F.col("_dv") * F.col("_dv"), {10: "_syy"}), Roll("sum", F.col("_dc") * F.col("_dv"), {10: "_sxy"}),
+        Roll("sum", pair.cast("double"), {10: "_np"})])
+
+    def back(name: str, k: int) -> Column:
+        return F.lag(name, k).over(w)
+    staged = staged.select("*", back("_m20", 20).alias("_m20a"), back("_m20", 40).alias("_m20b"), back("_q20", 20).alias("_q20a"),
+                           back("_q20", 40).alias("_q20b"), back("_m10", 40).alias("_m10b"),
+                           F.greatest(F.col("_top20"), *[back("_top20", k) for k in (*range(20, 240, 20), 232)]).alias("_top252"))
+    m20, m20a, m20b = F.col("_m20"), F.col("_m20a"), F.col("_m20b")
+    staged = staged.select("*", ((m20 + m20a + m20b) / 3).alias("_m60"), ((m20 * 2 + m20a * 2 + F.col("_m10b")) / 5).alias("_m50"))
+    m60 = F.col("_m60")
+    between = total([(x - m60) * (x - m60) for x in (m20, m20a, m20b)]) * 20
+    q60 = F.col("_q20") + F.col("_q20a") + F.col("_q20b") + between
+    sigma = {n: F.sqrt((F.col(f"_q{n}") if n < 60 else q60) / (n - 1)) for n in (5, 10, 20, 60)}
+    base = o + EPS
+    rows = F.col("_rn")
+    out = {
+        "bb_position": clip((c - (m20 - 2 * sigma[20])) / (4 * sigma[20] + EPS), 0, 1),
+        "sma20_vs_sma50": clip(m20 / (F.col("_m50") + EPS) - 1, -0.5, 0.5),
+        "volume_surge_20d": clip(v / (F.col("_v20") / F.least(rows, F.lit(20)) + EPS) - 1, -1, 3),
+        "atr_pct": clip(F.col("_tr14") / F.least(rows, F.lit(14)) / (c + EPS), 0, 0.2),
+        "cmf_20d": F.when((rows >= 20) & (F.col("_v20") != 0), clip(F.col("_mf20") / F.col("_v20"), -1, 1)),
+        "high_52w_proximity": F.when(rows >= 252, clip(c / F.greatest(F.col("_top252"), F.lit(EPS)), 0, 1)),
+        "kmid": clip((c - o) / base, -0.5, 0.5), "klen": clip((h - low) / base, -0.5, 0.5),
+        "kup": clip((h - F.greatest(o, c)) / base, -0.5, 0.5), "klow": clip((F.least(o, c) - low) / base, -0.5, 0.5),
+        "ksft": clip((c * 2 - h - low) / base, -0.5, 0.5),
+        "max_20": F.when(rows >= 20, clip(F.col("_hi20") / c, 0, 2)), "min_20": F.when(rows >= 20, clip(F.col("_lo20") / c, 0, 1)),
+        "vma_20": F.when(rows >= 20, clip(F.col("_v20") / 20 / (c * 1e4), 0, 10)),
+    }
+    for name, k in (("roc_21d", 21), ("roc_5", 5), ("roc_10", 10), ("roc_60", 60)):
+        past = F.col(f"_c{k}")
+        out[name] = clip(F.when(past != 0, c / past - 1), -0.5, 0.5)
+    for n in (5, 10, 20, 60):
+        out[f"ma_{n}"] = clip(F.col(f"_m{n}") / c, -0.5, 1.5)
+        out[f"std_{n}"] = clip(sigma[n] / c, 0, 1)
+    for n in (5, 10, 20):
+        out[f"beta_{n}"] = clip(F.col(f"_b{n}") / c, -0.5, 0.5)
     for n in (10, 20):
-        deviations = total([F.pow(F.col(f"_c{k}") - F.col(f"_m{n}"), 2) for k in range(n)])
-        explained = F.pow(F.col(f"_b{n}"), 2) * (n * (n * n - 1) / 12.0)
-        r2 = F.when(deviations > 1e-18, explained / deviations).when(deviations.isNotNull(), 0.0)
-        residual = total([F.abs(F.col(f"_c{k}") - (F.col(f"_a{n}") - F.col(f"_b{n}") * k)) for k in range(n)]) / n
-        columns += [clip(r2, 0, 1).alias(f"rsqr_{n}"), clip(residual / (F.col(f"_m{n}") + EPS), 0, 1).alias(f"resi_{n}")]
-    return fits.select(*df.columns, *columns)
-
-
-def order_features(df: DataFrame) -> DataFrame:
-    """Quantiles, rank and step counts of the last ten closes."""
-    close = F.col("close")
-    lags = df.select("*", *[F.lag("close", k).over(by_ticker()).alias(f"_c{k}") for k in range(10)])
-    recent = [F.col(f"_c{k}") for k in range(10)]
-    complete = recent[9].isNotNull()
-    lags = lags.withColumn("_sorted", F.sort_array(F.array(*recent)))
+        slope, mean, deviations = F.col(f"_b{n}"), F.col(f"_m{n}"), F.col(f"_q{n}")
+        r2 = F.when(deviations > 1e-18, slope * slope * (n * (n * n - 1) / 12.0) / deviations).when(deviations.isNotNull(), 0.0)
+        residual = total([F.abs(x - mean - slope * ((n - 1) / 2.0 - k)) for k, x in enumerate(_closes(n))]) / n
+        out[f"rsqr_{n}"], out[f"resi_{n}"] = clip(r2, 0, 1), clip(residual / (mean + EPS), 0, 1)
 
     def quantile(q: float) -> Column:
-        at = 9 * q
-        low = int(at)
-        a, b = F.col("_sorted")[low], F.col("_sorted")[low + 1]
-        return F.when(complete, a + (b - a) * (at - low))
-    below = total([(recent[k] < close).cast("double") for k in range(1, 10)])
-    ups = total([(recent[k] > recent[k + 1]).cast("double") for k in range(9)])
-    downs = total([(recent[k] < recent[k + 1]).cast("double") for k in range(9)])
-    return lags.select(*df.columns, clip(quantile(0.8) / close, 0, 2).alias("qtlu_10"), clip(quantile(0.2) / close, 0, 1).alias("qtld_10"),
-                       (below / 10).alias("rank_10"), (ups / 10).alias("cntp_10"), (downs / 10).alias("cntn_10"))
-
-
-def correlation_features(df: DataFrame) -> DataFrame:
-    staged = df.withColumn("_dc", change("close", 1)).withColumn("_dv", change("volume", 1))
-    both = F.col("_dc").isNotNull() & F.col("_dv").isNotNull()
-    w = frame(10)
-    value = F.when(F.count_if(both).over(w) >= 10,
-                   F.when((F.stddev_pop("_dc").over(w) > 0) & (F.stddev_pop("_dv").over(w) > 0), F.corr("_dc", "_dv").over(w)))
-    return staged.withColumn("corr_10", clip(value, -1, 1)).drop("_dc", "_dv")
+        low_at = int(9 * q)
+        a, b = F.col("_sorted")[low_at], F.col("_sorted")[low_at + 1]
+        return F.when(F.col("_c9").isNotNull(), a + (b - a) * (9 * q - low_at))
+    recent = _closes(10)
+    out["qtlu_10"], out["qtld_10"] = clip(quantile(0.8) / c, 0, 2), clip(quantile(0.2) / c, 0, 1)
+    out["rank_10"] = total([(recent[k] < c).cast("double") for k in range(1, 10)]) / 10
+    out["cntp_10"] = total([(recent[k] > recent[k + 1]).cast("double") for k in range(9)]) / 10
+    out["cntn_10"] = total([(recent[k] < recent[k + 1]).cast("double") for k in range(9)]) / 10
+    vx = F.col("_sxx") - F.col("_sx") * F.col("_sx") / 10
+    vy = F.col("_syy") - F.col("_sy") * F.col("_sy") / 10
+    varied = (F.col("_np") >= 10) & (vx > 1e-14 * F.col("_sxx")) & (vy > 1e-14 * F.col("_syy"))
+    out["corr_10"] = F.when(varied, clip((F.col("_sxy") - F.col("_sx") * F.col("_sy") / 10) / F.sqrt(vx * vy), -1, 1))
+    return staged.select(*df.columns, *[value.alias(name) for name, value in out.items()],
+                         F.when(F.col("_c21") != 0, c / F.col("_c21") - 1).alias("_ret21"))
 
 
 def series_change(series: DataFrame, n: int, out: str, *keys: str) -> DataFrame:
@@ -144,10 +166,7 @@ def relative_features(df: DataFrame, benchmark: DataFrame, sectors: DataFrame, e
 def technical_features(bars: DataFrame, benchmark: DataFrame, sectors: DataFrame, etf: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("ticker"))
     out = bars.withColumn("_n", n).filter(F.col("_n") >= MIN_BARS).drop("_n")
-    for step in (oscillator_features, volume_features, candle_features, return_features, level_features,
-                 regression_features, order_features, correlation_features):
-        out = step(out)
-    return relative_features(out, benchmark, sectors, etf)
+    return relative_features(price_features(oscillator_features(out)), benchmark, sectors, etf)
 
 
 def snapshot_features(info: DataFrame) -> DataFrame:

@@ -96,15 +96,20 @@ def group(name, covers, columns, build):
         return rounded(build(m).select("ticker", "date", *columns))
 
 
-group("oscillator_features", "C-01, C-02, C-03, C-04", ["rsi", "macd_above_signal", "bb_position", "sma20_vs_sma50"], lambda m: ft.oscillator_features(m.bars))
-group("volume_features", "C-05, C-06, C-07, C-23", ["volume_surge_20d", "atr_pct", "cmf_20d", "vma_20"], lambda m: ft.volume_features(m.bars))
-group("return_features", "C-08, C-11", ["roc_21d", "roc_5", "roc_10", "roc_60", "high_52w_proximity"], lambda m: ft.return_features(m.bars))
-group("relative_return_features", "C-09, C-10", ["alpha_21d", "sector_alpha_21d"], lambda m: ft.relative_features(ft.return_features(m.staged().bars), m.bench, m.sectors, m.etf))
-group("candle_features", "C-12", ["kmid", "klen", "kup", "klow", "ksft"], lambda m: ft.candle_features(m.bars))
-group("level_features", "C-13, C-14, C-18", [f"{a}_{n}" for a in ("ma", "std") for n in (5, 10, 20, 60)] + ["max_20", "min_20"], lambda m: ft.level_features(m.bars))
-group("regression_features", "C-15, C-16, C-17", ["beta_5", "beta_10", "beta_20", "rsqr_10", "rsqr_20", "resi_10", "resi_20"], lambda m: ft.regression_features(m.bars))
-group("order_features", "C-19, C-20, C-22", ["qtlu_10", "qtld_10", "rank_10", "cntp_10", "cntn_10"], lambda m: ft.order_features(m.bars))
-group("correlation_features", "C-21", ["corr_10"], lambda m: ft.correlation_features(m.bars))
+def priced(m):
+    return ft.price_features(m.bars)
+
+
+group("oscillator_features", "C-01, C-02", ["rsi", "macd_above_signal"], lambda m: ft.oscillator_features(m.bars))
+group("band_features", "C-03, C-04", ["bb_position", "sma20_vs_sma50"], priced)
+group("volume_features", "C-05, C-06, C-07, C-23", ["volume_surge_20d", "atr_pct", "cmf_20d", "vma_20"], priced)
+group("return_features", "C-08, C-11", ["roc_21d", "roc_5", "roc_10", "roc_60", "high_52w_proximity"], priced)
+group("relative_return_features", "C-09, C-10", ["alpha_21d", "sector_alpha_21d"], lambda m: ft.relative_features(priced(m.staged()), m.bench, m.sectors, m.etf))
+group("candle_features", "C-12", ["kmid", "klen", "kup", "klow", "ksft"], priced)
+group("level_features", "C-13, C-14, C-18", [f"{a}_{n}" for a in ("ma", "std") for n in (5, 10, 20, 60)] + ["max_20", "min_20"], priced)
+group("regression_features", "C-15, C-16, C-17", ["beta_5", "beta_10", "beta_20", "rsqr_10", "rsqr_20", "resi_10", "resi_20"], priced)
+group("order_features", "C-19, C-20, C-22", ["qtlu_10", "qtld_10", "rank_10", "cntp_10", "cntn_10"], priced)
+group("correlation_features", "C-21", ["corr_10"], priced)
 
 
 @query("fundamental_features", "C-24, C-25, C-26, C-27, C-28, C-29", "SELECT ticker, " + ", ".join(f"r6({c}) AS {c}" for c in (*ft.FUNDAMENTAL, "short_interest_pct")) + " FROM v_fund")

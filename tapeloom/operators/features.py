@@ -34,6 +34,18 @@ EPS = 1e-8
 MIN_BARS = 100
 
 
+# Bounds of the features that are clipped.
+BOUNDS = {
+    "bb_position": (0, 1), "sma20_vs_sma50": (-0.5, 0.5), "volume_surge_20d": (-1, 3), "atr_pct": (0, 0.2), "cmf_20d": (-1, 1),
+    "high_52w_proximity": (0, 1), "kmid": (-0.5, 0.5), "klen": (-0.5, 0.5), "kup": (-0.5, 0.5), "klow": (-0.5, 0.5),
+    "ksft": (-0.5, 0.5), "max_20": (0, 2), "min_20": (0, 1), "vma_20": (0, 10), "roc_21d": (-0.5, 0.5), "roc_5": (-0.5, 0.5),
+    "roc_10": (-0.5, 0.5), "roc_60": (-0.5, 0.5), "ma_5": (-0.5, 1.5), "ma_10": (-0.5, 1.5), "ma_20": (-0.5, 1.5),
+    "ma_60": (-0.5, 1.5), "std_5": (0, 1), "std_10": (0, 1), "std_20": (0, 1), "std_60": (0, 1), "beta_5": (-0.5, 0.5),
+    "beta_10": (-0.5, 0.5), "beta_20": (-0.5, 0.5), "rsqr_10": (0, 1), "rsqr_20": (0, 1), "resi_10": (0, 1), "resi_20": (0, 1),
+    "qtlu_10": (0, 2), "qtld_10": (0, 1), "corr_10": (-1, 1),
+}
+
+
 def oscillator_features(df: DataFrame) -> DataFrame:
     """RSI and MACD state; the Bollinger and mean features need only price_features."""
     staged = ind.oscillators(df)
@@ -102,47 +114,48 @@ def price_features(df: DataFrame) -> DataFrame:
     base = o + EPS
     rows = F.col("_rn")
     out = {
-        "bb_position": clip((c - (m20 - 2 * sigma[20])) / (4 * sigma[20] + EPS), 0, 1),
-        "sma20_vs_sma50": clip(m20 / (F.col("_m50") + EPS) - 1, -0.5, 0.5),
-        "volume_surge_20d": clip(v / (F.col("_v20") / F.least(rows, F.lit(20)) + EPS) - 1, -1, 3),
-        "atr_pct": clip(F.col("_tr14") / F.least(rows, F.lit(14)) / (c + EPS), 0, 0.2),
-        "cmf_20d": F.when((rows >= 20) & (F.col("_v20") != 0), clip(F.col("_mf20") / F.col("_v20"), -1, 1)),
-        "high_52w_proximity": F.when(rows >= 252, clip(c / F.greatest(F.col("_top252"), F.lit(EPS)), 0, 1)),
-        "kmid": clip((c - o) / base, -0.5, 0.5), "klen": clip((h - low) / base, -0.5, 0.5),
-        "kup": clip((h - F.greatest(o, c)) / base, -0.5, 0.5), "klow": clip((F.least(o, c) - low) / base, -0.5, 0.5),
-        "ksft": clip((c * 2 - h - low) / base, -0.5, 0.5),
-        "max_20": F.when(rows >= 20, clip(F.col("_hi20") / c, 0, 2)), "min_20": F.when(rows >= 20, clip(F.col("_lo20") / c, 0, 1)),
-        "vma_20": F.when(rows >= 20, clip(F.col("_v20") / 20 / (c * 1e4), 0, 10)),
+        "bb_position": ((c - (m20 - 2 * sigma[20])) / (4 * sigma[20] + EPS)),
+        "sma20_vs_sma50": (m20 / (F.col("_m50") + EPS) - 1),
+        "volume_surge_20d": (v / (F.col("_v20") / F.least(rows, F.lit(20)) + EPS) - 1),
+        "atr_pct": (F.col("_tr14") / F.least(rows, F.lit(14)) / (c + EPS)),
+        "cmf_20d": F.when((rows >= 20) & (F.col("_v20") != 0), (F.col("_mf20") / F.col("_v20"))),
+        "high_52w_proximity": F.when(rows >= 252, (c / F.greatest(F.col("_top252"), F.lit(EPS)))),
+        "kmid": ((c - o) / base), "klen": ((h - low) / base),
+        "kup": ((h - F.greatest(o, c)) / base), "klow": ((F.least(o, c) - low) / base),
+        "ksft": ((c * 2 - h - low) / base),
+        "max_20": F.when(rows >= 20, (F.col("_hi20") / c)), "min_20": F.when(rows >= 20, (F.col("_lo20") / c)),
+        "vma_20": F.when(rows >= 20, (F.col("_v20") / 20 / (c * 1e4))),
     }
     for name, k in (("roc_21d", 21), ("roc_5", 5), ("roc_10", 10), ("roc_60", 60)):
         past = F.col(f"_c{k}")
-        out[name] = clip(F.when(past != 0, c / past - 1), -0.5, 0.5)
+        out[name] = (F.when(past != 0, c / past - 1))
     for n in (5, 10, 20, 60):
-        out[f"ma_{n}"] = clip(F.col(f"_m{n}") / c, -0.5, 1.5)
-        out[f"std_{n}"] = clip(sigma[n] / c, 0, 1)
+        out[f"ma_{n}"] = (F.col(f"_m{n}") / c)
+        out[f"std_{n}"] = (sigma[n] / c)
     for n in (5, 10, 20):
-        out[f"beta_{n}"] = clip(F.col(f"_b{n}") / c, -0.5, 0.5)
+        out[f"beta_{n}"] = (F.col(f"_b{n}") / c)
     for n in (10, 20):
         slope, mean, deviations = F.col(f"_b{n}"), F.col(f"_m{n}"), F.col(f"_q{n}")
         r2 = F.when(deviations > 1e-18, slope * slope * (n * (n * n - 1) / 12.0) / deviations).when(deviations.isNotNull(), 0.0)
         residual = total([F.abs(x - mean - slope * ((n - 1) / 2.0 - k)) for k, x in enumerate(_closes(n))]) / n
-        out[f"rsqr_{n}"], out[f"resi_{n}"] = clip(r2, 0, 1), clip(residual / (mean + EPS), 0, 1)
+        out[f"rsqr_{n}"], out[f"resi_{n}"] = r2, (residual / (mean + EPS))
 
     def quantile(q: float) -> Column:
         low_at = int(9 * q)
         a, b = F.col("_sorted")[low_at], F.col("_sorted")[low_at + 1]
         return F.when(F.col("_c9").isNotNull(), a + (b - a) * (9 * q - low_at))
     recent = _closes(10)
-    out["qtlu_10"], out["qtld_10"] = clip(quantile(0.8) / c, 0, 2), clip(quantile(0.2) / c, 0, 1)
+    out["qtlu_10"], out["qtld_10"] = (quantile(0.8) / c), (quantile(0.2) / c)
     out["rank_10"] = total([(recent[k] < c).cast("double") for k in range(1, 10)]) / 10
     out["cntp_10"] = total([(recent[k] > recent[k + 1]).cast("double") for k in range(9)]) / 10
     out["cntn_10"] = total([(recent[k] < recent[k + 1]).cast("double") for k in range(9)]) / 10
     vx = F.col("_sxx") - F.col("_sx") * F.col("_sx") / 10
     vy = F.col("_syy") - F.col("_sy") * F.col("_sy") / 10
     varied = (F.col("_np") >= 10) & (vx > 1e-14 * F.col("_sxx")) & (vy > 1e-14 * F.col("_syy"))
-    out["corr_10"] = F.when(varied, clip((F.col("_sxy") - F.col("_sx") * F.col("_sy") / 10) / F.sqrt(vx * vy), -1, 1))
-    return staged.select(*df.columns, *[value.alias(name) for name, value in out.items()],
-                         F.when(F.col("_c21") != 0, c / F.col("_c21") - 1).alias("_ret21"))
+    out["corr_10"] = F.when(varied, ((F.col("_sxy") - F.col("_sx") * F.col("_sy") / 10) / F.sqrt(vx * vy)))
+    out["_ret21"] = F.when(F.col("_c21") != 0, c / F.col("_c21") - 1)
+    raw = staged.select(*df.columns, *[value.alias(name) for name, value in out.items()])
+    return raw.select(*df.columns, *[clip(F.col(n), *BOUNDS[n]).alias(n) if n in BOUNDS else F.col(n) for n in out])
 
 
 def series_change(series: DataFrame, n: int, out: str, *keys: str) -> DataFrame:

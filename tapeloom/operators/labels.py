@@ -8,6 +8,7 @@ from tapeloom.functions.exprs import by_ticker, change, clip, frame
 from tapeloom.functions.ranks import exact_median
 from tapeloom.operators.alignment import asof_backward, numbered
 from tapeloom.operators.indicators import true_range
+from tapeloom.session import cut_lineage
 
 LOOKAHEAD = 21
 
@@ -124,7 +125,7 @@ def earnings_events(earnings: DataFrame, bars: DataFrame, benchmark: DataFrame,
 
 def with_event_fundamentals(events: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Snapshot fundamentals per event, gaps filled by the exact global median."""
-    joined = events.join(fundamentals.select("ticker", *EVENT_FUNDAMENTALS), "ticker", "left")
+    joined = cut_lineage(events.join(fundamentals.select("ticker", *EVENT_FUNDAMENTALS), "ticker", "left"))
     long = joined.select(F.expr("stack({}, {}) as (feature, value)".format(
         len(EVENT_FUNDAMENTALS), ", ".join(f"'{c}', `{c}`" for c in EVENT_FUNDAMENTALS))))
     medians = exact_median(long, ["feature"], "value").groupBy().pivot("feature", list(EVENT_FUNDAMENTALS)).agg(F.first("median"))

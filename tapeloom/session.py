@@ -11,7 +11,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.decimalOperations.allowPrecisionLoss": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -28,9 +28,15 @@ def local_session(cores: int = 8, memory: str = "12g", name: str = "tapeloom") -
     return spark
 
 
+# Long projections above the JIT's method size limit run interpreted when they
+# are fused into one method; below this limit Spark splits them instead.
+JIT_METHOD_LIMIT = "8000"
+
+
 def utc(spark: SparkSession) -> SparkSession:
-    """Pin the time zone the date arithmetic relies on."""
+    """Pin the time zone the date arithmetic relies on, and the method limit."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_LIMIT)
     return spark
 
 

@@ -51,3 +51,50 @@ DILUTION = {"unknown": "Share count data unavailable.",
             "buyback": "Shares reduced %.1f%% YoY — active buybacks. Company returning capital.",
             "diluting": "Shares increased %.1f%% YoY — significant dilution. Earnings per share hurt.",
             "stable": "Share count stable (±%.1f%% YoY). No major buybacks or dilution."}
+
+CONTEXT = {"high_fear": "VIX %.1f — high fear (contrarian opportunity)", "complacency": "VIX %.1f — complacency (elevated risk)",
+           "neutral": "VIX %.1f", "missing": "VIX unavailable",
+           "high": "at %.0f%% of 52W range — near 52W high, momentum strong but watch for resistance",
+           "low": "at %.0f%% of 52W range — near 52W low, potential value or falling knife", "mid": "at %.0f%% of 52W range"}
+SECTOR = {"unknown": "Sector momentum unknown for %s.", "uptrend": "%s in uptrend — SMA20 above SMA50. Sector tailwind.",
+          "downtrend": "%s in downtrend — sector headwind. Be cautious.", "neutral": "%s in neutral trend — SMA20 near SMA50."}
+RELATIVE = {"good": "%s %+.1f%% vs S&P 500 %+.1f%% over %s — outperforming by %+.1f%%.",
+            "warning": "%s %+.1f%% vs S&P 500 %+.1f%% over %s — underperforming by %+.1f%%.",
+            "neutral": "%s %+.1f%% vs S&P 500 %+.1f%% over %s — roughly in line (%+.1f%%)."}
+MOMENTUM = {"strong_up": "Strong upward momentum: ", "up": "Upward momentum: ", "strong_down": "Strong downward momentum: ",
+            "down": "Downward momentum: ", "neutral": "Neutral momentum: ", "part": "%+.1f%% (%s)",
+            "none": "Insufficient data to calculate momentum."}
+PMO = {"leading": "Stock PMO is outperforming SPY by %+.2f points — relative strength trending upward (momentum leader).",
+       "lagging": "Stock PMO is underperforming SPY by %+.2f points — relative strength trending downward (momentum laggard).",
+       "neutral": "Stock PMO is trading near SPY (%+.2f points diff) — momentum parity with broader market."}
+OPTIONS = {"none": "No options data available.",
+           "bullish": "Put/Call ratio %s (high puts vs calls) — market is fearful. Contrarian signal: potential bounce. Expiry %s.",
+           "bearish": "Put/Call ratio %s (lots of call buying) — market is greedy. Contrarian caution: may be overbought. Expiry %s.",
+           "neutral": "Put/Call ratio %s — balanced options activity. %d calls vs %d puts. Expiry %s."}
+VOL_RATIO = {"over": "Vol overpriced — premium selling setup", "under": "Vol underpriced — directional play", "fair": "Vol fairly priced",
+             "placeholder": "IV unreliable — showing realized vol only", "unpopulated": "IV unavailable — options data not populated",
+             "no_atm": "IV unavailable for ATM strikes", "text": "IV %.1f%% / RV %.1f%% = %.2f — %s"}
+INSIDER = {"none": "No recent insider transaction data.",
+           "bullish": "Insiders buying — %d purchases vs %d sales recently. Positive signal.",
+           "bearish": "Insiders selling — %d sales vs %d purchases recently. Caution.",
+           "neutral": "Mixed insider activity — %d buys, %d sells. No clear signal."}
+OWNERSHIP = {"base": "%.1f%% held by institutions, %.1f%% held by insiders.",
+             "good": " High institutional ownership — big funds are committed.",
+             "warning": " Low institutional ownership — limited big-money support.", "neutral": " Normal ownership structure."}
+SHORT_INTEREST = {"none": "No short interest data available.", "pct": "%.1f%% of float shorted%s.", "days": " (%.1f days to cover)",
+                  "high": " HIGH short interest — strong bearish bet by market. Risk of short squeeze if price rises sharply.",
+                  "moderate": " Moderate short interest — some bearish pressure but not extreme.",
+                  "low": " Low short interest — market not heavily betting against this stock."}
+ANALYST = {"none": "No analyst coverage found.", "text": "%d analysts say %s. Average target $%.2f (%+.1f%% from current price)."}
+EARNINGS = {"none": "No historical earnings data available.", "surprise": " Avg surprise: %+.1f%%",
+            "good": "Beat estimates %d/%d recent quarters.%s Consistent outperformer.",
+            "warning": "Missed estimates %d/%d recent quarters.%s Execution concerns.",
+            "neutral": "Mixed earnings — %d beats, %d misses out of %d quarters.%s"}
+NEXT_EARNINGS = {"d3": "⚠️ Earnings in %d days — expect big price swings. High risk to hold through this.",
+                 "d7": "Earnings in %d days — volatility expected soon. Consider your position size.",
+                 "d14": "Earnings in %d days — watch for guidance updates.",
+                 "far": "Next earnings in %d days — no immediate earnings risk.", "unknown": "Earnings date unknown."}
+PROXIMITY = {"unknown": "Earnings date unknown.", "high": "Earnings in %d days — elevated volatility expected. Size positions carefully.",
+             "medium": "Earnings in %d days — moderate event risk.", "low": "Earnings in %d days — no immediate event risk."}
+HEADLINES = {"none": "No data", "positive": "Mostly Positive (%d/%d headlines)", "negative": "Mostly Negative (%d/%d headlines)",
+             "mixed": "Mixed / Neutral (%d/%d neutral)"}

@@ -1,7 +1,7 @@
 """All registered queries, gathered by importing the plan modules."""
 from __future__ import annotations
 
-from tapeloom.plans import alignment, features, indicators, labels, scorecards  # noqa: F401
+from tapeloom.plans import alignment, features, indicators, labels, scorecards, signals  # noqa: F401
 from tapeloom.plans.registry import COVERS, ORACLES, QUERIES, assemble
 
 

@@ -91,7 +91,7 @@ SELECT ticker, n,
        CASE WHEN n % 15 <> 0 THEN round(n*0.08 + d, 8) END AS beta,
        CASE WHEN n % 16 <> 0 THEN round(n*0.5 + d, 8) END AS short_ratio,
        CASE WHEN n % 17 <> 0 THEN round(n*0.012 + d/10, 8) END AS short_pct_float,
-       round(n*0.035 + t/10, 8) AS insider_pct, round(0.95 - n*0.035, 8) AS institution_pct,
+       round(n*0.035 + t/10, 8) AS insider_pct, round(0.95 - n*0.035 + d*0, 8) AS institution_pct,
        round(rev*0.05*(n-3), 2) AS ebitda, round(rev*(0.4 + n*0.02), 2) AS enterprise_value,
        round(qty*10, 2) AS shares_outstanding,
        round(95 + n*1.3 + d, 8) AS target_mean, round(80 + n + d, 8) AS target_low, round(120 + n + d, 8) AS target_high,

@@ -55,7 +55,7 @@ LEFT JOIN (SELECT {k}, count(*) AS nt, avg((trade_return > 0)::INT)*100 AS wr, a
 ORACLE_VIEWS["v_held"] = held_sql("v_strat")
 ORACLE_VIEWS["v_trades"] = trades_sql("v_held")
 ORACLE_VIEWS["v_stats"] = stats_sql("v_held", "v_trades")
-STAT_COLS = """n_bars, r4(total_return_pct) AS total_return_pct, r4(cagr_pct) AS cagr_pct, r5(sharpe) AS sharpe, r4(max_drawdown_pct) AS max_drawdown_pct, r4(coalesce(wr, 0)) AS win_rate_pct, coalesce(nt, 0) AS n_trades,
+STAT_COLS = """n_bars, r6(ln(1 + total_return_pct/100)) AS log_growth, r4(cagr_pct) AS cagr_pct, r5(sharpe) AS sharpe, r4(max_drawdown_pct) AS max_drawdown_pct, r4(coalesce(wr, 0)) AS win_rate_pct, coalesce(nt, 0) AS n_trades,
  r4(coalesce(ad, 0)) AS avg_trade_days, r6(coalesce(aw, 0)) AS avg_win, r6(coalesce(al, 0)) AS avg_loss, error"""
 DIGITS = {"total_return_pct": 4, "cagr_pct": 4, "sharpe": 5, "max_drawdown_pct": 4, "win_rate_pct": 4, "avg_trade_days": 4}
 
@@ -89,7 +89,9 @@ def _(m):
 
 @query("strategy_statistics", "K-05, K-06, K-08", f"SELECT ticker, strategy, {STAT_COLS} FROM v_stats")
 def _(m):
-    return rounded(st.statistics(signals_of(m)), **DIGITS)
+    # The in-sample rule compounds to astronomic levels; its growth is compared as a logarithm.
+    out = st.statistics(signals_of(m)).withColumn("log_growth", F.log(1 + F.col("total_return_pct") / 100)).drop("total_return_pct")
+    return rounded(out, **DIGITS)
 
 
 ORACLE_VIEWS["v_half"] = """
@@ -190,6 +192,7 @@ ORACLE_VIEWS["v_rule2"] = "SELECT date, label, atr_pct, (ma_20 - min(ma_20) OVER
 
 
 @query("indexed_equity", "K-13", """
-SELECT ticker, strategy, date, r4(eq/first_value(eq) OVER (PARTITION BY ticker, strategy ORDER BY date)*100) AS equity_100 FROM (SELECT *, exp(sum(ln(factor)) OVER (PARTITION BY ticker, strategy ORDER BY date)) AS eq FROM v_held) z""")
+SELECT ticker, strategy, date, r6(ln(eq/first_value(eq) OVER (PARTITION BY ticker, strategy ORDER BY date)*100)) AS log_equity FROM (SELECT *, exp(sum(ln(factor)) OVER (PARTITION BY ticker, strategy ORDER BY date)) AS eq FROM v_held) z""")
 def _(m):
-    return rounded(st.indexed_equity(st.equity(st.positions(signals_of(m)))).select("ticker", "strategy", "date", "equity_100"), 4)
+    curve = st.indexed_equity(st.equity(st.positions(signals_of(m))))
+    return rounded(curve.select("ticker", "strategy", "date", F.log("equity_100").alias("log_equity")))

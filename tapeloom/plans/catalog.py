@@ -1,7 +1,7 @@
 """All registered queries, gathered by importing the plan modules."""
 from __future__ import annotations
 
-from tapeloom.plans import alignment, evaluation, factors, features, indicators, labels, scorecards, signals, strategies  # noqa: F401
+from tapeloom.plans import alignment, evaluation, factors, features, indicators, labels, scorecards, signals, strategies, structure  # noqa: F401
 from tapeloom.plans.registry import COVERS, ORACLES, QUERIES, assemble
 
 

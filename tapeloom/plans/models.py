@@ -1,8 +1,6 @@
 """Model queries (rows-only checks: boosted trees have no SQL form) and sinks."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tapeloom.operators import evaluation as ev
@@ -12,7 +10,7 @@ from tapeloom.operators import labels as lb
 from tapeloom.operators import models as md
 from tapeloom.operators.features import live_snapshot
 from tapeloom.plans.registry import query
-from tapeloom.session import cut_lineage
+from tapeloom.session import cut_lineage, scratch_folder
 from tapeloom.sources import sinks
 
 # The queries fit few trees to stay short; the operators default to the full number.
@@ -112,14 +110,14 @@ def _(m):
 
 @query("parquet_snapshot_sink", "A-09")
 def _(m):
-    path = tempfile.mkdtemp(prefix="tapeloom-out-")
+    path = scratch_folder(m.spark)
     sinks.write_live_features(live_snapshot(ft.contract(ft.price_features(m.staged().bars), "ticker", "date")), path)
     return m.spark.read.parquet(path)
 
 
 @query("csv_sink", "A-10")
 def _(m):
-    path = tempfile.mkdtemp(prefix="tapeloom-out-")
+    path = scratch_folder(m.spark)
     sinks.write_table_csv(fa.ic_summary(fa.time_series_ic(fa.price_signals(m.bars))), path)
     return m.spark.read.csv(path, header=True, schema="ticker string, signal string, mean_ic_abs double, mean_ic double, max_tstat double, consistent boolean")
 
@@ -127,6 +125,6 @@ def _(m):
 @query("json_publish_sink", "A-11")
 def _(m):
     from tapeloom.plans.labels import oos
-    path = tempfile.mkdtemp(prefix="tapeloom-out-")
+    path = scratch_folder(m.spark)
     sinks.publish_json(ev.ticker_records(oos(m)), path)
     return m.spark.read.json(path, schema="ticker string, rho double, pval double, n bigint, significant boolean, direction string")

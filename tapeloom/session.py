@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,17 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one that the session names.
+
+    Only local runs, where none is named, fall back to the machine's own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/tapeloom-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="tapeloom-out-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder that the session names.
 

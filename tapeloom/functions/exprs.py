@@ -27,6 +27,16 @@ def by_date() -> WindowSpec:
     return Window.partitionBy("date")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Hash-partition on ticker into the session's shuffle partitions.
+
+    The windows that follow reuse this partitioning. The number is explicit
+    because they are heavy on CPU and light on bytes: coalescing by size would
+    leave them to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
+
+
 def frame(n: int, *extra: str) -> WindowSpec:
     """The current row and the n-1 rows before it."""
     return by_ticker(*extra).rowsBetween(-(n - 1), 0)

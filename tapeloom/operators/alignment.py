@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import by_ticker
+from tapeloom.functions.exprs import by_ticker, spread
 from tapeloom.functions.ranks import positions
 
 
@@ -108,7 +108,7 @@ def trailing_sentiment(bars: DataFrame, insider: DataFrame | None = None, grades
         merged = merged.unionByName(daily, allowMissingColumns=True)
         known = Window.partitionBy("ticker").orderBy("_day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         extra["_known"] = F.last("_filing", ignorenulls=True).over(known)
-    merged = merged.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date")))
+    merged = spread(merged).withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date")))
     out = merged.select("*", *[c.alias(n) for n, c in extra.items()]).filter("_bar")
     kept = [n for n in extra if n != "_known"]
     picked = [F.col(f"_known.{c}").alias(f"pit_{c}") for c in filing_columns] if filings is not None else []

@@ -29,7 +29,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date)::DOUBLE AS
 
 @query("price_signals", "J-01", "SELECT ticker, date, " + ", ".join(f"r6({n}) AS {n}" for n in J1) + " FROM v_psig")
 def _(m):
-    return rounded(fa.price_signals(m.bars).select("ticker", "date", *fa.SIGNALS))
+    return rounded(fa.price_signals(m.series).select("ticker", "date", *fa.SIGNALS))
 
 
 ORACLE_VIEWS["v_psig_long"] = " UNION ALL ".join(f"SELECT ticker, date, close, '{n}' AS signal, {n} AS value FROM v_psig" for n in J1)
@@ -45,7 +45,7 @@ SELECT ticker, signal, avg(abs(ic)) AS mean_ic_abs, avg(ic) AS mean_ic, max(abs(
 
 
 def signals_of(m):
-    return fa.price_signals(m.bars)
+    return fa.price_signals(m.series)
 
 
 @query("information_coefficient", "J-02", "SELECT ticker, signal, CAST(horizon AS INT) AS horizon, r6(ic) AS ic, n, r5(tstat) AS tstat FROM v_ic")
@@ -170,7 +170,7 @@ ORACLE_VIEWS["v_allsig"] = " UNION ALL ".join([f"SELECT ticker, 'technical' AS f
 def technical_signals(m):
     """The eighteen tuples and the four indicator votes of every ticker."""
     years = sc.statement_years(m.statements)
-    parts = [sg.volume_signal(m.bars), *[build(m) for _, _, build in BUILT.values()], cp.indicator_votes(ind.common_indicators(m.bars)),
+    parts = [sg.volume_signal(m.bars), *[build(m) for _, _, build in BUILT.values()], cp.indicator_votes(ind.common_indicators(m.series)),
              sc.balance_signal(sc.balance_trends(m.statements)), sc.piotroski_signal(sc.piotroski(years)),
              sc.advanced_valuation(m.info).select("ticker", F.lit("Advanced Valuation").alias("label"), "status"),
              sc.share_signal(sc.share_count(years)), sc.altman_signal(sc.altman_market(years, m.info))]

@@ -97,10 +97,10 @@ def group(name, covers, columns, build):
 
 
 def priced(m):
-    return ft.price_features(m.bars)
+    return ft.price_features(m.series)
 
 
-group("oscillator_features", "C-01, C-02", ["rsi", "macd_above_signal"], lambda m: ft.oscillator_features(m.bars))
+group("oscillator_features", "C-01, C-02", ["rsi", "macd_above_signal"], lambda m: ft.oscillator_features(m.series))
 group("band_features", "C-03, C-04", ["bb_position", "sma20_vs_sma50"], priced)
 group("volume_features", "C-05, C-06, C-07, C-23", ["volume_surge_20d", "atr_pct", "cmf_20d", "vma_20"], priced)
 group("return_features", "C-08, C-11", ["roc_21d", "roc_5", "roc_10", "roc_60", "high_52w_proximity"], priced)

@@ -41,12 +41,12 @@ def _(m):
 
 @query("relative_strength_index", "B-02, B-20", "SELECT ticker, date, r6(rsi) AS rsi FROM v_rsi")
 def _(m):
-    return rounded(ind.rsi(m.bars).select("ticker", "date", "rsi"))
+    return rounded(ind.rsi(m.series).select("ticker", "date", "rsi"))
 
 
 @query("macd", "B-03, B-20", "SELECT ticker, date, r6(macd) AS macd, r6(macd_signal) AS macd_signal FROM v_macd")
 def _(m):
-    return rounded(ind.macd(m.bars).select("ticker", "date", "macd", "macd_signal"))
+    return rounded(ind.macd(m.series).select("ticker", "date", "macd", "macd_signal"))
 
 
 @query("exponential_mean", "B-20", f"SELECT ticker, date, r6({ewm('close', A[26], 480)}) AS ema26 FROM v_bars")
@@ -164,7 +164,7 @@ SELECT t.ticker, t.pmo, t.pmo_signal, s.pmo AS spy_pmo, s.pmo_signal AS spy_pmo_
 
 @query("price_momentum_oscillator", "B-16", "SELECT ticker, date, r6(pmo) AS pmo FROM v_pmo WHERE ticker <> '-'")
 def _(m):
-    return rounded(ind.pmo(m.bars).select("ticker", "date", "pmo"))
+    return rounded(ind.pmo(m.series).select("ticker", "date", "pmo"))
 
 
 @query("pmo_relative_strength", "B-17", """
@@ -220,4 +220,4 @@ FROM (SELECT * FROM v_ind WHERE sma20 IS NOT NULL AND sma50 IS NOT NULL AND rsi
 @query("indicator_summary", "B-22", """
 SELECT ticker, date, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 2 THEN 'BULLISH' WHEN score <= -2 THEN 'BEARISH' ELSE 'MIXED' END AS verdict FROM v_summary""")
 def _(m):
-    return sig.indicator_summary(ind.common_indicators(m.bars)).select("ticker", "date", "score", "verdict")
+    return sig.indicator_summary(ind.common_indicators(m.series)).select("ticker", "date", "score", "verdict")

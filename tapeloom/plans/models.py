@@ -22,7 +22,7 @@ GROUPS = {"momentum": ("roc_5", "roc_10", "roc_21d", "roc_60"), "volatility": ("
 
 def priced(m):
     """Price features of full bars, kept once for the fits."""
-    return cut_lineage(ft.price_features(m.staged().bars))
+    return cut_lineage(ft.price_features(m.staged().series))
 
 
 def yearly(folds):
@@ -111,14 +111,14 @@ def _(m):
 @query("parquet_snapshot_sink", "A-09")
 def _(m):
     path = scratch_folder(m.spark)
-    sinks.write_live_features(live_snapshot(ft.contract(ft.price_features(m.staged().bars), "ticker", "date")), path)
+    sinks.write_live_features(live_snapshot(ft.contract(ft.price_features(m.staged().series), "ticker", "date")), path)
     return m.spark.read.parquet(path)
 
 
 @query("csv_sink", "A-10")
 def _(m):
     path = scratch_folder(m.spark)
-    sinks.write_table_csv(fa.ic_summary(fa.time_series_ic(fa.price_signals(m.bars))), path)
+    sinks.write_table_csv(fa.ic_summary(fa.time_series_ic(fa.price_signals(m.series))), path)
     return m.spark.read.csv(path, header=True, schema="ticker string, signal string, mean_ic_abs double, mean_ic double, max_tstat double, consistent boolean")
 
 

@@ -62,19 +62,19 @@ DIGITS = {"total_return_pct": 4, "cagr_pct": 4, "sharpe": 5, "max_drawdown_pct":
 
 def signals_of(m):
     m.staged()
-    return st.strategy_signals(ind.common_indicators(m.bars), composite_of(m))
+    return st.strategy_signals(ind.common_indicators(m.series), composite_of(m))
 
 
 @query("sma_cross_signals", "K-01", f"""
 SELECT ticker, date, entry, exit FROM (SELECT ticker, date, coalesce(sma20 > sma50 AND lag(sma20) OVER w <= lag(sma50) OVER w, false) AS entry, coalesce(sma20 < sma50 AND lag(sma20) OVER w >= lag(sma50) OVER w, false) AS exit FROM v_ind WINDOW w AS ({_p})) z""")
 def _(m):
-    return st.sma_cross(ind.common_indicators(m.bars)).select("ticker", "date", "entry", "exit")
+    return st.sma_cross(ind.common_indicators(m.series)).select("ticker", "date", "entry", "exit")
 
 
 @query("rsi_cross_signals", "K-02", f"""
 SELECT ticker, date, coalesce(rsi > 30 AND lag(rsi) OVER w <= 30, false) AS entry, coalesce(rsi < 70 AND lag(rsi) OVER w >= 70, false) AS exit FROM v_ind WINDOW w AS ({_p})""")
 def _(m):
-    return st.rsi_cross(ind.common_indicators(m.bars)).select("ticker", "date", "entry", "exit")
+    return st.rsi_cross(ind.common_indicators(m.series)).select("ticker", "date", "entry", "exit")
 
 
 @query("strategy_signals", "K-03", "SELECT ticker, strategy, date, entry, exit FROM v_strat")

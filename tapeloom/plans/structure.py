@@ -57,24 +57,24 @@ def _(m):
 
 @query("structure_bias", "O-03", "SELECT ticker, last_high, last_low, bias FROM v_snap")
 def _(m):
-    return so.snapshot(m.bars).select("ticker", "last_high", "last_low", "bias")
+    return so.snapshot(m.series).select("ticker", "last_high", "last_low", "bias")
 
 
 @query("setup_class", "O-04", "SELECT ticker, setup_type FROM v_setup")
 def _(m):
-    return so.setup_type(so.snapshot(m.bars)).select("ticker", "setup_type")
+    return so.setup_type(so.snapshot(m.series)).select("ticker", "setup_type")
 
 
 @query("structural_levels", "O-05", "SELECT ticker, array_to_string(list_transform(highs, lambda x: printf('%.4f', x)), ',') AS swing_highs, array_to_string(list_transform(lows, lambda x: printf('%.4f', x)), ',') AS swing_lows FROM v_snap")
 def _(m):
     def shown(c):
         return F.array_join(F.transform(c, lambda x: F.format_string("%.4f", x)), ",").alias(c)
-    return so.snapshot(m.bars).select("ticker", shown("swing_highs"), shown("swing_lows"))
+    return so.snapshot(m.series).select("ticker", shown("swing_highs"), shown("swing_lows"))
 
 
 @query("setup_entry_exit", "O-06, O-07, O-08", "SELECT ticker, setup_type, bias, entry, stop_loss, tp1, tp2, vol_adj_shares FROM v_ee")
 def _(m):
-    return so.entry_exit(so.setup_type(so.snapshot(m.bars))).select("ticker", "setup_type", "bias", "entry", "stop_loss", "tp1", "tp2", "vol_adj_shares")
+    return so.entry_exit(so.setup_type(so.snapshot(m.series))).select("ticker", "setup_type", "bias", "entry", "stop_loss", "tp1", "tp2", "vol_adj_shares")
 
 
 V["v_pivot"] = """
@@ -99,7 +99,7 @@ def _(m):
 
 
 def quick_scores(m):
-    votes = cp.indicator_votes(ind.common_indicators(m.bars)).select("ticker", F.lit("technical").alias("family"), "status")
+    votes = cp.indicator_votes(ind.common_indicators(m.series)).select("ticker", F.lit("technical").alias("family"), "status")
     cards = sc.fundamental_signals(m.info).select("ticker", F.lit("fundamental").alias("family"), "status")
     return cp.combined_score(votes.unionByName(cards))
 
@@ -142,7 +142,7 @@ SELECT *, CASE WHEN tp2 > t1*1.01 AND tp2 >= min2 THEN tp2 ELSE coalesce(list_mi
 
 def plan_of(m):
     m.staged("v_bars", "v_info", "v_statements")
-    setups = so.entry_exit(so.setup_type(so.snapshot(m.bars)))
+    setups = so.entry_exit(so.setup_type(so.snapshot(m.series)))
     years = sc.statement_years(m.statements)
     vix = m.vix.agg(F.max_by("vix", "date").alias("vix"))
     rows = (setups.join(quick_scores(m).select("ticker", "confidence", "verdict", "fundamental"), "ticker").join(so.swing_levels(m.bars), "ticker")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.exprs import spread
 from tapeloom.session import cut_lineage
 from tapeloom.sources.tables import BASE_TABLES, run_sql, table
 
@@ -186,6 +187,11 @@ class Market:
                 self._kept[name] = cut_lineage(self[name])
         return self
 
+    @property
+    def series(self) -> DataFrame:
+        """Bars laid out for per-ticker windows."""
+        return spread(self["v_bars"])
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._kept:
             return self._kept[name]

@@ -13,21 +13,25 @@ from tapeloom.operators.crosssection import legs
 from tapeloom.operators.factors import rank_correlation
 
 
-def quarterly_folds(rows: DataFrame, first: str = "2015-01-01", embargo: int = 5, skip: int = 4) -> DataFrame:
-    """Expanding quarterly folds with a gap of embargo+1 days before the test."""
+def quarterly_folds(rows: DataFrame, first: str = "2015-01-01", embargo: int = 5, skip: int = 4, months: int = 3) -> DataFrame:
+    """Expanding folds with a gap of embargo+1 days before the test.
+
+    Test windows are quarters by default; `months` widens them, and the windows
+    always cover all dates after the first `skip`.
+    """
     span = rows.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     start = F.lit(first).cast("date")
-    quarters = span.filter(F.col("_hi") >= start).select("_lo", F.posexplode(F.expr(f"sequence(DATE'{first}', _hi, INTERVAL 3 MONTH)")).alias("_k", "test_start"))
+    quarters = span.filter(F.col("_hi") >= start).select("_lo", F.posexplode(F.expr(f"sequence(DATE'{first}', _hi, INTERVAL {months} MONTH)")).alias("_k", "test_start"))
     return quarters.filter(F.col("_k") >= skip).select(
         (F.col("_k") - skip).cast("int").alias("fold"), F.col("_lo").alias("train_start"), F.date_sub("test_start", embargo + 1).alias("train_end"),
-        "test_start", F.date_sub(F.add_months("test_start", 3), 1).alias("test_end"))
+        "test_start", F.date_sub(F.add_months("test_start", months), 1).alias("test_end"))
 
 
-def fixed_folds(spark, first: str = "2022-01-01", n: int = 12, train_start: str = "2010-01-01", embargo: int = 21, earliest: str = "2021-01-01") -> DataFrame:
+def fixed_folds(spark, first: str = "2022-01-01", n: int = 12, months: int = 3, train_start: str = "2010-01-01", embargo: int = 21, earliest: str = "2021-01-01") -> DataFrame:
     """A fixed number of quarterly folds."""
-    rows = spark.range(n).select(F.col("id").cast("int").alias("fold"), F.add_months(F.lit(first).cast("date"), F.col("id").cast("int") * 3).alias("test_start"))
+    rows = spark.range(n).select(F.col("id").cast("int").alias("fold"), F.add_months(F.lit(first).cast("date"), F.col("id").cast("int") * months).alias("test_start"))
     rows = rows.withColumn("train_end", F.date_sub("test_start", embargo + 1)).filter(F.col("train_end") >= F.lit(earliest).cast("date"))
-    return rows.select("fold", F.lit(train_start).cast("date").alias("train_start"), "train_end", "test_start", F.date_sub(F.add_months("test_start", 3), 1).alias("test_end"))
+    return rows.select("fold", F.lit(train_start).cast("date").alias("train_start"), "train_end", "test_start", F.date_sub(F.add_months("test_start", months), 1).alias("test_end"))
 
 
 def yearly_folds(events: DataFrame, date: str = "earnings_date", warm: int = 3) -> DataFrame:

@@ -13,7 +13,8 @@ from tapeloom.plans.registry import query
 from tapeloom.session import cut_lineage, scratch_folder
 from tapeloom.sources import sinks
 
-# The queries fit few trees to stay short; the operators default to the full number.
+# The queries fit few trees and test in windows of one or three years; the
+# operators default to 400 trees and quarters.
 TREES = 4
 FIRST = "1995-01-01"
 GROUPS = {"momentum": ("roc_5", "roc_10", "roc_21d", "roc_60"), "volatility": ("std_5", "std_10", "std_20", "std_60", "atr_pct"),
@@ -25,18 +26,13 @@ def priced(m):
     return cut_lineage(ft.price_features(m.staged().series))
 
 
-def yearly(folds):
-    """Every fourth quarterly fold."""
-    return folds.filter(F.col("fold") % 4 == 0)
-
-
 PRICE = tuple(c for c in ft.TECHNICAL if c not in ("rsi", "macd_above_signal", "alpha_21d", "sector_alpha_21d"))
 
 
 @query("walk_forward_return_model", "L-06")
 def _(m):
     rows = lb.add_target(priced(m), 5)
-    oos = md.walk_forward_returns(rows, yearly(ev.quarterly_folds(rows, FIRST, embargo=5)), PRICE, TREES)
+    oos = md.walk_forward_returns(rows, ev.quarterly_folds(rows, FIRST, embargo=5, skip=1, months=12), PRICE, TREES)
     per = ev.spearman(oos, "pred_return", "fwd_return", ["fold"])
     mse = oos.groupBy("fold").agg(F.avg(F.pow(F.col("pred_return") - F.col("fwd_return"), 2)).alias("mse"))
     return per.join(mse, "fold")
@@ -46,7 +42,7 @@ def _(m):
 def _(m):
     rows = lb.barrier_label(priced(m)).filter(F.col("label") != "NEUTRAL").withColumn("label_binary", (F.col("label") == "WIN").cast("int"))
     start = rows.agg(F.add_months(F.trunc(F.max("date"), "YEAR"), -36).cast("string")).first()[0]
-    folds = yearly(ev.fixed_folds(m.spark, first=start, train_start=FIRST, earliest="1996-01-01"))
+    folds = ev.fixed_folds(m.spark, first=start, n=3, months=12, train_start=FIRST, earliest="1996-01-01")
     return ev.classification_metrics(md.walk_forward_classes(rows, folds, PRICE, "label_binary", TREES), "label_binary", "prob", ["fold"])
 
 
@@ -54,7 +50,7 @@ def _(m):
 def _(m):
     called = lb.barrier_label(priced(m), target=3.0, stop=1.5).withColumn("pred_return", F.col("ma_20") - 1)
     rows = lb.long_calls(called)
-    folds = yearly(ev.quarterly_folds(rows, FIRST, embargo=21))
+    folds = ev.quarterly_folds(rows, FIRST, embargo=21, skip=1, months=12)
     return ev.classification_metrics(md.walk_forward_classes(rows, folds, md.META_FEATURES, "meta_label", TREES), "meta_label", "prob", ["fold"])
 
 
@@ -77,7 +73,7 @@ def _(m):
     out = None
     for days in (1, 3, 5, 10, 21):
         rows = lb.add_target(features, days)
-        folds = ev.quarterly_folds(rows, FIRST, embargo=days).filter(F.col("fold") % 12 == 0)
+        folds = ev.quarterly_folds(rows, FIRST, embargo=days, skip=1, months=36)
         oos = md.walk_forward_returns(rows, folds, ("roc_5", "roc_21d", "ma_20", "std_20", "rank_10"), TREES)
         part = ev.spearman(oos, "pred_return", "fwd_return").select(F.lit(days).alias("days"), "rho", "n")
         out = part if out is None else out.unionByName(part)
@@ -87,7 +83,7 @@ def _(m):
 @query("feature_group_ablation", "L-16")
 def _(m):
     rows = cut_lineage(lb.add_target(priced(m), 5))
-    folds = ev.quarterly_folds(rows, FIRST, embargo=5).filter(F.col("fold") % 12 == 0)
+    folds = ev.quarterly_folds(rows, FIRST, embargo=5, skip=1, months=36)
     out = None
     for name, columns in GROUPS.items():
         oos = md.walk_forward_returns(rows, folds, columns, TREES)

@@ -128,7 +128,9 @@ SELECT date, sd * 16 * 100 AS vix FROM (
     "v_holders": """
 SELECT p.p_brand AS ticker, concat('Fund ', CAST(l.l_suppkey AS STRING)) AS holder, sum(l.l_quantity) AS shares
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand, concat('Fund ', CAST(l.l_suppkey AS STRING))""",
-    "v_watchlist": f"SELECT DISTINCT p.p_brand AS ticker FROM part p WHERE {BRAND_NUMBER} % 5 = 2",
+    "v_watchlist": """
+SELECT DISTINCT p.p_brand AS ticker FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+JOIN (SELECT max_by(c_custkey, c_acctbal) AS owner FROM customer) w ON o.o_custkey = w.owner""",
     "v_alerts": """
 SELECT o.o_orderkey AS alert_id, p.p_brand AS ticker,
        CASE WHEN o.o_orderkey % 2 = 0 THEN 'above' ELSE 'below' END AS direction,

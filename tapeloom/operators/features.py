@@ -249,6 +249,6 @@ def impute(df: DataFrame, columns=FEATURES) -> DataFrame:
 def live_snapshot(features: DataFrame) -> DataFrame:
     """Newest row per ticker, imputed over its own cross-section.
 
-    The rows share no single date, so the reference dates are kept per row.
+    Tickers may end on different dates; each row keeps its own.
     """
     return impute(newest(features, *FEATURES))

@@ -15,7 +15,7 @@ from frames import bars, walk
 
 def noisy(n=700, seed=3):
     rng = np.random.default_rng(seed)
-    return list(100 * np.exp(np.cumsum(rng.normal(0, 0.02, n))))
+    return [float(x) for x in 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))]
 
 
 def ordered(df, *columns):

@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeloom.llm.automaton import find_contamination
+from tapeloom.llm.sql import CONTAMINATION
 from tapeloom.llm.weak_supervision import judge_quality
 from tapeloom.session import utc
 from tapeloom.sources.tables import table
@@ -40,3 +42,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                                       "quality_probability", "kept")
+
+
+@query("op9_decontamination", CONTAMINATION)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -235,8 +235,8 @@ def confirmed_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
     if large.isEmpty():
         return staged(_search_sets(small))
     # A few classes of each large cluster, by a bounded aggregate; they go to every part.
-    pivots = large.select("cluster", "class").distinct().groupBy("cluster").agg(F.expr(f"max_by(class, xxhash64(class), {PIVOTS})").alias("pivots"))
-    pivots = pivots.select("cluster", F.explode("pivots").alias("class"))
+    picks = [F.max_by("class", F.struct(F.xxhash64("class", F.lit(i)), "class")) for i in range(PIVOTS)]
+    pivots = large.groupBy("cluster").agg(F.array(*picks).alias("pivots")).select("cluster", F.explode("pivots").alias("class"))
     spread = large.join(pivots, ["cluster", "class"], "left_semi").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     first = small.unionByName(large.unionByName(spread).withColumn("part", F.col("own").cast("string")).drop("own"))
     links = staged(_search_sets(first))

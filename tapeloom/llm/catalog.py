@@ -4,9 +4,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeloom.llm.automaton import find_contamination
 from tapeloom.llm.lsh_forest import near_duplicates
+from tapeloom.llm.prefix_free import remove_repeats
 from tapeloom.llm.sql import CONTAMINATION
 from tapeloom.llm.weak_supervision import judge_quality
 from tapeloom.session import utc
@@ -58,3 +60,10 @@ def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a similarity of 0.85 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op5_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of 100-byte strings that start earlier too."""
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))

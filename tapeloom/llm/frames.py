@@ -12,13 +12,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tapeloom.session import scratch_folder
 
-# Rows that one Arrow batch between the JVM and Python holds; texts of a row may be long.
-BATCH_ROWS = "1000"
+# What one Arrow batch between the JVM and Python holds at most, unless a single row is larger.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that tasks exchange with Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     return spark
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.automaton import find_contamination
 from tapeloom.llm.lsh_forest import near_duplicates
+from tapeloom.llm.poisson_mix import mix_sources
 from tapeloom.llm.prefix_free import remove_repeats
-from tapeloom.llm.sql import CONTAMINATION
+from tapeloom.llm.sql import CONTAMINATION, MIXTURE
+from tapeloom.llm.vector_packing import assign_shards
 from tapeloom.llm.weak_supervision import judge_quality
 from tapeloom.session import utc
 from tapeloom.sources.tables import table
@@ -67,3 +69,19 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the bytes of 100-byte strings that start earlier too."""
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op1_sharding")
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes (and tokens, and rows); equal texts stay together."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return assign_shards(docs.withColumn("text_crc32", crc)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                                                                    F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_source_mixture", MIXTURE)
+def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each as often as its Poisson draw says, in a global random order."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "replica", "shuffle_key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))

@@ -10,10 +10,14 @@ from tapeloom.llm.automaton import find_contamination
 from tapeloom.llm.lsh_forest import near_duplicates
 from tapeloom.llm.poisson_mix import mix_sources
 from tapeloom.llm.prefix_free import remove_repeats
-from tapeloom.llm.sql import CONTAMINATION, MIXTURE
+from tapeloom.llm.site_bayes import classify_quality
+from tapeloom.llm.sql import ARCHIVE, CONTAMINATION, MIXTURE, URLS
+from tapeloom.llm.style_tree import extract_main_text
+from tapeloom.llm.url_rules import filter_urls
 from tapeloom.llm.vector_packing import assign_shards
+from tapeloom.llm.warc import read_archives, write_archives
 from tapeloom.llm.weak_supervision import judge_quality
-from tapeloom.session import utc
+from tapeloom.session import scratch_folder, utc
 from tapeloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +89,33 @@ def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each as often as its Poisson draw says, in a global random order."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "replica", "shuffle_key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+@query("op2_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: the host is its source, the path its source and language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = classify_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return judged.select("doc_id", "p_text", "p_site", "quality", "kept")
+
+
+@query("op4_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op8_url_filter", URLS)
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    site_rule = F.when(~F.col("rule").startswith("*"), F.col("rule"))
+    return judged.select("page_id", "host", "path", site_rule.alias("rule"), "verdict")
+
+
+@query("op10_warc", ARCHIVE)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    folder = f"{scratch_folder(spark)}/warc"
+    archives = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return read_archives(archives, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -32,3 +32,29 @@ copies AS (SELECT *, len(list_filter(steps, lambda s: s <= (('0x' || substr(md5(
 SELECT doc_id, source, replica::INTEGER AS replica, md5('17:order|' || name || '|' || replica) AS shuffle_key, n_bytes
 FROM (SELECT *, unnest(range(1, n + 1)) AS replica FROM copies WHERE n > 0)
 """
+
+URLS = r"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+site(host_rule, path_rule, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+word(w) AS (SELECT unnest(['adult', 'porn', 'sex', 'xxx', 'casino', 'bets', 'betting', 'poker', 'gambling', 'spam', 'viagra', 'pills', 'warez'])),
+fits AS (SELECT host, path, host_rule || path_rule AS rule, verdict, 1000 + length(host_rule || path_rule) AS rank FROM (SELECT DISTINCT host, path FROM split), site
+    WHERE (host = host_rule OR ends_with(host, '.' || host_rule)) AND starts_with(path, path_rule)
+  UNION ALL SELECT host, path, '*' || w || '*', 'block', length(w) FROM (SELECT DISTINCT host, path FROM split), word WHERE list_contains(regexp_split_to_array(host, '[.-]'), w)),
+best AS (SELECT host, path, rule, verdict, row_number() OVER (PARTITION BY host, path ORDER BY rank DESC, rule) AS n FROM fits)
+SELECT page_id, s.host, s.path, CASE WHEN b.rule NOT LIKE '*%' THEN b.rule END AS rule, coalesce(b.verdict, 'allow') AS verdict
+FROM split s LEFT JOIN best b ON b.n = 1 AND s.host = b.host AND s.path = b.path
+"""
+
+# Base32 of a SHA-1, five bits a letter.
+ARCHIVE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, body, sha1(body) AS hex FROM p),
+letters AS (SELECT hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + (((('0x' || substr(hex || '000', (5 * i // 4)::BIGINT + 1, 3))::BIGINT) >> (12 - 5 - (5 * i % 4)))::BIGINT & 31)::BIGINT, 1)), '') AS payload_digest FROM (SELECT DISTINCT hex FROM h)),
+g AS (SELECT body, max(page_id) AS original FROM p GROUP BY body)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original IS NULL OR page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original IS NULL OR page_id IS NOT DISTINCT FROM original THEN NULL ELSE original END AS refers_to
+FROM h JOIN letters USING (hex) JOIN g USING (body)
+"""

@@ -124,7 +124,7 @@ class Parse:
 
 
 NULL_ID = -2**63            # a null doc_id comes before every other
-HOT = 20_000                # phrases of a trigger that one task compares window by window in memory
+HOT = 50_000                # phrases of a trigger that one task compares window by window in memory
 REPEAT, OPEN, CROWDED = 0, 1, 2
 _PLACE = "doc_id long, part int"
 
@@ -156,12 +156,14 @@ def _place_ranks(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
 
 # Marks of a phrase: first of its block; holds a window twice, perhaps; an earlier one of its block is equal.
 PLAIN, INNER, KNOWN = 0, 1, 2
-PHRASES = f"trigger long, name long, {_PLACE}, first int, last int, mark int"
+# code: 48 bits of the name, 14 bits of last - first, 2 bits of the mark; spot: part and first. Few bytes to shuffle.
+PHRASES = "trigger long, code long, doc_id long, spot long"
 
 
 def _phrase_batch(trigger, name, ids, parts, first, last, mark) -> pa.RecordBatch:
-    columns = [trigger.view(np.int64), name.view(np.int64), ids, parts.astype(np.int32), first.astype(np.int32), last.astype(np.int32), mark.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["trigger", "name", "doc_id", "part", "first", "last", "mark"])
+    code = (name & ~U64(0xFFFF)) | ((last - first).astype(np.uint64) << U64(2)) | mark.astype(np.uint64)
+    spot = (parts.astype(np.int64) << 32) | first.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (trigger.view(np.int64), code.view(np.int64), ids, spot)], names=["trigger", "code", "doc_id", "spot"])
 
 
 def _sent(trigger, name, ids, parts, place, first, last, inner) -> Iterator[pa.RecordBatch]:
@@ -195,15 +197,16 @@ class _Order:
         self.names = 0
 
     def step(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        repeat = _numpy(batch, "mark") == KNOWN
-        if repeat.any():
-            known = batch.filter(pa.array(repeat))
-            yield _found(REPEAT, *[_numpy(known, c) for c in ("trigger", "doc_id", "part", "first", "last")])
-            batch = batch.filter(pa.array(~repeat))
-        if not batch.num_rows:
+        trigger, code, ids, spot = [_numpy(batch, c) for c in ("trigger", "code", "doc_id", "spot")]
+        parts, first, mark = spot >> 32, spot & 0x7FFFFFFF, code & 3
+        name, last = code >> 16, first + ((code & 0xFFFF) >> 2)
+        known = mark == KNOWN
+        if known.any():
+            yield _found(REPEAT, *[x[known] for x in (ids, parts, first, last)])
+            trigger, name, ids, parts, first, last, mark = [x[~known] for x in (trigger, name, ids, parts, first, last, mark)]
+        if not len(trigger):
             return
-        trigger, name, ids, parts, first, last = [_numpy(batch, c) for c in ("trigger", "name", "doc_id", "part", "first", "last")]
-        inner = _numpy(batch, "mark") == INNER
+        inner = mark == INNER
         n = len(trigger)
         new_trigger, new_name = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
         new_trigger[1:] = trigger[1:] != trigger[:-1]
@@ -218,7 +221,7 @@ class _Order:
             carried = head < 0
             same[carried] = (ids[carried] == self.place[0]) & (parts[carried] == self.place[1]) & (first[carried] == self.place[2])
         later = ~new_name & ~same
-        yield _found(REPEAT, trigger[later], ids[later], parts[later], first[later], last[later])
+        yield _found(REPEAT, ids[later], parts[later], first[later], last[later])
 
         # Distinct phrases by trigger; group 0 goes on from the last batch unless the first row opens a trigger.
         heads = np.flatnonzero(new_name)
@@ -233,13 +236,13 @@ class _Order:
             starts = np.flatnonzero(new_trigger)
             names = np.array([self.trigger if g == 0 else trigger[starts[g - 1]] for g in ends], dtype=np.int64)
             zero = np.zeros(len(names), dtype=np.int64)
-            yield _found(CROWDED, names, zero, zero, zero, zero)
+            yield _found(CROWDED, zero, zero, zero, zero, names)
         final = len(counts) - 1
         several = heads[(counts[group] > 1) | inner[heads]]
-        yield _found(OPEN, trigger[several], ids[several], parts[several], first[several], last[several])
+        yield _found(OPEN, ids[several], parts[several], first[several], last[several])
         if counts[final] == 1 and len(heads) and group[-1] == final:
             i = heads[-1:]
-            self.held = None if inner[i[0]] else [c[i] for c in (trigger, ids, parts, first, last)]
+            self.held = None if inner[i[0]] else [c[i] for c in (ids, parts, first, last)]
         elif counts[final] != 1:
             self.held = None
         self.names = int(counts[final])
@@ -251,15 +254,17 @@ class _Order:
     def close(self) -> Iterator[pa.RecordBatch]:
         if self.names > self.most:
             zero = np.zeros(1, dtype=np.int64)
-            yield _found(CROWDED, np.array([self.trigger], dtype=np.int64), zero, zero, zero, zero)
+            yield _found(CROWDED, zero, zero, zero, zero, np.array([self.trigger], dtype=np.int64))
 
 
-FOUND = f"kind int, trigger long, {_PLACE}, first int, last int"
+FOUND = f"kind int, {_PLACE}, first int, last int, trigger long"
 
 
-def _found(kind: int, trigger, ids, parts, first, last) -> pa.RecordBatch:
-    columns = [np.full(len(ids), kind, dtype=np.int32), trigger, ids, parts.astype(np.int32), first.astype(np.int32), last.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "trigger", "doc_id", "part", "first", "last"])
+def _found(kind: int, ids, parts, first, last, trigger=None) -> pa.RecordBatch:
+    """Places of one kind; the trigger is named only where it is crowded."""
+    named = pa.nulls(len(ids), pa.int64()) if trigger is None else pa.array(trigger)
+    columns = [np.full(len(ids), kind, dtype=np.int32), ids, parts.astype(np.int32), first.astype(np.int32), last.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), named], names=["kind", "doc_id", "part", "first", "last", "trigger"])
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -271,66 +276,72 @@ def _resolve(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 def _in_order(phrases: DataFrame, most: int) -> DataFrame:
     """First places and repeats of phrases. Known repeats only pass through; they are dealt out by place, not by trigger."""
-    route = F.when(F.col("mark") == KNOWN, F.xxhash64("doc_id", "first")).otherwise(F.col("trigger"))
-    dealt = phrases.withColumn("route", route).repartition("route").drop("route")
-    return dealt.sortWithinPartitions("trigger", "name", "doc_id", "part", "first").mapInArrow(lambda batches: _resolve(batches, most), FOUND)
+    route = F.when(F.col("code").bitwiseAND(3) == KNOWN, F.xxhash64("doc_id", "spot")).otherwise(F.col("trigger"))
+    dealt = phrases.repartition(route)
+    return dealt.sortWithinPartitions("trigger", F.shiftright("code", 16), "doc_id", "spot").mapInArrow(lambda batches: _resolve(batches, most), FOUND)
 
 
-def _open_phrases(batches: Iterator[pa.RecordBatch], crowded: bool) -> Iterator[pa.RecordBatch]:
-    """Bytes of the open phrases of each text, or, of crowded triggers, each of their windows as a phrase of its own."""
-    wanted = "crowded" if crowded else "open"
+def _open_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the open phrases of each text."""
     for batch in batches:
-        ids, parts, lists = _numpy(batch, "doc_id"), _numpy(batch, "part"), batch.column(wanted)
+        ids, parts, lists = _numpy(batch, "doc_id"), _numpy(batch, "part"), batch.column("open")
         for block in blocks(batch.column("text")):
             own = lists.slice(block.lo, block.rows)
             starts = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(starts):
-                continue
-            counts = np.array([len(x) if x is not None else 0 for x in own], dtype=np.int64)
-            starts += np.repeat(block.starts, counts)
+            starts += np.repeat(block.starts, np.array([len(x) for x in own], dtype=np.int64))
             parse = Parse(block)
             at = np.flatnonzero(np.isin(parse.first, starts))
             row, first, last = parse.row[at], parse.first[at], parse.last[at]
-            base, own_ids, own_parts = block.starts[row], ids[block.lo:block.hi][row], parts[block.lo:block.hi][row]
-            if crowded:
-                sizes = last - first + 1
-                place = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                ranks = _place_ranks(ids[block.lo:block.hi], parts[block.lo:block.hi])[row]
-                spread = [np.repeat(x, sizes) for x in (own_ids, own_parts, ranks, base)]
-                windows = parse.windows[place]
-                yield from _sent(windows, windows, spread[0], spread[1], spread[2], place - spread[3], place - spread[3], np.zeros(len(place), dtype=bool))
-            else:
-                data = block.data.tobytes()
-                for lo in range(0, len(at), 20_000):
-                    s = slice(lo, lo + 20_000)
-                    texts = [data[a:b + LENGTH] for a, b in zip(first[s].tolist(), last[s].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(parse.trigger[at[s]].view(np.int64)), pa.array(own_ids[s]), pa.array(own_parts[s].astype(np.int32)),
-                         pa.array((first - base)[s].astype(np.int32)), pa.array(texts, pa.binary())], names=["trigger", "doc_id", "part", "first", "bytes"])
+            spot = (parts[block.lo:block.hi][row].astype(np.int64) << 32) | (first - block.starts[row])
+            data = block.data.tobytes()
+            for lo in range(0, len(at), 20_000):
+                s = slice(lo, lo + 20_000)
+                texts = [data[a:b + LENGTH] for a, b in zip(first[s].tolist(), last[s].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(parse.trigger[at[s]].view(np.int64)), pa.array(ids[block.lo:block.hi][row[s]]), pa.array(spot[s]), pa.array(texts, pa.binary())],
+                                                 names=["trigger", "doc_id", "spot", "bytes"])
+
+
+class _Windows:
+    """Windows of phrases given by their bytes: the phrase of each, its offset in it, and its hash."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(x) for x in texts], dtype=np.int64)
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        counts = sizes - LENGTH + 1
+        self.row = np.repeat(np.arange(len(sizes)), counts)
+        self.offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        hashes = _string_hashes(_rolling(_BYTE_VALUES[data], _sum_of_powers(LENGTH)), LENGTH, len(data) - LENGTH + 1)
+        self.hashes = hashes[(np.cumsum(sizes) - sizes)[self.row] + self.offset]
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the phrases as a phrase of its own."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 20_000):
+            part = batch.slice(lo, 20_000)
+            ids, spot = _numpy(part, "doc_id"), _numpy(part, "spot")
+            w = _Windows(part.column("bytes").to_pylist())
+            ids, parts, first = ids[w.row], spot[w.row] >> 32, (spot[w.row] & 0x7FFFFFFF) + w.offset
+            yield from _sent(w.hashes, w.hashes, ids, parts, _place_ranks(ids, parts), first, first, np.zeros(len(ids), dtype=bool))
 
 
 def _window_repeats(rows: pa.Table) -> pa.RecordBatch:
     """Whole trigger groups of phrases in the order of (trigger, place): runs of windows that an earlier phrase of the group has."""
-    trigger, ids, parts, first = [rows.column(c).to_numpy() for c in ("trigger", "doc_id", "part", "first")]
-    texts = rows.column("bytes").combine_chunks()
-    sizes = np.array([len(x) for x in texts.to_pylist()], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts.to_pylist()), dtype=np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    hashes = _string_hashes(_rolling(_BYTE_VALUES[data], _sum_of_powers(LENGTH)), LENGTH, len(data) - LENGTH + 1)
-    counts = sizes - LENGTH + 1
-    row = np.repeat(np.arange(len(sizes)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    keys = mix(hashes[starts[row] + offset] + trigger.view(np.uint64)[row] * U64(0x9FB21C651E98DF25))
+    trigger, ids, spot = [rows.column(c).to_numpy() for c in ("trigger", "doc_id", "spot")]
+    parts, first = spot >> 32, spot & 0x7FFFFFFF
+    w = _Windows(rows.column("bytes").to_pylist())
+    row, place = w.row, first[w.row] + w.offset
+    keys = mix(w.hashes + trigger.view(np.uint64)[row] * U64(0x9FB21C651E98DF25))
     _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
     head = index[inverse]
-    later = (head != np.arange(len(keys))) & ((ids[row] != ids[row[head]]) | (parts[row] != parts[row[head]]) | (first[row] + offset != first[row[head]] + offset[head]))
+    later = (ids[row] != ids[row[head]]) | (parts[row] != parts[row[head]]) | (place != place[head])
     at = np.flatnonzero(later)
     breaks = np.ones(len(at), dtype=bool)
     breaks[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
     opens = at[breaks]
     closes = at[np.append(np.flatnonzero(breaks)[1:], len(at)) - 1] if len(at) else at
     r = row[opens]
-    return _found(REPEAT, trigger[r], ids[r], parts[r], first[r] + offset[opens], first[r] + offset[closes])
+    return _found(REPEAT, ids[r], parts[r], place[opens], place[closes])
 
 
 def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,17 +401,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mos
     kind = docs.schema[key].dataType
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.hash(text).alias("part"), F.col(text).alias("text"))
     found = staged(_in_order(rows.mapInArrow(_parse, PHRASES), most))
-    crowded = found.filter(F.col("kind") == CROWDED).select("trigger").distinct().withColumn("hot", F.lit(True))
-    opened = found.filter(F.col("kind") == OPEN).select("trigger", "doc_id", "part", "first").join(crowded, "trigger", "left")
-    lists = opened.groupBy("doc_id", "part").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("first"))).alias("open"),
-                                                 F.collect_list(F.when(F.col("hot"), F.col("first"))).alias("crowded"))
-    marked = rows.join(lists, ["doc_id", "part"])
-    phrases = marked.mapInArrow(lambda batches: _open_phrases(batches, False), f"trigger long, {_PLACE}, first int, bytes binary")
-    compared = phrases.repartition("trigger").sortWithinPartitions("trigger", "doc_id", "part", "first").mapInArrow(_compare_windows, FOUND)
-    shared = staged(compared)
-    runs = found.filter(F.col("kind") == REPEAT).unionByName(shared)
+    crowded = staged(found.filter(F.col("kind") == CROWDED).select("trigger").distinct())
+    lists = found.filter(F.col("kind") == OPEN).groupBy("doc_id", "part").agg(F.collect_list("first").alias("open"))
+    marked = rows.join(lists, ["doc_id", "part"]).select("doc_id", "part", "text", "open")
+    phrases = marked.mapInArrow(_open_phrases, "trigger long, doc_id long, spot long, bytes binary").repartition("trigger")
+    calm = phrases
+    if not crowded.isEmpty():
+        phrases = staged(phrases)
+        calm = phrases.join(crowded, "trigger", "left_anti").repartition("trigger")
+    runs = found.filter(F.col("kind") == REPEAT).unionByName(staged(calm.sortWithinPartitions("trigger", "doc_id", "spot").mapInArrow(_compare_windows, FOUND)))
     if not crowded.isEmpty():
-        windows = marked.filter(F.size("crowded") > 0).mapInArrow(lambda batches: _open_phrases(batches, True), PHRASES)
+        windows = phrases.join(crowded, "trigger", "left_semi").mapInArrow(_single_windows, PHRASES)
         runs = runs.unionByName(staged(_in_order(windows, most).filter(F.col("kind") == REPEAT)))
     by_text = runs.groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = rows.join(by_text, ["doc_id", "part"], "left").select("doc_id", "text", "runs")

@@ -93,9 +93,9 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     # Slots: parts of a shard are numbered on their own, behind all rows of the parts before; a part holds whole pieces.
     parts = int(max(total["rows"] // (shards * SLOT_ROWS), 1) * 4)
     placed = staged(placed.withColumn("part", F.pmod(F.xxhash64("group", "chunk"), F.lit(parts)).cast("int")))
-    before = pd.DataFrame(placed.groupBy("shard", "part").agg(F.sum("rows").alias("rows")).collect(), columns=["shard", "part", "rows"]).sort_values(["shard", "part"])
+    before = pd.DataFrame(placed.groupBy("shard", "part").agg(F.sum("rows").alias("rows")).collect(), columns=["shard", "part", "rows"]).astype("int64").sort_values(["shard", "part"])
     before["before"] = before.groupby("shard")["rows"].cumsum() - before["rows"]
-    offsets = spark.createDataFrame(before[["shard", "part", "before"]].astype("int64"), "shard long, part long, before long")
+    offsets = spark.createDataFrame(before[["shard", "part", "before"]], "shard long, part long, before long")
     placed = placed.join(F.broadcast(offsets), ["shard", "part"]).select(F.col("group").alias("__group"), F.col("chunk").alias("__chunk"), "shard", F.col("part").alias("__part"), F.col("before").alias("__before"))
     found = chunked.join(placed, ["__group", "__chunk"])
     by = Window.partitionBy("shard", "__part").orderBy(F.col(key), "__group")

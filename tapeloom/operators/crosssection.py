@@ -31,17 +31,17 @@ def batch_zscores(df: DataFrame, columns: list[str]) -> DataFrame:
                                                    F.lit(0.0)).alias(f"z_{c}") for c in columns])
 
 
-# Features of the four pillars, for training and for live use.
+# Features of the four pillars in training.
 PILLARS_TRAINING = {
-    "technical": ("rsi", "macd_above_signal", "bb_position", "sma20_vs_sma50", "volume_surge_20d", "atr_pct", "cmf_20d",
-                  "roc_21d", "alpha_21d", "sector_alpha_21d", "high_52w_proximity", "kmid", "klen", "kup", "klow", "ksft",
-                  "roc_5", "roc_10", "roc_60", "ma_5", "ma_10", "ma_20", "ma_60", "std_5", "std_10", "std_20", "std_60",
-                  "beta_5", "beta_10", "beta_20"),
-    "fundamental": ("pe_ratio", "forward_pe", "profit_margin", "roe", "debt_to_equity", "revenue_growth", "earnings_growth",
-                    "fcf_yield", "gross_profitability", "piotroski_score", "altman_z"),
-    "sentiment": ("insider_net_ratio", "analyst_score"),
-    "macro": ("short_interest_pct",),
+    "momentum": ("rsi", "macd_above_signal", "bb_position", "sma20_vs_sma50", "volume_surge_20d", "roc_21d", "alpha_21d", "sector_alpha_21d",
+                 "high_52w_proximity", "cmf_20d", "kmid", "klen", "kup", "klow", "ksft", "roc_5", "roc_10", "roc_60", "ma_5", "ma_10", "ma_20", "ma_60",
+                 "beta_5", "beta_10", "beta_20", "max_20", "min_20", "rank_10", "cntp_10", "cntn_10"),
+    "squeeze": ("short_interest_pct", "std_5", "std_10", "std_20", "std_60", "rsqr_10", "rsqr_20", "corr_10", "vma_20", "qtlu_10", "qtld_10"),
+    "catalyst": ("analyst_score", "insider_net_ratio"),
+    "safety": ("altman_z",),
 }
+# Features of the four pillars in live use.
+PILLARS_LIVE = {"momentum": ("coppock", "ridge_slope", "vol_ratio"), "squeeze": ("short_pct_float", "short_ratio"), "catalyst": ("analyst_upside", "put_call_ratio"), "safety": ("altman_z",)}
 
 
 def pillar_means(df: DataFrame, pillars: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -246,7 +246,8 @@ def balance_trends(statements: DataFrame, years: int = 4) -> DataFrame:
                                           F.min_by("net_debt", "_age").alias("net_debt_now"))
 
     def moved(field: str, up: str, down: str) -> Column:
-        pct = (F.col(f"{field}_new") - F.col(f"{field}_old")) / F.abs(F.col(f"{field}_old")) * 100
+        # From nothing there is no change in percent; that counts as stable.
+        pct = F.try_divide(F.col(f"{field}_new") - F.col(f"{field}_old"), F.abs(F.col(f"{field}_old"))) * 100
         return (F.when(F.col(f"{field}_n") < 2, "unknown").when(pct > 10, up).when(pct < -10, down).otherwise("stable"))
     return shaped.select("ticker", "history", "net_debt_now", moved("debt", "increasing", "decreasing").alias("debt_trend"),
                          moved("rev", "growing", "shrinking").alias("revenue_trend"))

@@ -150,6 +150,8 @@ def split_windows(bars: DataFrame, n_splits: int = 5, train: float = 0.8) -> Dat
     """Test parts of contiguous windows; `split` joins the series key."""
     w = Window.partitionBy("ticker")
     placed = bars.select("*", (F.row_number().over(w.orderBy("date")) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    # Fewer bars than windows leave no window: such a ticker has no row.
+    placed = placed.filter(F.col("_n") >= n_splits)
     size = F.floor(F.col("_n") / n_splits)
     split = F.least(F.floor(F.col("_i") / size), F.lit(n_splits - 1))
     placed = placed.withColumn("_w", size).withColumn("split", (split + 1).cast("int"))
@@ -176,7 +178,8 @@ def benchmark_comparison(stats: DataFrame, bars: DataFrame, benchmark: DataFrame
                                          F.datediff(F.max("date"), F.min("date")).alias("_d"), (F.min("d") * 100).alias("benchmark_max_drawdown"),
                                          F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s"))
     joined = stats.join(bench, "ticker")
-    years = F.col("_d") / 365.25
+    # One common date is no span: the growth rates are unknown.
+    years = F.when(F.col("_d") > 0, F.col("_d") / 365.25)
     own = (F.pow(1 + F.col("total_return_pct") / 100, 1 / years) - 1) * 100
     market = (F.pow(F.col("b") / F.col("a"), 1 / years) - 1) * 100
     return joined.select(*KEYS, own.alias("strategy_cagr"), market.alias("benchmark_cagr"), F.col("sharpe").alias("strategy_sharpe"),

@@ -82,10 +82,10 @@ def _(m):
 
 @query("universe_selection", "A-06", """
 SELECT c_name AS ticker, c_custkey AS position FROM (SELECT *, row_number() OVER (PARTITION BY c_name ORDER BY c_custkey) AS rn FROM customer) a
-WHERE rn = 1 AND NOT regexp_matches(c_name, '[.-]') ORDER BY c_custkey LIMIT 500""")
+WHERE rn = 1 AND NOT regexp_matches(c_name, '[.-]')""")
 def _(m):
     from tapeloom.sources.selection import universe
-    return universe(m.customer.select(F.col("c_name").alias("ticker"), F.col("c_custkey").alias("position")), 500)
+    return universe(m.customer.select(F.col("c_name").alias("ticker"), F.col("c_custkey").alias("position")))
 
 
 @query("ticker_list_normalise", "A-07", """
@@ -94,10 +94,10 @@ SELECT conv_id, turn, ticker, pos FROM (
     SELECT conv_id, turn, min(p) AS p0, ticker FROM (
       SELECT conv_id, turn, p, CASE upper(replace(trim(item), 'ß', 'ss')) WHEN 'BERKSHIRE' THEN 'BRK-B' ELSE upper(replace(trim(item), 'ß', 'ss')) END AS ticker
       FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '[,\\n]+')) AS item, generate_subscripts(string_split_regex(text, '[,\\n]+'), 1) AS p
-            FROM conversations WHERE role = 'user') a) b WHERE ticker <> '' GROUP BY conv_id, turn, ticker) c) d WHERE pos <= 20""")
+            FROM conversations) a) b WHERE ticker <> '' GROUP BY conv_id, turn, ticker) c) d""")
 def _(m):
     from tapeloom.sources.selection import ticker_lists
-    texts = m.conversations.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    texts = m.conversations.select("conv_id", "turn", "text")
     return ticker_lists(texts, ["conv_id", "turn"], {"BERKSHIRE": "BRK-B"})
 
 

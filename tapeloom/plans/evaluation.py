@@ -7,9 +7,12 @@ from tapeloom.functions.exprs import rounded
 from tapeloom.operators import book as bk
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import evaluation as ev
-from tapeloom.plans.labels import LIVE_Z, PILLARS_LIVE, legs_sql, oos, predictions
+from tapeloom.operators import features as ft
+from tapeloom.operators import labels as lb
+from tapeloom.plans.labels import legs_sql, oos, predictions
 from tapeloom.plans.registry import ORACLE_VIEWS, query
 from tapeloom.plans.sqltext import last
+from tapeloom.session import cut_lineage
 
 FIRST = "1995-01-01"     # the tables cover 1995 to 2001
 ORACLE_VIEWS["v_folds"] = f"""
@@ -120,22 +123,40 @@ def _(m):
     return rounded(ev.sharpe(m.bars.select("ticker", change("close", 1).alias("r")), "r", keys=["ticker"]))
 
 
-MOMENT_COLS = [f"pillar_{n}" for n in PILLARS_LIVE]
+MOMENT_COLS = [f"pillar_{n}" for n in xs.PILLARS_TRAINING]
+ORACLE_VIEWS["v_pillar_target"] = """
+SELECT p.*, clip(f, -0.25, 0.25) AS y FROM v_pillar_train p JOIN (SELECT ticker, date, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date)/close - 1 AS f FROM v_bars) b USING (ticker, date) WHERE f IS NOT NULL"""
+_TERMS = {"one": "1.0::DOUBLE", **{c: c for c in MOMENT_COLS}}
+_NAMES = list(_TERMS)
 
 
-@query("pillar_normal_equations", "L-17", "SELECT " + ", ".join(
-    f"r5(sum({a}*{b})) AS {('one' if a == '1.0::DOUBLE' else a)}__{('one' if b == '1.0::DOUBLE' else b)}" for i, a in enumerate(["1.0::DOUBLE", *MOMENT_COLS]) for b in ["1.0::DOUBLE", *MOMENT_COLS][i:]) + ", " + ", ".join(
-    f"r5(sum({a}*beta)) AS {('one' if a == '1.0::DOUBLE' else a)}__y" for a in ["1.0::DOUBLE", *MOMENT_COLS]) + " FROM v_pillars JOIN v_info USING (ticker) WHERE beta IS NOT NULL")
+def pillar_targets(m):
+    """Pillar means of the training panel with the 5-day forward return."""
+    frame = ft.feature_frame(m.staged())
+    columns = [c for cols in xs.PILLARS_TRAINING.values() for c in cols]
+    scored = xs.pillar_means(xs.zscores(frame, columns), xs.PILLARS_TRAINING).select("ticker", "date", *MOMENT_COLS)
+    return scored.join(lb.add_target(m.bars, 5).select("ticker", "date", "fwd_return"), ["ticker", "date"])
+
+
+@query("pillar_normal_equations", "L-17", "SELECT " + ", ".join(f"r2(sum({_TERMS[a]}*{_TERMS[b]})) AS {a}__{b}" for i, a in enumerate(_NAMES) for b in _NAMES[i:]) + ", " + ", ".join(
+    f"r4(sum({_TERMS[a]}*y)) AS {a}__y" for a in _NAMES) + " FROM v_pillar_target")
 def _(m):
-    rows = xs.pillar_means(xs.batch_zscores(m.info, list(LIVE_Z)), PILLARS_LIVE).filter(F.col("beta").isNotNull())
-    return rounded(ev.pillar_moments(rows, MOMENT_COLS, "beta"), 5)
+    moments = ev.pillar_moments(pillar_targets(m), MOMENT_COLS, "fwd_return")
+    return moments.select(*[F.round(c, 4 if c.endswith("__y") else 2).alias(c) for c in moments.columns])
 
 
-@query("ridge_weights", "L-17")
+# The weights solve (X'X + penalty without intercept) w = X'y: what is left over is zero in every equation.
+@query("ridge_weights", "L-17", "SELECT term, 0.0::DOUBLE AS residual FROM (SELECT unnest(['intercept', " + ", ".join(f"'{c}'" for c in MOMENT_COLS) + "]) AS term) t")
 def _(m):
-    rows = xs.pillar_means(xs.batch_zscores(m.info, list(LIVE_Z)), PILLARS_LIVE).filter(F.col("beta").isNotNull())
-    weights = ev.ridge(rows, MOMENT_COLS, "beta")
-    return m.spark.createDataFrame(list(weights.items()), "term string, weight double")
+    rows = cut_lineage(pillar_targets(m))
+    weights = ev.ridge(rows, MOMENT_COLS, "fwd_return")
+    fitted = F.lit(weights["intercept"])
+    for name in MOMENT_COLS:
+        fitted = fitted + F.col(name) * weights[name]
+    left = rows.withColumn("_e", F.col("fwd_return") - fitted)
+    gaps = left.agg(F.sum("_e").alias("intercept"), *[(F.sum(F.col("_e") * F.col(c)) - weights[c]).alias(c) for c in MOMENT_COLS])
+    terms = F.explode(F.array(*[F.struct(F.lit(c).alias("term"), (F.round(c, 6) + 0.0).alias("residual")) for c in ["intercept", *MOMENT_COLS]])).alias("t")
+    return gaps.select(terms).select("t.term", F.abs("t.residual").alias("residual"))
 
 
 ORACLE_VIEWS["v_record"] = """

@@ -150,7 +150,10 @@ def _(m):
     return cp.agreement(verdicts, now).select("ticker", "verdict", "agreement")
 
 
-_SIGS = {"volume": "v_volsig", **{n: v for n, (_, v, _) in BUILT.items()}}
+# Part of the assembly are all built signals but this one, which is shown apart.
+APART = ("pmo_signal",)
+ASSEMBLED = {name: built for name, built in BUILT.items() if name not in APART}
+_SIGS = {"volume": "v_volsig", **{n: v for n, (_, v, _) in ASSEMBLED.items()}}
 ORACLE_VIEWS["v_volsig"] = f"SELECT ticker, 'Volume' AS label, CASE WHEN vol_ratio > 1.5 AND close > pc THEN 'good' WHEN vol_ratio > 1.5 AND close < pc THEN 'warning' ELSE 'neutral' END AS status FROM {last('v_volume')} z"
 ORACLE_VIEWS["v_indvotes"] = """
 SELECT ticker, 'RSI' AS label, CASE WHEN rsi > 70 THEN 'warning' WHEN rsi < 30 THEN 'good' ELSE 'neutral' END AS status FROM v_summary
@@ -170,7 +173,7 @@ ORACLE_VIEWS["v_allsig"] = " UNION ALL ".join([f"SELECT ticker, 'technical' AS f
 def technical_signals(m):
     """The eighteen tuples and the four indicator votes of every ticker."""
     years = sc.statement_years(m.statements)
-    parts = [sg.volume_signal(m.bars), *[build(m) for _, _, build in BUILT.values()], cp.indicator_votes(ind.common_indicators(m.series)),
+    parts = [sg.volume_signal(m.bars), *[build(m) for _, _, build in ASSEMBLED.values()], cp.indicator_votes(ind.common_indicators(m.series)),
              sc.balance_signal(sc.balance_trends(m.statements)), sc.piotroski_signal(sc.piotroski(years)),
              sc.advanced_valuation(m.info).select("ticker", F.lit("Advanced Valuation").alias("label"), "status"),
              sc.share_signal(sc.share_count(years)), sc.altman_signal(sc.altman_market(years, m.info))]

@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import by_ticker, change, rounded
+from tapeloom.functions.exprs import by_ticker, change, newest, rounded
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as ft
 from tapeloom.operators import labels as lb
+from tapeloom.operators import indicators as ind
+from tapeloom.operators import scorecards as sc
+from tapeloom.operators import signals as sg
 from tapeloom.operators.indicators import atr_partial
 from tapeloom.plans.registry import ORACLE_VIEWS, query
-from tapeloom.plans.sqltext import W, chg, roll
+from tapeloom.plans.signals import asof
+from tapeloom.plans.sqltext import W, chg, last, roll
 
 
 @query("triple_barrier_label", "E-01", "SELECT ticker, date, label FROM v_label")
@@ -115,25 +119,50 @@ def _(m):
     return rounded(xs.zscores(predictions(m.bars), list(Z2)).select("ticker", "date", "z_pred_return", "z_std_20"))
 
 
-LIVE_Z = ("trailing_pe", "profit_margin", "roe", "debt_to_equity", "revenue_growth", "beta", "short_ratio", "short_pct_float")
+LIVE_Z = tuple(c for cols in xs.PILLARS_LIVE.values() for c in cols)
+# What a ticker without a value counts as; an unknown safety score is left to the z-score.
+ORACLE_VIEWS["v_coppock_live"] = f"SELECT ticker, CASE WHEN coppock > 0 THEN clip(coppock/50, 0.3, 1) WHEN coppock < 0 THEN -clip(coppock/-50, 0.3, 1) ELSE 0 END AS signal FROM {last('v_coppock')} z"
+ORACLE_VIEWS["v_slope_live"] = """
+SELECT ticker, clip(slope/0.2, -1, 1) AS signal FROM (
+  SELECT ticker, CASE WHEN count(*) = 20 AND stddev_pop(close) >= 1e-9 THEN regr_slope(close, -rd)/(stddev_pop(close)+1e-9) ELSE 0 END AS slope
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rd FROM v_bars) a WHERE rd <= 20 GROUP BY ticker) b"""
+ORACLE_VIEWS["v_live_inputs"] = f"""
+SELECT i.ticker, coalesce(c.signal, 0.0) AS coppock, coalesce(r.signal, 0.0) AS ridge_slope, coalesce(v.vol_ratio, 1.0) AS vol_ratio, coalesce(i.short_pct_float, 0.0) AS short_pct_float,
+  coalesce(i.short_ratio, 0.0) AS short_ratio, coalesce(a.upside_pct, 0.0) AS analyst_upside, coalesce(nullif(p.put_call_ratio, 0), 1.0) AS put_call_ratio, z.z_score AS altman_z
+FROM v_info i LEFT JOIN v_coppock_live c ON c.ticker = i.ticker LEFT JOIN v_slope_live r ON r.ticker = i.ticker LEFT JOIN {last('v_volume')} v ON v.ticker = i.ticker
+  LEFT JOIN v_analyst a ON a.ticker = i.ticker LEFT JOIN v_pcr p ON p.ticker = i.ticker LEFT JOIN v_altman z ON z.ticker = i.ticker"""
 
 
-@query("zscore_over_batch", "F-03", "SELECT ticker, " + ", ".join(
-    f"r6(coalesce(({c} - avg({c}) OVER ())/nullif(stddev_pop({c}) OVER (), 0), 0)) AS z_{c}" for c in LIVE_Z) + " FROM v_info")
+def live_inputs(m):
+    """One row per ticker with the inputs of the live pillars."""
+    m.staged("v_bars", "v_info", "v_statements")
+    parts = [ind.coppock_signal(m.bars).select("ticker", F.col("signal").alias("coppock")), ind.trend_slope(m.bars).select("ticker", F.col("signal").alias("ridge_slope")),
+             newest(ind.volume_indicators(m.bars), "vol_ratio").select("ticker", "vol_ratio"), sg.analyst_signal(m.info, m.bars).select("ticker", F.col("upside_pct").alias("analyst_upside")),
+             sg.put_call(m.options, asof()).select("ticker", "put_call_ratio"),
+             sc.altman_market(sc.statement_years(m.statements), m.info).select("ticker", F.col("z_score").alias("altman_z"))]
+    joined = m.info.select("ticker", "short_pct_float", "short_ratio")
+    for part in parts:
+        joined = joined.join(part, "ticker", "left")
+    filled = joined.fillna({"coppock": 0.0, "ridge_slope": 0.0, "vol_ratio": 1.0, "short_pct_float": 0.0, "short_ratio": 0.0, "analyst_upside": 0.0, "put_call_ratio": 1.0})
+    return filled.withColumn("put_call_ratio", F.when(F.col("put_call_ratio") == 0, 1.0).otherwise(F.col("put_call_ratio")))
+
+
+ORACLE_VIEWS["v_zlive"] = "SELECT ticker, " + ", ".join(f"coalesce(({c} - avg({c}) OVER ())/CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN stddev_pop({c}) OVER () END, 0) AS z_{c}" for c in LIVE_Z) + " FROM v_live_inputs"
+ORACLE_VIEWS["v_pillars"] = "SELECT ticker, " + ", ".join(f"({' + '.join('z_' + c for c in cols)})/{len(cols)} AS pillar_{n}" for n, cols in xs.PILLARS_LIVE.items()) + " FROM v_zlive"
+
+
+@query("zscore_over_batch", "F-03", "SELECT ticker, " + ", ".join(f"r6(z_{c}) AS z_{c}" for c in LIVE_Z) + " FROM v_zlive")
 def _(m):
-    return rounded(xs.batch_zscores(m.info, list(LIVE_Z)).select("ticker", *[f"z_{c}" for c in LIVE_Z]))
+    return rounded(xs.batch_zscores(live_inputs(m), list(LIVE_Z)).select("ticker", *[f"z_{c}" for c in LIVE_Z]))
 
 
-# Pillars of the live variant.
-PILLARS_LIVE = {"value": ("trailing_pe", "profit_margin", "roe"), "growth": ("debt_to_equity", "revenue_growth"),
-                "risk": ("beta", "short_ratio"), "interest": ("short_pct_float",)}
-ORACLE_VIEWS["v_zinfo"] = "SELECT ticker, " + ", ".join(f"coalesce(({c} - avg({c}) OVER ())/nullif(stddev_pop({c}) OVER (), 0), 0) AS z_{c}" for c in LIVE_Z) + " FROM v_info"
-ORACLE_VIEWS["v_pillars"] = "SELECT ticker, " + ", ".join(f"({' + '.join('z_' + c for c in cols)})/{len(cols)} AS pillar_{n}" for n, cols in PILLARS_LIVE.items()) + " FROM v_zinfo"
+def live_pillars(m):
+    return xs.pillar_means(xs.batch_zscores(live_inputs(m), list(LIVE_Z)), xs.PILLARS_LIVE)
 
 
-@query("pillar_means_live", "F-04", "SELECT ticker, " + ", ".join(f"r6(pillar_{n}) AS pillar_{n}" for n in PILLARS_LIVE) + " FROM v_pillars")
+@query("pillar_means_live", "F-04", "SELECT ticker, " + ", ".join(f"r6(pillar_{n}) AS pillar_{n}" for n in xs.PILLARS_LIVE) + " FROM v_pillars")
 def _(m):
-    return rounded(xs.pillar_means(xs.batch_zscores(m.info, list(LIVE_Z)), PILLARS_LIVE).select("ticker", *[f"pillar_{n}" for n in PILLARS_LIVE]))
+    return rounded(live_pillars(m).select("ticker", *[f"pillar_{n}" for n in xs.PILLARS_LIVE]))
 
 
 _PZ = [c for cols in xs.PILLARS_TRAINING.values() for c in cols]
@@ -148,10 +177,10 @@ def _(m):
     return rounded(scored.select("ticker", "date", *[f"pillar_{n}" for n in xs.PILLARS_TRAINING]), 5)
 
 
-@query("linear_pillar_score", "F-05", "SELECT ticker, r6(0.25*pillar_value + 0.25*pillar_growth + 0.25*pillar_risk + 0.25*pillar_interest) AS score FROM v_pillars")
+@query("linear_pillar_score", "F-05", "SELECT ticker, r6(0.25*pillar_momentum + 0.25*pillar_squeeze + 0.25*pillar_catalyst + 0.25*pillar_safety) AS score FROM v_pillars")
 def _(m):
-    means = xs.pillar_means(xs.batch_zscores(m.info, list(LIVE_Z)), PILLARS_LIVE)
-    return rounded(xs.linear_score(means, {f"pillar_{n}": 0.25 for n in PILLARS_LIVE}).select("ticker", "score").orderBy(F.desc("score"), "ticker"))
+    means = live_pillars(m)
+    return rounded(xs.linear_score(means, {f"pillar_{n}": 0.25 for n in xs.PILLARS_LIVE}).select("ticker", "score").orderBy(F.desc("score"), "ticker"))
 
 
 ORACLE_VIEWS["v_pct"] = """

@@ -41,25 +41,28 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under the shared one that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
 
-    Only local runs, where none is named, fall back to the machine's own.
+    Only a local master, whose executors are this machine, may leave it unset.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/tapeloom-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tapeloom-out-")
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tapeloom-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/tapeloom-{uuid.uuid4().hex}"
 
-    A folder is chosen here only where the session names none (local runs).
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tapeloom-ckpt-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

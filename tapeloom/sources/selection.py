@@ -12,16 +12,17 @@ def trailing_period(bars: DataFrame, months: int) -> DataFrame:
             .filter(F.col("date") >= F.add_months("_max", -months)).drop("_max"))
 
 
-def universe(listed: DataFrame, limit: int) -> DataFrame:
-    """First `limit` distinct plain tickers in listing order."""
+def universe(listed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct plain tickers in listing order; only the first `limit` where one is given."""
     plain = listed.filter(~F.col("ticker").rlike("[.-]"))
-    return plain.groupBy("ticker").agg(F.min("position").alias("position")).orderBy("position").limit(limit)
+    found = plain.groupBy("ticker").agg(F.min("position").alias("position")).orderBy("position")
+    return found if limit is None else found.limit(limit)
 
 
-def ticker_lists(texts: DataFrame, keys: list[str], aliases: dict[str, str], most: int = 20) -> DataFrame:
+def ticker_lists(texts: DataFrame, keys: list[str], aliases: dict[str, str], most: int | None = None) -> DataFrame:
     """Split free text on commas and newlines into ordered, distinct tickers.
 
-    `most` is the length of one list, as in the screener's input box.
+    `most` bounds the length of one list, as the screener's input box does.
     """
     items = texts.select(*keys, F.posexplode(F.split("text", r"[,\n]+")).alias("_p", "_item"))
     clean = F.upper(F.trim("_item"))
@@ -29,4 +30,5 @@ def ticker_lists(texts: DataFrame, keys: list[str], aliases: dict[str, str], mos
     named = items.select(*keys, "_p", F.coalesce(table[clean], clean).alias("ticker")).filter(F.col("ticker") != "")
     once = named.groupBy(*keys, "ticker").agg(F.min("_p").alias("_p"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_p")).cast("bigint")
-    return once.select(*keys, "ticker", place.alias("pos")).filter(F.col("pos") <= most)
+    placed = once.select(*keys, "ticker", place.alias("pos"))
+    return placed if most is None else placed.filter(F.col("pos") <= most)

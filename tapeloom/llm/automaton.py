@@ -252,9 +252,11 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text: str = "text",
 
     The columns of the input stay; a text without hits, also a null one, stays as it is. What surrounds a cut closes up.
     """
-    columns = docs.columns
+    # The marks are internal here: columns of the input that have their names are set aside.
+    columns = [f"__in_{c}" if c.lower() in OWN else c for c in docs.columns]
     position = columns.index(text)
-    marked = find_contamination(docs, items, text)
+    marked = find_contamination(docs.toDF(*columns), items, text)
+    names = docs.columns
     kept = marked.filter(F.col("n_hit") <= most_coverage * F.col("n_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +271,6 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text: str = "text",
                     texts[i] = b"".join([*parts, raw[at:]]).decode()
             arrays = [batch.column(c) for c in columns]
             arrays[position] = pa.array(texts, type=arrays[position].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return kept.mapInArrow(run, docs.schema)

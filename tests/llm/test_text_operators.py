@@ -189,7 +189,8 @@ def test_repeated_passages_equal_brute_force(spark, rows, most):
 
 
 def test_repeats_with_null_keys_and_no_rows(spark):
-    text = "".join(random.Random(9).choice("abcdef ") for _ in range(300))
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdef ") for _ in range(300))
     docs = spark.createDataFrame([(None, text), (1, text), (-5, text[50:])], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in remove_repeats(docs).collect()} == {None: 0, 1: 300, -5: 250}
     assert remove_repeats(docs.limit(0)).count() == 0
@@ -265,7 +266,6 @@ def test_sites_shrink_towards_their_host(spark):
     out = {r.doc_id: r for r in classify_quality(docs, labels, F.col("source"), F.col("lang")).collect()}
     held_out = [r for r in data if r[0] % 3 == 0 and r[0] < 900]
     assert np.mean([out[r[0]].kept == bool(r[4]) for r in held_out]) > 0.97
-    assert out[1].p_site != out[2].p_site or True
     clean = np.mean([r.p_site for r in out.values() if r.source == "clean"])
     dirty = np.mean([r.p_site for r in out.values() if r.source == "dirty"])
     assert clean > 0.8 and dirty < 0.4 and out[2000].p_site > 0.6

@@ -169,10 +169,27 @@ def thesis(rows: DataFrame) -> DataFrame:
     view = F.when(F.col("upside_pct") > 20, f("Analysts bullish (%+.1f%% target).", "upside_pct")).otherwise("")
     line = f("%s: %s. %s %s.", "ticker", F.when(facts == "", "mixed fundamentals").otherwise(facts), view, "verdict")
 
-    def points(c: str, mark: str) -> Column:
-        return F.transform(F.slice(c, 1, 5), lambda x: F.concat(F.lit(mark + " "), x["label"], F.lit(": "), F.substring(x["text"], 1, 77)))
+    def points(c: str, mark: str, *more: tuple[str, Column, Column]) -> Column:
+        """Up to five points: the signals first, then further facts whose topic no signal covers."""
+        signals = F.coalesce(c, F.array().cast("array<struct<label:string,text:string,status:string>>"))
+        own = F.transform(F.slice(signals, 1, 5), lambda x: F.concat(F.lit(mark + " "), x["label"], F.lit(": "), F.substring(x["text"], 1, 77)))
+        topics = F.lower(F.array_join(F.transform(signals, lambda x: x["label"]), "\n"))
+        facts = [F.when(F.coalesce(test, F.lit(False)) & ~topics.contains(topic), F.concat(F.lit(mark + " "), text)) for topic, test, text in more]
+        return F.slice(F.concat(own, F.array_compact(F.array(*facts))), 1, 5)
+    grown = F.when(F.coalesce(F.col("ret_1yr"), F.lit(0.0)) == 0, "").otherwise(f(" (+%.1f%% 1yr)", "ret_1yr"))
+    bull = points("good", "✅",
+                  ("analyst", F.col("upside_pct") > 20, f("Analyst Coverage: %.1f%% upside target implies significant room", "upside_pct")),
+                  ("piotroski", F.col("piotroski") >= 7, f("Piotroski F-Score: %d/9 shows strong financial health", "piotroski")),
+                  ("fcf", F.col("fcf_yield") > 5, f("Free Cash Flow: %.1f%% yield provides downside cushion", "fcf_yield")),
+                  ("momentum", rising, F.concat(F.lit("Momentum: Price momentum accelerating"), grown)),
+                  ("short", short < 3, f("Short Interest: Low %.1f%% reduces squeeze risk downside", short)))
+    bear = points("warning", "⚠️",
+                  ("valuation", F.col("ev_ebitda") > 25, f("Valuation: EV/EBITDA %.1fx well above historical average", "ev_ebitda")),
+                  ("earnings", (days > 0) & (days < 14), f("Earnings Event: Earnings in %d days adds near-term volatility", days)),
+                  ("sector", F.col("sector_trend") == "down", f("Sector Headwind: %s momentum negative", "sector")),
+                  ("short", short > 15, f("Short Interest: High %.1f%% indicates significant bearish positioning", short)))
     return rows.select("ticker", headline.alias("headline"), risk.alias("key_risk"), catalyst.alias("key_catalyst"), line.alias("one_liner"),
-                       points("good", "✅").alias("bull_points"), points("warning", "⚠️").alias("bear_points"))
+                       bull.alias("bull_points"), bear.alias("bear_points"))
 
 
 def freshness(entries: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:

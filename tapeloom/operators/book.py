@@ -14,6 +14,7 @@ from tapeloom.functions.exprs import by_ticker, clip
 from tapeloom.functions.rolling import Roll, rolled
 
 YEAR = 252
+MASK, MIXER = 2**31 - 1, 73244475   # 31 bits times 27 bits stay below 2**63
 CONFIG = ("config", "hysteresis", "vol_weight", "fraction", "top_n", "every", "neutral")
 ROUND_ONE = [("A: naive + equal", False, False, 0.1, None, 1, False), ("B: hysteresis + equal", True, False, 0.1, None, 1, False),
              ("C: naive + inverse-vol", False, True, 0.1, None, 1, False), ("D: hysteresis + inv-vol", True, True, 0.1, None, 1, False)]
@@ -166,19 +167,26 @@ def compare(daily: DataFrame, benchmark: DataFrame, years: float, setups: DataFr
                        "alpha_annualized", "beta", "t_stat_alpha", *nets)
 
 
+def mix31(df: DataFrame, column: str, salt: Column) -> DataFrame:
+    """Append `_mixed`: a 31-bit integer that looks random, from a number and a salt (multiply, shift, xor: no overflow)."""
+    out = df.withColumn("_mixed", ((F.col(column).cast("bigint") * 1000003) + salt.cast("bigint") * 7919).bitwiseAND(MASK))
+    for _ in range(3):
+        out = out.withColumn("_mixed", (F.col("_mixed").bitwiseXOR(F.shiftright("_mixed", 16)) * MIXER).bitwiseAND(MASK))
+    return out.withColumn("_mixed", F.col("_mixed").bitwiseXOR(F.shiftright("_mixed", 16)))
+
+
 def block_bootstrap(daily: DataFrame, block: int = 20, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Percentiles of the Sharpe over resampled paths of whole blocks.
 
-    Block starts come from an arithmetic hash of (path, block), so paths are
-    reproducible; every path is a join of block positions with the day series
+    Block starts come from an integer mixer over (path, block), so they are reproducible and independent of each other; every path is a join of block positions with the day series
     and one aggregate, spread over the cluster by path.
     """
     w = Window.partitionBy("config").orderBy("date")
     series = daily.filter(F.col("ret").isNotNull()).select("config", "ret", (F.row_number().over(w) - 1).alias("k"))
     sizes = series.groupBy("config").agg(F.count("*").alias("_n")).filter(F.col("_n") >= block * 5)
     paths = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("b", F.explode(F.expr(f"sequence(0, CAST(ceil(_n / {block}) AS INT) - 1)")))
-    start = (F.col("path").cast("bigint") * 7919 + F.col("b") * 104729 + seed * 31 + F.col("path").cast("bigint") * F.col("b") * 613) % (F.col("_n") - block)
-    drawn = paths.withColumn("_s", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    mixed = mix31(mix31(paths, "path", F.lit(seed)), "_mixed", F.col("b") + 1)
+    drawn = mixed.withColumn("_s", F.col("_mixed") % (F.col("_n") - block)).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
     drawn = drawn.filter(F.col("b") * block + F.col("o") < F.col("_n")).select("config", "path", (F.col("_s") + F.col("o")).alias("k"))
     per = drawn.join(series, ["config", "k"]).groupBy("config", "path").agg(F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s"))
     sr = F.when(F.col("_s") > 0, F.col("_m") * YEAR / (F.col("_s") * YEAR ** 0.5)).otherwise(0.0)

@@ -5,12 +5,16 @@ boosting libraries; shapes and metrics are the same.
 """
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators.evaluation import sized_folds
@@ -20,6 +24,7 @@ META_FEATURES = ("atr_pct", "std_5", "std_10", "std_20", "std_60", "vma_20", "cm
 EVENT_FEATURES = ("surprise_pct", "prev_surprise_pct", "surprise_acceleration", "pre_ret_1m_vs_spy", "pre_ret_3m_vs_spy", "atr_pct",
                   "high_52w_proximity", "revenue_growth", "profit_margin", "roe", "fcf_yield", "piotroski_score")
 TREES, DEPTH, RATE = 400, 4, 0.04
+FITS_AT_ONCE = 4
 
 
 def _assembled(features) -> VectorAssembler:
@@ -54,29 +59,36 @@ def _folds(rows: DataFrame, folds: DataFrame, least_train: int, least_test: int)
     return sized_folds(rows, folds, least_train, least_test).orderBy("fold").collect()   # one row per quarter
 
 
+def _each(folds: list, fit, none: DataFrame) -> DataFrame:
+    """The folds' results in one frame (`none` without folds); a few are fitted at a time, as one fit alone does not fill a cluster."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        parts = pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fit), folds)
+    return reduce(DataFrame.unionByName, parts) if parts else none
+
+
 def walk_forward_returns(rows: DataFrame, folds: DataFrame, features, trees: int = TREES, least: tuple[int, int] = (2000, 200), target: str = "fwd_return") -> DataFrame:
     """Out-of-sample predictions of every fold."""
     data = cut_lineage(_ready(rows.select("ticker", "date", "close", target, *features), features))
-    out = None
-    for fold in _folds(data, folds, *least):
+
+    def fit(fold) -> DataFrame:
         model = regressor(features, target, trees).fit(data.filter(F.col("date").between(fold.train_start, fold.train_end)))
         test = data.filter(F.col("date").between(fold.test_start, fold.test_end))
-        made = model.transform(test).select(F.lit(fold.fold).alias("fold"), "ticker", "date", "close", target, "pred_return")
-        out = made if out is None else out.unionByName(made)
-    return out
+        return model.transform(test).select(F.lit(fold.fold).alias("fold"), "ticker", "date", "close", target, "pred_return")
+    none = data.limit(0).select(F.lit(0).alias("fold"), "ticker", "date", "close", target, F.lit(0.0).alias("pred_return"))
+    return _each(_folds(data, folds, *least), fit, none)
 
 
 def walk_forward_classes(rows: DataFrame, folds: DataFrame, features, label: str, trees: int = TREES, least: tuple[int, int] = (200, 30), keep=()) -> DataFrame:
     """Out-of-sample class probabilities of every fold."""
     data = cut_lineage(_ready(rows.select("ticker", "date", label, *keep, *features), features))
-    out = None
-    for fold in _folds(data, folds, *least):
+
+    def fit(fold) -> DataFrame:
         train = data.filter(F.col("date").between(fold.train_start, fold.train_end))
         model = classifier(features, label, trees).fit(weighted(train, label))
-        made = _scored(model, data.filter(F.col("date").between(fold.test_start, fold.test_end))).select(
+        return _scored(model, data.filter(F.col("date").between(fold.test_start, fold.test_end))).select(
             F.lit(fold.fold).alias("fold"), "ticker", "date", label, *keep, "prob")
-        out = made if out is None else out.unionByName(made)
-    return out
+    none = data.limit(0).select(F.lit(0).alias("fold"), "ticker", "date", label, *keep, F.lit(0.0).alias("prob"))
+    return _each(_folds(data, folds, *least), fit, none)
 
 
 def _scored(model, rows: DataFrame) -> DataFrame:
@@ -86,12 +98,12 @@ def _scored(model, rows: DataFrame) -> DataFrame:
 def walk_forward_events(events: DataFrame, years: DataFrame, trees: int = TREES, least: tuple[int, int] = (50, 10)) -> DataFrame:
     """Yearly folds: train on all earlier events, score the year's."""
     data = cut_lineage(_ready(events, EVENT_FEATURES).withColumn("year", F.year("earnings_date")))
-    out = None
-    for fold in years.filter((F.col("n_train") >= least[0]) & (F.col("n_test") >= least[1])).orderBy("year").collect():   # one row per year
+
+    def fit(fold) -> DataFrame:
         model = classifier(EVENT_FEATURES, "label_binary", trees).fit(weighted(data.filter(F.col("year") < fold.year), "label_binary"))
-        made = _scored(model, data.filter(F.col("year") == fold.year)).select("year", "ticker", "earnings_date", "label", "label_binary", "relative_ret_30d", "prob")
-        out = made if out is None else out.unionByName(made)
-    return out
+        return _scored(model, data.filter(F.col("year") == fold.year)).select("year", "ticker", "earnings_date", "label", "label_binary", "relative_ret_30d", "prob")
+    return _each(years.filter((F.col("n_train") >= least[0]) & (F.col("n_test") >= least[1])).orderBy("year").collect(), fit,   # one row per year
+                 data.limit(0).select("year", "ticker", "earnings_date", "label", "label_binary", "relative_ret_30d", F.lit(0.0).alias("prob")))
 
 
 def fit_and_score(panel: DataFrame, latest: DataFrame, features, trees: int = TREES) -> DataFrame:

@@ -109,11 +109,30 @@ def _(m):
 
 
 V["v_thesis"] = f"""
-SELECT s.ticker, s.verdict, g.label AS gl, g.text AS gt, w.label AS wl, w.text AS wt, d.days_away, z.zone, z.z_score, v.ev_ebitda, v.fcf_yield, t.trend AS st, c.sector, i.short_pct_float*100 AS sp, o.trend AS mt, o.ret_1yr, a.upside_pct, i.target_mean, i.earnings_growth, i.profit_margin, i.revenue_growth, i.trailing_pe
-FROM v_score_quick s JOIN v_info i USING (ticker) JOIN v_due d USING (ticker) JOIN v_altman z USING (ticker) JOIN v_val v USING (ticker) JOIN v_sectors c USING (ticker) JOIN v_sector_trend t ON t.sector = c.sector JOIN v_mom o USING (ticker) JOIN v_analyst a USING (ticker)
+SELECT s.ticker, s.verdict, g.label AS gl, g.text AS gt, w.label AS wl, w.text AS wt, d.days_away, z.zone, z.z_score, v.ev_ebitda, v.fcf_yield, t.trend AS st, c.sector, i.short_pct_float*100 AS sp, o.trend AS mt, o.ret_1yr, a.upside_pct, i.target_mean, i.earnings_growth, i.profit_margin, i.revenue_growth, i.trailing_pe, p.score AS piotroski, coalesce(gs.s, []) AS good, coalesce(ws.s, []) AS warning
+FROM v_score_quick s JOIN v_info i USING (ticker) JOIN v_due d USING (ticker) JOIN v_altman z USING (ticker) JOIN v_val v USING (ticker) JOIN v_sectors c USING (ticker) JOIN v_sector_trend t ON t.sector = c.sector JOIN v_mom o USING (ticker) JOIN v_analyst a USING (ticker) JOIN v_pio p USING (ticker)
+LEFT JOIN (SELECT ticker, list({{'label': label, 'text': text}} ORDER BY label) AS s FROM v_fundsig WHERE status = 'good' GROUP BY ticker) gs USING (ticker)
+LEFT JOIN (SELECT ticker, list({{'label': label, 'text': text}} ORDER BY label) AS s FROM v_fundsig WHERE status = 'warning' GROUP BY ticker) ws USING (ticker)
 LEFT JOIN (SELECT * FROM v_fundsig WHERE status = 'good' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY label) = 1) g USING (ticker) LEFT JOIN (SELECT * FROM v_fundsig WHERE status = 'warning' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY label) = 1) w USING (ticker)"""
 
 
+def points_sql(side, mark, *more):
+    """Signals of a side, then the facts whose topic no signal covers; at most five, one a line."""
+    facts = ", ".join(f"CASE WHEN ({test}) AND len(list_filter({side}, lambda x: contains(lower(x.label), '{topic}'))) = 0 THEN '{mark} ' || {text} END" for topic, test, text in more)
+    return f"""array_to_string(list_concat(list_transform({side}[1:5], lambda x: '{mark} ' || x.label || ': ' || substr(x.text, 1, 77)), list_filter([{facts}], lambda x: x IS NOT NULL))[1:5], chr(10))"""
+
+
+BULL_SQL = points_sql("good", "✅", ("analyst", "upside_pct > 20", "printf('Analyst Coverage: %.1f%% upside target implies significant room', upside_pct)"),
+                      ("piotroski", "piotroski >= 7", "printf('Piotroski F-Score: %d/9 shows strong financial health', piotroski)"),
+                      ("fcf", "fcf_yield > 5", "printf('Free Cash Flow: %.1f%% yield provides downside cushion', fcf_yield)"),
+                      ("momentum", "mt IN ('up', 'strong_up')", "'Momentum: Price momentum accelerating' || CASE WHEN coalesce(ret_1yr, 0) = 0 THEN '' ELSE printf(' (+%.1f%% 1yr)', ret_1yr) END"),
+                      ("short", "sp < 3", "printf('Short Interest: Low %.1f%% reduces squeeze risk downside', sp)"))
+BEAR_SQL = points_sql("warning", "⚠️", ("valuation", "ev_ebitda > 25", "printf('Valuation: EV/EBITDA %.1fx well above historical average', ev_ebitda)"),
+                      ("earnings", "days_away > 0 AND days_away < 14", "printf('Earnings Event: Earnings in %d days adds near-term volatility', days_away)"),
+                      ("sector", "st = 'down'", "printf('Sector Headwind: %s momentum negative', sector)"),
+                      ("short", "sp > 15", "printf('Short Interest: High %.1f%% indicates significant bearish positioning', sp)"))
+
+
 @query("thesis_text", "P-12", """
 SELECT ticker, CASE WHEN verdict = 'BUY' THEN CASE WHEN regexp_matches(lower(gl), 'fundamental|valuation') THEN 'Strong fundamentals at reasonable valuation' WHEN regexp_matches(lower(gl), 'momentum|technical') THEN 'Momentum building with improving technicals' WHEN regexp_matches(lower(gl), 'growth|earnings') THEN 'Exceptional growth engine with strong execution' ELSE 'Compelling risk-reward setup' END
  WHEN verdict = 'HOLD / WATCH' THEN CASE WHEN lower(wl) LIKE '%valuation%' THEN 'Mixed picture — strength offset by premium valuation' WHEN lower(wl) LIKE '%technical%' THEN 'Mixed picture — fundamentals strong but technicals weakening' WHEN lower(wl) LIKE '%sector%' THEN 'Mixed picture — company strength offset by sector headwind' ELSE 'Mixed signals warrant cautious stance' END
@@ -124,7 +143,7 @@ SELECT ticker, CASE WHEN verdict = 'BUY' THEN CASE WHEN regexp_matches(lower(gl)
  coalesce(CASE WHEN upside_pct > 30 THEN printf('Analyst consensus %.1f%% upside to $%.2f target reflects significant value', upside_pct, target_mean) END, CASE WHEN mt IN ('up', 'strong_up') THEN 'Strong price momentum' || coalesce(printf(' (%+.1f%% 1yr)', ret_1yr), '') || ' suggests trend continuation' END,
   CASE WHEN earnings_growth*100 > 20 THEN printf('Earnings growth of %.1f%% YoY with track record of beat-and-raise', earnings_growth*100) END, CASE WHEN fcf_yield > 5 THEN printf('Strong free cash flow yield (%.1f%%) supports buybacks and dividend growth', fcf_yield) END, gt, 'Lack of near-term catalysts; monitor for fundamental inflection') AS key_catalyst,
  printf('%s: %s. %s %s.', ticker, coalesce(nullif(concat_ws(', ', CASE WHEN profit_margin*100 > 20 THEN printf('%.0f%% margins', profit_margin*100) END, CASE WHEN revenue_growth > 0 THEN printf('%.0f%% revenue growth', revenue_growth*100) END, CASE WHEN trailing_pe > 30 THEN printf('%.0fx P/E (pricey)', trailing_pe) END, CASE WHEN st = 'downtrend' THEN printf('%s headwind', sector) END), ''), 'mixed fundamentals'),
-  CASE WHEN upside_pct > 20 THEN printf('Analysts bullish (%+.1f%% target).', upside_pct) ELSE '' END, verdict) AS one_liner FROM v_thesis""")
+  CASE WHEN upside_pct > 20 THEN printf('Analysts bullish (%+.1f%% target).', upside_pct) ELSE '' END, verdict) AS one_liner, """ + f"{BULL_SQL} AS bull_points, {BEAR_SQL} AS bear_points FROM v_thesis")
 def _(m):
     m.staged("v_bars", "v_info", "v_statements")
     signals = sc.fundamental_signals(m.info).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("label", "text", "status"))).alias("s"))   # at most seven
@@ -136,8 +155,8 @@ def _(m):
             .join(sc.advanced_valuation(m.info).select("ticker", "ev_ebitda", "fcf_yield"), "ticker")
             .join(m.sectors.join(sg.sector_trend(m.etf).select("sector", F.col("trend").alias("sector_trend")), "sector"), "ticker")
             .join(ind.momentum(m.bars).select("ticker", F.col("trend").alias("momentum_trend"), "ret_1yr"), "ticker")
-            .join(sg.analyst_signal(m.info, m.bars).select("ticker", "upside_pct"), "ticker").withColumn("short_pct", F.col("short_pct_float") * 100))
-    return ac.thesis(rows).select("ticker", "headline", "key_risk", "key_catalyst", "one_liner")
+            .join(sg.analyst_signal(m.info, m.bars).select("ticker", "upside_pct"), "ticker").join(sc.piotroski(years).select("ticker", F.col("score").alias("piotroski")), "ticker").withColumn("short_pct", F.col("short_pct_float") * 100))
+    return ac.thesis(rows).select("ticker", "headline", "key_risk", "key_catalyst", "one_liner", F.concat_ws("\n", "bull_points").alias("bull_points"), F.concat_ws("\n", "bear_points").alias("bear_points"))
 
 
 @query("freshness_flag", "P-13", """

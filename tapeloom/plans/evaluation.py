@@ -334,13 +334,23 @@ def _(m):
     return rounded(bk.alpha_beta(bk.daily_book(held(m, bk.ROUND_ONE)), m.bench), t_stat_alpha=5)
 
 
+def mixed_sql(source, value, salt, out):
+    """The integer mixer of the bootstrap, step by step."""
+    steps = f"SELECT *, (({value})*1000003 + ({salt})*7919) & {bk.MASK} AS x FROM {source}"
+    for _ in range(3):
+        steps = f"SELECT * REPLACE ((xor(x, x >> 16)*{bk.MIXER}) & {bk.MASK} AS x) FROM ({steps})"
+    return f"SELECT * EXCLUDE (x), xor(x, x >> 16) AS {out} FROM ({steps})"
+
+
+ORACLE_VIEWS["v_starts"] = mixed_sql("(" + mixed_sql("(SELECT path, b FROM range(0, 1000) p(path), range(0, 1000) q(b))", "path", "42", "h") + ")", "h", "b + 1", "s")
+
+
 @query("block_bootstrap_sharpe", "M-13", """
 SELECT config, r5(quantile_cont(sr, 0.05)) AS p5, r5(quantile_cont(sr, 0.5)) AS p50, r5(quantile_cont(sr, 0.95)) AS p95 FROM (
  SELECT d.config, d.path, CASE WHEN stddev_pop(s.ret) > 0 THEN avg(s.ret)*252/(stddev_pop(s.ret)*sqrt(252)) ELSE 0 END AS sr
- FROM (SELECT z.config, path, b, o, (path*7919 + b*104729 + 42*31 + path*b*613) % (n - 20) + o AS k FROM (SELECT config, count(ret) AS n FROM v_book1 GROUP BY config) z, range(0, 1000) p(path), range(0, 1000) q(b), range(0, 20) r(o) WHERE b < ceil(n/20) AND b*20 + o < n AND n >= 100) d
+ FROM (SELECT z.config, path, b, o, s % (n - 20) + o AS k FROM (SELECT config, count(ret) AS n FROM v_book1 GROUP BY config) z, v_starts, range(0, 20) r(o) WHERE b < ceil(n/20) AND b*20 + o < n AND n >= 100) d
  JOIN (SELECT config, ret, row_number() OVER (PARTITION BY config ORDER BY date) - 1 AS k FROM v_book1 WHERE ret IS NOT NULL) s ON s.config = d.config AND s.k = d.k GROUP BY d.config, d.path) x GROUP BY config""")
 def _(m):
-    from tapeloom.session import cut_lineage
     return rounded(bk.block_bootstrap(cut_lineage(bk.daily_book(held(m, bk.ROUND_ONE)))), 5)
 
 
@@ -351,7 +361,6 @@ SELECT s.config, r6(sh) AS sharpe, r6(sqrt((1 + 0.5*sh*sh/252)/nd)*sqrt(252)) AS
 
 
 def comparison(m, rows):
-    from tapeloom.session import cut_lineage
     daily = cut_lineage(bk.daily_book(held(m, rows)))
     return rounded(bk.compare(daily, m.bench, YEARS, bk.configs(m.spark, rows)), t_stat_alpha=5)
 

@@ -1,38 +1,53 @@
 """Model queries (rows-only checks: boosted trees have no SQL form) and sinks."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.functions.exprs import newest, rounded
 from tapeloom.operators import evaluation as ev
 from tapeloom.operators import factors as fa
 from tapeloom.operators import features as ft
 from tapeloom.operators import labels as lb
 from tapeloom.operators import models as md
-from tapeloom.operators.features import live_snapshot
+from tapeloom.plans.evaluation import SIG
+from tapeloom.plans.factors import signals_of
+from tapeloom.plans.labels import oos
 from tapeloom.plans.registry import query
 from tapeloom.session import cut_lineage, scratch_folder
 from tapeloom.sources import sinks
 
-# The queries fit few trees and test in windows of one or three years; the
-# operators default to 400 trees and quarters.
+# The queries fit few trees on the small box; the operators default to 400.
 TREES = 4
 FIRST = "1995-01-01"
-GROUPS = {"momentum": ("roc_5", "roc_10", "roc_21d", "roc_60"), "volatility": ("std_5", "std_10", "std_20", "std_60", "atr_pct"),
-          "level": ("ma_5", "ma_10", "ma_20", "ma_60"), "shape": ("kmid", "klen", "kup", "klow", "ksft"), "trend": ("beta_5", "beta_10", "beta_20", "rsqr_10", "rsqr_20")}
+HORIZONS = (1, 3, 5, 10, 21)
+# The ablation's feature groups.
+GROUPS = {"Technical only": ft.TECHNICAL, "Fundamental only": ft.FUNDAMENTAL, "Sentiment only": ft.SENTIMENT,
+          "Tech + Sentiment": ft.TECHNICAL + ft.SENTIMENT, "All features": ft.FEATURES}
+
+
+def panel(m):
+    """All features of full bars, imputed by date; kept once for the fits."""
+    return cut_lineage(ft.impute(ft.feature_frame(m.staged())))
 
 
-def priced(m):
-    """Price features of full bars, kept once for the fits."""
-    return cut_lineage(ft.price_features(m.staged().series))
+def return_predictions(rows, days: int = 5, features=ft.FEATURES):
+    """Out-of-sample predictions of quarterly folds."""
+    return md.walk_forward_returns(rows, ev.quarterly_folds(rows, FIRST, embargo=days), features, TREES)
 
 
-PRICE = tuple(c for c in ft.TECHNICAL if c not in ("rsi", "macd_above_signal", "alpha_21d", "sector_alpha_21d"))
+def fold_verdict(oos):
+    """Mean rank correlation over the folds, significant folds, and whether that is a signal."""
+    summed = ev.fold_summary(ev.spearman(oos, "pred_return", "fwd_return", ["fold"]))
+    rho, needed = F.coalesce("mean_rho", F.lit(0.0)), F.floor(F.col("n_folds") / 3)
+    return summed.withColumn("signal", F.when((rho > 0.03) & (F.col("n_significant") >= needed), "YES").when(rho > 0.01, "weak").otherwise("none"))
 
 
 @query("walk_forward_return_model", "L-06")
 def _(m):
-    rows = lb.add_target(priced(m), 5)
-    oos = md.walk_forward_returns(rows, ev.quarterly_folds(rows, FIRST, embargo=5, skip=1, months=12), PRICE, TREES)
+    oos = cut_lineage(return_predictions(lb.add_target(panel(m), 5)))
     per = ev.spearman(oos, "pred_return", "fwd_return", ["fold"])
     mse = oos.groupBy("fold").agg(F.avg(F.pow(F.col("pred_return") - F.col("fwd_return"), 2)).alias("mse"))
     return per.join(mse, "fold")
@@ -40,18 +55,19 @@ def _(m):
 
 @query("outcome_classifier", "L-07, L-10")
 def _(m):
-    rows = lb.barrier_label(priced(m)).filter(F.col("label") != "NEUTRAL").withColumn("label_binary", (F.col("label") == "WIN").cast("int"))
-    start = rows.agg(F.add_months(F.trunc(F.max("date"), "YEAR"), -36).cast("string")).first()[0]
-    folds = ev.fixed_folds(m.spark, first=start, n=3, months=12, train_start=FIRST, earliest="1996-01-01")
-    return ev.classification_metrics(md.walk_forward_classes(rows, folds, PRICE, "label_binary", TREES), "label_binary", "prob", ["fold"])
+    rows = lb.barrier_label(panel(m)).filter(F.col("label") != "NEUTRAL").withColumn("label_binary", (F.col("label") == "WIN").cast("int"))
+    start = rows.agg(F.add_months(F.trunc(F.max("date"), "YEAR"), -24).cast("string")).first()[0]
+    folds = ev.fixed_folds(m.spark, first=start, train_start=FIRST, earliest="1996-01-01")
+    return ev.classification_metrics(md.walk_forward_classes(rows, folds, ft.FEATURES, "label_binary", TREES), "label_binary", "prob", ["fold"])
 
 
 @query("meta_label_classifier", "L-08, L-10")
 def _(m):
-    called = lb.barrier_label(priced(m), target=3.0, stop=1.5).withColumn("pred_return", F.col("ma_20") - 1)
-    rows = lb.long_calls(called)
-    folds = ev.quarterly_folds(rows, FIRST, embargo=21, skip=1, months=12)
-    return ev.classification_metrics(md.walk_forward_classes(rows, folds, md.META_FEATURES, "meta_label", TREES), "meta_label", "prob", ["fold"])
+    rows = panel(m)
+    calls = cut_lineage(return_predictions(lb.add_target(rows, 5))).select("ticker", "date", "pred_return")
+    called = lb.long_calls(lb.barrier_label(rows, target=3.0, stop=1.5).join(calls, ["ticker", "date"]))
+    folds = ev.quarterly_folds(called, FIRST, embargo=21)
+    return ev.classification_metrics(md.walk_forward_classes(called, folds, md.META_FEATURES, "meta_label", TREES), "meta_label", "prob", ["fold"])
 
 
 def event_rows(m):
@@ -69,58 +85,46 @@ def _(m):
 
 @query("lookahead_sweep", "L-15")
 def _(m):
-    features = priced(m)
-    out = None
-    for days in (1, 3, 5, 10, 21):
-        rows = lb.add_target(features, days)
-        folds = ev.quarterly_folds(rows, FIRST, embargo=days, skip=1, months=36)
-        oos = md.walk_forward_returns(rows, folds, ("roc_5", "roc_21d", "ma_20", "std_20", "rank_10"), TREES)
-        part = ev.spearman(oos, "pred_return", "fwd_return").select(F.lit(days).alias("days"), "rho", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = panel(m)
+    parts = [fold_verdict(cut_lineage(return_predictions(lb.add_target(rows, days), days))).select(F.lit(days).alias("days"), "*") for days in HORIZONS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("feature_group_ablation", "L-16")
 def _(m):
-    rows = cut_lineage(lb.add_target(priced(m), 5))
-    folds = ev.quarterly_folds(rows, FIRST, embargo=5, skip=1, months=36)
-    out = None
-    for name, columns in GROUPS.items():
-        oos = md.walk_forward_returns(rows, folds, columns, TREES)
-        part = ev.spearman(oos, "pred_return", "fwd_return").select(F.lit(name).alias("feature_group"), "rho", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = lb.add_target(panel(m), 5)
+    parts = [fold_verdict(cut_lineage(return_predictions(rows, features=columns))).select(F.lit(name).alias("feature_group"), "mean_rho", "n_significant", "n_folds")
+             for name, columns in GROUPS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("final_fit_and_score", "L-18")
 def _(m):
-    from tapeloom.functions.exprs import newest
-    features = priced(m)
-    return md.fit_and_score(lb.add_target(features, 5), newest(features, *PRICE), PRICE, TREES)
+    features = panel(m)
+    return md.fit_and_score(lb.add_target(features, 5), newest(features, *ft.FEATURES), ft.FEATURES, TREES)
 
 
 @query("feature_importance", "L-19")
 def _(m):
-    return md.feature_importance(lb.add_target(priced(m), 5), PRICE, TREES)
+    return md.feature_importance(lb.add_target(panel(m), 5), ft.FEATURES, TREES)
 
 
-@query("parquet_snapshot_sink", "A-09")
+@query("parquet_snapshot_sink", "A-09", "SELECT ticker, date, " + ", ".join(f"r6({c}) AS {c}" for c in ft.FEATURES) + " FROM v_live")
 def _(m):
     path = scratch_folder(m.spark)
-    sinks.write_live_features(live_snapshot(ft.contract(ft.price_features(m.staged().series), "ticker", "date")), path)
-    return m.spark.read.parquet(path)
+    sinks.write_live_features(ft.live_snapshot(ft.feature_frame(m.staged(), with_overlay=False)), path)
+    return rounded(m.spark.read.parquet(path).select("ticker", "date", *ft.FEATURES))
 
 
-@query("csv_sink", "A-10")
+@query("csv_sink", "A-10", "SELECT ticker, signal, r6(mean_ic_abs) AS mean_ic_abs, r6(mean_ic) AS mean_ic, r5(max_tstat) AS max_tstat, consistent FROM v_icsum")
 def _(m):
     path = scratch_folder(m.spark)
-    sinks.write_table_csv(fa.ic_summary(fa.time_series_ic(fa.price_signals(m.series))), path)
-    return m.spark.read.csv(path, header=True, schema="ticker string, signal string, mean_ic_abs double, mean_ic double, max_tstat double, consistent boolean")
+    sinks.write_table_csv(fa.ic_summary(fa.time_series_ic(signals_of(m))), path)
+    return rounded(m.spark.read.csv(path, header=True, schema="ticker string, signal string, mean_ic_abs double, mean_ic double, max_tstat double, consistent boolean"), max_tstat=5)
 
 
-@query("json_publish_sink", "A-11")
+@query("json_publish_sink", "A-11", f"SELECT ticker, r4(rho) AS rho, n, {SIG} AS significant, CASE WHEN rho > 0 THEN 'positive' WHEN rho < 0 THEN 'negative' ELSE 'flat' END AS direction FROM v_record")
 def _(m):
-    from tapeloom.plans.labels import oos
     path = scratch_folder(m.spark)
     sinks.publish_json(ev.ticker_records(oos(m)), path)
-    return m.spark.read.json(path, schema="ticker string, rho double, pval double, n bigint, significant boolean, direction string")
+    return m.spark.read.json(path, schema="ticker string, rho double, pval double, n bigint, significant boolean, direction string").drop("pval")

@@ -167,9 +167,13 @@ def _(m):
 
 
 @query("exit_conditions", "O-13", """
-SELECT ticker, 2 + 2 + (fundamental > 0.3)::INT + (piotroski >= 6)::INT + coalesce((earnings_days <> 0 AND earnings_days <= 30)::INT, 0) + (sector_trend = 'downtrend')::INT AS n_exits, printf('Price drops below stop $%.2f — close position', stp) AS first_exit,
- CASE WHEN strong THEN 'MACD crosses below signal AND RSI drops below 45 — momentum broken, exit remaining' ELSE 'RSI drops below 35 and price closes below 50-day SMA — trend broken' END AS trend_exit FROM v_plan""")
+SELECT ticker, concat_ws(chr(10), printf('Price drops below stop $%.2f — close position', stp),
+ CASE WHEN fundamental > 0.3 THEN 'Fundamentals deteriorate (earnings miss >10%, guidance cut) — re-evaluate' END,
+ CASE WHEN piotroski >= 6 THEN printf('Piotroski score drops below 5 (currently %d/9) — financial health weakening', piotroski) END,
+ printf('Take 50%% off at TP1 ($%.2f), let rest run to TP2 ($%.2f)', t1, t2),
+ CASE WHEN strong THEN 'MACD crosses below signal AND RSI drops below 45 — momentum broken, exit remaining' ELSE 'RSI drops below 35 and price closes below 50-day SMA — trend broken' END,
+ CASE WHEN earnings_days <> 0 AND earnings_days <= 30 THEN printf('Earnings in %dd — consider taking profit before if up >5%%, re-enter after if thesis intact', earnings_days) END,
+ CASE WHEN sector_trend = 'downtrend' THEN 'Sector still in downtrend — size smaller, exit faster on any weakness' END,
+ 'Re-evaluate thesis in 4–8 weeks if price hasn''t moved toward TP1') AS exit_conditions FROM v_plan""")
 def _(m):
-    out = so.exit_conditions(plan_of(m))
-    trend = F.filter("exit_conditions", lambda x: x.rlike("^(MACD|RSI)"))
-    return out.select("ticker", F.size("exit_conditions").alias("n_exits"), F.col("exit_conditions")[0].alias("first_exit"), trend[0].alias("trend_exit"))
+    return so.exit_conditions(plan_of(m)).select("ticker", F.concat_ws("\n", "exit_conditions").alias("exit_conditions"))

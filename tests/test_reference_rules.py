@@ -1,9 +1,15 @@
 """Fixed lists of the score cards, and rows that used to end a whole query."""
+import numpy as np
 from pyspark.sql import functions as F
 
+from tapeloom.operators import accounts as ac
+from tapeloom.operators import book as bk
 from tapeloom.operators import crosssection as xs
+from tapeloom.operators import evaluation as ev
+from tapeloom.operators import features as ft
+from tapeloom.operators import models as md
 from tapeloom.operators import strategies as st
-from tapeloom.plans import factors
+from tapeloom.plans import factors, models
 from tapeloom.sources.selection import ticker_lists, universe
 
 
@@ -38,3 +44,37 @@ def test_selections_are_uncapped_unless_asked(spark):
     assert universe(listed).count() == 700 and universe(listed, 5).count() == 5
     texts = spark.createDataFrame([(1, ",".join(f"t{i}" for i in range(30)))], "k long, text string")
     assert ticker_lists(texts, ["k"], {"A": "B"}).count() == 30 and ticker_lists(texts, ["k"], {"A": "B"}, most=20).count() == 20
+
+
+def test_ablation_groups_are_the_contract_groups():
+    assert list(models.GROUPS) == ["Technical only", "Fundamental only", "Sentiment only", "Tech + Sentiment", "All features"]
+    assert models.GROUPS["All features"] == ft.FEATURES and len(ft.FEATURES) == 57
+
+
+def test_bootstrap_starts_are_spread_evenly_and_independent(spark):
+    drawn = bk.mix31(bk.mix31(spark.range(2000).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(9)))), "id", F.lit(42)), "_mixed", F.col("b") + 1)
+    rows = drawn.select("id", "b", (F.col("_mixed") % 10).alias("cell")).toPandas()
+    counts = rows["cell"].value_counts()
+    assert len(counts) == 10 and counts.min() > 1800 and counts.max() < 2200
+    wide = rows.pivot(index="id", columns="b", values="cell")
+    assert abs(wide.corr().to_numpy() - np.eye(10)).max() < 0.12
+    assert abs(wide[0].iloc[:-1].reset_index(drop=True).corr(wide[0].iloc[1:].reset_index(drop=True))) < 0.12
+
+
+def test_no_folds_give_an_empty_frame(spark):
+    rows = spark.sql("SELECT 'A' AS ticker, date'2020-01-01' AS date, 1.0D AS close, 0.1D AS fwd_return, 0.5D AS ma_5")
+    out = md.walk_forward_returns(rows, ev.quarterly_folds(rows), ("ma_5",), 2)
+    assert out.count() == 0 and "pred_return" in out.columns
+
+
+def test_thesis_points_fill_up_with_uncovered_facts(spark):
+    kind = "array<struct<label:string,text:string,status:string>>"
+    row = spark.range(1).selectExpr(
+        "'T' AS ticker", "'BUY' AS verdict", f"CAST(array(named_struct('label','Piotroski F-Score','text','strong','status','good')) AS {kind}) AS good", f"CAST(array() AS {kind}) AS warning",
+        "5 AS earnings_days", "'safe' AS altman_zone", "3.0D AS z_score", "30.0D AS ev_ebitda", "6.0D AS fcf_yield", "'Tech' AS sector", "'downtrend' AS sector_trend", "20.0D AS short_pct", "'up' AS momentum_trend",
+        "CAST(NULL AS double) AS ret_1yr", "25.0D AS upside_pct", "110.0D AS target_mean", "0.1D AS earnings_growth", "0.1D AS profit_margin", "0.1D AS revenue_growth", "20.0D AS trailing_pe", "8 AS piotroski")
+    got = ac.thesis(row).first()
+    assert got.bull_points == ["✅ Piotroski F-Score: strong", "✅ Analyst Coverage: 25.0% upside target implies significant room",
+                               "✅ Free Cash Flow: 6.0% yield provides downside cushion", "✅ Momentum: Price momentum accelerating"]
+    assert got.bear_points == ["⚠️ Valuation: EV/EBITDA 30.0x well above historical average", "⚠️ Earnings Event: Earnings in 5 days adds near-term volatility",
+                               "⚠️ Short Interest: High 20.0% indicates significant bearish positioning"]

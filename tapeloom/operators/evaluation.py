@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tapeloom.functions.ranks import average_rank
 from tapeloom.operators.crosssection import legs
-from tapeloom.operators.factors import rank_correlation
+from tapeloom.operators.factors import rank_correlation, tied_rank
 
 
 def quarterly_folds(rows: DataFrame, first: str = "2015-01-01", embargo: int = 5, skip: int = 4, months: int = 3) -> DataFrame:
@@ -236,7 +236,6 @@ def track_record(tickers: DataFrame, records: DataFrame, aggregate: DataFrame) -
 
 def ticker_records(oos: DataFrame) -> DataFrame:
     """Rank correlation, significance and direction per ticker."""
-    from tapeloom.operators.factors import tied_rank
     ranked = oos.select("ticker", tied_rank(["ticker"], "pred_return").alias("_x"), tied_rank(["ticker"], "fwd_return").alias("_y"))
     rho = ranked.groupBy("ticker").agg(rank_correlation("_x", "_y").alias("rho"), F.count("*").alias("n"))
     rho = rho.withColumn("pval", student_p("rho", "n"))

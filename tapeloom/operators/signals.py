@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import messages as M
-from tapeloom.functions.exprs import latest_first, newest, signal
+from tapeloom.functions.exprs import clip, lagged, latest_first, newest, rolling, signal, upto
 from tapeloom.operators import indicators as ind
 
 INDICATOR_COLUMNS = ("sma20", "sma50", "rsi", "macd", "macd_signal", "bb_upper", "bb_lower", "bb_mid")
@@ -74,7 +74,6 @@ def market_context_signal(context: DataFrame) -> DataFrame:
 def sector_trend(etf: DataFrame) -> DataFrame:
     """SMA20 against SMA50 of each sector series, and its 20-row return."""
     rows = etf.select(F.col("sector").alias("ticker"), "date", "close")
-    from tapeloom.functions.exprs import lagged, rolling, upto
     staged = rows.select("ticker", "date", "close", rolling(F.avg, F.col("close"), 20).alias("s20"), rolling(F.avg, F.col("close"), 50).alias("s50"),
                          lagged("close", 20).alias("past"), F.count("close").over(upto()).alias("n"))
     last = newest(staged, "close", "s20", "s50", "past", "n")
@@ -161,7 +160,6 @@ def implied_vol(options: DataFrame, bars: DataFrame, asof) -> DataFrame:
     word = (F.when(F.col("top_share").isNull(), M.VOL_RATIO["unpopulated"]).when(~usable, M.VOL_RATIO["placeholder"])
             .when(iv30.isNull(), M.VOL_RATIO["no_atm"]).when(ratio > 1.3, M.VOL_RATIO["over"]).when(ratio < 0.8, M.VOL_RATIO["under"])
             .otherwise(M.VOL_RATIO["fair"]))
-    from tapeloom.functions.exprs import clip
     value = F.when(ratio > 1.3, clip(1 - ratio, -1, 1)).when(ratio < 0.8, clip((0.8 - ratio) / 0.8, -1, 1)).otherwise(0.0)
     return joined.select("ticker", "top_share", iv30.alias("iv30"), "rv30", ratio.alias("ratio"), word.alias("interpretation"), value.alias("signal"))
 

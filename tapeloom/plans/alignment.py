@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.exprs import rounded
 from tapeloom.operators import alignment as al
+from tapeloom.operators.features import overlay, snapshot_features
 from tapeloom.plans.registry import ORACLE_VIEWS, query
 from tapeloom.sources import facts as fx
+from tapeloom.sources.selection import ticker_lists, trailing_period, universe
 
 ORACLE_VIEWS["v_pit_raw"] = """
 SELECT d.ticker, d.filed_date,
@@ -31,7 +33,6 @@ def _(m):
 
 @query("trailing_period", "A-02", "SELECT b.* FROM v_bars b WHERE date >= (SELECT max(date) - INTERVAL 3 MONTH FROM v_bars)")
 def _(m):
-    from tapeloom.sources.selection import trailing_period
     return trailing_period(m.bars, 3)
 
 
@@ -84,7 +85,6 @@ def _(m):
 SELECT c_name AS ticker, c_custkey AS position FROM (SELECT *, row_number() OVER (PARTITION BY c_name ORDER BY c_custkey) AS rn FROM customer) a
 WHERE rn = 1 AND NOT regexp_matches(c_name, '[.-]')""")
 def _(m):
-    from tapeloom.sources.selection import universe
     return universe(m.customer.select(F.col("c_name").alias("ticker"), F.col("c_custkey").alias("position")))
 
 
@@ -96,7 +96,6 @@ SELECT conv_id, turn, ticker, pos FROM (
       FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '[,\\n]+')) AS item, generate_subscripts(string_split_regex(text, '[,\\n]+'), 1) AS p
             FROM conversations) a) b WHERE ticker <> '' GROUP BY conv_id, turn, ticker) c) d""")
 def _(m):
-    from tapeloom.sources.selection import ticker_lists
     texts = m.conversations.select("conv_id", "turn", "text")
     return ticker_lists(texts, ["conv_id", "turn"], {"BERKSHIRE": "BRK-B"})
 
@@ -112,7 +111,6 @@ SELECT b.ticker, b.date, r6(coalesce(p.revenue_growth, i.revenue_growth)) AS rev
        r6(coalesce(p.roe, i.roe)) AS roe, r6(coalesce(p.debt_to_equity, clip(i.debt_to_equity, -50, 50))) AS debt_to_equity
 FROM v_bars b ASOF LEFT JOIN v_pit p ON b.ticker = p.ticker AND b.date >= p.filed_date LEFT JOIN v_info i ON b.ticker = i.ticker""")
 def _(m):
-    from tapeloom.operators.features import overlay, snapshot_features
     aligned = al.trailing_sentiment(m.bars.select("ticker", "date"), filings=al.point_in_time_ratios(m.facts), filing_columns=al.RATIOS)
     return rounded(overlay(aligned.join(snapshot_features(m.info).select("ticker", *al.RATIOS), "ticker", "left")).select("ticker", "date", *al.RATIOS))
 

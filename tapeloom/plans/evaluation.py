@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import rounded
+from tapeloom.functions.exprs import change, rounded
 from tapeloom.operators import book as bk
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import evaluation as ev
 from tapeloom.operators import features as ft
 from tapeloom.operators import labels as lb
+from tapeloom.operators.labels import earnings_events
 from tapeloom.plans.labels import legs_sql, oos, predictions
 from tapeloom.plans.registry import ORACLE_VIEWS, query
 from tapeloom.plans.sqltext import last
@@ -119,7 +120,6 @@ def _(m):
 
 @query("sharpe_ratio", "L-14", "SELECT ticker, r6(CASE WHEN count(r) >= 2 AND stddev_pop(r) > 1e-15 THEN avg(r)/stddev_pop(r)*sqrt(252) ELSE 0 END) AS sharpe FROM (SELECT ticker, close/lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM v_bars) a GROUP BY ticker")
 def _(m):
-    from tapeloom.functions.exprs import change
     return rounded(ev.sharpe(m.bars.select("ticker", change("close", 1).alias("r")), "r", keys=["ticker"]))
 
 
@@ -187,7 +187,6 @@ def _(m):
 SELECT subset, count(*) AS n, r6(avg((label = 'WIN')::INT)) AS win_rate, r6(avg(relative_ret_30d)) AS avg_ret, r5(avg(relative_ret_30d)/(stddev_samp(relative_ret_30d)+1e-8)*2) AS sharpe
 FROM (SELECT *, 1/(1+exp(-surprise_pct*10)) AS prob FROM v_events) e, (VALUES ('baseline'), ('buy'), ('sell')) s(subset) WHERE subset = 'baseline' OR (subset = 'buy' AND prob >= 0.55) OR (subset = 'sell' AND prob < 0.45) GROUP BY subset""")
 def _(m):
-    from tapeloom.operators.labels import earnings_events
     m.staged()
     events = earnings_events(m.earnings, m.bars, m.bench).withColumn("prob", 1 / (1 + F.exp(-F.col("surprise_pct") * 10)))
     return rounded(ev.threshold_backtest(events, "prob", "relative_ret_30d"), sharpe=5)

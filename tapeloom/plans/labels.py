@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import by_ticker, change, newest, rounded
+from tapeloom.functions.exprs import by_ticker, change, newest, rolling, rounded
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as ft
 from tapeloom.operators import labels as lb
@@ -39,7 +39,6 @@ WHERE pred_return IS NOT NULL AND fwd_return IS NOT NULL"""
 
 def predictions(bars):
     """pred_return, std_20 on full bars."""
-    from tapeloom.functions.exprs import rolling
     mean, sigma = rolling(F.avg, F.col("close"), 20), rolling(F.stddev_samp, F.col("close"), 20)
     return bars.select("ticker", "date", "close", (mean / F.col("close") - 1).alias("pred_return"), (sigma / F.col("close")).alias("std_20"))
 
@@ -57,7 +56,6 @@ def _(m):
 @query("long_call_filter", "E-03", "SELECT l.ticker, l.date, (l.label = 'WIN')::INT AS meta_label FROM v_label l JOIN v_pred p USING (ticker, date) WHERE p.pred_return > 0 AND l.label <> 'NEUTRAL'")
 def _(m):
     labelled = lb.barrier_label(atr_partial(m.bars))
-    from tapeloom.functions.exprs import rolling
     called = labelled.withColumn("pred_return", rolling(F.avg, F.col("close"), 20) / F.col("close") - 1)
     return lb.long_calls(called).select("ticker", "date", "meta_label")
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import rounded
+from tapeloom.functions.exprs import rolling, rounded
 from tapeloom.operators import composite as cp
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import strategies as st
@@ -129,7 +129,6 @@ ORACLE_VIEWS["v_split_stats"] = stats_sql("v_split_held", "v_split_trades", ", s
 
 
 def split_stats(m):
-    from tapeloom.functions.exprs import rolling
     parts = st.split_windows(m.bars.select("ticker", "date", "close"))
     # Indicators restart inside each test part: split joins the window key.
     fast, slow = rolling(F.avg, F.col("close"), 5, "split"), rolling(F.avg, F.col("close"), 15, "split")

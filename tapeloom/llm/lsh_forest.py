@@ -3,20 +3,23 @@
 Every document's set of word shingles gets `TREES` signatures of `LABELS` minhash labels. A tree of the forest is one sorted
 order of all signatures; neighbours in it that share a prefix of `SHALLOW` labels form a region. A dense region is descended to
 its full label depth, and one that stays dense (thousands of almost equal texts) is dealt into blocks whose representatives meet
-again, so that no task gets an unbounded region. Inside a region, a search along estimated similarity (all labels of all trees)
+again: by region, by full depth where they are many, and in pairs of parts where that is still dense, so that no task gets an
+unbounded region. Inside a region, a search along estimated similarity (all labels of all trees)
 keeps at most one candidate link per member; the candidates' connected clusters are then searched with the exact sets: a pair
 counts only if its full sets are similar enough.
 
-Equal sets are one class from the start: copies are never compared. Two sets at the threshold (0.85) share no region with
-probability (1 - 0.85 ** 2) ** 16 = 1e-9, and estimated similarity of 64 labels falls below `ESTIMATE` with probability 2e-6.
+Equal sets are one class from the start: copies are never compared. Two sets at a threshold of 0.85 share no region with
+probability (1 - 0.85 ** 2) ** 16 = 1e-9 (0.8: 8e-8), no region of full depth with 7e-6 (0.8: 2e-4), and the estimate of 64 labels
+falls below `least_estimate` with at most `MISSED`.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +30,11 @@ from tapeloom.llm.textblocks import LOWER, SPACES, U64, Block, blocks, find_word
 WIDTH = 5
 TREES, LABELS, SHALLOW = 16, 4, 2
 PERCENT = 85                # linked: 100 * intersection >= PERCENT * union
-ESTIMATE = 0.65
+MISSED = 3e-6               # how often two sets at the threshold may be estimated too low
 DENSE = 2048                # a region with more members is descended or dealt out
 BLOCK = 1024                # sets that an exact search holds at once
 PIVOTS = 4
+HOT_SHARE = 1024            # a class with more than 1 / HOT_SHARE of all rows is hot: there are fewer than HOT_SHARE of them
 
 _RANDOM = np.random.RandomState(515)
 _FACTORS = _RANDOM.randint(1, 2**62, TREES * LABELS).astype(np.uint64) * U64(2) + U64(1)
@@ -86,6 +90,18 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys, (mix(labels) >> U64(48)).astype(">u2")
 
 
+def least_estimate(percent: int) -> float:
+    """The largest share of equal labels that two sets with a similarity of `percent` fall below with at most `MISSED`."""
+    n, p = TREES * LABELS, percent / 100
+    below, k = 0.0, 0
+    while k < n:
+        below += math.comb(n, k) * p ** k * (1 - p) ** (n - k)
+        if below > MISSED:
+            break
+        k += 1
+    return k / n
+
+
 def _features(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, n_shingles, class (name of the set), keys, signature (both null without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,43 +148,67 @@ def spanning_links(n: int, similar: Callable[[int, np.ndarray], np.ndarray]) ->
     return links
 
 
-def _region_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _region_links(percent: int):
     """Candidate links of each region block; blocks of a dealt region also name their representatives (v null)."""
-    for rows in _groups(batches, 4):
-        labels = np.frombuffer(b"".join(row[6] for row in rows), dtype=">u2").reshape(len(rows), -1).astype(np.uint16)
-        sizes = np.array([row[5] for row in rows], dtype=np.int64)
-        dealt = rows[0][3]
-
-        def similar(at: int, rest: np.ndarray) -> np.ndarray:
-            near = 100 * np.minimum(sizes[rest], sizes[at]) >= PERCENT * np.maximum(sizes[rest], sizes[at])
-            near[near] = (labels[rest[near]] == labels[at]).mean(axis=1) >= ESTIMATE
-            return near
-
-        links = spanning_links(len(rows), similar)
-        out = [(rows[a][4], rows[b][4], None, None) for a, b in links]
-        if dealt:
-            reached = {b for _, b in links}
-            out += [(rows[i][4], None, rows[i][0], rows[i][1]) for i in range(len(rows)) if i not in reached]
-        if out:
-            u, v, tree, key = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(tree, pa.int32()), pa.array(key, pa.int64())],
-                                             names=["u", "v", "tree", "key"])
-
-
-def _search_regions(members: DataFrame) -> DataFrame:
+    estimate = least_estimate(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 4):
+            labels = np.frombuffer(b"".join(row[6] for row in rows), dtype=">u2").reshape(len(rows), -1).astype(np.uint16)
+            sizes = np.array([row[5] for row in rows], dtype=np.int64)
+            dealt = rows[0][3]
+
+            def similar(at: int, rest: np.ndarray) -> np.ndarray:
+                near = 100 * np.minimum(sizes[rest], sizes[at]) >= percent * np.maximum(sizes[rest], sizes[at])
+                near[near] = (labels[rest[near]] == labels[at]).mean(axis=1) >= estimate
+                return near
+
+            links = spanning_links(len(rows), similar)
+            out = [(rows[a][4], rows[b][4], None, None) for a, b in links]
+            if dealt:
+                reached = {b for _, b in links}
+                out += [(rows[i][4], None, rows[i][0], rows[i][1]) for i in range(len(rows)) if i not in reached]
+            if out:
+                u, v, tree, key = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(tree, pa.int32()), pa.array(key, pa.int64())],
+                                                 names=["u", "v", "tree", "key"])
+    return run
+
+
+def _search_regions(members: DataFrame, percent: int) -> DataFrame:
     order = ["tree", "key", "block", "dealt"]
     ready = members.select(*order, "class", "n_shingles", "signature")
-    return ready.repartition("tree", "key", "block").sortWithinPartitions(*order, "signature").mapInArrow(_region_links, "u binary, v binary, tree int, key long")
+    return ready.repartition("tree", "key", "block").sortWithinPartitions(*order, "signature").mapInArrow(_region_links(percent), "u binary, v binary, tree int, key long")
+
+
+def _deeper() -> Column:
+    """Deeper labels of the same tree, as bytes of the signature."""
+    return F.xxhash64(F.expr(f"substring(signature, tree * {2 * LABELS} + {2 * SHALLOW + 1}, {2 * (LABELS - SHALLOW)})"))
 
 
-def candidate_links(classes: DataFrame, dense: int = DENSE) -> DataFrame:
-    """Links (u, v) between classes whose signatures look similar, at most one per member of a region of the forest."""
+def _meeting(heads: DataFrame, dense: int) -> DataFrame:
+    """Blocks in which the representatives of dealt regions meet.
+
+    Up to `dense` of a region meet at once, more of them where they share the full depth; where more than `dense` do, they are dealt
+    into parts, and every pair of parts is a block.
+    """
+    heads = heads.withColumn("deeper", _deeper())
+    counts = heads.groupBy("tree", "key", "deeper").agg(F.count(F.lit(1)).alias("deep"))
+    counts = staged(counts.join(counts.groupBy("tree", "key").agg(F.sum("deep").alias("all")), ["tree", "key"]))
+    parts = F.when((F.col("all") > dense) & (F.col("deep") > dense), F.ceil(2 * F.col("deep") / dense)).otherwise(1)
+    counted = heads.join(counts, ["tree", "key", "deeper"]).withColumn("parts", parts)
+    own = F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts"))
+    met = counted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    block = F.when(F.col("all") <= dense, F.lit(0).cast("long")).otherwise(F.xxhash64("deeper", F.least("own", "other"), F.greatest("own", "other")))
+    return met.withColumns({"block": block, "dealt": F.lit(False)})
+
+
+def candidate_links(classes: DataFrame, dense: int = DENSE, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) between classes whose signatures look similar, at most one per member of a region block of the forest."""
     entries = classes.select("class", F.posexplode("keys").alias("tree", "key"))
     counts = entries.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     regions = entries.join(counts, ["tree", "key"]).join(classes.select("class", "n_shingles", "signature"), "class")
-    # Deeper labels of the same tree, as bytes of the signature.
-    deeper = F.expr(f"substring(signature, tree * {2 * LABELS} + {2 * SHALLOW + 1}, {2 * (LABELS - SHALLOW)})")
-    regions = staged(regions.withColumn("deeper", F.xxhash64(deeper)))
+    regions = staged(regions.withColumn("deeper", _deeper()))
     sparse = regions.filter(F.col("members") <= dense).withColumns({"block": F.lit(0).cast("long"), "dealt": F.lit(False)})
     crowded = regions.filter(F.col("members") > dense)
     deep = crowded.groupBy("tree", "key", "deeper").agg(F.count(F.lit(1)).alias("deep_members"))
@@ -176,10 +216,10 @@ def candidate_links(classes: DataFrame, dense: int = DENSE) -> DataFrame:
     # A deep prefix that is crowded itself is dealt by class; others stay whole.
     block = F.xxhash64("deeper", F.when(deals > 1, F.pmod(F.xxhash64("class"), deals)).otherwise(0))
     descended = crowded.join(deep, ["tree", "key", "deeper"]).withColumns({"block": block, "dealt": F.lit(True)})
-    found = staged(_search_regions(sparse.unionByName(descended.select(*sparse.columns))))
+    found = staged(_search_regions(sparse.unionByName(descended.select(*sparse.columns)), percent))
     heads = found.filter("v IS NULL").select("tree", "key", F.col("u").alias("class"))
-    heads = heads.join(classes.select("class", "n_shingles", "signature"), "class").withColumns({"block": F.lit(0).cast("long"), "dealt": F.lit(False)})
-    return found.filter("v IS NOT NULL").select("u", "v").unionByName(_search_regions(heads).select("u", "v"))
+    heads = staged(heads.join(classes.select("class", "n_shingles", "signature"), "class"))
+    return found.filter("v IS NOT NULL").select("u", "v").unionByName(_search_regions(_meeting(heads, dense), percent).select("u", "v"))
 
 
 def exact_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -202,26 +242,28 @@ def exact_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
     return spanning_links(len(sets), similar)
 
 
-def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_links(percent: int):
     """Exact links inside each (cluster, part) of texts; a text whose set is not the class's is another row of that doc_id."""
-    for rows in _groups(batches, 2):
-        members: dict[bytes, np.ndarray] = {}
-        wanted = {row[2] for row in rows}
-        for block in blocks(pa.array([row[3] for row in rows], pa.large_string())):
-            sets = shingle_sets(block)
-            members |= {name: s for name, s in zip(set_names(sets), sets, strict=True) if name in wanted}
-        names = sorted(members)
-        links = exact_links([members[name] for name in names]) if len(names) > 1 else []
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in links], pa.binary()), pa.array([names[b] for _, b in links], pa.binary())], names=["u", "v"])
-
-
-def _search_sets(members: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            members: dict[bytes, np.ndarray] = {}
+            wanted = {row[2] for row in rows}
+            for block in blocks(pa.array([row[3] for row in rows], pa.large_string())):
+                sets = shingle_sets(block)
+                members |= {name: s for name, s in zip(set_names(sets), sets, strict=True) if name in wanted}
+            names = sorted(members)
+            links = exact_links([members[name] for name in names], percent) if len(names) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in links], pa.binary()), pa.array([names[b] for _, b in links], pa.binary())], names=["u", "v"])
+    return run
+
+
+def _search_sets(members: DataFrame, percent: int) -> DataFrame:
     ready = members.select("cluster", "part", "class", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    return ready.mapInArrow(_set_links, "u binary, v binary")
+    return ready.mapInArrow(_set_links(percent), "u binary, v binary")
 
 
-def confirmed_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def confirmed_links(members: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
     """Exact links that span every cluster's similarity graph. `members`: cluster, class, text.
 
     A cluster of more than `block` classes is dealt into parts, each with the cluster's few pivots, so that nearly all of a
@@ -233,13 +275,13 @@ def confirmed_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
     small = members.filter(F.col("size") <= block).withColumn("part", F.lit(0).cast("string"))
     large = members.filter(F.col("size") > block).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")))
     if large.isEmpty():
-        return staged(_search_sets(small))
+        return staged(_search_sets(small, percent))
     # A few classes of each large cluster, by a bounded aggregate; they go to every part.
     picks = [F.max_by("class", F.struct(F.xxhash64("class", F.lit(i)), "class")) for i in range(PIVOTS)]
     pivots = large.groupBy("cluster").agg(F.array(*picks).alias("pivots")).select("cluster", F.explode("pivots").alias("class"))
     spread = large.join(pivots, ["cluster", "class"], "left_semi").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     first = small.unionByName(large.unionByName(spread).withColumn("part", F.col("own").cast("string")).drop("own"))
-    links = staged(_search_sets(first))
+    links = staged(_search_sets(first, percent))
     reached = connected_components(links)
     inside = large.select("cluster", "class", "parts").distinct().join(reached.withColumnRenamed("node", "class"), "class", "left")
     inside = staged(inside.withColumn("component", F.coalesce("component", "class")))
@@ -251,11 +293,12 @@ def confirmed_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
     queries = queries.withColumn("turn", F.pmod(F.xxhash64("class", F.lit(1)), F.col("turns"))).withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     others = large.join(turns, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
     meet = queries.unionByName(others).withColumn("part", F.concat_ws("/", "turn", "own"))
-    return staged(links.unionByName(_search_sets(meet)))
+    return staged(links.unionByName(_search_sets(meet, percent)))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", dense: int = DENSE, block: int = BLOCK) -> DataFrame:
-    """One row per document: its key, n_shingles, component_id and kept, and the name of its set (`class`, null without words).
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, dense: int = DENSE,
+                    block: int = BLOCK) -> DataFrame:
+    """Links of 100 * intersection >= percent * union. One row per document: its key, n_shingles, component_id and kept, and the name of its set (`class`, null without words).
 
     Shingles are five lower-cased words, or the whole text with fewer. A null or empty text has no set and is linked with
     nothing; rows that repeat a key each get a row; a null key is linked by its text, but names no component where another key
@@ -264,29 +307,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     spark = small_batches(docs.sparkSession)
     features = staged(_features(docs.select(F.col(key), F.col(text).cast("string").alias(text)), key, text))
     named = features.filter("class IS NOT NULL")
-    classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+    classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"),
                                                 F.first("keys").alias("keys"), F.first("signature").alias("signature")))
-    clusters = connected_components(candidate_links(classes, dense)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    clusters = connected_components(candidate_links(classes, dense, percent)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     wanted = clusters.join(classes.select("class", "doc_id"), "class").withColumnRenamed("doc_id", "__id")
     texts = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("text"))
     members = texts.join(wanted, texts["__id"].eqNullSafe(wanted["__id"])).select("cluster", "class", "text")
-    links = confirmed_links(members, block)
+    links = confirmed_links(members, block, percent)
     reached = connected_components(links).select(F.col("node").alias("class"), "component")
     heads = classes.select("class", "doc_id").join(reached, "class").groupBy("component").agg(F.min("doc_id").alias("linked_id"))
-    by_class = classes.select("class", F.col("doc_id").alias("own_id")).join(reached.join(heads, "component"), "class", "left")
-    by_class = by_class.select("class", F.coalesce("linked_id", "own_id").alias("__component"))
-    joined = features.join(by_class, "class", "left")
+    by_class = classes.select("class", "rows", F.col("doc_id").alias("own_id")).join(reached.join(heads, "component"), "class", "left")
+    by_class = staged(by_class.select("class", "rows", F.coalesce("linked_id", "own_id").alias("__component")))
+    # The rows of a hot class stay where they are; only the others are shuffled by class.
+    total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = F.col("rows") * HOT_SHARE > total
+    sent = F.broadcast(by_class.filter(hot).select("class", F.col("__component").alias("__hot")))
+    placed = features.select("doc_id", "n_shingles", "class").join(sent, "class", "left")
+    settled = placed.filter("__hot IS NOT NULL OR class IS NULL").withColumnRenamed("__hot", "__component")
+    joined = settled.unionByName(placed.filter("__hot IS NULL AND class IS NOT NULL").drop("__hot").join(by_class.filter(~hot).select("class", "__component"), "class", "left"))
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("__component"))
     out = joined.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), "class")
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents without near duplicates: one row of each component stays, with all its columns; texts without words stay.
 
     Of rows that repeat a key with equal sets one stays.
     """
-    judged = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("__id"), F.col("class").alias("__class")).distinct()
+    judged = near_duplicates(docs, key, text, percent).filter("kept").select(F.col(key).alias("__id"), F.col("class").alias("__class")).distinct()
     columns = docs.columns
     kept = docs.join(judged, docs[key].eqNullSafe(judged["__id"])).drop("__id")
     return without(kept.dropDuplicates([key, "__class"]), ["__class"]).select(*columns)

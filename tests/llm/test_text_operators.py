@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import prefix_free
 from tapeloom.llm.automaton import find_contamination, remove_contamination
-from tapeloom.llm.lsh_forest import keep_one_of_each, near_duplicates
+from tapeloom.llm.lsh_forest import keep_one_of_each, least_estimate, near_duplicates
 from tapeloom.llm.poisson_mix import mix_sources
 from tapeloom.llm.prefix_free import remove_repeats
 from tapeloom.llm.site_bayes import classify_quality, fit
@@ -40,6 +40,9 @@ def corpus(seed=3):
     passage = " ".join(words(40, rng))
     texts += [f"{' '.join(words(10, rng))}\n{passage}\nÉté à {' '.join(words(5, rng))} 日本" for _ in range(4)]
     texts += ["ab " * 200, "x" * 450, "", "   \n\t ", None, "\n\n\n", "same line\nsame line\nother\n same line", "É" * 120 + "é" * 120]
+    # A copy with a similarity of 46 / 56 to its source, and a larger group of exact copies.
+    longer = words(55, rng)
+    texts += [" ".join(longer), " ".join([*longer[:27], "edited", *longer[28:]])] + [texts[10]] * 30
     rows = [(i, t, "en", f"src{i % 4}" if i % 9 else None, len(t or ""), "s", "w", "k", "c", [1]) for i, t in enumerate(texts)]
     return rows + [rows[3], rows[3], rows[40]]
 
@@ -125,7 +128,7 @@ def test_contaminated_spans_are_cut(spark):
     assert remove_contamination(docs, bench.limit(0)).count() == 4
 
 
-def components(rows):
+def components(rows, percent=85):
     sets = []
     for _, text, *_ in rows:
         found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
@@ -139,7 +142,7 @@ def components(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 above[top(i)] = top(j)
     lowest = {}
     for i, row in enumerate(rows):
@@ -147,24 +150,34 @@ def components(rows):
     return {row[0]: (len(sets[i]), lowest[top(i)]) for i, row in enumerate(rows)}
 
 
-@pytest.mark.parametrize("dense,block", [(2048, 1024), (2, 4)])
-def test_near_duplicates_equal_brute_force(spark, rows, dense, block):
-    got = near_duplicates(frame(spark, rows), dense=dense, block=block).collect()
-    want = components(rows)
+@pytest.mark.parametrize("percent,dense,block", [(85, 2048, 1024), (85, 2, 4), (80, 2, 4)])
+def test_near_duplicates_equal_brute_force(spark, rows, percent, dense, block):
+    got = near_duplicates(frame(spark, rows), percent=percent, dense=dense, block=block).collect()
+    want = components(rows, percent)
+    assert want != components(rows, 165 - percent)
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id][1]), r
 
 
-def test_one_document_of_each_group_stays(spark, rows):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_one_document_of_each_group_stays(spark, rows, percent):
     docs = frame(spark, rows)
-    out = keep_one_of_each(docs)
+    out = keep_one_of_each(docs, percent=percent)
     assert out.schema.names == docs.schema.names
-    want = components(rows)
+    want = components(rows, percent)
     assert sorted(r.doc_id for r in out.collect()) == sorted({i for i, (_, lowest) in want.items() if i == lowest})
     assert keep_one_of_each(frame(spark, [])).count() == 0
 
 
+def test_estimates_rarely_miss():
+    rng = np.random.default_rng(1)
+    for percent in (80, 85):
+        share = least_estimate(percent)
+        assert percent / 100 - 0.27 < share < percent / 100 - 0.2
+        assert (rng.binomial(64, percent / 100, 100_000) < share * 64).sum() <= 5
+
+
 def left_over(rows):
     seen, out = set(), {}
     for doc_id, text in sorted({(r[0], r[1] or "") for r in rows}):

@@ -19,6 +19,7 @@ from tapeloom.sources.tables import table
 
 # The quality stage's posterior and the near-dedup stage's components have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
+NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return keep_one_of_each(docs)
+    """One document of each component of near duplicates (five words, a similarity of 0.8 or more) stays."""
+    return keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

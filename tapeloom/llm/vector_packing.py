@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced jointly.
 
 Documents with equal texts are a group, and a group is placed whole: each goes where the dot product of its (bytes, tokens, rows)
-with the shard's residual capacity is highest, largest groups first. A group that is large for a shard is cut into chunks by a
-hash of the key. To place billions of groups, small groups are first packed by the same rule into bundles,
-in independent buckets; bundles and large groups, whose number is bounded whatever the corpus size, are placed last.
+with the shard's residual capacity is highest, largest groups first. Only a group that exceeds a shard's fair share of a measure
+is cut, into chunks by a hash of the key. To place billions of groups, small groups are first packed by the same rule into bundles,
+in independent buckets; bundles and large groups, whose number is bounded whatever the corpus size, are placed last. The rows of
+large groups are numbered by chunk, whether these are placed together or not.
 """
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.frames import small_batches, staged, without
 
 SHARDS = 16
-PIECES = 64                 # a group above 1/PIECES of a shard in any measure is large, and its chunks are below that
+PIECES = 64                 # a group above 1/PIECES of a shard in any measure is large: placed on its own, its rows dealt into chunks below that
 BUCKET_GROUPS = 20_000      # small groups that one task packs ...
 MOST_BUCKETS = 4_096        # ... until there are so many buckets; fewer buckets make more, smaller bundles each
 FINENESS = 64
@@ -26,13 +27,22 @@ MEASURES = ["bytes", "tokens", "rows"]
 def place(vectors: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """The bin of each vector: largest first, each where its dot product with the residual capacity is highest.
 
-    Capacities are scaled to 1 in each measure. Residuals may go below zero: nothing is left out.
+    Bins that can take all of the vector come first, then those that can take its first measure, then the one with most of that
+    left: a whole group heavy in one measure only would else pull the first one apart. Capacities are scaled to 1 in each
+    measure. Residuals may go below zero: nothing is left out.
     """
     scaled = vectors / np.maximum(capacity[0], 1e-12)
     residual = capacity / np.maximum(capacity[0], 1e-12)
     bins = np.empty(len(vectors), dtype=np.int32)
     for i in np.argsort(-scaled.max(axis=1), kind="stable"):
-        bins[i] = at = int(np.argmax(residual @ scaled[i]))
+        takes = residual >= scaled[i] - 1e-9
+        for fits in (takes.all(axis=1), takes[:, 0]):
+            if fits.any():
+                at = int(np.argmax(np.where(fits, residual @ scaled[i], -np.inf)))
+                break
+        else:
+            at = int(np.argmax(residual[:, 0]))
+        bins[i] = at
         residual[at] -= scaled[i]
     return bins
 
@@ -52,7 +62,7 @@ def _pack_bucket(bundles: int):
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """Append size (UTF-8 bytes of the text plus 1), shard (0 to shards - 1) and slot (gapless from 0 in its shard) to every row.
 
-    Equal texts share a shard unless their group is large for one. A null text is a text of no bytes; rows that repeat a key
+    Equal texts share a shard unless their group exceeds the fair share of one, total / shards, in bytes, tokens or rows. A null text is a text of no bytes; rows that repeat a key
     and text stay together and get slots of their own; a null key is dealt like any other; an empty table gives an empty result;
     columns that carry one of the names are replaced.
     """
@@ -64,14 +74,15 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     groups = staged(sized.withColumn("__tokens", tokens).groupBy(F.col("__group").alias("group")).agg(
         F.sum("size").alias("bytes"), F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     total = groups.agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("groups")).first()
-    limit = [max(total[m] / shards / PIECES, 1.0) for m in MEASURES]
+    share = [max(total[m] / shards, 1.0) for m in MEASURES]
+    limit = [max(x / PIECES, 1.0) for x in share]
 
     # Large groups: at most 3 * shards * PIECES of them, whatever the input.
-    ratio = F.greatest(*[F.col(m) / bound for m, bound in zip(MEASURES, limit, strict=True)])
-    large = F.broadcast(staged(groups.filter((ratio > 1) & (F.col("rows") > 1)).select(F.col("group").alias("__large"), F.ceil(ratio).alias("__chunks"))))
+    ratio, shares = [F.greatest(*[F.col(m) / bound for m, bound in zip(MEASURES, bounds, strict=True)]) for bounds in (limit, share)]
+    large = F.broadcast(staged(groups.filter((ratio > 1) & (F.col("rows") > 1)).select(F.col("group").alias("__large"), F.ceil(ratio).alias("__chunks"), (shares > 1).alias("__cut"))))
     chunk = F.when(F.col("__chunks").isNotNull(), F.pmod(F.xxhash64(F.col(key)), F.col("__chunks"))).otherwise(F.lit(0).cast("long"))
     chunked = sized.join(large, F.col("__group") == F.col("__large"), "left").withColumn("__chunk", chunk)
-    pieces = chunked.filter("__chunks IS NOT NULL").groupBy("__group", "__chunk").agg(
+    pieces = chunked.filter("__chunks IS NOT NULL").groupBy("__group", "__chunk", "__cut").agg(
         F.sum("size").alias("bytes"), F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("rows")).toPandas()
 
     # Small groups: bundles by bucket.
@@ -80,14 +91,16 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     bundled = staged(small.groupBy("bucket").applyInPandas(_pack_bucket(shards * max(MOST_BUCKETS // buckets // FINENESS, 1)), "group long, bytes long, tokens long, rows long, bucket long, bundle int"))
     bundles = bundled.groupBy("bucket", "bundle").agg(*[F.sum(m).alias(m) for m in MEASURES]).orderBy("bucket", "bundle").toPandas()
 
-    # At most shards * MOST_BUCKETS bundles and 6 * shards * PIECES chunks are placed here.
+    # At most shards * MOST_BUCKETS bundles and 6 * shards * PIECES chunks are placed here, the chunks of a group that is not cut as one.
     pieces = pieces.sort_values(["__group", "__chunk"])
-    vectors = np.concatenate([pieces[MEASURES].to_numpy(dtype=float), bundles[MEASURES].to_numpy(dtype=float)])
+    unit = pieces.groupby([pieces["__group"], pieces["__chunk"].where(pieces["__cut"].astype(bool), 0)], sort=True).ngroup().to_numpy()
+    units = pieces[MEASURES].groupby(unit).sum()
+    vectors = np.concatenate([units.to_numpy(dtype=float), bundles[MEASURES].to_numpy(dtype=float)])
     bins = place(vectors, _capacity(vectors, shards)) if len(vectors) else np.zeros(0, dtype=np.int32)
-    at_bundle = spark.createDataFrame(pd.DataFrame({"bucket": bundles["bucket"].astype("int64"), "bundle": bundles["bundle"].astype("int32"), "shard": bins[len(pieces):]}),
+    at_bundle = spark.createDataFrame(pd.DataFrame({"bucket": bundles["bucket"].astype("int64"), "bundle": bundles["bundle"].astype("int32"), "shard": bins[len(units):]}),
                                       "bucket long, bundle int, shard int")
     at_piece = spark.createDataFrame(pd.DataFrame({"group": pieces["__group"].astype("int64"), "chunk": pieces["__chunk"].astype("int64"),
-                                                   "rows": pieces["rows"].astype("int64"), "shard": bins[:len(pieces)]}), "group long, chunk long, rows long, shard int")
+                                                   "rows": pieces["rows"].astype("int64"), "shard": bins[unit]}), "group long, chunk long, rows long, shard int")
     placed = bundled.join(F.broadcast(at_bundle), ["bucket", "bundle"]).select("group", F.lit(0).cast("long").alias("chunk"), "rows", "shard").unionByName(at_piece)
 
     # Slots: parts of a shard are numbered on their own, behind all rows of the parts before; a part holds whole pieces.

@@ -236,6 +236,27 @@ def test_shards_hold_everything_evenly(spark):
     assert assign_shards(frame(spark, []), shards=4).count() == 0
 
 
+@pytest.mark.parametrize("rows", [200, 1_000, 10_000])
+def test_copies_that_fit_into_a_shard_share_one(spark, rows):
+    rng = random.Random(rows)
+    groups = [2] * 20 + [3] * 4 + [rows // 32, rows // 20, rows // 8]
+    texts = [f"copy {i} {' '.join(words(10, rng))}" for i, n in enumerate(groups) for _ in range(n)]
+    texts += [f"single {i} {' '.join(words(10, rng))}" for i in range(rows - len(texts) - 1)] + [None]
+    for k, n in enumerate(groups):
+        texts[sum(groups[:k]):sum(groups[:k + 1])] = [texts[sum(groups[:k])]] * n
+    data = [(i, t, None, None, None, None, None, None, None, None) for i, t in enumerate(texts)]
+    out = assign_shards(frame(spark, data)).toPandas()
+    assert len(out) == rows and all(sorted(part["slot"]) == list(range(len(part))) for _, part in out.groupby("shard"))
+    out["text"] = out["text"].fillna("")
+    out["tokens"] = out["text"].str.count(" ") + 1
+    found = out.groupby("text").agg(size=("size", "sum"), tokens=("tokens", "sum"), n=("text", "size"), shards=("shard", "nunique"))
+    fits = (found["size"] <= out["size"].sum() / 16) & (found["tokens"] <= out["tokens"].sum() / 16) & (found["n"] <= rows / 16)
+    assert (found["shards"][fits] == 1).all() and (fits & (found["n"] > 1)).sum() >= 26
+    assert (found["shards"][~fits] > 1).all() and (~fits).sum() == 1
+    totals = out.groupby("shard").agg(size=("size", "sum"), n=("text", "size"))
+    assert len(totals) == 16 and (totals.max() < 1.25 * totals.mean()).all()
+
+
 def test_placing_follows_the_residual():
     bins = place(np.array([[4.0, 1.0], [1.0, 4.0], [4.0, 1.0], [1.0, 4.0]]), np.full((2, 2), 5.0))
     assert bins[0] != bins[2] and bins[1] != bins[3]

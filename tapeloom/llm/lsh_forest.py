@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.components import connected_components
-from tapeloom.llm.frames import small_batches, staged, without
+from tapeloom.llm.frames import small_batches, staged
 from tapeloom.llm.textblocks import LOWER, SPACES, U64, Block, blocks, find_words, mix, range_hashes, shingles, signed, whole_sequence
 
 WIDTH = 5
@@ -102,8 +102,13 @@ def least_estimate(percent: int) -> float:
     return k / n
 
 
+def _text_hashes(text: str) -> tuple[Column, Column]:
+    content = F.col(text).cast("string")
+    return F.xxhash64(content).alias("__high"), F.xxhash64(F.lit(1), content).alias("__low")
+
+
 def _features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, class (name of the set), keys, signature (both null without words)."""
+    """doc_id, high and low (hashes of the text, which name a row beside its doc_id), n_shingles, class (name of the set), keys, signature (both null without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -113,12 +118,12 @@ def _features(docs: DataFrame, key: str, text: str) -> DataFrame:
                 rows = iter(zip(signed(keys).tolist(), [x.tobytes() for x in labels], strict=True))
                 pairs = [next(rows) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.lo, block.rows), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_names(sets), pa.binary()),
+                    [*[batch.column(k).slice(block.lo, block.rows) for k in (0, 2, 3)], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_names(sets), pa.binary()),
                      pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.binary())],
-                    names=["doc_id", "n_shingles", "class", "keys", "signature"])
+                    names=["doc_id", "high", "low", "n_shingles", "class", "keys", "signature"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, keys array<long>, signature binary")
+    return docs.select(key, text, *_text_hashes(text)).mapInArrow(run, f"doc_id {kind}, high long, low long, n_shingles long, class binary, keys array<long>, signature binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
@@ -296,46 +301,61 @@ def confirmed_links(members: DataFrame, block: int = BLOCK, percent: int = PERCE
     return staged(links.unionByName(_search_sets(meet, percent)))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, dense: int = DENSE,
-                    block: int = BLOCK) -> DataFrame:
-    """Links of 100 * intersection >= percent * union. One row per document: its key, n_shingles, component_id and kept, and the name of its set (`class`, null without words).
+def _judged(docs: DataFrame, key: str, text: str, percent: int, dense: int, block: int) -> DataFrame:
+    """The features of every row but keys and signature, and `head`: the row (none, doc_id, high, low) that its component keeps, null without words.
 
-    Shingles are five lower-cased words, or the whole text with fewer. A null or empty text has no set and is linked with
-    nothing; rows that repeat a key each get a row; a null key is linked by its text, but names no component where another key
-    does; an empty table gives an empty result. kept: the key is its component's.
+    A component keeps its least (doc_id, hashes of the text), null doc_ids last.
     """
-    spark = small_batches(docs.sparkSession)
     features = staged(_features(docs.select(F.col(key), F.col(text).cast("string").alias(text)), key, text))
     named = features.filter("class IS NOT NULL")
-    classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"),
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "high", "low")
+    classes = staged(named.groupBy("class").agg(F.min(row).alias("least"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"),
                                                 F.first("keys").alias("keys"), F.first("signature").alias("signature")))
     clusters = connected_components(candidate_links(classes, dense, percent)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    wanted = clusters.join(classes.select("class", "doc_id"), "class").withColumnRenamed("doc_id", "__id")
-    texts = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("text"))
-    members = texts.join(wanted, texts["__id"].eqNullSafe(wanted["__id"])).select("cluster", "class", "text")
+    wanted = clusters.join(classes.select("class", "least"), "class").select("cluster", "class", F.col("least.doc_id").alias("__id"), F.col("least.high").alias("__h"), F.col("least.low").alias("__l"))
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"), *_text_hashes(text))
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__high") == F.col("__h")) & (F.col("__low") == F.col("__l"))
+    # Rows that repeat a key and text are one member.
+    members = texts.join(wanted, same).select("cluster", "class", "text").dropDuplicates(["cluster", "class"])
     links = confirmed_links(members, block, percent)
     reached = connected_components(links).select(F.col("node").alias("class"), "component")
-    heads = classes.select("class", "doc_id").join(reached, "class").groupBy("component").agg(F.min("doc_id").alias("linked_id"))
-    by_class = classes.select("class", "rows", F.col("doc_id").alias("own_id")).join(reached.join(heads, "component"), "class", "left")
-    by_class = staged(by_class.select("class", "rows", F.coalesce("linked_id", "own_id").alias("__component")))
+    heads = classes.select("class", "least").join(reached, "class").groupBy("component").agg(F.min("least").alias("linked"))
+    by_class = classes.select("class", "rows", "least").join(reached.join(heads, "component"), "class", "left")
+    by_class = staged(by_class.select("class", "rows", F.coalesce("linked", "least").alias("head")))
     # The rows of a hot class stay where they are; only the others are shuffled by class.
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     hot = F.col("rows") * HOT_SHARE > total
-    sent = F.broadcast(by_class.filter(hot).select("class", F.col("__component").alias("__hot")))
-    placed = features.select("doc_id", "n_shingles", "class").join(sent, "class", "left")
-    settled = placed.filter("__hot IS NOT NULL OR class IS NULL").withColumnRenamed("__hot", "__component")
-    joined = settled.unionByName(placed.filter("__hot IS NULL AND class IS NOT NULL").drop("__hot").join(by_class.filter(~hot).select("class", "__component"), "class", "left"))
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("__component"))
-    out = joined.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), "class")
+    sent = F.broadcast(by_class.filter(hot).select("class", F.col("head").alias("__hot")))
+    placed = features.select("doc_id", "high", "low", "n_shingles", "class").join(sent, "class", "left")
+    settled = placed.filter("__hot IS NOT NULL OR class IS NULL").withColumnRenamed("__hot", "head")
+    return settled.unionByName(placed.filter("__hot IS NULL AND class IS NOT NULL").drop("__hot").join(by_class.filter(~hot).select("class", "head"), "class", "left"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, dense: int = DENSE,
+                    block: int = BLOCK) -> DataFrame:
+    """Links of 100 * intersection >= percent * union. One row per document: its key, n_shingles, component_id and kept, and the name of its set (`class`, null without words).
+
+    Shingles are five lower-cased words, or the whole text with fewer. A null or empty text has no set and is linked with
+    nothing; rows that repeat a key each get a row; a null key is linked by its text, but names no component where another key
+    does; an empty table gives an empty result. kept: the key is its component's.
+    """
+    small_batches(docs.sparkSession)
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    out = _judged(docs, key, text, percent, dense, block).select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), "class")
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents without near duplicates: one row of each component stays, with all its columns; texts without words stay.
+    """The documents without near duplicates: one row of each component stays, with all its columns; all texts without words stay.
 
-    Of rows that repeat a key with equal sets one stays.
+    The row that stays has the component's least key, null keys last; of several texts under that key, one.
     """
-    judged = near_duplicates(docs, key, text, percent).filter("kept").select(F.col(key).alias("__id"), F.col("class").alias("__class")).distinct()
-    columns = docs.columns
-    kept = docs.join(judged, docs[key].eqNullSafe(judged["__id"])).drop("__id")
-    return without(kept.dropDuplicates([key, "__class"]), ["__class"]).select(*columns)
+    small_batches(docs.sparkSession)
+    judged = _judged(docs, key, text, percent, DENSE, BLOCK)
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("high") == F.col("head.high")) & (F.col("low") == F.col("head.low"))
+    stay = judged.filter(F.col("class").isNull() | is_head).select(F.col("doc_id").alias("__id"), F.col("high").alias("__h"), F.col("low").alias("__l"), F.col("class").isNull().alias("__wordless")).distinct()
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__high") == F.col("__h")) & (F.col("__low") == F.col("__l"))
+    kept = docs.select("*", *_text_hashes(text)).join(stay, same)
+    # Copies of a head under its own key and text are one row; rows without words are told apart.
+    kept = kept.withColumn("__row", F.when(F.col("__wordless"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return kept.dropDuplicates([key, "__high", "__low", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -170,6 +170,21 @@ def test_one_document_of_each_group_stays(spark, rows, percent):
     assert keep_one_of_each(frame(spark, [])).count() == 0
 
 
+def test_the_row_that_stays_is_its_own_classes(spark):
+    x, y, z = (" ".join(words(30, random.Random(seed))) for seed in (21, 22, 23))
+
+    def kept(*pairs):
+        data = [(i, t, None, None, None, None, None, None, None, None) for i, t in pairs]
+        return sorted(((r.doc_id, r.text) for r in keep_one_of_each(frame(spark, data)).collect()), key=repr)
+    assert kept((5, x), (5, y)) == sorted([(5, x), (5, y)], key=repr)
+    for i, other in enumerate([x, y, z]):
+        clean = [x, y, z][i - 1]
+        assert kept((3, other), (5, clean), (5, other)) == sorted([(3, other), (5, clean)], key=repr)
+    assert kept((None, x), (None, y), (None, y), (None, z), (7, z), (None, None), (None, ""), (None, "")) == sorted([(None, x), (None, y), (7, z), (None, None), (None, ""), (None, "")], key=repr)
+    near = " ".join([*z.split()[:-1], "edited"])
+    assert len(kept((5, z), (5, near), (None, near))) == 1
+
+
 def test_estimates_rarely_miss():
     rng = np.random.default_rng(1)
     for percent in (80, 85):

@@ -4,10 +4,12 @@ Pages are parsed to their text blocks; each block hangs on a style node, the cha
 presentation that is never article (menus, headers, footers, forms, adverts, scripts and so on, by tag, role or class word) go at
 once. The pages of a host are merged by style node: a node's importance is the entropy, over the host's different pages, of what
 stands there and of how many blocks it has. Nodes that say the same on nearly every page are the site's furniture and are removed
-from each page, except inside an article or main element, whose text is what is asked for even where pages share it.
+from each page. Inside an article or main element only whole class and role words and tags without text drop content at once;
+whatever else may be furniture there is left to the tree.
 """
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -23,12 +25,16 @@ LOW_IMPORTANCE = 0.2
 MOST_SENT_NODES = 50_000    # with more low nodes than this, they are joined by a shuffle
 
 # Tags whose text is never the article's, tags that break blocks, tags without content, words of class, id and role.
-NOISE_TAGS = frozenset("head nav header footer aside form script style template noscript iframe object svg math canvas button select datalist dialog menu audio video map applet".split())
+NOISE_TAGS = frozenset("head nav header footer aside form script style template noscript iframe object svg canvas button select datalist dialog menu audio video map applet".split())
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer colophon comment comments discussion disqus replies respond share sharing social related recommended widget pagination pager search toolbar complementary contentinfo".split())
 KEPT_TAGS = frozenset(("article", "main"))
+# Inside an article or main: tags whose text may be the article's, ids (often made from headings) that drop content, tags that no name drops.
+DOUBTFUL_TAGS = frozenset("header footer aside".split())
+DROPPED_IDS = frozenset(("comments", "disqus"))
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table select html body article main section div td th".split())
@@ -39,8 +45,8 @@ _WORD = re.compile(r"[a-z]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in RAW_TAGS}
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Class, id and role of a start tag as one text, and whether they mark its content as not the article's."""
+def _names(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """Class, id and role of a start tag as one text, and whether they mark its content as not the article's; `inside`: in an article or main."""
     if not attributes:
         return "", False
     named, noise = [], False
@@ -50,10 +56,18 @@ def _names(attributes: str) -> tuple[str, bool]:
             noise = True
         elif name != "aria-hidden":
             named.append(value)
-            noise = noise or not NOISE_WORDS.isdisjoint(_WORD.findall(value))
+            if not inside:
+                noise = noise or not NOISE_WORDS.isdisjoint(_WORD.findall(value))
+            elif tag not in TEXT_TAGS:
+                noise = noise or not (DROPPED_IDS if name == "id" else NOISE_WORDS).isdisjoint(value.split())
     return " ".join(named), noise
 
 
+def _style(parent: str, tag: str, names: str) -> str:
+    """Hash of the chain of tags and names."""
+    return hashlib.blake2b(f"{parent}/{tag}.{names}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def parse(page: str) -> list[tuple[str, bool, str]]:
     """Text blocks in page order: style node, whether inside an article or main element, and the text."""
     out: list[tuple[str, bool, str]] = []
@@ -117,10 +131,10 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
                     break
         if tag in VOID_TAGS:
             continue
-        names, noise = _names(attributes)
         parent = stack[-1]
+        names, noise = _names(tag, attributes, parent[3])
         # A body or article marked with such a word is still the page's content.
-        noise = parent[2] or tag in NOISE_TAGS or noise and tag not in ("html", "body", "article", "main")
+        noise = parent[2] or tag in NOISE_TAGS and not (parent[3] and tag in DOUBTFUL_TAGS) or noise and tag not in ("html", "body", "article", "main")
         if tag in RAW_TAGS:
             close = _RAW_END[tag].search(page, at)
             if not noise and tag in ("textarea", "title"):
@@ -133,8 +147,7 @@ def parse(page: str) -> list[tuple[str, bool, str]]:
             continue
         if noise and not parent[2] and tag not in BLOCK_TAGS and pieces:
             pieces.append("")
-        style = f"{parent[1]}/{tag}.{names}" if names else f"{parent[1]}/{tag}"
-        stack.append((tag, style[-400:], noise, parent[3] or tag in KEPT_TAGS))
+        stack.append((tag, _style(parent[1], tag, names), noise, parent[3] or tag in KEPT_TAGS))
     flush()
     return out
 
@@ -144,7 +157,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^.*?://([^/?#]*)", 1))
 
 
-BLOCKS = "array<struct<style:string,kept:boolean,text:string>>"
+BLOCKS = "array<struct<style:string,text:string>>"
 
 
 def page_blocks(pages: DataFrame, html: str) -> DataFrame:
@@ -152,12 +165,12 @@ def page_blocks(pages: DataFrame, html: str) -> DataFrame:
     small_batches(pages.sparkSession)
     base = without(pages, ["__blocks"])
     position = base.columns.index(html)
-    kind = pa.list_(pa.struct([("style", pa.string()), ("kept", pa.bool_()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("style", pa.string()), ("text", pa.string())]))
     columns = [c for c in base.columns if c != html]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"style": s, "kept": k, "text": t} for s, k, t in parse(page)] if page else [] for page in batch.column(position).to_pylist()]
+            found = [[{"style": s, "text": t} for s, _, t in parse(page)] if page else [] for page in batch.column(position).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, kind)], names=[*columns, "__blocks"])
 
     rest = base.select(*[F.col(f"`{c}`") for c in columns])
@@ -171,8 +184,8 @@ def low_nodes(blocks: DataFrame) -> DataFrame:
     Importance is the larger of two entropies, with the number of pages as the base of the logarithm: of the node's content and
     of its number of blocks. Copies of a page count once.
     """
-    texts = F.transform("__blocks", lambda b: F.struct(b["style"].alias("style"), b["kept"].alias("kept"), F.xxhash64(b["text"]).alias("content")))
-    pages = blocks.select("__host", F.xxhash64(texts).alias("page"), F.filter(texts, lambda b: ~b["kept"]).alias("b")).dropDuplicates(["__host", "page"])
+    texts = F.transform("__blocks", lambda b: F.struct(b["style"].alias("style"), F.xxhash64(b["text"]).alias("content")))
+    pages = blocks.select("__host", F.xxhash64(texts).alias("page"), texts.alias("b")).dropDuplicates(["__host", "page"])
     nodes = pages.select("__host", "page", F.explode("b").alias("b")).groupBy("__host", "page", F.col("b.style").alias("style"))
     nodes = nodes.agg(F.sum(F.col("b.content").cast("decimal(38,0)")).alias("content"), F.count(F.lit(1)).alias("size"))
 
@@ -198,6 +211,6 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
     by_host = low.groupBy("__host").agg(F.collect_set("style").alias("__low"))
     by_host = F.broadcast(by_host) if low.count() <= MOST_SENT_NODES else by_host
     joined = blocks.join(by_host, "__host", "left")
-    left = F.filter("__blocks", lambda b: b["kept"] | F.col("__low").isNull() | ~F.array_contains(F.col("__low"), b["style"]))
+    left = F.filter("__blocks", lambda b: F.col("__low").isNull() | ~F.array_contains(F.col("__low"), b["style"]))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n\n")
     return joined.select(*[F.col(f"`{c}`") for c in columns], text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -35,6 +35,24 @@ def test_blocks_of_a_page(page, blocks):
     assert [text for _, _, text in parse(page)] == blocks
 
 
+@pytest.mark.parametrize("inner,blocks", [
+    ("<h2 id='related-work'>r</h2><section id='search-algorithms'><p>s</p></section><div class='side-by-side'>d</div><p id='comments-on-method'>c</p>", ["r", "s", "d", "c"]),
+    ("<section id=discussion><p>d</p></section><h2 class=notice>n</h2><p class='side'>p</p><header><h1>t</h1></header>", ["d", "n", "p", "t"]),
+    ("<p>let <math><mi>x</mi></math> be</p>", ["let x be"]),
+    ("<div class='big ad'>AD</div><div role=search>s</div><div class='ad-free'>f</div><p hidden>h</p><script>x</script>", ["f"]),
+])
+def test_article_text_is_not_dropped_by_parts_of_names(inner, blocks):
+    for tag in ("article", "main"):
+        assert [text for _, _, text in parse(f"<{tag}>{inner}</{tag}>")] == blocks
+
+
+def test_furniture_inside_articles_goes_and_long_paths_differ(spark):
+    deep = lambda name: f"<div class='{name}'>" + "<div class='{}'>".format("x" * 50) * 10
+    rows = [(i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><div class='z'>Read our terms</div><p>Text {i}</p>{deep('one')}Same</div>{'</div>' * 10}{deep('two')}Own {i}{'</div>' * 11}</article>") for i in range(8)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {i}\n\nText {i}\n\nOwn {i}" for i in range(8)}
+
+
 def test_site_furniture_goes_and_articles_stay(spark):
     rng = random.Random(1)
     body = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(30))

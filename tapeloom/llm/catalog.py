@@ -11,7 +11,8 @@ from tapeloom.llm.lsh_forest import near_duplicates
 from tapeloom.llm.poisson_mix import mix_sources
 from tapeloom.llm.prefix_free import remove_repeats
 from tapeloom.llm.site_bayes import classify_quality
-from tapeloom.llm.sql import ARCHIVE, CONTAMINATION, MIXTURE, URLS
+from tapeloom.llm.spelling import group_spellings
+from tapeloom.llm.sql import ARCHIVE, CONTAMINATION, MIXTURE, SPELLINGS, URLS
 from tapeloom.llm.style_tree import extract_main_text
 from tapeloom.llm.url_rules import filter_urls
 from tapeloom.llm.vector_packing import assign_shards
@@ -119,3 +120,10 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_folder(spark)}/warc"
     archives = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return read_archives(archives, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_spelling_variants", SPELLINGS)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with typing errors drawn by hash, and the frequent word that each is a variant of."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return group_spellings(docs).select("word", "form", "root", "n", "n_near", "form_n")

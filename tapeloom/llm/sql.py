@@ -58,3 +58,24 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN original IS NULL OR pag
   CASE WHEN original IS NULL OR page_id IS NOT DISTINCT FROM original THEN NULL ELSE original END AS refers_to
 FROM h JOIN letters USING (hex) JOIN g USING (body)
 """
+
+# The table of CRC-32 (polynomial 0xEDB88320, low bit first), for one byte a step.
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda s, b: xor(s >> 1, 3988292384 * (s & 1))) AS v FROM range(256) r(i)))"""
+
+# Letters beyond ASCII are two UTF-8 bytes here, the first of them 0xC3.
+SPELLINGS = "WITH RECURSIVE " + _CRC + r""",
+runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+  lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ((ord(c) & 63) | 128)::BIGINT] END))), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) AS h FROM runs, crc),
+typed AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM hashed),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pair AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN v ON c.rest = v.word UNION SELECT v.word, c.word FROM cut c JOIN v ON c.rest = v.word),
+near AS (SELECT p.word, p.other, o.n, row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS place, count(*) OVER (PARTITION BY p.word) AS n_near FROM pair p JOIN v o ON p.other = o.word),
+judged AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN e.n >= 5 * v.n THEN other END AS form, CASE WHEN e.n >= 5 * v.n THEN e.n END AS form_n
+  FROM v LEFT JOIN near e ON v.word = e.word AND place = 1),
+way AS (SELECT word, word AS root, 0 AS hops FROM judged UNION ALL SELECT w.word, j.form, hops + 1 FROM way w JOIN judged j ON w.root = j.word WHERE j.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(root, hops) AS root FROM way GROUP BY word) USING (word)
+"""

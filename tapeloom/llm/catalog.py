@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.automaton import find_contamination
+from tapeloom.llm.conversation_trie import conversation_trie
 from tapeloom.llm.lsh_forest import near_duplicates
 from tapeloom.llm.poisson_mix import mix_sources
 from tapeloom.llm.prefix_free import remove_repeats
 from tapeloom.llm.site_bayes import classify_quality
 from tapeloom.llm.spelling import group_spellings
-from tapeloom.llm.sql import ARCHIVE, CONTAMINATION, MIXTURE, SPELLINGS, URLS
+from tapeloom.llm.sql import ARCHIVE, CONTAMINATION, MIXTURE, SPELLINGS, TRIE, URLS
 from tapeloom.llm.style_tree import extract_main_text
+from tapeloom.llm.toxicity import score_toxicity
 from tapeloom.llm.url_rules import filter_urls
 from tapeloom.llm.vector_packing import assign_shards
 from tapeloom.llm.warc import read_archives, write_archives
@@ -122,6 +124,19 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archives, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, by a network trained on four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op12_conversation_trie", TRIE)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, with totals over their subtrees."""
+    return conversation_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 @query("op13_spelling_variants", SPELLINGS)
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, with typing errors drawn by hash, and the frequent word that each is a variant of."""

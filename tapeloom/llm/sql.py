@@ -79,3 +79,18 @@ judged AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN
 way AS (SELECT word, word AS root, 0 AS hops FROM judged UNION ALL SELECT w.word, j.form, hops + 1 FROM way w JOIN judged j ON w.root = j.word WHERE j.form IS NOT NULL)
 SELECT word, form, root, n, n_near, form_n FROM judged JOIN (SELECT word, arg_max(root, hops) AS root FROM way GROUP BY word) USING (word)
 """
+
+TRIE = "WITH " + _CRC + r""",
+conv AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+named AS (SELECT conv_id, turns, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) % 9 AS h FROM conv, crc),
+built AS (SELECT c.conv_id, list_concat(coalesce(g.turns[1:h], []), c.turns[h + 1:]) AS turns FROM named c LEFT JOIN conv g ON g.conv_id = c.conv_id - c.conv_id % 5),
+start AS (SELECT conv_id, d, turns[1:d] AS seq, len(turns) = d AS last FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+node AS (SELECT seq, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM start GROUP BY seq, d),
+kids AS (SELECT seq[1:d - 1] AS seq, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.seq[d].t) END AS saved FROM node n LEFT JOIN kids USING (seq)),
+totals AS (SELECT seq[1:a] AS seq, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT seq, n_children, saved, unnest(range(0, d + 1)) AS a FROM own) GROUP BY ALL)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own o JOIN totals USING (seq) LEFT JOIN node p ON o.d > 0 AND p.seq = o.seq[1:o.d - 1] AND p.d = o.d - 1
+"""

@@ -1,11 +1,11 @@
 """Main text of web pages by a site style tree.
 
 Pages are parsed to their text blocks; each block hangs on a style node, the chain of tags, classes and ids above it. Blocks under
-presentation that is never article (menus, headers, footers, forms, adverts, scripts and so on, by tag, role or class word) go at
-once. The pages of a host are merged by style node: a node's importance is the entropy, over the host's different pages, of what
+presentation that is never article (menus, headers, footers, forms, adverts, scripts and so on, by tag or by a whole class, id or
+role) go at once. The pages of a host are merged by style node: a node's importance is the entropy, over the host's different pages, of what
 stands there and of how many blocks it has. Nodes that say the same on nearly every page are the site's furniture and are removed
-from each page. Inside an article or main element only whole class and role words and tags without text drop content at once;
-whatever else may be furniture there is left to the tree.
+from each page. On hosts of few pages a node leans on what its style is worth elsewhere. Inside an article or main element headings,
+paragraphs and ids made from headings drop nothing at once; whatever else may be furniture there is left to the tree.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.frames import small_batches, staged, without
 
-LEAST_PAGES = 5             # different pages of a host before its tree judges a node
+LEAST_PAGES = 5             # different pages of a host before its tree judges a node by itself
 LOW_IMPORTANCE = 0.2
 MOST_SENT_NODES = 50_000    # with more low nodes than this, they are joined by a shuffle
 
@@ -31,35 +32,47 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer colophon comment comments discussion disqus replies respond share sharing social related recommended widget pagination pager search toolbar complementary contentinfo".split())
 KEPT_TAGS = frozenset(("article", "main"))
-# Inside an article or main: tags whose text may be the article's, ids (often made from headings) that drop content, tags that no name drops.
+# Inside an article or main: tags whose text may be the article's, ids (often made from headings) whose words drop content, tags that no name drops.
 DOUBTFUL_TAGS = frozenset("header footer aside".split())
-DROPPED_IDS = frozenset(("comments", "disqus"))
+COMMENT_IDS = frozenset("comment comments disqus".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+# Words that may stand beside one of the above in one class or id, with numbers; other words say what the content is.
+LAYOUT_WORDS = frozenset("site global top bottom left right primary secondary list lists box block wrap wrapper container inner outer bar bars links slot unit panel area holder".split())
+COMMENT_PARTS = frozenset("user reader thread section item count form body text content author meta post posts title header reply".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table select html body article main section div td th".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+_WORD = re.compile(r"[^\W_]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in RAW_TAGS}
 
 
+def _marks(token: str, words: frozenset) -> bool:
+    """Whether a class, id or role says that its content is furniture: one of the words, alone or beside words of layout only."""
+    parts = _WORD.findall(token)
+    said = words.intersection(parts)
+    if not said:
+        return False
+    beside = LAYOUT_WORDS | (COMMENT_PARTS if said & COMMENT_WORDS else frozenset())
+    return all(part in words or part in beside or part.isdigit() for part in parts)
+
+
+@lru_cache(maxsize=20_000)
 def _names(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
     """Class, id and role of a start tag as one text, and whether they mark its content as not the article's; `inside`: in an article or main."""
-    if not attributes:
-        return "", False
     named, noise = [], False
-    for name, value in _NAMED.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             noise = True
-        elif name != "aria-hidden":
+        elif name in ("class", "id", "role"):
             named.append(value)
-            if not inside:
-                noise = noise or not NOISE_WORDS.isdisjoint(_WORD.findall(value))
-            elif tag not in TEXT_TAGS:
-                noise = noise or not (DROPPED_IDS if name == "id" else NOISE_WORDS).isdisjoint(value.split())
+            if not inside or tag not in TEXT_TAGS:
+                words = COMMENT_IDS if inside and name == "id" else NOISE_WORDS
+                noise = noise or any(_marks(token, words) for token in value.split())
     return " ".join(named), noise
 
 
@@ -179,10 +192,11 @@ def page_blocks(pages: DataFrame, html: str) -> DataFrame:
 
 
 def low_nodes(blocks: DataFrame) -> DataFrame:
-    """(host, style) of the nodes whose importance is low over at least LEAST_PAGES different pages of the host.
+    """(host, style) of the nodes whose importance is low over the different pages of the host.
 
     Importance is the larger of two entropies, with the number of pages as the base of the logarithm: of the node's content and
-    of its number of blocks. Copies of a page count once.
+    of its number of blocks. Copies of a page count once. With fewer than LEAST_PAGES pages it is averaged, by pages, with the mean
+    importance of the same style on the hosts that have so many, which counts as LEAST_PAGES pages; a style unknown there counts as 1.
     """
     texts = F.transform("__blocks", lambda b: F.struct(b["style"].alias("style"), F.xxhash64(b["text"]).alias("content")))
     pages = blocks.select("__host", F.xxhash64(texts).alias("page"), texts.alias("b")).dropDuplicates(["__host", "page"])
@@ -192,10 +206,19 @@ def low_nodes(blocks: DataFrame) -> DataFrame:
     def entropy(by: str, name: str) -> DataFrame:
         counts = nodes.groupBy("__host", "style", by).agg(F.count(F.lit(1)).cast("double").alias("c"))
         merged = counts.groupBy("__host", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-        return merged.filter(F.col("m") >= LEAST_PAGES).select("__host", "style", ((F.log("m") - F.col("s") / F.col("m")) / F.log("m")).alias(name))
-
-    both = entropy("content", "by_content").join(entropy("size", "by_size"), ["__host", "style"])
-    return both.filter(F.greatest("by_content", "by_size") < LOW_IMPORTANCE).select("__host", "style")
+        known = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
+        return merged.select("__host", "style", "m", known.alias(name))
+
+    both = staged(entropy("content", "by_content").join(entropy("size", "by_size").drop("m"), ["__host", "style"]).select(
+        "__host", "style", "m", F.greatest("by_content", "by_size").alias("importance")))
+    own = both.filter((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LOW_IMPORTANCE)).select("__host", "style")
+    # Higher priors than this cannot make a node low.
+    most = LOW_IMPORTANCE * (2 * LEAST_PAGES - 1) / LEAST_PAGES
+    prior = both.filter(F.col("m") >= LEAST_PAGES).groupBy("style").agg(F.avg("importance").alias("prior")).filter(F.col("prior") < most)
+    prior = staged(prior)
+    few = both.filter(F.col("m") < LEAST_PAGES).join(F.broadcast(prior) if prior.count() <= MOST_SENT_NODES else prior, "style")
+    shrunk = (F.col("m") * F.col("importance") + LEAST_PAGES * F.col("prior")) / (F.col("m") + LEAST_PAGES)
+    return own.unionByName(few.filter(shrunk < LOW_IMPORTANCE).select("__host", "style"))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

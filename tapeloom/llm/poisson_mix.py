@@ -16,6 +16,7 @@ from tapeloom.llm.frames import staged, without
 SEED = 17
 # Shares of the mixture for named sources; the others divide what is left in proportion to their bytes.
 TARGET_WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.08, "src3": 0.02, "src4": 0.06}
+MOST_RATE = 500.0           # of one draw
 MOST_SENT_SOURCES = 5_000   # with more sources than this, rates are joined by a shuffle
 
 
@@ -43,8 +44,13 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float], source: str, tex
     return sized.join(F.broadcast(whole)).select("source", "bytes", rate.alias("rate"))
 
 
+def parts_of(rate: Column) -> Column:
+    """In how many equal parts a rate is drawn: sums of independent Poisson draws are Poisson draws of the summed rate."""
+    return F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+
+
 def poisson_steps(rate: Column) -> Column:
-    """P(copies <= k) for k = 0, 1, ... until what is left is below the resolution of `uniform`.
+    """P(copies <= k) for k = 0, 1, ... until what is left is below the resolution of `uniform`; for rates up to MOST_RATE.
 
     Summed from logarithms, so that a large rate doesn't underflow.
     """
@@ -68,14 +74,20 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, key
     columns of the added names are replaced. The rows of the result are sorted by shuffle_key over all its partitions.
     """
     weights = TARGET_WEIGHTS if weights is None else weights
-    rates = staged(source_rates(docs, weights, source, text, total).select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps")))
+    shared = source_rates(docs, weights, source, text, total).withColumn("parts", parts_of(F.col("rate")))
+    rates = staged(shared.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), poisson_steps(F.col("rate") / F.col("parts")).alias("__steps")))
     if rates.count() <= MOST_SENT_SOURCES:
         rates = F.broadcast(rates)
     base = without(docs, ["replica", "shuffle_key"])
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
     drawn = base.withColumn("__name", name).join(rates, F.col(source).eqNullSafe(F.col("__source")))
-    u = uniform(F.lit(str(seed)), F.col("__name"))
-    copies = drawn.withColumn("__u", u).withColumn("__copies", F.size(F.filter("__steps", lambda step: step <= F.col("__u"))))
-    copies = copies.filter("__copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    def drawn_copies(u: Column) -> Column:
+        return F.size(F.filter("__steps", lambda step: step <= u))
+    # Nearly all sources are drawn at once; only a rate beyond MOST_RATE is a sum of draws.
+    once = drawn.withColumn("__u", uniform(F.lit(str(seed)), F.col("__name"))).withColumn("__copies", drawn_copies(F.col("__u")).cast("long"))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0).cast("long"),
+                       lambda total, k: total + drawn_copies(uniform(F.concat(F.lit(f"{seed}:"), k.cast("string")), F.col("__name"))))
+    copies = once.withColumn("__copies", F.when(F.col("__parts") > 1, F.col("__copies") + more).otherwise(F.col("__copies")))
+    copies = copies.filter("__copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), "__name", "replica")))
-    return keyed.drop("__name", "__source", "__steps", "__u", "__copies").sort("shuffle_key")
+    return keyed.drop("__name", "__source", "__parts", "__steps", "__u", "__copies").sort("shuffle_key")

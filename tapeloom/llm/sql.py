@@ -23,12 +23,13 @@ named AS (SELECT source, bytes, CASE source WHEN 'src0' THEN 0.15::DOUBLE WHEN '
 whole AS (SELECT sum(bytes)::DOUBLE AS all_bytes, sum(bytes) FILTER (w IS NULL) AS other_bytes, coalesce(sum(w) FILTER (bytes > 0), 0) AS named_share FROM named),
 rates AS (SELECT source, CASE WHEN bytes > 0 THEN (CASE WHEN w IS NOT NULL THEN CASE WHEN coalesce(other_bytes, 0) > 0 THEN w ELSE w / named_share END
   ELSE (1 - named_share) * bytes / other_bytes END) * all_bytes / bytes ELSE 0 END AS rate FROM named, whole),
-steps AS (SELECT source, k, sum(CASE WHEN rate > 0 THEN exp(CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - rate - lgamma(k + 1.0)) ELSE 1 END) OVER (PARTITION BY source ORDER BY k) AS step
-  FROM (SELECT source, rate, unnest(range(0, CASE WHEN rate > 0 THEN ceil(rate + 10 * sqrt(rate) + 30)::BIGINT + 1 ELSE 1 END)) AS k FROM rates)),
-lists AS (SELECT source, list(step ORDER BY k) AS steps FROM steps GROUP BY source),
-drawn AS (SELECT doc_id, d.source, coalesce(strlen(text), 0)::BIGINT AS n_bytes, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS name, steps
+parted AS (SELECT source, greatest(ceil(rate / 500), 1)::BIGINT AS parts, rate / greatest(ceil(rate / 500), 1) AS rate FROM rates),
+steps AS (SELECT source, parts, k, sum(CASE WHEN rate > 0 THEN exp(CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - rate - lgamma(k + 1.0)) ELSE 1 END) OVER (PARTITION BY source ORDER BY k) AS step
+  FROM (SELECT source, parts, rate, unnest(range(0, CASE WHEN rate > 0 THEN ceil(rate + 10 * sqrt(rate) + 30)::BIGINT + 1 ELSE 1 END)) AS k FROM parted)),
+lists AS (SELECT source, parts, list(step ORDER BY k) AS steps FROM steps GROUP BY source, parts),
+drawn AS (SELECT doc_id, d.source, coalesce(strlen(text), 0)::BIGINT AS n_bytes, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS name, steps, parts
   FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
-copies AS (SELECT *, len(list_filter(steps, lambda s: s <= (('0x' || substr(md5('17|' || name), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)) AS n FROM drawn)
+copies AS (SELECT *, list_sum(list_transform(range(1, parts + 1), lambda k: len(list_filter(steps, lambda s: s <= (('0x' || substr(md5('17' || CASE WHEN k > 1 THEN ':' || k ELSE '' END || '|' || name), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0))))::BIGINT AS n FROM drawn)
 SELECT doc_id, source, replica::INTEGER AS replica, md5('17:order|' || name || '|' || replica) AS shuffle_key, n_bytes
 FROM (SELECT *, unnest(range(1, n + 1)) AS replica FROM copies WHERE n > 0)
 """

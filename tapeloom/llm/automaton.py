@@ -250,7 +250,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 def remove_contamination(docs: DataFrame, items: DataFrame, text: str = "text", most_coverage: float = 0.5) -> DataFrame:
     """Cut the hit spans (each at least an item window) out of the texts; drop documents hit beyond `most_coverage` of their words.
 
-    The columns of the input stay; a text without hits, also a null one, stays as it is. What surrounds a cut closes up.
+    The columns of the input stay; a text without hits, also a null one, stays as it is. What surrounds a cut closes up. Rows that
+    repeat are cut alike and all stay; where items overlap, what any of them hits is cut; an empty table gives an empty result.
     """
     # The marks are internal here: columns of the input that have their names are set aside.
     columns = [f"__in_{c}" if c.lower() in OWN else c for c in docs.columns]

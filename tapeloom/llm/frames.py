@@ -56,3 +56,14 @@ def row_totals(counts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     total = np.zeros(len(counts) + 1, dtype=np.int64)
     np.cumsum(counts, out=total[1:])
     return total[ends] - total[starts]
+
+
+def set_aside(df: DataFrame, used) -> tuple[DataFrame, list]:
+    """The frame with all columns but the used ones under reserved names, and the expressions that select the old frame again.
+
+    An operator then adds columns of any name without meeting one of the input's.
+    """
+    kept = {name.lower() for name in used}
+    names = [c if c.lower() in kept else f"__in_{i}" for i, c in enumerate(df.columns)]
+    aside = df.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(df.columns, names, strict=True)])
+    return aside, [F.col(f"`{name}`").alias(c) for c, name in zip(df.columns, names, strict=True)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.components import connected_components
-from tapeloom.llm.frames import small_batches, staged
+from tapeloom.llm.frames import set_aside, small_batches, staged
 from tapeloom.llm.textblocks import LOWER, SPACES, U64, Block, blocks, find_words, mix, range_hashes, shingles, signed, whole_sequence
 
 WIDTH = 5
@@ -351,6 +351,7 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     The row that stays has the component's least key, null keys last; of several texts under that key, one.
     """
     small_batches(docs.sparkSession)
+    docs, columns = set_aside(docs, [key, text])
     judged = _judged(docs, key, text, percent, DENSE, BLOCK)
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("high") == F.col("head.high")) & (F.col("low") == F.col("head.low"))
     stay = judged.filter(F.col("class").isNull() | is_head).select(F.col("doc_id").alias("__id"), F.col("high").alias("__h"), F.col("low").alias("__l"), F.col("class").isNull().alias("__wordless")).distinct()
@@ -358,4 +359,4 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     kept = docs.select("*", *_text_hashes(text)).join(stay, same)
     # Copies of a head under its own key and text are one row; rows without words are told apart.
     kept = kept.withColumn("__row", F.when(F.col("__wordless"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return kept.dropDuplicates([key, "__high", "__low", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates([key, "__high", "__low", "__row"]).select(*columns)

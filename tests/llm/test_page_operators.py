@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -17,7 +18,7 @@ from tapeloom.llm.url_rules import SITE_RULES, filter_urls, word_rule
 from tapeloom.llm.warc import CorruptArchive, read_archives, read_records, record, write_archives
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("page,blocks", [
@@ -46,6 +47,32 @@ def test_article_text_is_not_dropped_by_parts_of_names(inner, blocks):
         assert [text for _, _, text in parse(f"<{tag}>{inner}</{tag}>")] == blocks
 
 
+@pytest.mark.parametrize("inner,blocks", [
+    ('<p><a href="/hidden-valley">Hidden Valley</a> is a ski resort.</p>', ["Hidden Valley is a ski resort."]),
+    ('<p title="Hidden treasure">The treasure was found.</p>', ["The treasure was found."]),
+    ("<p data-class=ad>a</p><p title='class=ad hidden'>b</p><p data-x='role=search'>c</p><div aria-hidden=false>d</div><div hidden-x>e</div>", ["a", "b", "c", "d", "e"]),
+    ('<p title="a > b" hidden>h</p><div aria-hidden="true">i</div><div HIDDEN>j</div><p x="1"hidden>k</p><p>z</p>', ["z"]),
+    ("<div class='share-price'>s</div><div class='menu-item-description'>m</div><p class='alert-level'>a</p>", ["s", "m", "a"]),
+    ("<div class='comment-list'>s</div><div class='user-comment'>m</div><div id='comment-12'>a</div><div class='x comments_section'>c</div><p>z</p>", ["z"]),
+    ("<div class='nav-bar top'>n</div><div class='ad-slot-3'>a</div><div class='sidebar_left'>s</div><p>z</p>", ["z"]),
+])
+def test_attributes_are_names_with_values(inner, blocks):
+    for tag in ("article", "main", "div"):
+        assert [text for _, _, text in parse(f"<{tag}>{inner}</{tag}>")] == blocks
+
+
+def test_small_hosts_lean_on_the_same_style_elsewhere(spark):
+    page = lambda host, i: f"<div><div><span>Terms of {host}</span></div><div><p>Story {i} of {host}</p></div><table><tr><td>Prices {host}</td></tr></table></div>"
+    rows = [(f"{host}{i}", f"http://{host}.example/{i}", page(host, i)) for host, n in (("one", 1), ("two", 2), ("nine", 9), ("ten", 10), ("fifty", 50)) for i in range(n)]
+    # A small host with a layout of its own keeps it, even where its pages agree.
+    rows += [(f"own{i}", f"http://own.example/{i}", f"<section><h2>Same words</h2><p>Own story {i}</p></section>") for i in range(3)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for host, n in (("one", 1), ("two", 2), ("nine", 9), ("ten", 10), ("fifty", 50)):
+        for i in range(n):
+            assert got[f"{host}{i}"] == f"Story {i} of {host}"
+    assert got["own1"] == "Same words\n\nOwn story 1"
+
+
 def test_furniture_inside_articles_goes_and_long_paths_differ(spark):
     deep = lambda name: f"<div class='{name}'>" + "<div class='{}'>".format("x" * 50) * 10
     rows = [(i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><div class='z'>Read our terms</div><p>Text {i}</p>{deep('one')}Same</div>{'</div>' * 10}{deep('two')}Own {i}{'</div>' * 11}</article>") for i in range(8)]
@@ -129,7 +156,49 @@ def test_reader_is_sequential_and_strict():
             list(read_records(io.BytesIO(broken)))
 
 
-@pytest.mark.parametrize("name", ["op3_source_mixture", "op8_url_filter", "op9_decontamination", "op10_warc"])
+def _foreign(kind, block, **head):
+    lines = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC-Type": kind, "WARC-Target-URI": "http://x/", **head, "Content-Length": len(block)}.items())
+    return gzip.compress(b"WARC/1.0\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_records_of_other_writers():
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n"
+    parts = [_foreign("warcinfo", b"software: x\r\n"), _foreign("request", b"GET / HTTP/1.1\r\n\r\n"), _foreign("response", http + b"\r\nplain"),
+             _foreign("response", http + b"Transfer-Encoding: chunked\r\n\r\n4;x=y\r\nabcd\r\n10\r\n0123456789abcdef\r\n0\r\n\r\n"), _foreign("metadata", b""),
+             _foreign("response", http + b"Content-Length: 900\r\n\r\ncut", WARC_Truncated="length", WARC_Payload_Digest="sha1:AAAA"), _foreign("response", b"no header at all"),
+             _foreign("response", http + b"\r\nother hash", WARC_Payload_Digest="md5:00"), _foreign("revisit", http + b"\r\n"), record(9, "u", b"own", None, False)]
+    got = list(read_records(io.BytesIO(b"".join(parts))))
+    assert [r["payload"] for r in got] == [b"plain", b"abcd0123456789abcdef", b"cut", b"no header at all", b"other hash", None, b"own"]
+    assert [r["page_id"] for r in got] == [None] * 6 + [9] and got[5]["record_type"] == "revisit" and got[5]["payload_digest"] is None
+    assert got[0]["payload_digest"] == base64.b32encode(hashlib.sha1(b"plain").digest()).decode() and got[1]["payload_bytes"] == 20
+    for broken in (_foreign("response", http + b"Content-Length: 9\r\n\r\nshort"), _foreign("response", http + b"Transfer-Encoding: chunked\r\n\r\nzz\r\n"),
+                   _foreign("response", http + b"Transfer-Encoding: chunked\r\n\r\nff\r\nabc"), gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n")):
+        with pytest.raises(CorruptArchive):
+            list(read_records(io.BytesIO(broken)))
+
+
+def test_a_revisit_names_the_record_it_repeats():
+    text = gzip.decompress(record(1, "u", b"same", 2, True)).decode()
+    original = re.search("WARC-Record-ID: (.*)\r", gzip.decompress(record(2, "v", b"same", None, False)).decode())[1]
+    assert f"WARC-Refers-To: {original}\r\n" in text
+
+
+def test_reading_tasks_grow_with_the_archives_and_errors_are_rows(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"page {i} " * 50) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash")).withColumn("name", F.lit("clash")).repartition(4)
+    archives = write_archives(pages, str(tmp_path), archive_bytes=1)
+    read = read_archives(archives, str(tmp_path))
+    assert archives.count() == 40 and read.rdd.getNumPartitions() >= 4 and read.count() == 40
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    paths = sorted(r.path for r in archives.collect())
+    with open(paths[0], "ab") as broken:
+        broken.write(b"junk")
+    got = read_archives(archives, str(tmp_path), with_errors=True).collect()
+    assert len(got) == 41 and [r.url for r in got if r.error] == [paths[0]]
+    assert read_archives(archives.limit(0), str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op3_source_mixture", "op8_url_filter", "op9_decontamination", "op10_warc", "op12_conversation_trie", "op13_spelling_variants"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for table in TABLES:
@@ -154,6 +223,22 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     assert out.count() == sizes[4] and set(columns) < set(out.columns)
 
 
+def test_pipeline_stages_leave_columns_of_any_name_alone(spark):
+    """Columns named like what a stage adds or uses within come through as they went in."""
+    docs = spark.read.parquet(os.path.join(SF, "documents.parquet")).limit(80)
+    names = ["n_words", "kept", "base_failed", "quality_probability", "replica", "shuffle_key", "__high", "__low", "__row", "__id", "class", "__in_0", "n_hit", "contaminated", "__steps", "head", "text_"]
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"mine{i}"), F.col("doc_id").cast("string")))
+    docs = corpus_pipeline.staged(docs)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.staged(stage(spark, docs, SF))
+        assert docs.columns == columns, name
+        for r in docs.collect():
+            assert all(r[c] == f"mine{i}{r.doc_id}" for i, c in enumerate(names)), name
+    assert docs.count() > 0
+
+
 def test_pipeline_takes_an_empty_table(spark):
     docs = spark.read.parquet(os.path.join(SF, "documents.parquet")).limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -161,8 +246,8 @@ def test_pipeline_takes_an_empty_table(spark):
     assert docs.count() == 0
 
 
-def test_all_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([name for name in names if name.startswith(f"op{n}_")]) == 1

@@ -331,3 +331,17 @@ def test_fit_separates_and_survives_no_rows():
 
 def test_stats_are_described():
     assert all(STATS.values())
+
+
+def test_a_large_rate_is_a_sum_of_draws(spark, monkeypatch):
+    """Rates beyond MOST_RATE are drawn in parts; copies keep the rate's mean and spread, and no array grows with it."""
+    from tapeloom.llm import poisson_mix
+    docs = spark.createDataFrame([(i, "x" * 10, "rare") for i in range(60)] + [(1000, "y" * 1_000_000, "big")], "doc_id long, text string, source string").repartition(3)
+    whole = 60 * 10 + 1_000_000
+    monkeypatch.setattr(poisson_mix, "MOST_RATE", 20.0)
+    rate = 100.0
+    out = mix_sources(docs, {"rare": rate * 600 / whole})
+    counts = sorted(r["count"] for r in out.filter("source = 'rare'").groupBy("doc_id").count().collect())
+    assert len(counts) == 60 and abs(np.mean(counts) - rate) < 5 and 6 < np.std(counts) < 15
+    again = mix_sources(docs, {"rare": rate * 600 / whole})
+    assert sorted(map(tuple, out.select("doc_id", "replica", "shuffle_key").collect())) == sorted(map(tuple, again.select("doc_id", "replica", "shuffle_key").collect()))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tapeloom.llm.frames import add_columns
 from tapeloom.llm.textblocks import LOWER, NON_ALNUM, Block, blocks, find_words, range_hashes
 
-SAMPLE_ROWS = 6000          # labelled rows the network is fitted on, at most
+SAMPLE_ROWS = 4000          # labelled rows the network is fitted on, at most
 SAMPLE_BYTES = 20_000       # longer texts are scored as a whole but not fitted on
 FOLDS = 5                   # of the doc_ids' crc32: remainder 0 is held out; the sample is parted by its own hash
 WINDOW, STRIDE = 32, 16
@@ -31,6 +31,7 @@ STATE, CHARS, ATTENTION = 8, 4, 8
 TRIGRAMS = 1 << 16
 PRIOR_WEIGHT = 5.0          # texts' worth of prior in a word's evidence
 UPDATES, BATCH, RATE, PICKS = 480, 256, 0.01, 4
+TEXTS_AT_ONCE = 200
 SLAB = 2048                 # windows that run through the network at once
 KEPT_EVIDENCE = 0.02
 INPUTS = 4 + CHARS
@@ -103,9 +104,12 @@ def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opens = np.concatenate([[0], np.cumsum(per_row)[:-1]]).astype(np.int64)
     row = np.repeat(np.arange(len(counts)), per_row)
     step = (np.arange(int(per_row.sum())) - opens[row]) * STRIDE
-    start = np.minimum(step, np.maximum(counts[row] - WINDOW, 0))
-    at = start[:, None] + np.arange(WINDOW)
-    return np.where(at < counts[row][:, None], at + first[:-1][row][:, None], -1), row, opens
+    start = np.minimum(step, np.maximum(counts[row] - WINDOW, 0)).astype(np.int32)
+    at = start[:, None] + np.arange(WINDOW, dtype=np.int32)
+    inside = at < counts[row][:, None]
+    at += first[:-1][row][:, None].astype(np.int32)
+    at[~inside] = -1
+    return at, row, opens
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -252,41 +256,49 @@ class Sample:
             _, at = np.unique(rows[-1], return_index=True)
             known["hashes"].append(rows[-1][at])
             known["sizes"].append(words.end[at] - words.begin[at])
-            known["data"] += [data[b:e] for b, e in zip(words.begin[at], words.end[at], strict=True)]
+            known["data"] += [data[b:e].tobytes() for b, e in zip(words.begin[at], words.end[at], strict=True)]
         hashes, sizes = (np.concatenate(known[c]) if known[c] else np.zeros(0, dtype=np.int64) for c in ("hashes", "sizes"))
         kept = np.unique(hashes, return_index=True)[1]
         data = [known["data"][i] for i in kept]
         starts = np.concatenate([[0], np.cumsum(sizes[kept])]).astype(np.int64)
-        self.words = lexicon(np.concatenate(data) if data else np.zeros(0, dtype=np.uint8), starts[:-1], starts[1:], hashes[kept].astype(np.uint64)) if len(kept) else Lexicon(
+        self.words = lexicon(np.frombuffer(b"".join(data), dtype=np.uint8), starts[:-1], starts[1:], hashes[kept].astype(np.uint64)) if len(kept) else Lexicon(
             np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in range(4)))
-        self.ids = np.searchsorted(self.words.hashes, np.concatenate(rows)) if rows else np.zeros(0, dtype=np.int64)
+        self.ids = np.searchsorted(self.words.hashes, np.concatenate(rows)).astype(np.int32) if rows else np.zeros(0, dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, dtype=np.int64)
         self.labels, self.parts = labels, parts
         self.rate = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 0.999))
-        text = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self._words_seen = self._by_part(text, self.ids, len(self.words.hashes))
+        self._count()
+
+    def _count(self) -> None:
+        """(part, 0 or 1, thing) for words and trigram buckets: texts of a part that have a thing, and toxic ones among them."""
+        n = max(len(self.words.hashes), 1)
+        self._words_seen, self._trigrams_seen = np.zeros((FOLDS, 2, n)), np.zeros((FOLDS, 2, TRIGRAMS))
         of_word = np.repeat(np.arange(len(self.words.hashes)), self.words.sizes)
         pairs = np.unique(of_word * TRIGRAMS + self.words.buckets) if len(of_word) else np.zeros(0, dtype=np.int64)
-        heads = np.searchsorted(pairs // TRIGRAMS, np.arange(len(self.words.hashes) + 1))
-        distinct = np.unique(text.astype(np.int64) * max(len(self.words.hashes), 1) + self.ids)
-        text, word = distinct // max(len(self.words.hashes), 1), distinct % max(len(self.words.hashes), 1)
-        spans = np.diff(heads)[word]
-        flat = np.repeat(heads[:-1][word] - np.concatenate([[0], np.cumsum(spans)[:-1]]).astype(np.int64), spans) + np.arange(int(spans.sum())) if len(word) else np.zeros(0, dtype=np.int64)
-        self._trigrams_seen = self._by_part(np.repeat(text, spans), (pairs % TRIGRAMS)[flat], TRIGRAMS)
-
-    def _by_part(self, text: np.ndarray, thing: np.ndarray, n: int) -> np.ndarray:
-        """(part, 0 or 1, thing): texts of a part that have a thing, and toxic ones among them."""
-        distinct = np.unique(text.astype(np.int64) * max(n, 1) + thing)
-        text, thing = distinct // max(n, 1), distinct % max(n, 1)
-        out = np.zeros((FOLDS, 2, n))
+        heads = np.searchsorted(pairs // TRIGRAMS, np.arange(n + 1))
+        for lo in range(0, len(self.labels), TEXTS_AT_ONCE):
+            hi = min(lo + TEXTS_AT_ONCE, len(self.labels))
+            text = np.repeat(np.arange(lo, hi), np.diff(self.first[lo:hi + 1]))
+            if not len(text):
+                continue
+            distinct = np.unique(text * n + self.ids[self.first[lo]:self.first[hi]])
+            text, word = distinct // n, distinct % n
+            self._add(self._words_seen, text, word)
+            spans = np.diff(heads)[word]
+            flat = np.repeat(heads[:-1][word] - np.concatenate([[0], np.cumsum(spans)[:-1]]).astype(np.int64), spans) + np.arange(int(spans.sum()))
+            distinct = np.unique(np.repeat(text, spans) * TRIGRAMS + pairs[flat] % TRIGRAMS)
+            self._add(self._trigrams_seen, distinct // TRIGRAMS, distinct % TRIGRAMS)
+
+    def _add(self, seen: np.ndarray, text: np.ndarray, thing: np.ndarray) -> None:
         for part in range(FOLDS):
             here = self.parts[text] == part
-            out[part] = np.stack([np.bincount(thing[here], minlength=n), np.bincount(thing[here], self.labels[text[here]], n)])
-        return out
+            toxic = here & (self.labels[text] == 1)
+            seen[part] += np.stack([np.bincount(thing[here], minlength=seen.shape[2]), np.bincount(thing[toxic], minlength=seen.shape[2])])
 
     def evidence(self, part: int | None = None) -> Evidence:
         """From all parts but one, or from all."""
         words, trigrams = (seen.sum(axis=0) - (seen[part] if part is not None else 0) for seen in (self._words_seen, self._trigrams_seen))
+        words = words[:, :len(self.words.hashes)]
         said = _evidence(words[0], words[1], self.rate)
         kept = np.abs(said) >= KEPT_EVIDENCE
         return Evidence(self.words.hashes[kept], said[kept], _evidence(trigrams[0], trigrams[1], self.rate))
@@ -298,11 +310,15 @@ def fit(texts: list[str], labels: np.ndarray, parts: np.ndarray, seed: int = 20)
         return None
     sample = Sample(texts, labels, parts)
     windows, row, opens = windows_of(sample.first)
-    ids = np.where(windows < 0, -1, sample.ids[windows] if len(sample.ids) else -1)
+    ids = windows
+    if len(sample.ids):
+        ids = sample.ids[windows]
+        ids[windows < 0] = -1
+    del windows
     rng = np.random.default_rng(seed)
     p = initial(rng, float(np.log(sample.rate / (1 - sample.rate))))
     # Inputs that are not learned, as the texts of each part see them; the last row stands for no word.
-    fixed = np.zeros((FOLDS, len(sample.words.hashes) + 1, 4))
+    fixed = np.zeros((FOLDS, len(sample.words.hashes) + 1, 4), dtype=np.float32)
     for part in range(FOLDS):
         fixed[part, :-1] = word_inputs(sample.words, sample.evidence(part), p["chars"])[:, :4]
     window_part = parts[row]
@@ -319,7 +335,11 @@ def fit(texts: list[str], labels: np.ndarray, parts: np.ndarray, seed: int = 20)
             here = np.flatnonzero(window_part == part)
             out[here] = scores(p, np.concatenate([fixed[part, :-1], embedded], axis=1), ids[here])
         return out
-    top = picked(fixed[window_part[:, None], ids, 0].max(axis=1))
+    seen = np.empty(len(ids))
+    for part in range(FOLDS):
+        here = np.flatnonzero(window_part == part)
+        seen[here] = fixed[part, :, 0][ids[here]].max(axis=1)
+    top = picked(seen)
     clean = np.flatnonzero(labels[row] == 0)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for update in range(1, UPDATES + 1):

@@ -1,12 +1,9 @@
-"""Model queries (rows-only checks: boosted trees have no SQL form) and sinks."""
+"""Model queries (boosted trees have no SQL form; their folds and rows do) and sinks."""
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import newest, rounded
+from tapeloom.functions.exprs import rounded
 from tapeloom.operators import evaluation as ev
 from tapeloom.operators import factors as fa
 from tapeloom.operators import features as ft
@@ -19,28 +16,28 @@ from tapeloom.plans.registry import query
 from tapeloom.session import cut_lineage, scratch_folder
 from tapeloom.sources import sinks
 
-# The reference's counts: 400, and 300 in the outcome and event classifiers of the folds.
-TREES, CLASS_TREES = 400, 300
 FIRST = "1995-01-01"
 HORIZONS = (1, 3, 5, 10, 21)
+LEAST = (2000, 200)
 # The ablation's feature groups.
 GROUPS = {"Technical only": ft.TECHNICAL, "Fundamental only": ft.FUNDAMENTAL, "Sentiment only": ft.SENTIMENT,
           "Tech + Sentiment": ft.TECHNICAL + ft.SENTIMENT, "All features": ft.FEATURES}
 
 
 def panel(m):
-    """All features of full bars, imputed by date; kept once for the fits."""
-    return cut_lineage(ft.impute(ft.feature_frame(m.staged())))
+    """All features of full bars, imputed by date."""
+    return ft.impute(ft.feature_frame(m.staged()))
 
 
 def return_predictions(rows, days: int = 5, features=ft.FEATURES):
     """Out-of-sample predictions of quarterly folds."""
-    return md.walk_forward_returns(rows, ev.quarterly_folds(rows, FIRST, embargo=days), features, TREES)
+    return md.walk_forward_returns(rows, ev.quarterly_folds(rows, FIRST, embargo=days), features)
 
 
-def fold_verdict(oos):
-    """Mean rank correlation over the folds, significant folds, and whether that is a signal."""
-    summed = ev.fold_summary(ev.spearman(oos, "pred_return", "fwd_return", ["fold"]))
+def fold_verdict(oos, keys):
+    """Mean rank correlation over the folds, significant folds, and whether that is a signal, by key."""
+    folds = ev.spearman(oos, "margin", "y", [*keys, "fold"])
+    summed = folds.groupBy(*keys).agg(F.avg("rho").alias("mean_rho"), F.count_if(F.col("pval") < 0.05).alias("n_significant"), F.count("*").alias("n_folds"))
     rho, needed = F.coalesce("mean_rho", F.lit(0.0)), F.floor(F.col("n_folds") / 3)
     return summed.withColumn("signal", F.when((rho > 0.03) & (F.col("n_significant") >= needed), "YES").when(rho > 0.01, "weak").otherwise("none"))
 
@@ -53,21 +50,26 @@ def _(m):
     return per.join(mse, "fold")
 
 
-@query("outcome_classifier", "L-07, L-10")
-def _(m):
-    rows = lb.barrier_label(panel(m)).filter(F.col("label") != "NEUTRAL").withColumn("label_binary", (F.col("label") == "WIN").cast("int"))
+def outcome_probabilities(m, keep=()):
+    """Out-of-sample probability of a win for every decided row."""
+    rows = cut_lineage(lb.barrier_label(panel(m)).filter(F.col("label") != "NEUTRAL").withColumn("label_binary", (F.col("label") == "WIN").cast("int")))
     start = rows.agg(F.add_months(F.trunc(F.max("date"), "YEAR"), -24).cast("string")).first()[0]
     folds = ev.fixed_folds(m.spark, first=start, train_start=FIRST, earliest="1996-01-01")
-    return ev.classification_metrics(md.walk_forward_classes(rows, folds, ft.FEATURES, "label_binary", CLASS_TREES), "label_binary", "prob", ["fold"])
+    return cut_lineage(md.walk_forward_classes(rows, folds, ft.FEATURES, "label_binary", md.OUTCOME, keep=keep))
+
+
+@query("outcome_classifier", "L-07, L-10")
+def _(m):
+    return ev.classification_metrics(outcome_probabilities(m), "label_binary", "prob", ["fold"])
 
 
 @query("meta_label_classifier", "L-08, L-10")
 def _(m):
-    rows = panel(m)
-    calls = cut_lineage(return_predictions(lb.add_target(rows, 5))).select("ticker", "date", "pred_return")
-    called = lb.long_calls(lb.barrier_label(rows, target=3.0, stop=1.5).join(calls, ["ticker", "date"]))
+    rows = cut_lineage(panel(m))
+    calls = return_predictions(lb.add_target(rows, 5)).select("ticker", "date", "pred_return")
+    called = cut_lineage(lb.long_calls(lb.barrier_label(rows, target=3.0, stop=1.5).join(calls, ["ticker", "date"])))
     folds = ev.quarterly_folds(called, FIRST, embargo=21)
-    return ev.classification_metrics(md.walk_forward_classes(called, folds, md.META_FEATURES, "meta_label", TREES), "meta_label", "prob", ["fold"])
+    return ev.classification_metrics(cut_lineage(md.walk_forward_classes(called, folds, md.META_FEATURES, "meta_label", md.META)), "meta_label", "prob", ["fold"])
 
 
 def event_rows(m):
@@ -79,34 +81,43 @@ def event_rows(m):
 @query("event_classifier", "L-09, L-10")
 def _(m):
     events = cut_lineage(event_rows(m))
-    oos = md.walk_forward_events(events, ev.yearly_folds(events), CLASS_TREES)
+    oos = cut_lineage(md.walk_forward_events(events, ev.yearly_folds(events)))
     return ev.classification_metrics(oos, "label_binary", "prob", ["year"])
 
 
+def horizon_variants(data):
+    """One family of fold models per horizon, each with a gap of its own before the test."""
+    return [md.Variant(ev.quarterly_folds(data.filter(F.col(f"fwd_{days}").isNotNull()), FIRST, embargo=days), f"fwd_{days}", ft.FEATURES, md.RETURN, LEAST) for days in HORIZONS]
+
+
 @query("lookahead_sweep", "L-15")
 def _(m):
-    rows = panel(m)
-    parts = [fold_verdict(cut_lineage(return_predictions(lb.add_target(rows, days), days))).select(F.lit(days).alias("days"), "*") for days in HORIZONS]
-    return reduce(DataFrame.unionByName, parts)
+    targets = [f"fwd_{days}" for days in HORIZONS]
+    data = md.binned(lb.add_targets(panel(m), HORIZONS), ft.FEATURES, ["ticker", "date"], ["ticker", "date", *targets])
+    oos = cut_lineage(md.walk_forward(data, ft.FEATURES, horizon_variants(data), ["ticker", "date"]))
+    days = F.element_at(F.array(*[F.lit(d) for d in HORIZONS]), F.col("variant") + 1)
+    return fold_verdict(oos.withColumn("days", days), ["days"])
 
 
 @query("feature_group_ablation", "L-16")
 def _(m):
-    rows = lb.add_target(panel(m), 5)
-    parts = [fold_verdict(cut_lineage(return_predictions(rows, features=columns))).select(F.lit(name).alias("feature_group"), "mean_rho", "n_significant", "n_folds")
-             for name, columns in GROUPS.items()]
-    return reduce(DataFrame.unionByName, parts)
+    data = md.binned(lb.add_target(panel(m), 5), ft.FEATURES, ["ticker", "date"], ["ticker", "date", "fwd_return"])
+    folds = ev.quarterly_folds(data, FIRST, embargo=5)
+    variants = [md.Variant(folds, "fwd_return", tuple(columns), md.RETURN, LEAST) for columns in GROUPS.values()]
+    oos = cut_lineage(md.walk_forward(data, ft.FEATURES, variants, ["ticker", "date"]))
+    name = F.element_at(F.array(*[F.lit(n) for n in GROUPS]), F.col("variant") + 1)
+    return fold_verdict(oos.withColumn("feature_group", name), ["feature_group"]).drop("signal")
 
 
 @query("final_fit_and_score", "L-18")
 def _(m):
-    features = panel(m)
-    return md.fit_and_score(lb.add_target(features, 5), newest(features, *ft.FEATURES), ft.FEATURES, TREES)
+    rows = panel(m).withColumn("fwd_return", lb.forward_return(5))
+    return md.fit_and_score(rows, ft.FEATURES)
 
 
 @query("feature_importance", "L-19")
 def _(m):
-    return md.feature_importance(lb.add_target(panel(m), 5), ft.FEATURES, TREES)
+    return md.feature_importance(lb.add_target(panel(m), 5), ft.FEATURES)
 
 
 @query("parquet_snapshot_sink", "A-09", "SELECT ticker, date, " + ", ".join(f"r6({c}) AS {c}" for c in ft.FEATURES) + " FROM v_live")

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,6 +60,22 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tapeloom-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame as columns to the shared folder and read it back: computed once, lost executors don't matter."""
+    path = f"{scratch_folder(df.sparkSession)}/staged"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+MOST_SENT_ROWS = 200_000    # of a lookup table with a few columns
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A staged small side of a join, sent to all tasks if it has few enough rows to be counted as small."""
+    kept = staged(df)
+    return F.broadcast(kept) if kept.count() <= MOST_SENT_ROWS else kept
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession

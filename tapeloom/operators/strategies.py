@@ -85,43 +85,63 @@ def positions(signals: DataFrame, *extra: str) -> DataFrame:
     return held.select(*signals.columns, "state", "_before", "_side", factor.alias("factor"), run.alias("run"))
 
 
-def trades(held: DataFrame, *extra: str) -> DataFrame:
-    """One row per run of held bars; the closing bar ends it."""
-    inside = held.filter((F.col("state") == 1) | (F.col("_before") == 1))
-    found = inside.groupBy(*KEYS, *extra, "run").agg(
-        F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.min_by("close", "date").alias("p0"),
-        F.max_by("close", "date").alias("p1"), F.max_by("state", "date").alias("_open"), F.first("_side").alias("_side"))
-    ratio = F.col("p1") / F.col("p0")
-    gain = F.when(F.col("_side") > 0, ratio * (1 - FEE) / (1 + FEE) - 1).otherwise(1 - ratio - FEE * (1 + ratio))
-    return found.select(*KEYS, *extra, "run", "entry_date", "exit_date", gain.alias("trade_return"), (F.col("_open") == 1).alias("is_open"),
-                        F.datediff("exit_date", "entry_date").alias("days"))
-
-
 def equity(held: DataFrame, *extra: str) -> DataFrame:
     w = Window.partitionBy(*KEYS, *extra).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     curve = held.withColumn("equity", F.exp(F.sum(F.log("factor")).over(w)))
     return curve.withColumn("drawdown", F.greatest(F.lit(0.0), 1 - F.col("equity") / F.greatest(F.max("equity").over(w), F.lit(1.0))))
 
 
+def _run_figures() -> list[Column]:
+    """Of a run's held bars and the bar that closes it: dates, prices, whether it is still open, its side."""
+    inside = (F.col("state") == 1) | (F.col("_before") == 1)
+    date = F.when(inside, F.col("date"))
+    return [F.min(date).alias("entry_date"), F.max(date).alias("exit_date"), F.min_by("close", date).alias("p0"), F.max_by("close", date).alias("p1"),
+            F.max_by("state", date).alias("_open"), F.min(F.when(inside, F.col("_side"))).alias("_side")]
+
+
+def _trade_figures(runs: DataFrame, *keep: str) -> DataFrame:
+    ratio = F.col("p1") / F.col("p0")
+    gain = F.when(F.col("_side") > 0, ratio * (1 - FEE) / (1 + FEE) - 1).otherwise(1 - ratio - FEE * (1 + ratio))
+    return runs.select(*keep, "run", "entry_date", "exit_date", gain.alias("trade_return"), (F.col("_open") == 1).alias("is_open"),
+                       F.datediff("exit_date", "entry_date").alias("days"))
+
+
+def trades(held: DataFrame, *extra: str) -> DataFrame:
+    """One row per run of held bars; the closing bar ends it."""
+    runs = held.groupBy(*KEYS, *extra, "run").agg(*_run_figures()).filter(F.col("entry_date").isNotNull())
+    return _trade_figures(runs, *KEYS, *extra)
+
+
 def statistics(signals: DataFrame, *extra: str, least: int = 100) -> DataFrame:
-    """Return, growth rate, Sharpe, drawdown and trade figures per key."""
+    """Return, growth rate, Sharpe, drawdown and trade figures per key.
+
+    One scan: bars are summed up by run, a run's bars give both its trade and its share of the daily figures, and the runs of a key
+    are put together. Positions, factors, runs and equity share one sort, and neither aggregate shuffles.
+    """
     keys = (*KEYS, *extra)
-    held = positions(signals, *extra)
-    daily = equity(held, *extra).groupBy(*keys).agg(
-        F.count("*").alias("n_bars"), (F.max_by("equity", "date") * 100 - 100).alias("total_return_pct"),
-        F.datediff(F.max("date"), F.min("date")).alias("_days"), F.avg(F.col("factor") - 1).alias("_m"), F.stddev_samp("factor").alias("_s"),
-        (F.max("drawdown") * 100).alias("max_drawdown_pct"))
+    gain = F.col("factor") - 1
+    runs = equity(positions(signals, *extra), *extra).groupBy(*keys, "run").agg(
+        *_run_figures(), F.count("*").alias("_n"), F.min("date").alias("_lo"), F.max(F.struct("date", "equity")).alias("_hi"), F.sum(gain).alias("_s"),
+        F.sum(gain * gain).alias("_q"), F.max("drawdown").alias("_dd"))
+    own = ["_n", "_lo", "_hi", "_s", "_q", "_dd"]
+    # A run's trade joins its daily sums; bars before the first run have sums only.
+    made = _trade_figures(runs, *keys, *own)
     t = F.col("trade_return")
-    made = trades(held, *extra).groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.avg((t > 0).cast("double")).alias("_w"), F.avg("days").alias("_d"),
+    n = F.col("n_bars")
+    joined = made.groupBy(*keys).agg(
+        F.sum("_n").alias("n_bars"), F.min("_lo").alias("_first"), F.max("_hi").alias("_last"), F.sum("_s").alias("_sum"), F.sum("_q").alias("_squares"),
+        (F.max("_dd") * 100).alias("max_drawdown_pct"), F.count("entry_date").alias("_trades"), F.avg((t > 0).cast("double")).alias("_w"), F.avg("days").alias("_d"),
         F.avg(F.when(t > 0, t)).alias("_aw"), F.avg(F.when(t < 0, t)).alias("_al"))
-    joined = daily.join(made, list(keys), "left")
+    mean = F.col("_sum") / n
+    variance = F.when(n > 1, F.greatest((F.col("_squares") - n * mean * mean) / (n - 1), F.lit(0.0)))
+    joined = joined.select("*", mean.alias("_m"), F.sqrt(variance).alias("_sigma"), F.datediff(F.col("_last")["date"], F.col("_first")).alias("_days"),
+                           (F.col("_last")["equity"] * 100 - 100).alias("total_return_pct"))
     years = F.col("_days") / 365.25
     grown = F.when(F.col("_days") > 0, (F.pow(1 + F.col("total_return_pct") / 100, 1 / years) - 1) * 100).otherwise(0.0)
-    sharpe = F.when(F.col("_s") > 1e-12, F.col("_m") / F.col("_s") * YEAR ** 0.5).otherwise(0.0)
+    sharpe = F.when(F.col("_sigma") > 1e-10, F.col("_m") / F.col("_sigma") * YEAR ** 0.5).otherwise(0.0)
     zero = F.lit(0.0)
     out = joined.select(*keys, "n_bars", "total_return_pct", grown.alias("cagr_pct"), sharpe.alias("sharpe"), "max_drawdown_pct",
-                        (F.coalesce("_w", zero) * 100).alias("win_rate_pct"), F.coalesce("_n", F.lit(0)).alias("n_trades"),
+                        (F.coalesce("_w", zero) * 100).alias("win_rate_pct"), F.col("_trades").alias("n_trades"),
                         F.coalesce("_d", zero).alias("avg_trade_days"), F.coalesce("_aw", zero).alias("avg_win"), F.coalesce("_al", zero).alias("avg_loss"))
     error = F.when(F.col("n_bars") < least, F.format_string("Need at least %d bars, got %d", F.lit(least), F.col("n_bars")))
     return out.withColumn("error", error)
@@ -201,7 +221,7 @@ def label_trades(df: DataFrame, signal: str, thresholds: tuple[float, ...]) -> D
         F.avg("_g").alias("_m"), F.stddev_samp("_g").alias("_sd"))
     rate, atr = F.col("wins") / F.col("n_trades"), F.col("_a") / F.col("n_trades")
     mean = rate * atr * 3.0 - (1 - rate) * atr * 1.5
-    return out.select("threshold", "n_trades", rate.alias("win_rate"), mean.alias("avg_return"),
+    return out.select("threshold", "n_trades", rate.alias("win_rate"), mean.alias("avg_return"), (mean * 12).alias("annualized_return_est"),
                       F.coalesce(F.col("_m") / (F.col("_sd") + 1e-8) * 12 ** 0.5, F.lit(0.0)).alias("sharpe"))
 
 

@@ -1,7 +1,7 @@
 """All registered queries, gathered by importing the plan modules."""
 from __future__ import annotations
 
-from tapeloom.plans import accounts, alignment, evaluation, factors, features, indicators, labels, models, scorecards, signals, strategies, streams, structure  # noqa: F401
+from tapeloom.plans import accounts, alignment, chain, evaluation, factors, features, indicators, labels, models, scorecards, signals, strategies, streams, structure  # noqa: F401
 from tapeloom.plans.registry import COVERS, ORACLES, QUERIES, assemble
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from tapeloom.functions.exprs import rolling, rounded
 from tapeloom.operators import composite as cp
 from tapeloom.operators import indicators as ind
+from tapeloom.operators import plugins as pg
 from tapeloom.operators import strategies as st
 from tapeloom.plans.factors import composite_of, panel_of
 from tapeloom.plans.registry import ORACLE_VIEWS, query
 from tapeloom.plans.sqltext import W, roll
+from tapeloom.session import cut_lineage
 
 _p = "PARTITION BY ticker ORDER BY date"
 ORACLE_VIEWS["v_kbase"] = f"""
@@ -111,7 +113,7 @@ def _(m):
 
 @query("edge_gate", "I-11", "SELECT ticker, strategy, s.error IS NULL AND coalesce(s.nt, 0) >= 5 AND b.stable AS has_edge FROM v_stats s JOIN v_stable b USING (ticker, strategy)")
 def _(m):
-    signals = signals_of(m)
+    signals = cut_lineage(signals_of(m))     # read for the whole and for its halves
     return st.has_edge(st.statistics(signals), st.stability(signals)).select("ticker", "strategy", "has_edge")
 
 
@@ -141,6 +143,21 @@ def _(m):
     return rounded(split_stats(m).select("ticker", "strategy", "split", "n_bars", "total_return_pct", "sharpe", "max_drawdown_pct"), 5, total_return_pct=4, max_drawdown_pct=4)
 
 
+def coded_cross(series):
+    """The same rule as a caller would write it."""
+    fast, slow = (series["close"].rolling(n).mean() for n in (5, 15))
+    return (fast > slow) & (fast.shift() <= slow.shift()), (fast < slow) & (fast.shift() >= slow.shift())
+
+
+@query("walk_forward_own_strategies", "K-09", " UNION ALL ".join(f"""
+SELECT ticker, '{name}' AS strategy, split, n_bars, coalesce(nt, 0) AS n_trades, r4(total_return_pct) AS total_return_pct, r5(sharpe) AS sharpe, r4(max_drawdown_pct) AS max_drawdown_pct FROM v_split_stats WHERE n_bars >= 2"""
+    for name in ("PLANNED", "CODED")))
+def _(m):
+    planned = pg.planned_crossing("PLANNED", lambda: rolling(F.avg, F.col("close"), 5, "split"), lambda: rolling(F.avg, F.col("close"), 15, "split"))
+    out = pg.walk_forward(m.staged().bars.select("ticker", "date", "close"), [planned, pg.CodedStrategy("CODED", ("close",), coded_cross)])
+    return rounded(out.select("ticker", "strategy", "split", "n_bars", "n_trades", "total_return_pct", "sharpe", "max_drawdown_pct"), 5, total_return_pct=4, max_drawdown_pct=4)
+
+
 @query("split_window_summary", "K-09", """
 SELECT ticker, strategy, count(*) AS n_splits, r6(avg(total_return_pct/100)) AS avg_return, r6(median(total_return_pct/100)) AS median_return, r6(stddev_pop(total_return_pct/100)) AS std_return,
  r5(avg(sharpe)) AS avg_sharpe, r5(median(sharpe)) AS median_sharpe, r6(avg(max_drawdown_pct/100)) AS avg_max_drawdown FROM v_split_stats GROUP BY ticker, strategy""")
@@ -161,7 +178,7 @@ def _(m):
 
 def label_sql(source, signal, thresholds):
     return " UNION ALL ".join(f"""
-SELECT CAST({t} AS DOUBLE) AS threshold, sum(n)::BIGINT AS n_trades, r6(sum(w)/sum(n)) AS win_rate, r6(sum(w)/sum(n)*sum(a)/sum(n)*3.0 - (1-sum(w)/sum(n))*sum(a)/sum(n)*1.5) AS avg_return, r5(coalesce(avg(g)/(stddev_samp(g)+1e-8)*sqrt(12), 0)) AS sharpe
+SELECT CAST({t} AS DOUBLE) AS threshold, sum(n)::BIGINT AS n_trades, r6(sum(w)/sum(n)) AS win_rate, r6(sum(w)/sum(n)*sum(a)/sum(n)*3.0 - (1-sum(w)/sum(n))*sum(a)/sum(n)*1.5) AS avg_return, r5(12*(sum(w)/sum(n)*sum(a)/sum(n)*3.0 - (1-sum(w)/sum(n))*sum(a)/sum(n)*1.5)) AS annualized_return_est, r5(coalesce(avg(g)/(stddev_samp(g)+1e-8)*sqrt(12), 0)) AS sharpe
 FROM (SELECT *, w/n*a/n*3.0 - l/n*a/n*1.5 AS g FROM (SELECT date_trunc('month', date) AS mo, count(*)::DOUBLE AS n, count(*) FILTER (WHERE label = 'WIN')::DOUBLE AS w, count(*) FILTER (WHERE label = 'LOSS')::DOUBLE AS l, sum(atr_pct) AS a
   FROM {source} WHERE {signal} >= {t} GROUP BY 1) p) q""" for t in thresholds)
 
@@ -169,14 +186,14 @@ FROM (SELECT *, w/n*a/n*3.0 - l/n*a/n*1.5 AS g FROM (SELECT date_trunc('month',
 @query("label_trade_statistics", "K-11", label_sql("v_rule", "rule_signal", ["0.6"]))
 def _(m):
     scaled = cp.min_max(cp.rule_score(panel_of(m)), "rule_score", "rule_signal")
-    return rounded(st.label_trades(scaled, "rule_signal", (0.6,)), sharpe=5)
+    return rounded(st.label_trades(scaled, "rule_signal", (0.6,)), sharpe=5, annualized_return_est=5)
 
 
-@query("baseline_rule_model_table", "K-12", f"""
+@query("baseline_rule_score_table", "K-12", f"""
 SELECT 'baseline' AS strategy, * FROM ({label_sql('v_rule', '1', ['0.0'])}) a UNION ALL SELECT 'rule', * FROM ({label_sql('v_rule', 'rule_signal', ['0.6'])}) b
 UNION ALL SELECT 'model', * FROM ({label_sql('v_rule2', 'model_signal', ['0.55', '0.6', '0.65'])}) c""")
 def _(m):
-    # The model column is any score; here a scaled mean-reversion score that SQL can compute too.
+    # A scaled mean-reversion score in the model's place, which SQL can compute too; the model's own rows are in plans/chain.py.
     panel = panel_of(m)
     scored = cp.min_max(cp.min_max(cp.rule_score(panel), "rule_score", "rule_signal"), "ma_20", "model_signal").withColumn("one", F.lit(1.0))
     parts = [("baseline", "one", (0.0,)), ("rule", "rule_signal", (0.6,)), ("model", "model_signal", (0.55, 0.6, 0.65))]
@@ -184,7 +201,7 @@ def _(m):
     for name, column, cuts in parts:
         part = st.label_trades(scored, column, cuts).select(F.lit(name).alias("strategy"), "*")
         out = part if out is None else out.unionByName(part)
-    return rounded(out, sharpe=5)
+    return rounded(out, sharpe=5, annualized_return_est=5)
 
 
 ORACLE_VIEWS["v_rule2"] = "SELECT date, label, atr_pct, (ma_20 - min(ma_20) OVER ())/(max(ma_20) OVER () - min(ma_20) OVER () + 1e-8) AS model_signal FROM v_panel"

@@ -164,10 +164,11 @@ def _(m):
     return al.bar_offset(events, bars, -21, {"close": "close_before_21"}).drop("rn")
 
 
-@query("benchmark_reindex", "D-08", "SELECT b.ticker, b.date, r6(s.close) AS benchmark FROM v_bars b LEFT JOIN (SELECT * FROM v_bench WHERE extract('dow' FROM date) <> 1) s ON s.date = b.date")
+@query("benchmark_reindex", "D-08", "SELECT b.ticker, b.date, r6(s.close) AS benchmark FROM v_bars b LEFT JOIN v_etf s ON s.date = b.date AND s.sector = 'S1'")
 def _(m):
-    bench = m.bench.filter(F.dayofweek("date") != 2)
-    return rounded(al.reindexed(m.bars.select("ticker", "date"), bench, "close", "benchmark"))
+    # A sector's close, which is lacking on the dates without a trade in the sector.
+    sector = m.staged().etf.filter(F.col("sector") == "S1")
+    return rounded(al.reindexed(m.bars.select("ticker", "date"), sector, "close", "benchmark"))
 
 
 @query("dates_with_enough_tickers", "D-10", """

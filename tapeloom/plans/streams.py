@@ -12,8 +12,7 @@ from tapeloom.streaming import jobs
 def ticks(m):
     """The events file as a stream of ticks."""
     events = jobs.file_stream(m.spark, m.sf_dir, m.events.schema, only="events.parquet")
-    chosen = events.filter(F.col("event_type").isin("click", "view", "purchase"))
-    return chosen.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), (F.col("user_id") % 25).cast("string")).alias("ticker"),
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), (F.col("user_id") % 25).cast("string")).alias("ticker"),
                          (50 + F.col("value")).alias("price"), F.lit(1).cast("bigint").alias("qty"))
 
 
@@ -39,7 +38,8 @@ def _(m):
     alerts = m.customer.select(key.alias("alert_id"), F.concat(F.lit("U"), (key % 25).cast("string")).alias("ticker"), F.when(key % 2 == 0, "above").otherwise("below").alias("direction"),
                                F.when(key % 2 == 0, (60 + key % 211).cast("double")).otherwise(50 + (key % 97) / 100).alias("threshold"))
     jobs.one_shot_alerts(ticks(m), alerts, fired, state).awaitTermination()
-    return m.spark.read.parquet(fired).select("alert_id", "ticker", "direction", "price")
+    rows = m.spark.read.schema("alert_id bigint, ticker string, direction string, threshold double, price double").parquet(fired)
+    return rows.select("alert_id", "ticker", "direction", "price")
 
 
 @query("streaming_watchlist", "S-03", """
@@ -50,8 +50,7 @@ def _(m):
     watched = m.nation.filter(F.col("n_regionkey") == 1).select(F.concat(F.lit("U"), F.col("n_nationkey").cast("string")).alias("ticker"))
     jobs.watchlist_refresh(ticks(m), watched, out, state).awaitTermination()
     rows = m.spark.read.schema("ticker string, price double, change_pct double, epoch bigint").parquet(out)
-    newest = rows.agg(F.max("epoch").alias("_e"))
-    return rows.crossJoin(F.broadcast(newest)).filter(F.col("epoch") == F.col("_e")).select("ticker", "price", F.round("change_pct", 6).alias("change_pct"))   # one row
+    return jobs.watchlist_now(rows).select("ticker", "price", F.round("change_pct", 6).alias("change_pct"))
 
 
 @query("streaming_ledger_outcomes", "S-04", """

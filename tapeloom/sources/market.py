@@ -45,20 +45,19 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_
 SELECT p.p_brand AS ticker, CAST(o.o_orderdate AS DATE) AS date,
        CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Strong Buy' WHEN '2-HIGH' THEN 'Buy' WHEN '3-MEDIUM' THEN 'Hold'
             WHEN '5-LOW' THEN 'Sell' ELSE 'Not Rated' END AS to_grade
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_linenumber = 1""",
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey""",
     "v_earnings": """
 SELECT ticker, qd AS earnings_date, eps_actual, eps_estimate,
-       round((eps_actual-eps_estimate)/abs(eps_estimate)*100, 4) AS surprise_pct
+       CASE WHEN eps_estimate <> 0 THEN round((eps_actual-eps_estimate)/abs(eps_estimate)*100, 4) END AS surprise_pct
 FROM (SELECT p.p_brand AS ticker, CAST(date_trunc('quarter', l.l_shipdate) AS DATE) AS qd,
              round(avg(l.l_discount)*20, 4) AS eps_actual, round(avg(l.l_tax)*25, 4) AS eps_estimate
       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
       GROUP BY p.p_brand, CAST(date_trunc('quarter', l.l_shipdate) AS DATE)) q""",
     "v_options": """
 SELECT p.p_brand AS ticker, CAST(date_trunc('month', l.l_shipdate) AS DATE) AS expiry,
-       CASE l.l_returnflag WHEN 'A' THEN 'call' ELSE 'put' END AS side,
+       CASE WHEN l.l_returnflag = 'A' OR (l.l_returnflag = 'N' AND l.l_linenumber % 2 = 0) THEN 'call' ELSE 'put' END AS side,
        CAST(90 + l.l_linenumber*3 AS DOUBLE) AS strike, 0.1 + l.l_discount*4 AS iv, l.l_quantity AS volume
-FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_returnflag IN ('A','R')""",
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
     "v_positions": """
 SELECT o.o_custkey AS account, p.p_brand AS ticker, sum(l.l_quantity) AS shares,
        round(sum(l.l_quantity*100*(1-l.l_discount))/sum(l.l_quantity), 4) AS buy_price
@@ -71,7 +70,7 @@ SELECT d.doc_id, concat('Brand#', CAST(d.doc_id % 25 + 1 AS STRING)) AS ticker,
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "v_ticks": """
 SELECT event_id, ts, concat('U', CAST(user_id % 25 AS STRING)) AS ticker, 50 + value AS price, CAST(1 AS BIGINT) AS qty
-FROM events WHERE event_type IN ('click','view','purchase')""",
+FROM events""",
     "v_llm_calls": """
 SELECT event_id AS id, concat('U', CAST(user_id % 25 AS STRING)) AS ticker, event_type AS source,
        CAST(floor(value*10) AS BIGINT) AS in_tokens, CAST(floor(value) AS BIGINT) AS out_tokens,
@@ -132,12 +131,11 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand, con
 SELECT DISTINCT p.p_brand AS ticker FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
 JOIN (SELECT max_by(c_custkey, c_acctbal) AS owner FROM customer) w ON o.o_custkey = w.owner""",
     "v_alerts": """
-SELECT o.o_orderkey AS alert_id, p.p_brand AS ticker,
-       CASE WHEN o.o_orderkey % 2 = 0 THEN 'above' ELSE 'below' END AS direction,
-       96 + o.o_orderkey % 13 AS threshold, CASE WHEN o.o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS triggered
+SELECT o.o_orderkey * 100 + l.l_linenumber AS alert_id, p.p_brand AS ticker,
+       CASE WHEN (o.o_orderkey + l.l_linenumber) % 2 = 0 THEN 'above' ELSE 'below' END AS direction,
+       96 + (o.o_orderkey + l.l_linenumber) % 13 AS threshold, CASE WHEN (o.o_orderkey + l.l_linenumber) % 9 = 0 THEN 1 ELSE 0 END AS triggered
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_linenumber = 1
-GROUP BY o.o_orderkey, p.p_brand""",
+GROUP BY o.o_orderkey, l.l_linenumber, p.p_brand""",
 }
 
 BARS_ORACLE = """

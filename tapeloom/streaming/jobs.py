@@ -5,9 +5,13 @@ started query; state lives in the query's checkpoint, so a restart continues.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def file_stream(spark, path: str, schema, only: str = "*.parquet") -> DataFrame:
@@ -34,38 +38,54 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def price_extremes(ticks: DataFrame) -> DataFrame:
+    """A row for every ticker whose highest or lowest price a batch has moved: both, and what they were before.
+
+    The state is one row per ticker; a batch's prices of a ticker are looked at in chunks.
+    """
+    def track(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        was = state.get if state.exists else (None, None)
+        high, low = was
+        for frame in frames:
+            prices = frame["price"].dropna()
+            if len(prices):
+                high, low = (float(end if known is None else pick(known, end)) for known, end, pick in ((high, prices.max(), max), (low, prices.min(), min)))
+        if high is not None and (high, low) != was:
+            state.update((high, low))
+            yield pd.DataFrame({"ticker": [key[0]], "high": [high], "low": [low], "was_high": [was[0]], "was_low": [was[1]]}).astype({"was_high": "float64", "was_low": "float64"})
+    return ticks.select("ticker", F.col("price").cast("double").alias("price")).groupBy("ticker").applyInPandasWithState(
+        track, "ticker string, high double, low double, was_high double, was_low double", "high double, low double", "append", GroupStateTimeout.NoTimeout)
+
+
 def one_shot_alerts(ticks: DataFrame, alerts: DataFrame, fired_path: str, checkpoint: str) -> StreamingQuery:
     """Fire each alert once, at the first batch whose prices cross it.
 
-    A batch is reduced to one row per ticker before it meets the alerts. Fired
-    alerts form a table with one folder per batch; a repeated batch rewrites its
-    own folder, and the batches before it decide what has fired already.
+    A ticker's running extremes are the only state: an alert fires in the batch that moves them over its threshold, so nothing that
+    was fired is ever read again, and a restart goes on from the state. Alerts are those known when the query starts.
     """
-    fired_schema = "alert_id bigint, ticker string, direction string, threshold double, price double, epoch bigint"
-
-    def check(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        ends = batch.groupBy("ticker").agg(F.max("price").alias("_hi"), F.min("price").alias("_lo"))
-        crossed = alerts.join(ends, "ticker").filter(
-            ((F.col("direction") == "above") & (F.col("_hi") >= F.col("threshold"))) | ((F.col("direction") == "below") & (F.col("_lo") <= F.col("threshold"))))
-        rows = crossed.select(F.col("alert_id").cast("bigint").alias("alert_id"), "ticker", "direction", F.col("threshold").cast("double").alias("threshold"),
-                              F.when(F.col("direction") == "above", F.col("_hi")).otherwise(F.col("_lo")).alias("price"))
-        if epoch > 0:
-            before = spark.read.schema(fired_schema).parquet(fired_path).filter(F.col("epoch") < epoch)
-            rows = rows.join(before.select("alert_id"), "alert_id", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{fired_path}/epoch={epoch}")
-    return ticks.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    moved, threshold = price_extremes(ticks), F.col("threshold").cast("double")
+    above = (F.col("direction") == "above") & (F.col("high") >= threshold) & (F.nanvl(F.col("was_high"), F.lit(None).cast("double")).isNull() | (F.col("was_high") < threshold))
+    below = (F.col("direction") == "below") & (F.col("low") <= threshold) & (F.nanvl(F.col("was_low"), F.lit(None).cast("double")).isNull() | (F.col("was_low") > threshold))
+    price = F.when(F.col("direction") == "above", F.col("high")).otherwise(F.col("low"))
+    fired = moved.join(alerts, "ticker").filter(above | below).select(F.col("alert_id").cast("bigint").alias("alert_id"), "ticker", "direction", threshold.alias("threshold"), price.alias("price"))
+    return append_to_table(fired, fired_path, checkpoint)
 
 
 def watchlist_refresh(ticks: DataFrame, watchlist: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest price and change since the first tick of every watched ticker."""
+    """Latest price and change since the first tick of every watched ticker; a batch publishes the tickers it has moved."""
     order = F.struct("ts", "event_id")
     state = ticks.join(watchlist, "ticker", "left_semi").groupBy("ticker").agg(F.max_by("price", order).alias("price"), F.min_by("price", order).alias("_first"))
     view = state.select("ticker", "price", ((F.col("price") - F.col("_first")) / F.col("_first") * 100).alias("change_pct"))
 
     def publish(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-    return view.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return view.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watchlist_now(published: DataFrame) -> DataFrame:
+    """Every ticker as the newest batch that moved it has published it."""
+    newest = published.groupBy("ticker").agg(F.max_by(F.struct("price", "change_pct"), "epoch").alias("now"))
+    return newest.select("ticker", "now.price", "now.change_pct")
 
 
 def ledger_outcomes(ledger: DataFrame, bars: DataFrame, days: int = 7, slack: int = 3, late: str = "30 days") -> DataFrame:

@@ -82,6 +82,19 @@ def newest(df: DataFrame, *columns: str, keys=("ticker",)) -> DataFrame:
     return picked.select(*keys, "_r.*")
 
 
+def first(df: DataFrame, place: str, most: int | None) -> DataFrame:
+    """Rows up to a place, or all; the planner keeps that many per group in every task before the shuffle."""
+    return df if most is None else df.filter(F.col(place) <= most)
+
+
+def leading(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
+def cut(text: Column, width: int | None) -> Column:
+    return text if width is None else F.substring(text, 1, width)
+
+
 def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

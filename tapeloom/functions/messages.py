@@ -98,3 +98,14 @@ PROXIMITY = {"unknown": "Earnings date unknown.", "high": "Earnings in %d days 
              "medium": "Earnings in %d days — moderate event risk.", "low": "Earnings in %d days — no immediate event risk."}
 HEADLINES = {"none": "No data", "positive": "Mostly Positive (%d/%d headlines)", "negative": "Mostly Negative (%d/%d headlines)",
              "mixed": "Mixed / Neutral (%d/%d neutral)"}
+
+# Price alerts; {} is the target price.
+ALERTS = {
+    "analyst mean": "Analyst avg target ${} — alert when price reaches consensus",
+    "analyst high": "Analyst high target ${} — most bullish scenario",
+    "analyst low": "Analyst low target ${} — alert if price drops to most bearish estimate",
+    "support": "Key support ${} — price breaking below this is a bearish signal",
+    "resistance": "Key resistance ${} — breaking above signals potential breakout",
+    "pivot below": "Pivot point ${} — dropping below pivot is bearish",
+    "pivot above": "Pivot point ${} — reclaiming pivot is bullish",
+}

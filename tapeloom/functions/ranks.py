@@ -1,43 +1,31 @@
 """Exact ranks and medians of groups too large for one task.
 
-A plain `rank()` window puts a whole group into one task. Here the value range
-is cut at approximate quantiles (a bounded list of split points computed once),
-equal values are counted together before anything is sorted, each (group,
-bucket) is sorted on its own, and the counts of the lower buckets are added as
-an offset. The split points only steer parallelism; the ranks are exact. A
-group holding a third of all rows spreads over many buckets because the split
-points follow the overall distribution.
+A plain `rank()` window puts a whole group into one task. Here equal values are counted together, and the distinct (group, value)
+pairs are put in order by one range partitioning: every slice of that order is numbered on its own, and the counts of a group's
+earlier slices are added as an offset. A group holding a third of all rows spreads over a third of the slices, whatever its values.
 """
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from tapeloom.session import staged
 
 
-def _split_points(df: DataFrame, value: str, buckets: int) -> list[float]:
-    grid = [i / buckets for i in range(1, buckets)]
-    inner = sorted(set(df.approxQuantile(value, grid, 1.0 / (4 * buckets))))
-    return [float("-inf"), *inner, float("inf")]
-
-
-def positions(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per (keys, value): n, rows before it, and rows in the group."""
     known = df.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     counted = known.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    splits = _split_points(known, value, buckets)
-    placed = (Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(counted)
-              if len(splits) > 2 else counted.withColumn("_bucket", F.lit(0.0)))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_size"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))   # at most `buckets` rows per group
-    lower = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_offset"),
-                           F.sum("_size").over(group).alias("total"))
-    return (local.join(offsets, [*keys, "_bucket"])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Slices are fixed when they are written: numbering and offsets read the same ones.
+    sliced = staged(counted.repartitionByRange(parts, *keys, value).withColumn("_slice", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = sliced.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_size"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))   # as many rows as a group fills slices
+    lower = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_offset"), F.sum("_size").over(group).alias("total"))
+    return (local.join(offsets, [*keys, "_slice"])
             .select(*keys, value, "n", (F.col("_local") + F.col("_offset")).alias("before"), "total"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import last_rows, newest
+from tapeloom.functions.exprs import cut, first, last_rows, leading, newest
+from tapeloom.functions.messages import ALERTS
 
 
 def last_prices(bars: DataFrame) -> DataFrame:
@@ -35,9 +36,9 @@ def daily_change(positions: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def allocation(valued: DataFrame) -> DataFrame:
-    """Share of each position in its account, through per-account totals."""
-    whole = valued.groupBy("account").agg(F.sum("current_value").alias("_t"))
-    return valued.join(whole, "account").select("account", "ticker", (F.col("current_value") / F.col("_t")).alias("share"))
+    """Share of each position in its account; an account holds at most one position per ticker."""
+    whole = F.sum("current_value").over(Window.partitionBy("account"))
+    return valued.select("account", "ticker", F.when(whole != 0, F.col("current_value") / whole).alias("share"))
 
 
 def latest_position(entries: DataFrame) -> DataFrame:
@@ -56,12 +57,14 @@ def fired_alerts(alerts: DataFrame, prices: DataFrame) -> DataFrame:
 PRIORITY = {"high": 0, "medium": 1, "low": 2}
 
 
-def alert_suggestions(rows: DataFrame, most: int = 6) -> DataFrame:
-    """Ranked price alerts from targets, levels and the pivot."""
+def alert_suggestions(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Ranked price alerts from targets, levels and the pivot, with their reasons; of one price and direction the most urgent."""
     p = F.col("price")
 
     def item(when: Column, price: Column, direction: str, priority: int, reason: str) -> Column:
-        return F.when(when, F.struct(price.alias("target_price"), F.lit(direction).alias("direction"), F.lit(priority).alias("priority"), F.lit(reason).alias("reason")))
+        before, after = ALERTS[reason].split("{}")
+        text = F.concat(F.lit(before), price.cast("string"), F.lit(after))
+        return F.when(when, F.struct(price.alias("target_price"), F.lit(direction).alias("direction"), F.lit(priority).alias("priority"), text.alias("reason")))
     mean, high, low, pp = (F.col(c) for c in ("target_mean", "target_high", "target_low", "PP"))
     s, r = F.col("support"), F.col("resistance")
 
@@ -70,12 +73,12 @@ def alert_suggestions(rows: DataFrame, most: int = 6) -> DataFrame:
     items = [item(mean > p * 1.02, mean, "above", 0, "analyst mean"), item(high > p * 1.05, high, "above", 2, "analyst high"), item(low < p * 0.98, low, "below", 1, "analyst low")]
     items += [item(at(s, k) < p * 0.99, at(s, k), "below", k, "support") for k in (0, 1)]
     items += [item(at(r, k) > p * 1.01, at(r, k), "above", k, "resistance") for k in (0, 1)]
-    items += [item(pp < p * 0.98, pp, "below", 1, "pivot"), item(pp > p * 1.02, pp, "above", 1, "pivot")]
-    made = rows.select("ticker", p.alias("price"), F.inline(F.array_compact(F.array(*items))))
-    once = made.groupBy("ticker", "price", "direction", "target_price").agg(F.min(F.struct("priority", "reason")).alias("_r"))
-    ranked = once.select("ticker", "price", "direction", "target_price", "_r.*")
+    items += [item(pp < p * 0.98, pp, "below", 1, "pivot below"), item(pp > p * 1.02, pp, "above", 1, "pivot above")]
+    made = rows.select("ticker", p.alias("price"), F.posexplode(F.array_compact(F.array(*items))).alias("place", "made"))
+    once = made.groupBy("ticker", "price", "made.direction", "made.target_price").agg(F.min(F.struct("made.priority", "place", "made.reason")).alias("_r"))
+    ranked = once.select("ticker", "price", "direction", "target_price", "_r.priority", "_r.reason")
     order = Window.partitionBy("ticker").orderBy("priority", F.abs(F.col("target_price") - F.col("price")), "direction", "target_price")
-    return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("price")
+    return first(ranked.withColumn("place", F.row_number().over(order)), "place", most).drop("price")
 
 
 def usage_rollup(calls: DataFrame) -> DataFrame:
@@ -88,8 +91,10 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
     return grouped.select(F.when(F.col("_g") == 3, "total").when(F.col("_g") == 1, "source").otherwise("day").alias("level"), "source", "day", "n", "cost", "in_tok", "out_tok")
 
 
-def recent_calls(calls: DataFrame, most: int = 50) -> DataFrame:
-    return calls.orderBy(F.desc("created_at"), F.desc("id")).limit(most)
+def recent_calls(calls: DataFrame, most: int | None = None) -> DataFrame:
+    """Calls from the newest on, the first `most` of them if that is given."""
+    ordered = calls.orderBy(F.desc("created_at"), F.desc("id"))
+    return ordered if most is None else ordered.limit(most)
 
 
 # Prices per token of direct and batched calls.
@@ -104,13 +109,13 @@ def token_costs(texts: DataFrame, prompt: str, reply: str) -> DataFrame:
     return staged.select("*", *costs)
 
 
-def bucketed_text(signals: DataFrame, width: int = 60, most: int = 6) -> DataFrame:
-    """Compact bullish and bearish lines per ticker, ordered by label."""
+def bucketed_text(signals: DataFrame, width: int | None = None, most: int | None = None) -> DataFrame:
+    """Bullish and bearish lines per ticker, ordered by label; `most` signals a side and `width` characters a text, if given."""
     rows = signals.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("label", "text", "status"))).alias("s"))   # one row per kind of signal
 
     def side(status: str) -> Column:
-        kept = F.slice(F.filter("s", lambda x: x["status"] == status), 1, most)
-        return F.array_join(F.transform(kept, lambda x: F.concat(x["label"], F.lit(":"), F.substring(x["text"], 1, width))), " | ")
+        kept = leading(F.filter("s", lambda x: x["status"] == status), most)
+        return F.array_join(F.transform(kept, lambda x: F.concat(x["label"], F.lit(":"), cut(x["text"], width))), " | ")
     good, bad = side("good"), side("warning")
     return rows.select("ticker", F.concat_ws("\n", F.when(good != "", F.concat(F.lit("BULL: "), good)), F.when(bad != "", F.concat(F.lit("BEAR: "), bad))).alias("compact"))
 
@@ -120,8 +125,8 @@ def reply_fields(replies: DataFrame, text: str, schema: str) -> DataFrame:
     return replies.withColumn("_json", F.regexp_extract(text, r"(?s)(\{.*\})", 1)).withColumn("parsed", F.from_json("_json", schema)).drop("_json")
 
 
-def thesis(rows: DataFrame) -> DataFrame:
-    """Headline, key risk, key catalyst, point counts and one-liner.
+def thesis(rows: DataFrame, most: int | None = None, width: int | None = None) -> DataFrame:
+    """Headline, key risk, key catalyst, points and one-liner; `most` points a side and `width` characters a signal's text, if given.
 
     rows: ticker, verdict, good and warning arrays of (label, text), and the
     snapshot columns used below.
@@ -170,12 +175,12 @@ def thesis(rows: DataFrame) -> DataFrame:
     line = f("%s: %s. %s %s.", "ticker", F.when(facts == "", "mixed fundamentals").otherwise(facts), view, "verdict")
 
     def points(c: str, mark: str, *more: tuple[str, Column, Column]) -> Column:
-        """Up to five points: the signals first, then further facts whose topic no signal covers."""
+        """The signals first, then further facts whose topic no signal covers."""
         signals = F.coalesce(c, F.array().cast("array<struct<label:string,text:string,status:string>>"))
-        own = F.transform(F.slice(signals, 1, 5), lambda x: F.concat(F.lit(mark + " "), x["label"], F.lit(": "), F.substring(x["text"], 1, 77)))
+        own = F.transform(leading(signals, most), lambda x: F.concat(F.lit(mark + " "), x["label"], F.lit(": "), cut(x["text"], width)))
         topics = F.lower(F.array_join(F.transform(signals, lambda x: x["label"]), "\n"))
         facts = [F.when(F.coalesce(test, F.lit(False)) & ~topics.contains(topic), F.concat(F.lit(mark + " "), text)) for topic, test, text in more]
-        return F.slice(F.concat(own, F.array_compact(F.array(*facts))), 1, 5)
+        return leading(F.concat(own, F.array_compact(F.array(*facts))), most)
     grown = F.when(F.coalesce(F.col("ret_1yr"), F.lit(0.0)) == 0, "").otherwise(f(" (+%.1f%% 1yr)", "ret_1yr"))
     bull = points("good", "✅",
                   ("analyst", F.col("upside_pct") > 20, f("Analyst Coverage: %.1f%% upside target implies significant room", "upside_pct")),

@@ -122,10 +122,10 @@ def point_in_time_ratios(facts: DataFrame) -> DataFrame:
     """Ratios as known at each filing date (the change points).
 
     Flow facts count only when they span about a year; the growth needs a
-    period that ended between 365 and 465 days before the latest one. One pass:
-    facts are reduced to one row per (ticker, filing date), whose annual
-    revenues travel as a short array; the running array of a ticker holds one
-    entry per distinct period it reported.
+    period that ended between 365 and 465 days before the latest one. Facts are
+    reduced to one row per (ticker, filing date); what is known by then is a
+    running maximum. The earlier period is looked up among those that end in the
+    same hundred days, two keys per filing, so nothing grows along a ticker.
     """
     span = F.datediff("fiscal_period_end", "start_date")
     annual = F.col("start_date").isNotNull() & span.between(350, 380)
@@ -137,13 +137,19 @@ def point_in_time_ratios(facts: DataFrame) -> DataFrame:
     end = F.col("fiscal_period_end")
     revenue = F.when(F.col("_rev").isNotNull(), F.struct(end.alias("end"), "filed_date", F.col("_rev").alias("value")))
     daily = periods.groupBy("ticker", "filed_date").agg(
-        *[F.max_by(a, F.when(F.col(a).isNotNull(), end)).alias(a) for a in names.values()], F.collect_list(revenue).alias("_new"))
+        *[F.max_by(a, F.when(F.col(a).isNotNull(), end)).alias(a) for a in names.values()], F.max(revenue).alias("_new"))
     known = Window.partitionBy("ticker").orderBy("filed_date").rowsBetween(Window.unboundedPreceding, 0)
-    state = daily.select("ticker", "filed_date", *[F.last(a, ignorenulls=True).over(known).alias(a) for a in names.values()],
-                         F.flatten(F.collect_list("_new").over(known)).alias("_seen"))
-    state = state.withColumn("_now", F.array_max("_seen"))
-    prior = F.filter("_seen", lambda r: (r["end"] <= F.date_sub(F.col("_now.end"), 365)) & (r["end"] > F.date_sub(F.col("_now.end"), 465)))
-    state = state.withColumn("_was", F.array_max(prior))
+    state = daily.select("ticker", "filed_date", *[F.last(a, ignorenulls=True).over(known).alias(a) for a in names.values()], F.max("_new").over(known).alias("_now"))
+
+    def hundred(day):
+        return F.floor(F.unix_date(day) / 100)
+    low, high = F.date_sub(F.col("_now.end"), 464), F.date_sub(F.col("_now.end"), 365)
+    asked = state.filter(F.col("_now").isNotNull()).select("ticker", "filed_date", low.alias("_low"), high.alias("_high"),
+                                                           F.explode(F.array_distinct(F.array(hundred(low), hundred(high)))).alias("_hundred"))
+    earlier = periods.filter(F.col("_rev").isNotNull()).select("ticker", hundred(end).alias("_hundred"), F.struct(end.alias("end"), "filed_date", F.col("_rev").alias("value")).alias("_old"))
+    fits = (F.col("_old.filed_date") <= F.col("filed_date")) & F.col("_old.end").between(F.col("_low"), F.col("_high"))
+    found = asked.join(earlier, ["ticker", "_hundred"]).filter(fits).groupBy("ticker", "filed_date").agg(F.max("_old").alias("_was"))
+    state = state.join(found, ["ticker", "filed_date"], "left")
 
     def share(top, bottom):
         return F.when(F.col(bottom) != 0, F.col(top) / F.col(bottom))

@@ -16,11 +16,12 @@ from tapeloom.functions.rolling import Roll, rolled
 YEAR = 252
 MASK, MIXER = 2**31 - 1, 73244475   # 31 bits times 27 bits stay below 2**63
 CONFIG = ("config", "hysteresis", "vol_weight", "fraction", "top_n", "every", "neutral")
+# Names of the compared books.
 ROUND_ONE = [("A: naive + equal", False, False, 0.1, None, 1, False), ("B: hysteresis + equal", True, False, 0.1, None, 1, False),
              ("C: naive + inverse-vol", False, True, 0.1, None, 1, False), ("D: hysteresis + inv-vol", True, True, 0.1, None, 1, False)]
-ROUND_TWO = [("decile daily", False, True, 0.1, None, 1, False), ("quintile daily", False, True, 0.2, None, 1, False),
-             ("fixed 20 daily", False, True, 0.1, 20, 1, False), ("decile every 3", False, True, 0.1, None, 3, False),
-             ("decile every 5", False, True, 0.1, None, 5, False), ("decile beta neutral", False, True, 0.1, None, 1, True)]
+ROUND_TWO = [("C (baseline: decile, daily, vol-wt)", False, True, 0.1, None, 1, False), ("quintile (top/bottom 20%, daily)", False, True, 0.2, None, 1, False),
+             ("fixed-20 names, daily", False, True, 0.1, 20, 1, False), ("C, rebalance every 3d", False, True, 0.1, None, 3, False),
+             ("C, rebalance every 5d (signal horizon)", False, True, 0.1, None, 5, False), ("C, beta-neutralized", False, True, 0.1, None, 1, True)]
 LEAST = 10
 
 
@@ -138,13 +139,15 @@ def daily_book(held: DataFrame) -> DataFrame:
 def summary(daily: DataFrame) -> DataFrame:
     s = F.stddev_samp("ret") * YEAR ** 0.5
     out = daily.groupBy("config").agg((F.avg("ret") * YEAR).alias("ann_return"), s.alias("ann_vol"), F.avg("turnover").alias("turnover"), F.count("ret").alias("n_days"),
+                                      (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"),
                                       F.max(F.abs("net_exposure")).alias("max_abs_net"), F.avg("gross_exposure").alias("gross"))
     return out.withColumn("sharpe", F.when(F.col("ann_vol") > 0, F.col("ann_return") / F.col("ann_vol")))
 
 
-def sharpe_errors(book: DataFrame, years: float) -> DataFrame:
+def sharpe_errors(book: DataFrame) -> DataFrame:
+    """Standard errors by days and by years, both as the book's own dates span them."""
     daily = F.col("sharpe") / YEAR ** 0.5
-    return book.select("*", (F.sqrt((1 + 0.5 * daily * daily) / F.col("n_days")) * YEAR ** 0.5).alias("se_daily_based"), F.lit(1 / years ** 0.5).alias("se_annual_block"))
+    return book.select("*", (F.sqrt((1 + 0.5 * daily * daily) / F.col("n_days")) * YEAR ** 0.5).alias("se_daily_based"), F.when(F.col("years") > 0, 1 / F.sqrt("years")).alias("se_annual_block"))
 
 
 def alpha_beta(daily: DataFrame, benchmark: DataFrame, least: int = 30) -> DataFrame:
@@ -159,11 +162,12 @@ def alpha_beta(daily: DataFrame, benchmark: DataFrame, least: int = 30) -> DataF
     return fit.filter(F.col("n_obs") >= least).select("config", (F.col("_a") * YEAR).alias("alpha_annualized"), "beta", (F.col("_a") / se).alias("t_stat_alpha"), "n_obs")
 
 
-def compare(daily: DataFrame, benchmark: DataFrame, years: float, setups: DataFrame, bps=(10, 20)) -> DataFrame:
-    """Summary, errors, alpha and net returns of every configuration."""
-    book = sharpe_errors(summary(daily), years).join(alpha_beta(daily, benchmark), "config", "left").join(F.broadcast(setups.select("config", "every")), "config")   # a handful of configs
+def compare(daily: DataFrame, benchmark: DataFrame, setups: DataFrame, bps=(10, 20)) -> DataFrame:
+    """Summary, errors, bootstrap bounds, alpha, rebalances and net returns of every configuration."""
+    bounds = block_bootstrap(daily).select("config", F.col("p5").alias("sharpe_p5"), F.col("p95").alias("sharpe_p95"))
+    book = sharpe_errors(summary(daily)).join(bounds, "config", "left").join(alpha_beta(daily, benchmark), "config", "left").join(F.broadcast(setups.select("config", "every")), "config")   # a handful of configs
     nets = [(F.col("ann_return") - F.col("turnover") * (b / 10000) * (YEAR / F.col("every"))).alias(f"net_return_{b}bps") for b in bps]
-    return book.select("config", "sharpe", "se_daily_based", "se_annual_block", "ann_return", "ann_vol", "turnover", (F.col("max_abs_net") < 0.05).alias("net_exposure_ok"),
+    return book.select("config", "sharpe", "se_daily_based", "se_annual_block", "sharpe_p5", "sharpe_p95", (YEAR / F.col("every")).alias("rebalances_per_yr"), "ann_return", "ann_vol", "turnover", (F.col("max_abs_net") < 0.05).alias("net_exposure_ok"),
                        "alpha_annualized", "beta", "t_stat_alpha", *nets)
 
 
@@ -178,18 +182,28 @@ def mix31(df: DataFrame, column: str, salt: Column) -> DataFrame:
 def block_bootstrap(daily: DataFrame, block: int = 20, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Percentiles of the Sharpe over resampled paths of whole blocks.
 
-    Block starts come from an integer mixer over (path, block), so they are reproducible and independent of each other; every path is a join of block positions with the day series
-    and one aggregate, spread over the cluster by path.
+    Block starts come from an integer mixer over (path, block), so they are reproducible and independent of each other. A drawn block
+    is one row: its sums of returns and squares are differences of running sums, which every config carries as two arrays with an
+    entry per trading day (a path's last block may be cut).
     """
-    w = Window.partitionBy("config").orderBy("date")
-    series = daily.filter(F.col("ret").isNotNull()).select("config", "ret", (F.row_number().over(w) - 1).alias("k"))
-    sizes = series.groupBy("config").agg(F.count("*").alias("_n")).filter(F.col("_n") >= block * 5)
+    w = Window.partitionBy("config").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    days = daily.filter(F.col("ret").isNotNull()).select("config", "date", F.sum("ret").over(w).alias("s"), F.sum(F.col("ret") * F.col("ret")).over(w).alias("q"))
+    run = F.array_sort(F.collect_list(F.struct("date", "s", "q")))
+    zero = F.array(F.lit(0.0))
+    series = days.groupBy("config").agg(F.count("*").alias("_n"), run.alias("_run")).filter(F.col("_n") >= block * 5)
+    series = series.select("config", "_n", F.concat(zero, F.transform("_run", lambda x: x["s"])).alias("_s"), F.concat(zero, F.transform("_run", lambda x: x["q"])).alias("_q"))
+    sizes = series.select("config", "_n")
     paths = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("b", F.explode(F.expr(f"sequence(0, CAST(ceil(_n / {block}) AS INT) - 1)")))
     mixed = mix31(mix31(paths, "path", F.lit(seed)), "_mixed", F.col("b") + 1)
-    drawn = mixed.withColumn("_s", F.col("_mixed") % (F.col("_n") - block)).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    drawn = drawn.filter(F.col("b") * block + F.col("o") < F.col("_n")).select("config", "path", (F.col("_s") + F.col("o")).alias("k"))
-    per = drawn.join(series, ["config", "k"]).groupBy("config", "path").agg(F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s"))
-    sr = F.when(F.col("_s") > 0, F.col("_m") * YEAR / (F.col("_s") * YEAR ** 0.5)).otherwise(0.0)
+    start = (F.col("_mixed") % (F.col("_n") - block)).cast("int")
+    drawn = mixed.select("config", "path", start.alias("_lo"), (start + F.least(F.lit(block), F.col("_n") - F.col("b") * block)).cast("int").alias("_hi"))
+    met = drawn.join(F.broadcast(series), "config")     # one row per config
+    def between(c: str) -> Column:
+        return F.sum(F.get(c, F.col("_hi")) - F.get(c, F.col("_lo")))
+    per = met.groupBy("config", "path").agg(between("_s").alias("_x"), between("_q").alias("_y"), F.max("_n").alias("_n"))
+    mean = F.col("_x") / F.col("_n")
+    sigma = F.sqrt(F.greatest(F.col("_y") / F.col("_n") - mean * mean, F.lit(0.0)))
+    sr = F.when(sigma > 1e-12, mean * YEAR / (sigma * YEAR ** 0.5)).otherwise(0.0)
     return per.groupBy("config").agg(*[F.percentile(sr, F.lit(p / 100)).alias(f"p{p}") for p in (5, 50, 95)])
 
 

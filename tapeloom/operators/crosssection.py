@@ -6,6 +6,8 @@ Groups without such a bound (a whole sample) go through functions.ranks.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,16 +103,51 @@ def median_split_hits(df: DataFrame, score: str, outcome: str, least: int = 10)
                               F.avg((F.col("top") > F.col("bottom")).cast("double")).alias("hit_rate"))
 
 
-def return_correlations(bars: DataFrame, high: float = 0.75, low: float = 0.25) -> DataFrame:
-    """Pearson correlation of daily returns for pairs of held tickers.
+TICKER_BLOCK, DATE_BLOCK = 256, 64
 
-    Pairs are formed per common date and summed up map-side into moments; the
-    input is a portfolio's holdings, so the pairs are those of one book.
+
+def _moments():
+    """Sums over the common dates of every pair of a block pair: matrix products of (dates x tickers) frames."""
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        first, second = key[0], key[1]
+        days, day = np.unique(rows["date"].to_numpy(), return_inverse=True)
+
+        def frame(block: int):
+            mine = (rows["_own"] == block).to_numpy()
+            names, column = np.unique(rows["ticker"].to_numpy(str)[mine], return_inverse=True)
+            values, known = np.zeros((len(days), len(names))), np.zeros((len(days), len(names)))
+            values[day[mine], column], known[day[mine], column] = rows["ret"].to_numpy()[mine], 1.0
+            return names, values, known
+        (na, x, kx), (nb, y, ky) = frame(first), frame(second)
+        sums = {"n": kx.T @ ky, "sx": x.T @ ky, "sy": kx.T @ y, "sxx": (x * x).T @ ky, "syy": kx.T @ (y * y), "sxy": x.T @ y}
+        i, j = np.nonzero(sums["n"])
+        i, j = (k[na[i] < nb[j]] for k in (i, j)) if first == second else (i, j)
+        low = na[i] < nb[j]
+        out = {"ticker_a": np.where(low, na[i], nb[j]), "ticker_b": np.where(low, nb[j], na[i]), "n": sums["n"][i, j].astype("int64"), "sxy": sums["sxy"][i, j]}
+        for a, b in (("sx", "sy"), ("sxx", "syy")):
+            out[a], out[b] = np.where(low, sums[a][i, j], sums[b][i, j]), np.where(low, sums[b][i, j], sums[a][i, j])
+        return pd.DataFrame(out)
+    return run
+
+
+def return_correlations(bars: DataFrame, high: float = 0.75, low: float = 0.25, block: int = TICKER_BLOCK) -> DataFrame:
+    """Pearson correlation of daily returns for all pairs of tickers with common dates.
+
+    A blocked Gram matrix: tickers are dealt to blocks, dates to spans, and each pair of blocks and span is a few matrix products
+    in one task. A row is sent once per block of tickers, not once per ticker; the moments of a pair are added up over the spans.
     """
-    own = bars.select("ticker", "date", "ret")
-    a, b = own.alias("a"), own.alias("b")
-    paired = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.ticker") < F.col("b.ticker")))
-    result = paired.groupBy(F.col("a.ticker").alias("ticker_a"), F.col("b.ticker").alias("ticker_b")).agg(
-        F.corr("a.ret", "b.ret").alias("correlation"), F.count("*").alias("n"))
+    own = bars.select("ticker", "date", F.col("ret").cast("double").alias("ret")).filter(F.col("ret").isNotNull())
+    n = own.select("ticker").distinct().count()
+    blocks = max(-(-n // block), 1)
+    dealt = own.withColumn("_own", F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")).withColumn("_span", F.floor(F.unix_date("date") / DATE_BLOCK))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other")}).drop("_other")
+    parts = met.groupBy("_a", "_b", "_span").applyInPandas(_moments(), "ticker_a string, ticker_b string, n long, sxy double, sx double, sy double, sxx double, syy double")
+    sums = parts.groupBy("ticker_a", "ticker_b").agg(*[F.sum(c).alias(c) for c in ("n", "sxy", "sx", "sy", "sxx", "syy")])
+
+    def spread(squares: str, total: str) -> Column:
+        return F.col(squares) - F.col(total) * F.col(total) / F.col("n")
+    both = spread("sxx", "sx") * spread("syy", "sy")
+    result = sums.select("ticker_a", "ticker_b", F.when(both > 0, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(both)).alias("correlation"), "n")
     flag = F.when(F.col("correlation") > high, "concentrated").when(F.col("correlation") < low, "diversifying").otherwise("neutral")
     return result.withColumn("flag", flag)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tapeloom.functions.ranks import average_rank
 from tapeloom.operators.crosssection import legs
 from tapeloom.operators.factors import rank_correlation, tied_rank
+from tapeloom.session import staged
 
 
 def quarterly_folds(rows: DataFrame, first: str = "2015-01-01", embargo: int = 5, skip: int = 4, months: int = 3) -> DataFrame:
@@ -60,7 +61,7 @@ def sized_folds(rows: DataFrame, folds: DataFrame, least_train: int, least_test:
 def spearman(rows: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Rank correlation over groups of any size, with its two-sided p-value."""
     keys = keys or []
-    known = rows.select(*keys, x, y).dropna(subset=[x, y])
+    known = staged(rows.select(*keys, x, y).dropna(subset=[x, y]))     # read for either rank
     ranked = average_rank(average_rank(known, keys, x, "_rx"), keys, y, "_ry")
     out = ranked.groupBy(*keys).agg(rank_correlation("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
     return out.withColumn("pval", student_p("rho", "n"))
@@ -107,7 +108,7 @@ def student_p(rho: pd.Series, n: pd.Series) -> pd.Series:
 def classification_metrics(rows: DataFrame, label: str, probability: str, keys: list[str] | None = None, cut: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall and rank-sum AUC (0.5 if undefined)."""
     keys = keys or []
-    known = rows.select(*keys, label, probability)
+    known = staged(rows.select(*keys, label, probability))
     hit, y = F.col(probability) >= cut, F.col(label) == 1
     ranked = average_rank(known, keys, probability, "_r")
     agg = ranked.groupBy(*keys).agg(

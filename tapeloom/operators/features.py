@@ -18,7 +18,7 @@ from tapeloom.functions.rolling import Roll, rolled
 from tapeloom.operators import indicators as ind
 from tapeloom.operators.alignment import RATIOS, point_in_time_ratios, trailing_sentiment
 from tapeloom.operators.scorecards import altman_book_value, eight_test_score, statement_years
-from tapeloom.session import cut_lineage
+from tapeloom.session import lookup, staged
 
 # The ordered feature contract.
 TECHNICAL = (
@@ -167,10 +167,13 @@ def series_change(series: DataFrame, n: int, out: str, *keys: str) -> DataFrame:
 
 
 def relative_features(df: DataFrame, benchmark: DataFrame, sectors: DataFrame, etf: DataFrame) -> DataFrame:
-    """Own 21-bar return against the benchmark's and the sector's."""
-    market = series_change(benchmark, 21, "_spy21")
-    sector = series_change(etf, 21, "_etf21", "sector")
-    joined = df.join(market, "date", "left").join(sectors, "ticker", "left").join(sector, ["sector", "date"], "left")
+    """Own 21-bar return against the benchmark's and the sector's.
+
+    The changes are as long as the calendar and are looked up where the wide rows lie, once they are counted as small.
+    """
+    market = lookup(series_change(benchmark, 21, "_spy21"))
+    sector = lookup(series_change(etf, 21, "_etf21", "sector"))
+    joined = df.join(market, "date", "left").join(lookup(sectors), "ticker", "left").join(sector, ["sector", "date"], "left")
     alpha = clip(F.col("_ret21") - F.col("_spy21"), -0.5, 0.5)
     own_sector = clip(F.col("_ret21") - F.col("_etf21"), -0.5, 0.5)
     covered = F.col("sector").isNotNull()
@@ -217,7 +220,7 @@ def feature_frame(m, with_overlay: bool = True) -> DataFrame:
     """All features of all bars; training adds the filings overlay, live does not."""
     filings = point_in_time_ratios(m.facts) if with_overlay else None
     aligned = trailing_sentiment(m.bars, m.insider, m.grades, filings, RATIOS if with_overlay else ())
-    out = technical_features(aligned, m.bench, m.sectors, m.etf).join(fundamental_features(m.info, m.statements), "ticker", "left")
+    out = technical_features(aligned, m.bench, m.sectors, m.etf).join(lookup(fundamental_features(m.info, m.statements)), "ticker", "left")
     if with_overlay:
         out = overlay(out)
     return contract(out, "ticker", "date", "high", "low", "close")
@@ -226,14 +229,14 @@ def feature_frame(m, with_overlay: bool = True) -> DataFrame:
 def impute(df: DataFrame, columns=FEATURES) -> DataFrame:
     """Per-date median, then the column's global median, then zero.
 
-    The per-date medians are one window on date. Their result is cut from its
-    lineage (a reliable checkpoint), because the fallback reads it again: an
-    exact distributed median is computed for the columns that still hold NULLs.
+    The per-date medians are one window on date. Their result is staged as
+    columns, because the fallback reads it again, but only the columns that
+    still hold NULLs: an exact distributed median is computed for those.
     """
     w = by_date()
     daily = df.select(*[c for c in df.columns if c not in columns],
                       *[F.coalesce(F.col(c), F.median(c).over(w)).alias(c) for c in columns])
-    daily = cut_lineage(daily.select(*df.columns))
+    daily = staged(daily.select(*df.columns))
     gaps = daily.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     open_columns = [c for c in columns if gaps[c]]
     if not open_columns:

@@ -231,11 +231,11 @@ def balance_trends(statements: DataFrame, years: int = 4) -> DataFrame:
     aged = line_items(statements).withColumn("_age", age).filter(F.col("_age") < years)
 
     def billions(field: str) -> Column:
-        return F.round(F.max(F.when(F.col("field") == field, F.col("value"))) / 1e9, 6).alias(field)
+        return F.round(F.max(F.when(F.col("field") == field, F.col("value"))) / 1e9, 2).alias(field)
     yearly = aged.groupBy("ticker", "_age", F.year("period_end").alias("year")).agg(
         *[billions(f) for f in ("debt", "ta", "cash", "rev")])
-    yearly = (yearly.withColumn("net_debt", F.col("debt") - F.col("cash"))
-              .withColumn("debt_to_assets", F.when(F.col("ta") > 0, F.col("debt") / F.col("ta"))))
+    yearly = (yearly.withColumn("net_debt", F.round(F.col("debt") - F.col("cash"), 2))
+              .withColumn("debt_to_assets", F.when(F.col("ta") > 0, F.round(F.col("debt") / F.col("ta"), 3))))
 
     def ends(field: str) -> list[Column]:
         known = F.when(F.col(field).isNotNull(), F.col("_age"))

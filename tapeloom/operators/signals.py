@@ -1,11 +1,11 @@
 """Signal rows (ticker, label, status, text) from indicators, market data and events."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import messages as M
-from tapeloom.functions.exprs import clip, lagged, latest_first, newest, rolling, signal, upto
+from tapeloom.functions.exprs import clip, first, lagged, latest_first, newest, rolling, signal, upto
 from tapeloom.operators import indicators as ind
 
 INDICATOR_COLUMNS = ("sma20", "sma50", "rsi", "macd", "macd_signal", "bb_upper", "bb_lower", "bb_mid")
@@ -176,11 +176,10 @@ def vol_signal(vols: DataFrame) -> DataFrame:
 INSIDER_BUY, INSIDER_SELL = "(?i)purchase|buy|acquisition|acquired", "(?i)sale|sell|disposed|exercise"
 
 
-def insider_activity(insider: DataFrame, most: int = 10) -> DataFrame:
-    """Buys and sells among the ten newest transactions of each ticker."""
-    from pyspark.sql import Window
+def insider_activity(insider: DataFrame, most: int | None = None) -> DataFrame:
+    """Buys and sells among the transactions of each ticker, or its `most` newest ones."""
     order = Window.partitionBy("ticker").orderBy(F.col("date").desc(), "order_id", "line_id", "party_id", "shares")
-    recent = insider.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most)
+    recent = insider if most is None else first(insider.withColumn("_k", F.row_number().over(order)), "_k", most)
     buy = F.col("text").rlike(INSIDER_BUY)
     counted = recent.groupBy("ticker").agg(F.count_if(buy).alias("buy_count"), F.count_if(~buy & F.col("text").rlike(INSIDER_SELL)).alias("sell_count"))
     b, s = F.col("buy_count"), F.col("sell_count")
@@ -197,10 +196,10 @@ def insider_signal(activity: DataFrame) -> DataFrame:
     return activity.select("ticker", *signal("Insider", status, text))
 
 
-def top_holders(holders: DataFrame, most: int = 5) -> DataFrame:
-    from pyspark.sql import Window
+def top_holders(holders: DataFrame, most: int | None = None) -> DataFrame:
+    """Holders by shares with their place, the first `most` if that is given."""
     order = Window.partitionBy("ticker").orderBy(F.col("shares").desc(), "holder")
-    return holders.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return first(holders.withColumn("place", F.row_number().over(order)), "place", most)
 
 
 def ownership_signal(info: DataFrame) -> DataFrame:
@@ -238,7 +237,6 @@ def analyst_signal(info: DataFrame, bars: DataFrame) -> DataFrame:
 
 def earnings_history(earnings: DataFrame, quarters: int = 4) -> DataFrame:
     """Beats, misses and mean surprise of the newest quarters."""
-    from pyspark.sql import Window
     order = Window.partitionBy("ticker").orderBy(F.col("earnings_date").desc())
     recent = earnings.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= quarters)
     a, e, s = F.col("eps_actual"), F.col("eps_estimate"), F.col("surprise_pct")
@@ -278,17 +276,34 @@ def proximity_signal(due: DataFrame) -> DataFrame:
     return due.select("ticker", *signal("Earnings Risk", status, text))
 
 
-def relevant_news(news: DataFrame, companies: DataFrame, most: int = 10, least: int = 3) -> DataFrame:
-    """Articles naming the ticker or the company; all of them when too few do."""
-    from pyspark.sql import Window
-    joined = news.join(companies, "ticker", "left")
+def relevant_news(news: DataFrame, companies: DataFrame, most: int | None = None, least: int = 0) -> DataFrame:
+    """Articles naming the ticker or the company; all articles of a ticker with fewer than `least` of them. `most`: a ticker's first.
+
+    Documents are read once: texts are judged where they lie, and only (ticker, doc_id, relevant) and the columns besides text go on.
+    A ticker's first articles are picked in every task before they meet, so that no task sees a hot ticker whole.
+    """
     text, word = F.lower("text"), F.lower(F.split("company", " ")[0])
     hit = text.contains(F.lower("ticker")) | F.coalesce((F.length(word) > 3) & text.contains(word), F.lit(False))
-    flagged = joined.withColumn("relevant", hit)
-    counts = flagged.groupBy("ticker").agg(F.count_if("relevant").alias("_n"))
-    kept = flagged.join(counts, "ticker").filter(F.col("relevant") | (F.col("_n") < least))
-    order = Window.partitionBy("ticker").orderBy("doc_id")
-    return kept.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).drop("_k", "_n", "company")
+    # One row per ticker, which the plan broadcasts if it is small.
+    flagged = news.join(companies, "ticker", "left").withColumn("relevant", F.coalesce(hit, F.lit(False))).drop("text", "company")
+    if least <= 0:
+        kept = flagged.filter("relevant")
+        return kept if most is None else _first_by_ticker(kept, most)
+    if most is None:
+        counts = flagged.groupBy("ticker").agg(F.count_if("relevant").alias("_n"))
+        return flagged.join(counts, "ticker").filter(F.col("relevant") | (F.col("_n") < least)).drop("_n")
+    # The first relevant ones and the first of all are enough to decide, if as many as `least` are kept of the relevant.
+    both = flagged.withColumn("_pool", F.explode(F.when(F.col("relevant"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    best = _first_by_ticker(both, max(most, least), ["_pool"])
+    enough = F.count_if(F.col("_pool") == 0).over(Window.partitionBy("ticker")) >= least      # at most twice `most` rows a ticker
+    chosen = best.withColumn("_enough", enough).filter((F.col("_pool") == 0) == F.col("_enough"))
+    return first(chosen.withColumn("_k", F.row_number().over(Window.partitionBy("ticker").orderBy("doc_id"))), "_k", most).drop("_pool", "_enough", "_k")
+
+
+def _first_by_ticker(rows: DataFrame, most: int, keys: list[str] | None = None) -> DataFrame:
+    """The `most` rows of each (ticker, keys) with the least doc_id; every task passes on no more of them than that."""
+    order = Window.partitionBy("ticker", *(keys or [])).orderBy("doc_id")
+    return first(rows.withColumn("_k", F.row_number().over(order)), "_k", most).drop("_k")
 
 
 def headline_mood(news: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.exprs import by_ticker, last_rows
+from tapeloom.functions.exprs import by_ticker, last_rows, leading
 from tapeloom.functions.smoothing import ewm_span
 from tapeloom.operators.indicators import atr_full, common_indicators
 
@@ -119,8 +119,8 @@ def pivot_points(bars: DataFrame) -> DataFrame:
     return bar.select("ticker", *[F.round(v, 2).alias(k) for k, v in levels.items()])
 
 
-def swing_levels(bars: DataFrame, window: int = 10, most: int = 3) -> DataFrame:
-    """Up to three distinct levels from the last five centred extremes."""
+def swing_levels(bars: DataFrame, window: int = 10, most: int | None = None, newest: int | None = None) -> DataFrame:
+    """Distinct levels from centred extremes, nearest to the price's side first; `newest` extremes and `most` levels a side, if given."""
     w = by_ticker()
     half = window // 2
     frame = w.rowsBetween(-half, window - half - 1)
@@ -129,8 +129,9 @@ def swing_levels(bars: DataFrame, window: int = 10, most: int = 3) -> DataFrame:
                          F.when(full & (F.col("low") == F.min("low").over(frame)), F.col("low")).alias("_l"))
 
     def side(c: str, ascending: bool) -> DataFrame:
-        five = last_rows(marked.filter(F.col(c).isNotNull()).select("ticker", "date", c), 5)
-        return five.groupBy("ticker").agg(F.slice(F.sort_array(F.collect_set(F.round(c, 2)), asc=ascending), 1, most).alias(c))
+        found = marked.filter(F.col(c).isNotNull()).select("ticker", "date", c)
+        found = found if newest is None else last_rows(found, newest)
+        return found.groupBy("ticker").agg(leading(F.sort_array(F.collect_set(F.round(c, 2)), asc=ascending), most).alias(c))
     return side("_h", False).withColumnRenamed("_h", "resistance").join(side("_l", True).withColumnRenamed("_l", "support"), "ticker", "full")
 
 

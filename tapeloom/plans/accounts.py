@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions.exprs import rounded
+from tapeloom.functions import messages as M
 from tapeloom.operators import accounts as ac
 from tapeloom.operators import book as bk
 from tapeloom.operators import crosssection as xs
@@ -57,22 +58,27 @@ def _(m):
     return ac.fired_alerts(m.alerts, ac.last_prices(m.bars)).select("alert_id", "ticker", "direction", F.col("threshold").cast("bigint").alias("threshold"), "price")
 
 
+def why(kind: str, price: str) -> str:
+    before, after = M.ALERTS[kind].split("{}")
+    return f"concat('{before}', CAST({price} AS VARCHAR), '{after}')"
+
+
 V["v_sugg"] = f"""
 SELECT ticker, direction, target_price, priority, reason, CAST(row_number() OVER (PARTITION BY ticker ORDER BY priority, abs(target_price-price), direction, target_price) AS INT) AS place FROM (
  SELECT ticker, price, direction, target_price, priority, reason FROM (
-  SELECT ticker, price, unnest([{{'t': CASE WHEN target_mean > price*1.02 THEN target_mean END, 'd': 'above', 'p': 0, 'r': 'analyst mean'}}, {{'t': CASE WHEN target_high > price*1.05 THEN target_high END, 'd': 'above', 'p': 2, 'r': 'analyst high'}},
-   {{'t': CASE WHEN target_low < price*0.98 THEN target_low END, 'd': 'below', 'p': 1, 'r': 'analyst low'}}, {{'t': CASE WHEN support[1] < price*0.99 THEN support[1] END, 'd': 'below', 'p': 0, 'r': 'support'}}, {{'t': CASE WHEN support[2] < price*0.99 THEN support[2] END, 'd': 'below', 'p': 1, 'r': 'support'}},
-   {{'t': CASE WHEN resistance[1] > price*1.01 THEN resistance[1] END, 'd': 'above', 'p': 0, 'r': 'resistance'}}, {{'t': CASE WHEN resistance[2] > price*1.01 THEN resistance[2] END, 'd': 'above', 'p': 1, 'r': 'resistance'}},
-   {{'t': CASE WHEN pp < price*0.98 OR pp > price*1.02 THEN pp END, 'd': CASE WHEN pp < price THEN 'below' ELSE 'above' END, 'p': 1, 'r': 'pivot'}}], recursive := true)
-  FROM (SELECT i.ticker, b.close AS price, target_mean, target_high, target_low, l.support, l.resistance, round(v.p, 2) AS pp FROM v_info i JOIN {last('v_bars')} b USING (ticker) JOIN v_levels l USING (ticker) JOIN v_pivot v USING (ticker)) x) y(ticker, price, target_price, direction, priority, reason)
- WHERE target_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, direction, target_price ORDER BY priority, reason) = 1) z QUALIFY place <= 6"""
+  SELECT ticker, price, unnest([{{'t': CASE WHEN target_mean > price*1.02 THEN target_mean END, 'd': 'above', 'p': 0, 'o': 1, 'r': {why('analyst mean', 'target_mean')}}}, {{'t': CASE WHEN target_high > price*1.05 THEN target_high END, 'd': 'above', 'p': 2, 'o': 2, 'r': {why('analyst high', 'target_high')}}},
+   {{'t': CASE WHEN target_low < price*0.98 THEN target_low END, 'd': 'below', 'p': 1, 'o': 3, 'r': {why('analyst low', 'target_low')}}}, {{'t': CASE WHEN support[1] < price*0.99 THEN support[1] END, 'd': 'below', 'p': 0, 'o': 4, 'r': {why('support', 'support[1]')}}}, {{'t': CASE WHEN support[2] < price*0.99 THEN support[2] END, 'd': 'below', 'p': 1, 'o': 5, 'r': {why('support', 'support[2]')}}},
+   {{'t': CASE WHEN resistance[1] > price*1.01 THEN resistance[1] END, 'd': 'above', 'p': 0, 'o': 6, 'r': {why('resistance', 'resistance[1]')}}}, {{'t': CASE WHEN resistance[2] > price*1.01 THEN resistance[2] END, 'd': 'above', 'p': 1, 'o': 7, 'r': {why('resistance', 'resistance[2]')}}},
+   {{'t': CASE WHEN pp < price*0.98 OR pp > price*1.02 THEN pp END, 'd': CASE WHEN pp < price THEN 'below' ELSE 'above' END, 'p': 1, 'o': 8, 'r': CASE WHEN pp < price THEN {why('pivot below', 'pp')} ELSE {why('pivot above', 'pp')} END}}], recursive := true)
+  FROM (SELECT i.ticker, b.close AS price, target_mean, target_high, target_low, l.support, l.resistance, round(v.p, 2) AS pp FROM v_info i JOIN {last('v_bars')} b USING (ticker) JOIN v_levels l USING (ticker) JOIN v_pivot v USING (ticker)) x) y(ticker, price, target_price, direction, priority, o, reason)
+ WHERE target_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, direction, target_price ORDER BY priority, o) = 1) z QUALIFY place <= 6"""
 
 
 @query("alert_suggestions", "P-07", "SELECT ticker, direction, target_price, priority, reason, place FROM v_sugg")
 def _(m):
     m.staged()
-    rows = (m.info.select("ticker", "target_mean", "target_high", "target_low").join(ac.last_prices(m.bars), "ticker").join(so.swing_levels(m.bars), "ticker").join(so.pivot_points(m.bars).select("ticker", "PP"), "ticker"))
-    return ac.alert_suggestions(rows).select("ticker", "direction", "target_price", "priority", "reason", "place")
+    rows = (m.info.select("ticker", "target_mean", "target_high", "target_low").join(ac.last_prices(m.bars), "ticker").join(so.swing_levels(m.bars, most=3, newest=5), "ticker").join(so.pivot_points(m.bars).select("ticker", "PP"), "ticker"))
+    return ac.alert_suggestions(rows, most=6).select("ticker", "direction", "target_price", "priority", "reason", "place")
 
 
 @query("model_call_rollup", "P-08", """
@@ -84,7 +90,7 @@ def _(m):
 
 @query("recent_model_calls", "P-08", "SELECT id, ticker, source, in_tokens, out_tokens FROM v_llm_calls ORDER BY created_at DESC, id DESC LIMIT 50")
 def _(m):
-    return ac.recent_calls(m.llm_calls).select("id", "ticker", "source", "in_tokens", "out_tokens")
+    return ac.recent_calls(m.llm_calls, most=50).select("id", "ticker", "source", "in_tokens", "out_tokens")
 
 
 @query("token_and_cost_estimate", "P-09", """
@@ -99,7 +105,7 @@ SELECT ticker, concat_ws(chr(10), 'BULL: ' || nullif(array_to_string(list_transf
  'BEAR: ' || nullif(array_to_string(list_transform(list_filter(s, lambda x: x.status = 'warning')[1:6], lambda x: x.label || ':' || substr(x.text, 1, 60)), ' | '), '')) AS compact
 FROM (SELECT ticker, list({'label': label, 'text': text, 'status': status} ORDER BY label) AS s FROM v_fundsig GROUP BY ticker) z""")
 def _(m):
-    return ac.bucketed_text(sc.fundamental_signals(m.info))
+    return ac.bucketed_text(sc.fundamental_signals(m.info), width=60, most=6)
 
 
 @query("json_reply_extraction", "P-11", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
@@ -156,7 +162,7 @@ def _(m):
             .join(m.sectors.join(sg.sector_trend(m.etf).select("sector", F.col("trend").alias("sector_trend")), "sector"), "ticker")
             .join(ind.momentum(m.bars).select("ticker", F.col("trend").alias("momentum_trend"), "ret_1yr"), "ticker")
             .join(sg.analyst_signal(m.info, m.bars).select("ticker", "upside_pct"), "ticker").join(sc.piotroski(years).select("ticker", F.col("score").alias("piotroski")), "ticker").withColumn("short_pct", F.col("short_pct_float") * 100))
-    return ac.thesis(rows).select("ticker", "headline", "key_risk", "key_catalyst", "one_liner", F.concat_ws("\n", "bull_points").alias("bull_points"), F.concat_ws("\n", "bear_points").alias("bear_points"))
+    return ac.thesis(rows, most=5, width=77).select("ticker", "headline", "key_risk", "key_catalyst", "one_liner", F.concat_ws("\n", "bull_points").alias("bull_points"), F.concat_ws("\n", "bear_points").alias("bear_points"))
 
 
 @query("freshness_flag", "P-13", """

@@ -282,7 +282,7 @@ FROM (SELECT *, v - row_number() OVER (PARTITION BY config, leg, ticker ORDER BY
    sum(weight*ret) FILTER (WHERE leg = 1)/sum(weight) FILTER (WHERE leg = 1 AND ret IS NOT NULL) AS rl, sum(weight*ret) FILTER (WHERE leg = -1)/sum(weight) FILTER (WHERE leg = -1 AND ret IS NOT NULL) AS rs,
    coalesce(sum(weight*beta) FILTER (WHERE leg = 1), 0) AS bl, coalesce(sum(weight*beta) FILTER (WHERE leg = -1), 0) AS bs, coalesce(sum(1/target) FILTER (WHERE leg = 1 AND fresh), 0) AS tl, coalesce(sum(1/target) FILTER (WHERE leg = -1 AND fresh), 0) AS ts
   FROM v_hold{tag} GROUP BY config, neutral, reb, date) a) b) c"""
-    v[f"v_sum{tag}"] = f"""SELECT *, ar/nullif(av, 0) AS sh FROM (SELECT config, avg(ret)*252 AS ar, stddev_samp(ret)*sqrt(252) AS av, avg(turnover) AS t, count(ret) AS nd, max(abs(net_exposure)) AS mn FROM v_book{tag} GROUP BY config) z"""
+    v[f"v_sum{tag}"] = f"""SELECT *, ar/nullif(av, 0) AS sh FROM (SELECT config, avg(ret)*252 AS ar, stddev_samp(ret)*sqrt(252) AS av, avg(turnover) AS t, count(ret) AS nd, max(abs(net_exposure)) AS mn, date_diff('day', min(date), max(date))/365.25 AS yrs FROM v_book{tag} GROUP BY config) z"""
     v[f"v_ab{tag}"] = f"""SELECT config, a*252 AS aa, b, a/sqrt((syy - b*sxy)/(n-2)*(1/n + mx*mx/sxx)) AS ta, n FROM (SELECT config, count(*)::DOUBLE AS n, regr_intercept(ret, m) AS a, regr_slope(ret, m) AS b, regr_sxx(ret, m) AS sxx, regr_syy(ret, m) AS syy, regr_sxy(ret, m) AS sxy, avg(m) AS mx
  FROM v_book{tag} JOIN v_mkt USING (date) WHERE ret IS NOT NULL AND m IS NOT NULL GROUP BY config) z WHERE n >= 30"""
 
@@ -292,7 +292,6 @@ SELECT *, (rank() OVER (PARTITION BY date ORDER BY pred_return) + (count(*) OVER
  SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY pred_return, ticker) AS lo, row_number() OVER (PARTITION BY date ORDER BY pred_return DESC, ticker DESC) AS hi FROM v_ret WHERE pred_return IS NOT NULL) z WHERE n >= 10"""
 held_views("1", bk.ROUND_ONE)
 held_views("2", bk.ROUND_TWO)
-YEARS = 7.0
 
 
 def held(m, rows):
@@ -323,9 +322,9 @@ def _(m):
     return rounded(bk.summary(bk.daily_book(held(m, bk.ROUND_ONE))).select("config", "ann_return", "ann_vol", "sharpe", "turnover", "n_days"))
 
 
-@query("sharpe_standard_errors", "M-11", f"SELECT config, r6(sqrt((1 + 0.5*sh*sh/252)/nd)*sqrt(252)) AS se_daily_based, r6(1/sqrt({YEARS})) AS se_annual_block FROM v_sum1")
+@query("sharpe_standard_errors", "M-11", f"SELECT config, r6(sqrt((1 + 0.5*sh*sh/252)/nd)*sqrt(252)) AS se_daily_based, r6(1/sqrt(yrs)) AS se_annual_block FROM v_sum1")
 def _(m):
-    return rounded(bk.sharpe_errors(bk.summary(bk.daily_book(held(m, bk.ROUND_ONE))), YEARS).select("config", "se_daily_based", "se_annual_block"))
+    return rounded(bk.sharpe_errors(bk.summary(bk.daily_book(held(m, bk.ROUND_ONE)))).select("config", "se_daily_based", "se_annual_block"))
 
 
 @query("alpha_beta", "M-12", "SELECT config, r6(aa) AS alpha_annualized, r6(b) AS beta, r5(ta) AS t_stat_alpha, CAST(n AS BIGINT) AS n_obs FROM v_ab1")
@@ -344,24 +343,28 @@ def mixed_sql(source, value, salt, out):
 ORACLE_VIEWS["v_starts"] = mixed_sql("(" + mixed_sql("(SELECT path, b FROM range(0, 1000) p(path), range(0, 1000) q(b))", "path", "42", "h") + ")", "h", "b + 1", "s")
 
 
-@query("block_bootstrap_sharpe", "M-13", """
-SELECT config, r5(quantile_cont(sr, 0.05)) AS p5, r5(quantile_cont(sr, 0.5)) AS p50, r5(quantile_cont(sr, 0.95)) AS p95 FROM (
+for tag in ("1", "2"):
+    ORACLE_VIEWS[f"v_boot{tag}"] = f"""
+SELECT config, quantile_cont(sr, 0.05) AS p5, quantile_cont(sr, 0.5) AS p50, quantile_cont(sr, 0.95) AS p95 FROM (
  SELECT d.config, d.path, CASE WHEN stddev_pop(s.ret) > 0 THEN avg(s.ret)*252/(stddev_pop(s.ret)*sqrt(252)) ELSE 0 END AS sr
- FROM (SELECT z.config, path, b, o, s % (n - 20) + o AS k FROM (SELECT config, count(ret) AS n FROM v_book1 GROUP BY config) z, v_starts, range(0, 20) r(o) WHERE b < ceil(n/20) AND b*20 + o < n AND n >= 100) d
- JOIN (SELECT config, ret, row_number() OVER (PARTITION BY config ORDER BY date) - 1 AS k FROM v_book1 WHERE ret IS NOT NULL) s ON s.config = d.config AND s.k = d.k GROUP BY d.config, d.path) x GROUP BY config""")
+ FROM (SELECT z.config, path, b, o, s % (n - 20) + o AS k FROM (SELECT config, count(ret) AS n FROM v_book{tag} GROUP BY config) z, v_starts, range(0, 20) r(o) WHERE b < ceil(n/20) AND b*20 + o < n AND n >= 100) d
+ JOIN (SELECT config, ret, row_number() OVER (PARTITION BY config ORDER BY date) - 1 AS k FROM v_book{tag} WHERE ret IS NOT NULL) s ON s.config = d.config AND s.k = d.k GROUP BY d.config, d.path) x GROUP BY config"""
+
+
+@query("block_bootstrap_sharpe", "M-13", "SELECT config, r5(p5) AS p5, r5(p50) AS p50, r5(p95) AS p95 FROM v_boot1")
 def _(m):
     return rounded(bk.block_bootstrap(cut_lineage(bk.daily_book(held(m, bk.ROUND_ONE)))), 5)
 
 
 def compare_sql(tag):
     return f"""
-SELECT s.config, r6(sh) AS sharpe, r6(sqrt((1 + 0.5*sh*sh/252)/nd)*sqrt(252)) AS se_daily_based, r6(1/sqrt({YEARS})) AS se_annual_block, r6(ar) AS ann_return, r6(av) AS ann_vol, r6(t) AS turnover, mn < 0.05 AS net_exposure_ok,
- r6(aa) AS alpha_annualized, r6(b) AS beta, r5(ta) AS t_stat_alpha, r6(ar - t*10/10000*252/every) AS net_return_10bps, r6(ar - t*20/10000*252/every) AS net_return_20bps FROM v_sum{tag} s LEFT JOIN v_ab{tag} USING (config) JOIN v_cfg{tag} USING (config)"""
+SELECT s.config, r6(sh) AS sharpe, r6(sqrt((1 + 0.5*sh*sh/252)/nd)*sqrt(252)) AS se_daily_based, r6(1/sqrt(yrs)) AS se_annual_block, r5(p5) AS sharpe_p5, r5(p95) AS sharpe_p95, 252.0/every AS rebalances_per_yr, r6(ar) AS ann_return, r6(av) AS ann_vol, r6(t) AS turnover, mn < 0.05 AS net_exposure_ok,
+ r6(aa) AS alpha_annualized, r6(b) AS beta, r5(ta) AS t_stat_alpha, r6(ar - t*10/10000*252/every) AS net_return_10bps, r6(ar - t*20/10000*252/every) AS net_return_20bps FROM v_sum{tag} s LEFT JOIN v_ab{tag} USING (config) LEFT JOIN v_boot{tag} USING (config) JOIN v_cfg{tag} USING (config)"""
 
 
 def comparison(m, rows):
     daily = cut_lineage(bk.daily_book(held(m, rows)))
-    return rounded(bk.compare(daily, m.bench, YEARS, bk.configs(m.spark, rows)), t_stat_alpha=5)
+    return rounded(bk.compare(daily, m.bench, bk.configs(m.spark, rows)), t_stat_alpha=5, sharpe_p5=5, sharpe_p95=5)
 
 
 @query("two_by_two_books", "M-14", compare_sql("1"))

@@ -189,7 +189,7 @@ def all_signals(m, news: bool = True):
     out = technical_signals(m).unionByName(sc.fundamental_signals(m.info).select("ticker", F.lit("fundamental").alias("family"), "label", "status"))
     if news:
         companies = m.part.groupBy(F.col("p_brand").alias("ticker")).agg(F.min("p_name").alias("company"))
-        found = sg.relevant_news(m.news, companies)
+        found = sg.relevant_news(m.news, companies, most=10, least=3)
         out = out.unionByName(found.select("ticker", F.lit("sentiment").alias("family"), F.col("doc_id").cast("string").alias("label"), F.col("sentiment").alias("status")))
     return out
 

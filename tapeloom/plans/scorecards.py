@@ -136,12 +136,12 @@ def _(m):
 
 ORACLE_VIEWS["v_bal"] = """
 SELECT ticker, net_debt_now,
- CASE WHEN nd < 2 THEN 'unknown' WHEN (d_new-d_old)/abs(d_old)*100 > 10 THEN 'increasing' WHEN (d_new-d_old)/abs(d_old)*100 < -10 THEN 'decreasing' ELSE 'stable' END AS debt_trend,
- CASE WHEN nr < 2 THEN 'unknown' WHEN (r_new-r_old)/abs(r_old)*100 > 10 THEN 'growing' WHEN (r_new-r_old)/abs(r_old)*100 < -10 THEN 'shrinking' ELSE 'stable' END AS revenue_trend
+ CASE WHEN nd < 2 THEN 'unknown' WHEN (d_new-d_old)/nullif(abs(d_old), 0)*100 > 10 THEN 'increasing' WHEN (d_new-d_old)/nullif(abs(d_old), 0)*100 < -10 THEN 'decreasing' ELSE 'stable' END AS debt_trend,
+ CASE WHEN nr < 2 THEN 'unknown' WHEN (r_new-r_old)/nullif(abs(r_old), 0)*100 > 10 THEN 'growing' WHEN (r_new-r_old)/nullif(abs(r_old), 0)*100 < -10 THEN 'shrinking' ELSE 'stable' END AS revenue_trend
 FROM (SELECT ticker, count(debt) AS nd, count(rev) AS nr, arg_min(debt, age) AS d_new, arg_max(debt, age) AS d_old, arg_min(rev, age) AS r_new, arg_max(rev, age) AS r_old,
-             arg_min(debt - cash, age) AS net_debt_now
-      FROM (SELECT ticker, age, round(max(value) FILTER (WHERE item = 'Total Debt')/1e9, 6) AS debt, round(max(value) FILTER (WHERE item = 'Total Revenue')/1e9, 6) AS rev,
-                   round(max(value) FILTER (WHERE item = 'Cash And Cash Equivalents')/1e9, 6) AS cash
+             arg_min(round(debt - cash, 2), age) AS net_debt_now
+      FROM (SELECT ticker, age, round(max(value) FILTER (WHERE item = 'Total Debt')/1e9, 2) AS debt, round(max(value) FILTER (WHERE item = 'Total Revenue')/1e9, 2) AS rev,
+                   round(max(value) FILTER (WHERE item = 'Cash And Cash Equivalents')/1e9, 2) AS cash
             FROM (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY period_end DESC) - 1 AS age FROM v_statements) a WHERE age < 4 GROUP BY ticker, age) b GROUP BY ticker) c"""
 
 

@@ -125,12 +125,12 @@ SELECT ticker, 'Insider' AS label, CASE WHEN buy_count + sell_count = 0 THEN 'ne
 
 @query("insider_activity", "H-11", "SELECT ticker, buy_count, sell_count, net_sentiment FROM v_insact")
 def _(m):
-    return sg.insider_activity(m.insider)
+    return sg.insider_activity(m.insider, most=10)
 
 
 @query("top_holders", "H-12", "SELECT ticker, holder, shares, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY shares DESC, holder) AS INT) AS place FROM v_holders) a WHERE place <= 5")
 def _(m):
-    return sg.top_holders(m.holders)
+    return sg.top_holders(m.holders, most=5)
 
 
 ORACLE_VIEWS["v_sig_ownership"] = f"""
@@ -198,7 +198,7 @@ SELECT * FROM (SELECT ticker, doc_id, relevant, sentiment, row_number() OVER (PA
 @query("news_relevance", "H-17", "SELECT ticker, doc_id, relevant FROM v_relnews")
 def _(m):
     companies = m.part.groupBy(F.col("p_brand").alias("ticker")).agg(F.min("p_name").alias("company"))
-    return sg.relevant_news(m.news, companies).select("ticker", "doc_id", "relevant")
+    return sg.relevant_news(m.news, companies, most=10, least=3).select("ticker", "doc_id", "relevant")
 
 
 @query("headline_mood", "H-18", f"""
@@ -217,7 +217,7 @@ BUILT = {
     "pmo_signal": ("H-06", "v_sig_pmo", lambda m: sg.pmo_signal(ind.pmo_relative(m.bars, m.bench))),
     "options_signal": ("H-07", "v_sig_options", lambda m: sg.options_signal(sg.put_call(m.options, asof()))),
     "volatility_ratio_signal": ("H-10", "v_sig_vol", lambda m: sg.vol_signal(sg.implied_vol(m.options, m.bars, asof()))),
-    "insider_signal": ("H-11", "v_sig_insider", lambda m: sg.insider_signal(sg.insider_activity(m.insider))),
+    "insider_signal": ("H-11", "v_sig_insider", lambda m: sg.insider_signal(sg.insider_activity(m.insider, most=10))),
     "ownership_signal": ("H-12", "v_sig_ownership", lambda m: sg.ownership_signal(m.info)),
     "short_interest_signal": ("H-13", "v_sig_short", lambda m: sg.short_signal(m.info)),
     "analyst_signal": ("H-14", "v_sig_analyst", lambda m: sg.analyst_signal(m.info, m.bars).select("ticker", "label", "status", "text")),

@@ -96,7 +96,7 @@ FROM (SELECT *, CASE WHEN ish THEN row_number() OVER (PARTITION BY ticker, ish O
 
 @query("centred_swing_levels", "O-10", "SELECT ticker, array_to_string(resistance, ',') AS resistance, array_to_string(support, ',') AS support FROM v_levels")
 def _(m):
-    return so.swing_levels(m.bars).select("ticker", F.array_join("resistance", ",").alias("resistance"), F.array_join("support", ",").alias("support"))
+    return so.swing_levels(m.bars, most=3, newest=5).select("ticker", F.array_join("resistance", ",").alias("resistance"), F.array_join("support", ",").alias("support"))
 
 
 def quick_scores(m):
@@ -145,7 +145,7 @@ def plan_of(m):
     setups = so.entry_exit(so.setup_type(so.snapshot(m.series)))
     years = sc.statement_years(m.statements)
     vix = m.vix.agg(F.max_by("vix", "date").alias("vix"))
-    rows = (setups.join(quick_scores(m).select("ticker", "confidence", "verdict", "fundamental"), "ticker").join(so.swing_levels(m.bars), "ticker")
+    rows = (setups.join(quick_scores(m).select("ticker", "confidence", "verdict", "fundamental"), "ticker").join(so.swing_levels(m.bars, most=3, newest=5), "ticker")
             .join(m.info.select("ticker", F.col("target_mean").alias("analyst_target"), (F.col("short_pct_float") * 100).alias("short_pct")), "ticker")
             .join(ind.range_rank(m.bars).select("ticker", "week52_rank"), "ticker").join(sc.altman_market(years, m.info).select("ticker", F.col("zone").alias("altman_zone")), "ticker")
             .join(ind.momentum(m.bars).select("ticker", F.col("trend").alias("momentum_trend")), "ticker")

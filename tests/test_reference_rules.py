@@ -73,7 +73,7 @@ def test_thesis_points_fill_up_with_uncovered_facts(spark):
         "'T' AS ticker", "'BUY' AS verdict", f"CAST(array(named_struct('label','Piotroski F-Score','text','strong','status','good')) AS {kind}) AS good", f"CAST(array() AS {kind}) AS warning",
         "5 AS earnings_days", "'safe' AS altman_zone", "3.0D AS z_score", "30.0D AS ev_ebitda", "6.0D AS fcf_yield", "'Tech' AS sector", "'downtrend' AS sector_trend", "20.0D AS short_pct", "'up' AS momentum_trend",
         "CAST(NULL AS double) AS ret_1yr", "25.0D AS upside_pct", "110.0D AS target_mean", "0.1D AS earnings_growth", "0.1D AS profit_margin", "0.1D AS revenue_growth", "20.0D AS trailing_pe", "8 AS piotroski")
-    got = ac.thesis(row).first()
+    got = ac.thesis(row, most=5, width=77).first()
     assert got.bull_points == ["✅ Piotroski F-Score: strong", "✅ Analyst Coverage: 25.0% upside target implies significant room",
                                "✅ Free Cash Flow: 6.0% yield provides downside cushion", "✅ Momentum: Price momentum accelerating"]
     assert got.bear_points == ["⚠️ Valuation: EV/EBITDA 30.0x well above historical average", "⚠️ Earnings Event: Earnings in 5 days adds near-term volatility",

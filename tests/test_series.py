@@ -112,5 +112,5 @@ def test_trade_levels_mirror_for_sell_and_skip_hold(spark):
 
 
 def test_at_most_three_levels_a_side(spark):
-    got = so.swing_levels(bars(spark, noisy(200))).first()
+    got = so.swing_levels(bars(spark, noisy(200)), most=3, newest=5).first()
     assert 0 < len(got.resistance) <= 3 and 0 < len(got.support) <= 3

@@ -52,7 +52,7 @@ def oracles() -> dict[str, str]:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak supervision over the text counts of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return judge_quality(docs, with_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                                       "quality_probability", "kept")
 
 
@@ -98,7 +98,7 @@ def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document: the host is its source, the path its source and language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    judged = classify_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    judged = classify_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), with_text=False)
     return judged.select("doc_id", "p_text", "p_site", "quality", "kept")
 
 

@@ -80,8 +80,9 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality",
-                     most_labelled: int = MOST_LABELLED, keep_at: float = KEEP_AT) -> DataFrame:
-    """Append p_text (classifier alone), p_site (posterior of its path), quality (both) and kept (boolean) to every row.
+                     most_labelled: int = MOST_LABELLED, keep_at: float = KEEP_AT, with_text: bool = True) -> DataFrame:
+    """Append p_text (classifier alone), p_site (posterior of its path), quality (both) and kept (boolean) to every row; the text goes
+    if not wanted. Texts are counted once: the counted rows are staged between fit, sites and verdicts.
 
     `host` and `path` are columns of `docs` that place a document in its site; null is a site of its own. A null text has no
     words, and is judged by that. Labels of unknown documents, null labels and null keys don't count; without labels the text
@@ -90,7 +91,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Col
     names = ["p_text", "p_site", "quality", "kept"]
     base = without(docs, names)
     counted = with_text_stats(base.withColumns({"__host": host, "__path": path}), text, FEATURE_STATS)
-    columns = [F.col(f"`{c}`") for c in base.columns if c.lower() not in FEATURE_STATS]
+    counted = staged(counted if with_text else counted.drop(text))
+    columns = [F.col(f"`{c}`") for c in base.columns if c.lower() not in FEATURE_STATS and (with_text or c != text)]
     sample = counted.select(F.col(key).alias("__id"), F.array(*features()).alias("__x")).join(
         labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("double").alias("__y")).dropDuplicates(["__id"]), "__id")
     rows = sample.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled).collect()

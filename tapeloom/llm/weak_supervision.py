@@ -85,21 +85,22 @@ def posterior(votes, weights: list[dict[int, float]], odds: float) -> float:
     return 1 / (1 + math.exp(-min(max(score, -500), 500)))
 
 
-def judge_quality(docs: DataFrame, text: str = "text", votes: Votes | None = None, keep_at: float = KEEP_AT) -> DataFrame:
-    """Append the text counts, `base_failed`, `quality_probability` (double) and `kept` (boolean) to every row.
+def judge_quality(docs: DataFrame, text: str = "text", votes: Votes | None = None, keep_at: float = KEEP_AT, with_text: bool = True) -> DataFrame:
+    """Append the text counts, `base_failed`, `quality_probability` (double) and `kept` (boolean) to every row; the text goes if not wanted.
 
-    Texts are judged whole. base_failed: fewer than 10 words, or more than 20 % of the words in repeated windows. kept: not
+    Texts are judged whole, and counted once: the counted rows are staged between the estimate and the verdicts. base_failed: fewer than 10 words, or more than 20 % of the words in repeated windows. kept: not
     base_failed, and a posterior of at least `keep_at`. A null or empty text has no words and is not kept; equal rows get
     equal verdicts; an empty table gives an empty result; columns that already carry one of the names are replaced.
     """
     votes = votes or rules()
-    columns = docs.columns
+    columns = docs.columns if with_text else [c for c in docs.columns if c != text]
     counted = with_text_stats(docs, text)
+    counted = staged(counted if with_text else counted.drop(text))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     names = [f"__vote_{name}" for name in votes]
     voted = counted.select("*", *[column.cast("int").alias(name) for name, column in zip(names, votes.values(), strict=True)], base.alias("__failed"))
-    # The first pass reads texts for their counts only; patterns are few, so each map task sends few rows.
-    seen = staged(voted.groupBy(*names).count()).collect()
+    # Patterns of votes are few, so each map task sends few rows.
+    seen = voted.groupBy(*names).count().collect()
     weights, odds = estimate(sorted((tuple(row[:-1]), row[-1]) for row in seen), len(names))
     score = F.lit(odds)
     for name, rule in zip(names, weights, strict=True):

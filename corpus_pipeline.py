@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.automaton import remove_contamination
-from tapeloom.llm.frames import staged
+from tapeloom.llm.frames import set_aside, staged
 from tapeloom.llm.lsh_forest import keep_one_of_each
 from tapeloom.llm.poisson_mix import mix_sources
 from tapeloom.llm.vector_packing import assign_shards
@@ -24,7 +24,8 @@ NEAR_PERCENT = 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior rejects go."""
-    return judge_quality(docs).filter("kept").select(*docs.columns)
+    aside, columns = set_aside(docs, ["text"])
+    return judge_quality(aside).filter("kept").select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights ask, in a global random order."""
-    return mix_sources(docs).select(*docs.columns)
+    aside, columns = set_aside(docs, ["doc_id", "source", "text"])
+    return mix_sources(aside).select(*columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,53 @@ ALERTS = {
     "pivot below": "Pivot point ${} — dropping below pivot is bearish",
     "pivot above": "Pivot point ${} — reclaiming pivot is bullish",
 }
+
+# Exit conditions of a trade plan.
+EXITS = {
+    "stop": "Price drops below stop $%.2f — close position",
+    "fundamentals": "Fundamentals deteriorate (earnings miss >10%, guidance cut) — re-evaluate",
+    "piotroski": "Piotroski score drops below 5 (currently %d/9) — financial health weakening",
+    "target": "Take 50%% off at TP1 ($%.2f), let rest run to TP2 ($%.2f)",
+    "momentum": "MACD crosses below signal AND RSI drops below 45 — momentum broken, exit remaining",
+    "trend": "RSI drops below 35 and price closes below 50-day SMA — trend broken",
+    "earnings": "Earnings in %dd — consider taking profit before if up >5%%, re-enter after if thesis intact",
+    "sector": "Sector still in downtrend — size smaller, exit faster on any weakness",
+    "patience": "Re-evaluate thesis in 4–8 weeks if price hasn't moved toward TP1",
+}
+
+# Thesis of a ticker: headline by verdict and leading signal, key risk, key catalyst, points.
+THESIS = {
+    "buy_value": "Strong fundamentals at reasonable valuation",
+    "buy_momentum": "Momentum building with improving technicals",
+    "buy_growth": "Exceptional growth engine with strong execution",
+    "buy": "Compelling risk-reward setup",
+    "hold_valuation": "Mixed picture — strength offset by premium valuation",
+    "hold_technical": "Mixed picture — fundamentals strong but technicals weakening",
+    "hold_sector": "Mixed picture — company strength offset by sector headwind",
+    "hold": "Mixed signals warrant cautious stance",
+    "sell_fundamental": "Deteriorating fundamentals with limited upside",
+    "sell_valuation": "Stretched valuation with deteriorating momentum",
+    "sell_technical": "Technical breakdown with bearish implications",
+    "sell": "Risk-reward heavily skewed to downside",
+    "risk_earnings": "Earnings release in %d days introduces event risk; volatility spike likely",
+    "risk_distress": "Altman Z-Score %.2f signals financial distress; bankruptcy risk elevated",
+    "risk_premium": "Valuation premium (EV/EBITDA %.1fx) leaves little room for disappointment",
+    "risk_sector": "%s sector momentum turning negative; sector rotation risk",
+    "risk_short": "High short interest (%.1f%%) indicates bearish positioning and crowding",
+    "risk_none": "No material risks identified; upside risk moderate",
+    "catalyst_target": "Analyst consensus %.1f%% upside to $%.2f target reflects significant value",
+    "catalyst_momentum": "Strong price momentum",
+    "catalyst_trend": " suggests trend continuation",
+    "catalyst_earnings": "Earnings growth of %.1f%% YoY with track record of beat-and-raise",
+    "catalyst_cash": "Strong free cash flow yield (%.1f%%) supports buybacks and dividend growth",
+    "catalyst_none": "Lack of near-term catalysts; monitor for fundamental inflection",
+    "bull_analyst": "Analyst Coverage: %.1f%% upside target implies significant room",
+    "bull_piotroski": "Piotroski F-Score: %d/9 shows strong financial health",
+    "bull_cash": "Free Cash Flow: %.1f%% yield provides downside cushion",
+    "bull_momentum": "Momentum: Price momentum accelerating",
+    "bull_short": "Short Interest: Low %.1f%% reduces squeeze risk downside",
+    "bear_valuation": "Valuation: EV/EBITDA %.1fx well above historical average",
+    "bear_earnings": "Earnings Event: Earnings in %d days adds near-term volatility",
+    "bear_sector": "Sector Headwind: %s momentum negative",
+    "bear_short": "Short Interest: High %.1f%% indicates significant bearish positioning",
+}

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.exprs import cut, first, last_rows, leading, newest
-from tapeloom.functions.messages import ALERTS
+from tapeloom.functions.messages import ALERTS, THESIS
 
 
 def last_prices(bars: DataFrame) -> DataFrame:
@@ -143,31 +143,31 @@ def thesis(rows: DataFrame, most: int | None = None, width: int | None = None) -
     def has(c: Column, *words: str) -> Column:
         return c.rlike("|".join(words))
     g, w = first_label("good"), first_label("warning")
-    headline = (F.when(v == "BUY", F.when(has(g, "fundamental", "valuation"), "Strong fundamentals at reasonable valuation")
-                       .when(has(g, "momentum", "technical"), "Momentum building with improving technicals")
-                       .when(has(g, "growth", "earnings"), "Exceptional growth engine with strong execution").otherwise("Compelling risk-reward setup"))
-                .when(v == "HOLD / WATCH", F.when(has(w, "valuation"), "Mixed picture — strength offset by premium valuation")
-                      .when(has(w, "technical"), "Mixed picture — fundamentals strong but technicals weakening")
-                      .when(has(w, "sector"), "Mixed picture — company strength offset by sector headwind").otherwise("Mixed signals warrant cautious stance"))
-                .otherwise(F.when(has(w, "fundamental", "earnings"), "Deteriorating fundamentals with limited upside")
-                           .when(has(w, "valuation"), "Stretched valuation with deteriorating momentum")
-                           .when(has(w, "technical"), "Technical breakdown with bearish implications").otherwise("Risk-reward heavily skewed to downside")))
+    headline = (F.when(v == "BUY", F.when(has(g, "fundamental", "valuation"), THESIS["buy_value"])
+                       .when(has(g, "momentum", "technical"), THESIS["buy_momentum"])
+                       .when(has(g, "growth", "earnings"), THESIS["buy_growth"]).otherwise(THESIS["buy"]))
+                .when(v == "HOLD / WATCH", F.when(has(w, "valuation"), THESIS["hold_valuation"])
+                      .when(has(w, "technical"), THESIS["hold_technical"])
+                      .when(has(w, "sector"), THESIS["hold_sector"]).otherwise(THESIS["hold"]))
+                .otherwise(F.when(has(w, "fundamental", "earnings"), THESIS["sell_fundamental"])
+                           .when(has(w, "valuation"), THESIS["sell_valuation"])
+                           .when(has(w, "technical"), THESIS["sell_technical"]).otherwise(THESIS["sell"])))
     days, short = F.col("earnings_days"), F.col("short_pct")
     risk = F.coalesce(
-        F.when((days > 0) & (days < 14), f("Earnings release in %d days introduces event risk; volatility spike likely", days)),
-        F.when(F.col("altman_zone") == "distress", f("Altman Z-Score %.2f signals financial distress; bankruptcy risk elevated", "z_score")),
-        F.when(F.col("ev_ebitda") > 25, f("Valuation premium (EV/EBITDA %.1fx) leaves little room for disappointment", "ev_ebitda")),
-        F.when(F.col("sector_trend") == "downtrend", f("%s sector momentum turning negative; sector rotation risk", "sector")),
-        F.when(short > 15, f("High short interest (%.1f%%) indicates bearish positioning and crowding", short)), first_text("warning"),
-        F.lit("No material risks identified; upside risk moderate"))
+        F.when((days > 0) & (days < 14), f(THESIS["risk_earnings"], days)),
+        F.when(F.col("altman_zone") == "distress", f(THESIS["risk_distress"], "z_score")),
+        F.when(F.col("ev_ebitda") > 25, f(THESIS["risk_premium"], "ev_ebitda")),
+        F.when(F.col("sector_trend") == "downtrend", f(THESIS["risk_sector"], "sector")),
+        F.when(short > 15, f(THESIS["risk_short"], short)), first_text("warning"),
+        F.lit(THESIS["risk_none"]))
     rising = F.col("momentum_trend").isin("up", "strong_up")
     year = F.when(F.col("ret_1yr").isNull(), "").otherwise(f(" (%+.1f%% 1yr)", "ret_1yr"))
     catalyst = F.coalesce(
-        F.when(F.col("upside_pct") > 30, f("Analyst consensus %.1f%% upside to $%.2f target reflects significant value", "upside_pct", "target_mean")),
-        F.when(rising, F.concat(F.lit("Strong price momentum"), year, F.lit(" suggests trend continuation"))),
-        F.when(F.col("earnings_growth") * 100 > 20, f("Earnings growth of %.1f%% YoY with track record of beat-and-raise", F.col("earnings_growth") * 100)),
-        F.when(F.col("fcf_yield") > 5, f("Strong free cash flow yield (%.1f%%) supports buybacks and dividend growth", "fcf_yield")), first_text("good"),
-        F.lit("Lack of near-term catalysts; monitor for fundamental inflection"))
+        F.when(F.col("upside_pct") > 30, f(THESIS["catalyst_target"], "upside_pct", "target_mean")),
+        F.when(rising, F.concat(F.lit(THESIS["catalyst_momentum"]), year, F.lit(THESIS["catalyst_trend"]))),
+        F.when(F.col("earnings_growth") * 100 > 20, f(THESIS["catalyst_earnings"], F.col("earnings_growth") * 100)),
+        F.when(F.col("fcf_yield") > 5, f(THESIS["catalyst_cash"], "fcf_yield")), first_text("good"),
+        F.lit(THESIS["catalyst_none"]))
     facts = F.concat_ws(", ", F.when(F.col("profit_margin") * 100 > 20, f("%.0f%% margins", F.col("profit_margin") * 100)),
                         F.when(F.col("revenue_growth") > 0, f("%.0f%% revenue growth", F.col("revenue_growth") * 100)),
                         F.when(F.col("trailing_pe") > 30, f("%.0fx P/E (pricey)", "trailing_pe")), F.when(F.col("sector_trend") == "downtrend", f("%s headwind", "sector")))
@@ -183,16 +183,16 @@ def thesis(rows: DataFrame, most: int | None = None, width: int | None = None) -
         return leading(F.concat(own, F.array_compact(F.array(*facts))), most)
     grown = F.when(F.coalesce(F.col("ret_1yr"), F.lit(0.0)) == 0, "").otherwise(f(" (+%.1f%% 1yr)", "ret_1yr"))
     bull = points("good", "✅",
-                  ("analyst", F.col("upside_pct") > 20, f("Analyst Coverage: %.1f%% upside target implies significant room", "upside_pct")),
-                  ("piotroski", F.col("piotroski") >= 7, f("Piotroski F-Score: %d/9 shows strong financial health", "piotroski")),
-                  ("fcf", F.col("fcf_yield") > 5, f("Free Cash Flow: %.1f%% yield provides downside cushion", "fcf_yield")),
-                  ("momentum", rising, F.concat(F.lit("Momentum: Price momentum accelerating"), grown)),
-                  ("short", short < 3, f("Short Interest: Low %.1f%% reduces squeeze risk downside", short)))
+                  ("analyst", F.col("upside_pct") > 20, f(THESIS["bull_analyst"], "upside_pct")),
+                  ("piotroski", F.col("piotroski") >= 7, f(THESIS["bull_piotroski"], "piotroski")),
+                  ("fcf", F.col("fcf_yield") > 5, f(THESIS["bull_cash"], "fcf_yield")),
+                  ("momentum", rising, F.concat(F.lit(THESIS["bull_momentum"]), grown)),
+                  ("short", short < 3, f(THESIS["bull_short"], short)))
     bear = points("warning", "⚠️",
-                  ("valuation", F.col("ev_ebitda") > 25, f("Valuation: EV/EBITDA %.1fx well above historical average", "ev_ebitda")),
-                  ("earnings", (days > 0) & (days < 14), f("Earnings Event: Earnings in %d days adds near-term volatility", days)),
-                  ("sector", F.col("sector_trend") == "down", f("Sector Headwind: %s momentum negative", "sector")),
-                  ("short", short > 15, f("Short Interest: High %.1f%% indicates significant bearish positioning", short)))
+                  ("valuation", F.col("ev_ebitda") > 25, f(THESIS["bear_valuation"], "ev_ebitda")),
+                  ("earnings", (days > 0) & (days < 14), f(THESIS["bear_earnings"], days)),
+                  ("sector", F.col("sector_trend") == "down", f(THESIS["bear_sector"], "sector")),
+                  ("short", short > 15, f(THESIS["bear_short"], short)))
     return rows.select("ticker", headline.alias("headline"), risk.alias("key_risk"), catalyst.alias("key_catalyst"), line.alias("one_liner"),
                        bull.alias("bull_points"), bear.alias("bear_points"))
 

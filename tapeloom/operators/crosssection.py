@@ -108,7 +108,7 @@ TICKER_BLOCK, DATE_BLOCK = 256, 64
 
 def _moments():
     """Sums over the common dates of every pair of a block pair: matrix products of (dates x tickers) frames."""
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first, second = key[0], key[1]
         days, day = np.unique(rows["date"].to_numpy(), return_inverse=True)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.exprs import by_ticker, last_rows, leading
+from tapeloom.functions.messages import EXITS
 from tapeloom.functions.smoothing import ewm_span
 from tapeloom.operators.indicators import atr_full, common_indicators
 
@@ -214,13 +215,13 @@ def trade_plan(rows: DataFrame) -> DataFrame:
 def exit_conditions(plans: DataFrame) -> DataFrame:
     """Plain exit triggers that apply to the plan, as an array."""
     f = F.format_string
-    rows = [f("Price drops below stop $%.2f — close position", "stop"),
-            F.when(F.col("fundamental") > 0.3, "Fundamentals deteriorate (earnings miss >10%, guidance cut) — re-evaluate"),
-            F.when(F.col("piotroski") >= 6, f("Piotroski score drops below 5 (currently %d/9) — financial health weakening", "piotroski")),
-            f("Take 50%% off at TP1 ($%.2f), let rest run to TP2 ($%.2f)", "take_profit_1", "take_profit_2"),
-            F.when(F.col("_strong"), "MACD crosses below signal AND RSI drops below 45 — momentum broken, exit remaining").otherwise(
-                "RSI drops below 35 and price closes below 50-day SMA — trend broken"),
-            F.when((F.col("earnings_days") != 0) & (F.col("earnings_days") <= 30), f("Earnings in %dd — consider taking profit before if up >5%%, re-enter after if thesis intact", "earnings_days")),
-            F.when(F.col("sector_trend") == "downtrend", "Sector still in downtrend — size smaller, exit faster on any weakness"),
-            F.lit("Re-evaluate thesis in 4–8 weeks if price hasn't moved toward TP1")]
+    rows = [f(EXITS["stop"], "stop"),
+            F.when(F.col("fundamental") > 0.3, EXITS["fundamentals"]),
+            F.when(F.col("piotroski") >= 6, f(EXITS["piotroski"], "piotroski")),
+            f(EXITS["target"], "take_profit_1", "take_profit_2"),
+            F.when(F.col("_strong"), EXITS["momentum"]).otherwise(
+                EXITS["trend"]),
+            F.when((F.col("earnings_days") != 0) & (F.col("earnings_days") <= 30), f(EXITS["earnings"], "earnings_days")),
+            F.when(F.col("sector_trend") == "downtrend", EXITS["sector"]),
+            F.lit(EXITS["patience"])]
     return plans.select("ticker", F.array_compact(F.array(*rows)).alias("exit_conditions"))

@@ -191,34 +191,44 @@ def page_blocks(pages: DataFrame, html: str) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
+def _entropies(nodes: DataFrame, by: str, name: str) -> DataFrame:
+    """host, style, m (pages) and the entropy of a column over them, with m as the base of the logarithm; 1 for a single page."""
+    counts = nodes.groupBy("__host", "style", by).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    merged = counts.groupBy("__host", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    known = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
+    return merged.select("__host", "style", "m", known.alias(name))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    kept = staged(rows)
+    return F.broadcast(kept) if kept.count() <= MOST_SENT_NODES else kept
+
+
 def low_nodes(blocks: DataFrame) -> DataFrame:
     """(host, style) of the nodes whose importance is low over the different pages of the host.
 
     Importance is the larger of two entropies, with the number of pages as the base of the logarithm: of the node's content and
-    of its number of blocks. Copies of a page count once. With fewer than LEAST_PAGES pages it is averaged, by pages, with the mean
-    importance of the same style on the hosts that have so many, which counts as LEAST_PAGES pages; a style unknown there counts as 1.
+    of its number of blocks. Copies of a page count once. With fewer than LEAST_PAGES pages it is averaged, by pages, with a prior
+    that counts as LEAST_PAGES pages: the share of the hosts with so many pages on which a node of the same style is not low (1 if
+    there are none). Block counts are looked at only where the content leaves it open.
     """
     texts = F.transform("__blocks", lambda b: F.struct(b["style"].alias("style"), F.xxhash64(b["text"]).alias("content")))
     pages = blocks.select("__host", F.xxhash64(texts).alias("page"), texts.alias("b")).dropDuplicates(["__host", "page"])
     nodes = pages.select("__host", "page", F.explode("b").alias("b")).groupBy("__host", "page", F.col("b.style").alias("style"))
     nodes = nodes.agg(F.sum(F.col("b.content").cast("decimal(38,0)")).alias("content"), F.count(F.lit(1)).alias("size"))
-
-    def entropy(by: str, name: str) -> DataFrame:
-        counts = nodes.groupBy("__host", "style", by).agg(F.count(F.lit(1)).cast("double").alias("c"))
-        merged = counts.groupBy("__host", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-        known = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-        return merged.select("__host", "style", "m", known.alias(name))
-
-    both = staged(entropy("content", "by_content").join(entropy("size", "by_size").drop("m"), ["__host", "style"]).select(
-        "__host", "style", "m", F.greatest("by_content", "by_size").alias("importance")))
-    own = both.filter((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LOW_IMPORTANCE)).select("__host", "style")
-    # Higher priors than this cannot make a node low.
-    most = LOW_IMPORTANCE * (2 * LEAST_PAGES - 1) / LEAST_PAGES
-    prior = both.filter(F.col("m") >= LEAST_PAGES).groupBy("style").agg(F.avg("importance").alias("prior")).filter(F.col("prior") < most)
-    prior = staged(prior)
-    few = both.filter(F.col("m") < LEAST_PAGES).join(F.broadcast(prior) if prior.count() <= MOST_SENT_NODES else prior, "style")
-    shrunk = (F.col("m") * F.col("importance") + LEAST_PAGES * F.col("prior")) / (F.col("m") + LEAST_PAGES)
-    return own.unionByName(few.filter(shrunk < LOW_IMPORTANCE).select("__host", "style"))
+    content = staged(_entropies(nodes, "content", "by_content"))
+    m, many = F.col("m"), F.col("m") >= LEAST_PAGES
+    most = F.when(many, LOW_IMPORTANCE).otherwise(LOW_IMPORTANCE * (m + LEAST_PAGES) / m)
+    open_nodes = _sent(content.filter((m > 1) & (F.col("by_content") < most)))
+    sizes = _entropies(nodes.join(open_nodes.select("__host", "style"), ["__host", "style"], "left_semi"), "size", "by_size").drop("m")
+    judged = staged(sizes.join(open_nodes, ["__host", "style"]).select("__host", "style", "m", F.greatest("by_content", "by_size").alias("importance")))
+    own = judged.filter(many & (F.col("importance") < LOW_IMPORTANCE)).select("__host", "style")
+    low_hosts = own.groupBy("style").agg(F.count(F.lit(1)).alias("low"))
+    hosts = content.filter(many).groupBy("style").agg(F.count(F.lit(1)).alias("hosts"))
+    prior = _sent(hosts.join(low_hosts, "style").select("style", (1 - F.col("low") / F.col("hosts")).alias("prior")))
+    few = content.filter(m == 1).select("__host", "style", "m", F.lit(1.0).alias("importance")).unionByName(judged.filter(~many))
+    shrunk = (m * F.col("importance") + LEAST_PAGES * F.col("prior")) / (m + LEAST_PAGES)
+    return own.unionByName(few.join(prior, "style").filter(shrunk < LOW_IMPORTANCE).select("__host", "style"))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from tapeloom.llm.style_tree import extract_main_text, parse
-from tapeloom.llm.url_rules import SITE_RULES, filter_urls, word_rule
+from tapeloom.llm.url_rules import SITE_RULES, Rule, filter_urls, literals, site_rule, word_rule
 from tapeloom.llm.warc import CorruptArchive, read_archives, read_records, record, write_archives
 
 SF = "/root/testdata/sf0.001"
@@ -113,6 +113,41 @@ def judged(url):
     return host, path, None, "block" if "casino" in re.split(r"[.\-]", host) else "allow"
 
 
+@pytest.mark.parametrize("pattern,tokens", [
+    (site_rule("allow", "example.org", "/en/1").pattern, ("example", "org", "en")), (word_rule("block", "bets").pattern, ("bets",)), (r"^ads?\.", ()), (r"/track(er)?/", ()),
+    (r"/a1/(b2|c3)/d4$", ("a1", "d4")), (r"/x[0-9]/y/", ("y",)), (r"(?i)/ads/", ()), (r"/(?:foo)/+bar/", ("foo", "bar")), (r"/(ab/cd/){2,}", ("cd",)), (r"\bads\b", ()), (r"/a(?=b)/", ()),
+    (r"[", ()), (r".*", ()), (r"^([^\n]*\.)?net\n", ("net",)), (r"^(www)?com\n", ()), (r"/p[.-]q/", ("p", "q")), (r"/é/x/", ("x",)), (r"/end", ()), (r"[^/]mid/", ()), (r"/(?i:up)/low/", ("low",)),
+])
+def test_literals_of_any_expression(pattern, tokens):
+    assert literals(pattern) == tokens
+
+
+def test_literals_stand_whole_in_every_match():
+    rng = random.Random(6)
+    parts = ["/", "a", "b1", ".", "-", "[.-]", "[a-c]", "(x|y)", "(/|$)", "(ab/)?", "(/c)?", "q*", "/+", "(d/)+", "^", "$", "\n", "[^/]", "(-|.)"]
+    texts = ["".join(rng.choice(["/", ".", "-", "\n", "a", "b1", "c", "d", "x", "y", "q", "ab"]) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    hits = 0
+    for _ in range(1500):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randint(2, 6)))
+        wanted = set(literals(pattern))
+        for text in texts if wanted else ():
+            if re.search(pattern, text):
+                hits += 1
+                assert wanted <= set(re.findall("[A-Za-z0-9]+", text)), (pattern, text)
+    assert hits > 50
+
+
+def test_rules_from_a_table(spark):
+    urls = ["http://a.com/ads/1", "http://a.com/x/track-7/y", "http://shop.net/ADS/", "http://b.org/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [Rule("ads", "block", r"/ads/", 5), Rule("track", "block", r"/track-\d+/", 5), Rule("shop", "allow", r"^shop\.", 9), Rule("shopads", "block", r"(?i)/ads/", 1)]
+    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, r.rank) for r in rules] + [("null", "block", None, 1)], "rule string, verdict string, pattern string, rank int")
+    listed = [tuple(r) for r in filter_urls(pages, rules).orderBy("page_id").select("rule", "verdict").collect()]
+    assert listed == [("ads", "block"), ("track", "block"), ("shop", "allow"), (None, "allow"), (None, "allow")]
+    assert [tuple(r) for r in filter_urls(pages, table).orderBy("page_id").select("rule", "verdict").collect()] == listed
+    assert filter_urls(pages, table.limit(0)).filter("rule IS NOT NULL").count() == 0
+
+
 def test_url_rules_equal_brute_force(spark):
     urls = [f"{scheme}://{host}{path}" for scheme in ("http", "HTTPS") for host in ("example.org", "WWW.Example.org", "badexample.org", "org", "a.com", "com", "casino-win.net", "mycasino.net", "x.net:80", "")
             for path in ("", "/", "/es/1", "/en/1", "/en/15?x=/es/", "/en/2", "/fr/", "/de/x#y", "/DE/", "?q=/de/", "#/de/", "/a://b.com/de/")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.exprs import cut, first, last_rows, leading, newest
 from tapeloom.functions.messages import ALERTS, THESIS
+from tapeloom.session import lookup
 
 
 def last_prices(bars: DataFrame) -> DataFrame:
@@ -48,8 +49,8 @@ def latest_position(entries: DataFrame) -> DataFrame:
 
 
 def fired_alerts(alerts: DataFrame, prices: DataFrame) -> DataFrame:
-    """Untriggered alerts whose threshold the price has crossed."""
-    joined = alerts.filter(F.col("triggered") == 0).join(prices, "ticker")
+    """Untriggered alerts whose threshold the price has crossed. Prices, one per ticker, are looked up where the alerts lie."""
+    joined = alerts.filter(F.col("triggered") == 0).join(lookup(prices), "ticker")
     hit = ((F.col("direction") == "above") & (F.col("price") >= F.col("threshold"))) | ((F.col("direction") == "below") & (F.col("price") <= F.col("threshold")))
     return joined.filter(hit)
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.exprs import spread
-from tapeloom.session import cut_lineage
-from tapeloom.sources.tables import BASE_TABLES, run_sql, table
+from tapeloom.session import cut_lineage, lookup
+from tapeloom.sources.tables import BASE_TABLES, names_in, run_sql, table
 
 BRAND_NUMBER = "CAST(replace(p.p_brand, 'Brand#', '') AS INT)"
 
@@ -161,6 +161,19 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("qty"), "l_orderkey", "l_linenumber", "l_suppkey")
 
 
+ROWS_A_TASK = 1_000_000     # trades that one task of a join by order takes
+BY_ORDER = {"orders": "o_orderkey", "lineitem": "l_orderkey", "part": "p_partkey"}
+_rows: dict[tuple[str, str], int] = {}
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """The session's shuffle partitions, or more if the folder's trades ask for them (counted once, from the files' footers)."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _rows:
+        _rows[at] = table(spark, sf_dir, "lineitem").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_rows[at] // ROWS_A_TASK))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily open/high/low/close/volume, unique by (ticker, date)."""
     order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "px")
@@ -169,12 +182,30 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("px", order).alias("close"), F.sum("qty").alias("volume"))
 
 
+def bars_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars without sorting the trades: sums and the first and last order of a day by hash, then open and close among
+    the trades of these two orders. A missing order key comes first, as in a struct."""
+    rows = trades(spark, sf_dir)
+    days = lookup(rows.groupBy("ticker", "date").agg(
+        F.max("px").alias("high"), F.min("px").alias("low"), F.sum("qty").alias("volume"), F.max("l_orderkey").alias("_last"),
+        F.min("l_orderkey").alias("_least"), F.max(F.col("l_orderkey").isNull()).alias("_unknown")))     # one row per ticker and day
+    day = days.select(*[F.col(c).alias(f"_{c}") for c in ("ticker", "date")], "high", "low", "volume", F.when(~F.col("_unknown"), F.col("_least")).alias("_first"), "_last")
+    at = F.col("l_orderkey")
+    same = F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("date").eqNullSafe(F.col("_date"))
+    ends = rows.join(day, same & (at.eqNullSafe(F.col("_first")) | at.eqNullSafe(F.col("_last"))))
+    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "px")
+    return ends.groupBy("ticker", "date").agg(
+        F.min_by("px", order).alias("open"), F.first("high").alias("high"), F.first("low").alias("low"),
+        F.max_by("px", order).alias("close"), F.first("volume").alias("volume"))
+
+
 class Market:
     """The inputs of one folder by view name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._kept: dict[str, DataFrame] = {}
+        self._built: DataFrame | None = None
 
     def staged(self, *names: str) -> "Market":
         """Derive views once for a query that reads them several times.
@@ -198,8 +229,25 @@ class Market:
         if name in BASE_TABLES:
             return table(self.spark, self.sf_dir, name)
         if name == "v_bars":
-            return bars(self.spark, self.sf_dir)
-        return run_sql(self.spark, VIEW_SQL[name], self.__getitem__, (*BASE_TABLES, "v_bars", *VIEW_SQL))
+            return self._bars()
+        known = (*BASE_TABLES, "v_bars", *VIEW_SQL)
+        by_order = {"orders", "lineitem"} <= set(names_in(VIEW_SQL[name], known))
+        return run_sql(self.spark, VIEW_SQL[name], self._dealt if by_order else self.__getitem__, known)
+
+    def _many(self) -> int:
+        """Tasks for the folder's trades if they are more than the session's shuffle partitions, else 0."""
+        n = tasks(self.spark, self.sf_dir)
+        return n if n > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else 0
+
+    def _bars(self) -> DataFrame:
+        if self._built is None:
+            self._built = (bars_of_many if self._many() else bars)(self.spark, self.sf_dir)
+        return self._built
+
+    def _dealt(self, name: str) -> DataFrame:
+        """A side of a join by order: many trades are dealt over more tasks, so that a task sorts no more of them as they grow."""
+        n = self._many()
+        return self[name].repartition(n, BY_ORDER[name]) if n and name in BY_ORDER else self[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

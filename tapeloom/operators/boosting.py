@@ -278,7 +278,7 @@ def fit_models(training: DataFrame, features: dict[int, list[int]], settings: di
     large = sorted(m for m, r in counts.items() if r.n > held)
     out = []
     if small:
-        out.append(_fit_side_by_side(training.filter(F.col("model").isin(small)) if large else training, features, settings, len(small)))
+        out.append(_fit_side_by_side(training.filter(F.col("model").isin(small)) if large else training, features, settings, {m: counts[m].n for m in small}))
     def family(m: int) -> tuple:
         return settings[m].trees, settings[m].depth, settings[m].penalty, settings[m].least_weight
     for kind in sorted({family(m) for m in large}):
@@ -291,16 +291,21 @@ def fit_models(training: DataFrame, features: dict[int, list[int]], settings: di
     return staged(models)
 
 
-def _fit_side_by_side(training: DataFrame, features: dict[int, list[int]], settings: dict[int, Settings], n: int) -> DataFrame:
+def dealt_by_size(training: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Rows with a `place`, one partition per model, the largest models first: tasks start in this order, and no two fits wait in one task."""
+    order = sorted(sizes, key=lambda m: (-sizes[m], m))
+    place = F.create_map(*[x for i, m in enumerate(order) for x in (F.lit(m), F.lit(i))])
+    return training.withColumn("place", place[F.col("model")]).repartitionById(len(order), "place")
+
+
+def _fit_side_by_side(training: DataFrame, features: dict[int, list[int]], settings: dict[int, Settings], sizes: dict[int, int]) -> DataFrame:
     def grow(table: pa.Table) -> pa.Table:
         model = table.column("model")[0].as_py()
         y, w, rows = (table.column(c).to_numpy() for c in ("y", "w", "row"))
         ensemble = fit_held(_matrix(table.column("bins")), y, w, rows, np.array(sorted(features[model]), dtype=np.int64), settings[model])
         return pa.Table.from_pylist([dict(zip(("model", "trees", "base", "features", "bins", "leaves", "covers"), ensemble.row(model), strict=True))],
                                     schema=pa.schema([("model", pa.int32()), ("trees", pa.int32()), ("base", pa.float64()), *[(c, pa.binary()) for c in ("features", "bins", "leaves", "covers")]]))
-    # As many partitions as models: the longest fits start together instead of behind one another.
-    dealt = training.select("model", "row", "y", "w", "bins").repartition(n, "model")
-    return dealt.groupBy("model").applyInArrow(grow, MODEL_SCHEMA)
+    return dealt_by_size(training.select("model", "row", "y", "w", "bins"), sizes).groupBy("place").applyInArrow(grow, MODEL_SCHEMA)
 
 
 def _level_sums(margin_from: dict, growing: dict, columns: dict, settings: dict, tree: int, level: int):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import accounts as ac
+from tapeloom.operators import boosting
 from tapeloom.sources import market as M
 
 LINE = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
@@ -55,3 +56,14 @@ def test_alerts_meet_prices_without_a_shuffle_by_ticker(spark):
     assert [r.alert_id for r in fired.collect()] == [1]
     plan = fired._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_every_model_is_dealt_a_task_of_its_own_the_largest_first(spark):
+    sizes = {m: 10 + (m * 7) % 11 for m in range(24)}
+    rows = spark.range(24 * 21).select((F.col("id") % 24).cast("int").alias("model"), (F.col("id") / 24).cast("long").alias("k"))
+    rows = rows.filter(F.col("k") < F.create_map(*[x for m, n in sizes.items() for x in (F.lit(m), F.lit(n))])[F.col("model")])
+    dealt = boosting.dealt_by_size(rows, sizes)
+    found = dealt.groupBy(F.spark_partition_id().alias("at"), "model").count().orderBy("at").collect()
+    assert [r.at for r in found] == list(range(24))
+    assert [r["count"] for r in found] == sorted(sizes.values(), reverse=True)
+    assert dealt.groupBy("place").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 1

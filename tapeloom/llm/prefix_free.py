@@ -325,6 +325,13 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield from _sent(w.hashes, w.hashes, ids, parts, _place_ranks(ids, parts), first, first, np.zeros(len(ids), dtype=bool))
 
 
+def _maybe_repeated(keys: np.ndarray) -> np.ndarray:
+    """Rows whose key another row may have: those that share their key's leading bits. The others need no sorting."""
+    bits = (4 * len(keys)).bit_length()
+    slot = (keys >> U64(64 - bits)).astype(np.int64) if len(keys) else np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(np.bincount(slot, minlength=1)[slot] > 1)
+
+
 def _window_repeats(rows: pa.Table) -> pa.RecordBatch:
     """Whole trigger groups of phrases in the order of (trigger, place): runs of windows that an earlier phrase of the group has."""
     trigger, ids, spot = [rows.column(c).to_numpy() for c in ("trigger", "doc_id", "spot")]
@@ -332,10 +339,10 @@ def _window_repeats(rows: pa.Table) -> pa.RecordBatch:
     w = _Windows(rows.column("bytes").to_pylist())
     row, place = w.row, first[w.row] + w.offset
     keys = mix(w.hashes + trigger.view(np.uint64)[row] * U64(0x9FB21C651E98DF25))
-    _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    head = index[inverse]
-    later = (ids[row] != ids[row[head]]) | (parts[row] != parts[row[head]]) | (place != place[head])
-    at = np.flatnonzero(later)
+    several = _maybe_repeated(keys)
+    _, index, inverse = np.unique(keys[several], return_index=True, return_inverse=True)
+    head, own = several[index[inverse]], row[several]
+    at = several[(ids[own] != ids[row[head]]) | (parts[own] != parts[row[head]]) | (place[several] != place[head])]
     breaks = np.ones(len(at), dtype=bool)
     breaks[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
     opens = at[breaks]

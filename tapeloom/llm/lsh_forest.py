@@ -140,21 +140,22 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tupl
 
 
 def spanning_links(n: int, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of a similarity graph: breadth first, each member compared with those not yet reached."""
+    """The components of a similarity graph as stars: links from each one's first member to its others. Each member is compared with those not yet reached."""
     links, rest = [], np.arange(n)
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
+        first, rest = int(rest[0]), rest[1:]
+        queue = [first]
         while queue and len(rest):
             at = queue.pop()
             hit = similar(at, rest)
-            links.extend((at, int(x)) for x in rest[hit])
+            links.extend((first, int(x)) for x in rest[hit])
             queue.extend(int(x) for x in rest[hit])
             rest = rest[~hit]
     return links
 
 
 def _region_links(percent: int):
-    """Candidate links of each region block; blocks of a dealt region also name their representatives (v null)."""
+    """Candidate links of each region block, to the least class of what hangs together; blocks of a dealt region also name these representatives (v null)."""
     estimate = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def _region_links(percent: int):
 def _search_regions(members: DataFrame, percent: int) -> DataFrame:
     order = ["tree", "key", "block", "dealt"]
     ready = members.select(*order, "class", "n_shingles", "signature")
-    return ready.repartition("tree", "key", "block").sortWithinPartitions(*order, "signature").mapInArrow(_region_links(percent), "u binary, v binary, tree int, key long")
+    return ready.repartition("tree", "key", "block").sortWithinPartitions(*order, "class").mapInArrow(_region_links(percent), "u binary, v binary, tree int, key long")
 
 
 def _deeper() -> Column:
@@ -228,7 +229,7 @@ def candidate_links(classes: DataFrame, dense: int = DENSE, percent: int = PERCE
 
 
 def exact_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Spanning links of the graph in which two sets are linked if 100 * intersection >= percent * union."""
+    """Spanning stars of the graph in which two sets are linked if 100 * intersection >= percent * union."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -269,7 +270,7 @@ def _search_sets(members: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed_links(members: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
-    """Exact links that span every cluster's similarity graph. `members`: cluster, class, text.
+    """Links that have the components of every cluster's exact similarity graph. `members`: cluster, class, text.
 
     A cluster of more than `block` classes is dealt into parts, each with the cluster's few pivots, so that nearly all of a
     group of near copies is linked through them. What is then outside the cluster's largest component is searched against
@@ -280,14 +281,13 @@ def confirmed_links(members: DataFrame, block: int = BLOCK, percent: int = PERCE
     small = members.filter(F.col("size") <= block).withColumn("part", F.lit(0).cast("string"))
     large = members.filter(F.col("size") > block).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")))
     if large.isEmpty():
-        return staged(_search_sets(small, percent))
+        return _search_sets(small, percent)
     # A few classes of each large cluster, by a bounded aggregate; they go to every part.
     picks = [F.max_by("class", F.struct(F.xxhash64("class", F.lit(i)), "class")) for i in range(PIVOTS)]
     pivots = large.groupBy("cluster").agg(F.array(*picks).alias("pivots")).select("cluster", F.explode("pivots").alias("class"))
     spread = large.join(pivots, ["cluster", "class"], "left_semi").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     first = small.unionByName(large.unionByName(spread).withColumn("part", F.col("own").cast("string")).drop("own"))
-    links = staged(_search_sets(first, percent))
-    reached = connected_components(links)
+    reached = staged(connected_components(_search_sets(first, percent)))
     inside = large.select("cluster", "class", "parts").distinct().join(reached.withColumnRenamed("node", "class"), "class", "left")
     inside = staged(inside.withColumn("component", F.coalesce("component", "class")))
     main = inside.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
@@ -298,7 +298,11 @@ def confirmed_links(members: DataFrame, block: int = BLOCK, percent: int = PERCE
     queries = queries.withColumn("turn", F.pmod(F.xxhash64("class", F.lit(1)), F.col("turns"))).withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     others = large.join(turns, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
     meet = queries.unionByName(others).withColumn("part", F.concat_ws("/", "turn", "own"))
-    return staged(links.unionByName(_search_sets(meet, percent)))
+    # Only what joins two components is new; the others stay stars.
+    joined = staged(_search_sets(meet, percent))
+    for end in ("u", "v"):
+        joined = joined.join(reached.select(F.col("node").alias(end), F.col("component").alias("__at")), end, "left").withColumn(end, F.coalesce("__at", end)).drop("__at")
+    return reached.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(joined.filter("u <> v"))
 
 
 def _judged(docs: DataFrame, key: str, text: str, percent: int, dense: int, block: int) -> DataFrame:

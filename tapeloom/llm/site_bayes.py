@@ -20,6 +20,8 @@ NEWTON_ROUNDS = 30
 SITE_WEIGHT = 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1_000.0
 KEEP_AT = 0.5
+HASH_BITS = 52              # of a hash that its slice leaves out: 4,096 slices
+SLICE_BITS = 33             # of monotonically_increasing_id that number the rows of a partition
 MOST_SENT_SITES = 20_000    # with more paths than this, their posteriors are joined by a shuffle
 FEATURE_STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_shouts", "n_pipes", "n_stops", "n_commas", "n_distinct_words")
 
@@ -36,6 +38,31 @@ def features() -> list[Column]:
             F.sqrt(share("n_pipes", words)), F.sqrt(share("n_stops", words)), F.sqrt(share("n_commas", words)), share("n_distinct_words", words)]
 
 
+def _stop(df: DataFrame, number: str, bits: int, most: int) -> tuple[int, int] | None:
+    """The slice of numbers, which agree in all but their last bits, that holds row `most` in their order, and how many of its rows that takes."""
+    for part, n in sorted(tuple(row) for row in df.groupBy(F.shiftright(number, bits)).count().collect()):
+        if n >= most:
+            return part, most
+        most -= n
+    return None
+
+
+def _first_rows(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows with the smallest hashes of their keys, `most` at most, with their place as __at.
+
+    A limit after a sort would bring `most` rows of every task to the driver, which here gets counts only: of the hashes by their first
+    bits, which leave little more than the rows wanted, and of those, sorted and numbered, by slice. Equal rows can lie in several slices.
+    """
+    near = staged(df.withColumn("__hash", F.xxhash64(key)))
+    if stop := _stop(near, "__hash", HASH_BITS, most):
+        near = near.filter(F.shiftright("__hash", HASH_BITS) <= stop[0])
+    ordered = near.withColumn("__tie", F.monotonically_increasing_id()).orderBy("__hash", key, "__tie").drop("__hash", "__tie")
+    numbered = staged(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    if stop := _stop(numbered, "__at", SLICE_BITS, most):
+        numbered = numbered.filter(F.col("__at") < (stop[0] << SLICE_BITS) + stop[1])
+    return numbered
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept. Without rows all weights are 0."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -93,10 +120,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Col
     counted = with_text_stats(base.withColumns({"__host": host, "__path": path}), text, FEATURE_STATS)
     counted = staged(counted if with_text else counted.drop(text))
     columns = [F.col(f"`{c}`") for c in base.columns if c.lower() not in FEATURE_STATS and (with_text or c != text)]
-    sample = counted.select(F.col(key).alias("__id"), F.array(*features()).alias("__x")).join(
-        labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("double").alias("__y")).dropDuplicates(["__id"]), "__id")
-    rows = sample.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled).collect()
-    weights = fit(np.array([r["__x"] for r in rows], dtype=float).reshape(len(rows), len(features())), np.array([r["__y"] for r in rows], dtype=float))
+    known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("double").alias("__y")).dropDuplicates(["__id"])
+    # Labels are so small as files that Spark would take them for a side to broadcast, however many rows they have.
+    sample = counted.select(F.col(key).alias("__id"), F.array(*features()).alias("__x")).join(known.hint("merge"), "__id")
+    rows = _first_rows(sample, "__id", most_labelled).select("__x", "__y", "__at").toArrow().sort_by("__at")
+    x = rows["__x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    weights = fit(x.reshape(rows.num_rows, len(features())), rows["__y"].to_numpy())
     score = F.lit(float(weights[-1]))
     for w, x in zip(weights[:-1], features(), strict=True):
         score = score + x * float(w)

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from tapeloom.llm.automaton import find_contamination, remove_contamination
 from tapeloom.llm.lsh_forest import keep_one_of_each, least_estimate, near_duplicates
 from tapeloom.llm.poisson_mix import mix_sources
 from tapeloom.llm.prefix_free import remove_repeats
-from tapeloom.llm.site_bayes import classify_quality, fit
+from tapeloom.llm.site_bayes import _first_rows, classify_quality, fit
 from tapeloom.llm.textstats import STATS, with_text_stats
 from tapeloom.llm.vector_packing import assign_shards, place
 from tapeloom.llm.weak_supervision import estimate, judge_quality, posterior
@@ -322,6 +323,60 @@ def test_sites_shrink_towards_their_host(spark):
     assert classify_quality(docs, labels.limit(0), F.col("source"), F.col("lang")).count() == len(data)
 
 
+@contextmanager
+def driver_takes(spark, most):
+    """Fail every job whose tasks together send more than this to the driver."""
+    conf, name = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before, slices, merged = conf.get(name, "1g"), spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    conf.set(name, most)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+        spark.conf.set("spark.sql.shuffle.partitions", slices)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+
+
+def short_texts(spark, n=6000):
+    return spark.range(n).selectExpr("id AS doc_id", "concat(repeat('Good words here. ', int(id % 7)), repeat('### ', int(id % 5))) AS text", "'s' AS source", "'p' AS lang")
+
+
+def test_the_driver_gets_only_the_rows_that_are_fitted(spark):
+    docs = short_texts(spark)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 < 2 AS int) AS quality")
+    with driver_takes(spark, "600k"):   # all rows of 14 numbers are more
+        assert classify_quality(docs, labels, F.col("source"), F.col("lang"), most_labelled=1000).count() == 6000
+
+
+def test_the_driver_gets_no_table_of_labels(spark):
+    """Long texts and many labels, which look smaller than the texts and small enough to be sent."""
+    docs = spark.range(8000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 120), i -> sha2(concat(id, '-', i), 256))) AS text", "'s' AS source", "'p' AS lang")
+    labels = spark.range(200_000).selectExpr("CASE WHEN id < 1000 THEN id ELSE abs(xxhash64(id)) END AS doc_id", "cast(id % 5 < 2 AS int) AS quality")
+    with driver_takes(spark, "1m"):
+        assert classify_quality(docs, labels, F.col("source"), F.col("lang")).select("doc_id", "kept").distinct().count() == 8000
+
+
+@pytest.mark.parametrize("most", [0, 1, 700, 2999, 3000, 50_000])
+def test_the_smallest_hashes_are_fitted(spark, most):
+    """With 3,000 labelled rows, fitting `most` of them is the same as knowing only the labels of those."""
+    docs = short_texts(spark, 4500)
+    labels = docs.filter("doc_id % 3 <> 0").selectExpr("doc_id", "cast(doc_id % 5 < 2 OR doc_id % 11 = 0 AS int) AS quality")
+    first = sorted(labels.select(F.xxhash64("doc_id"), "doc_id", "quality").collect())[:most]
+    known = spark.createDataFrame([r[1:] for r in first], "doc_id long, quality int")
+    run = lambda labels, **most: [r.p_text for r in classify_quality(docs, labels, F.col("source"), F.col("lang"), **most).orderBy("doc_id").collect()]
+    assert run(labels, most_labelled=most) == pytest.approx(run(known), rel=1e-9)
+
+
+def test_as_many_rows_are_taken_where_all_are_equal(spark):
+    """One document that comes very often: its rows have one hash and one key."""
+    rows = spark.range(5000, numPartitions=5).selectExpr("7L AS __id", "id % 2 AS y")
+    for most in (0, 1, 1234, 5000, 6000):
+        taken = _first_rows(rows, "__id", most)
+        assert taken.count() == min(most, 5000) == taken.select("__at").distinct().count()
+
+
 def test_fit_separates_and_survives_no_rows():
     x = np.array([[0.0], [0.2], [0.8], [1.0]] * 20)
     w = fit(x, (x[:, 0] > 0.5).astype(float))

@@ -22,7 +22,7 @@ LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1_000.0
 KEEP_AT = 0.5
 HASH_BITS = 52              # of a hash that its slice leaves out: 4,096 slices
 SLICE_BITS = 33             # of monotonically_increasing_id that number the rows of a partition
-MOST_SENT_SITES = 20_000    # with more paths than this, their posteriors are joined by a shuffle
+MOST_SENT_SITES = 20_000    # more paths or hosts than this are joined by a shuffle
 FEATURE_STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_shouts", "n_pipes", "n_stops", "n_commas", "n_distinct_words")
 
 
@@ -92,6 +92,11 @@ def _strength(sites: DataFrame, good: str, n: str, above: str) -> float:
     return min(max(1 / spread - 1 if spread > 0 else MOST_STRENGTH, LEAST_STRENGTH), MOST_STRENGTH)
 
 
+def _sent(sites: DataFrame) -> DataFrame:
+    """A staged side of a join: sent to all tasks if it has few rows, else joined by a shuffle, however small Spark takes either side for."""
+    return F.broadcast(sites) if sites.count() <= MOST_SENT_SITES else sites.hint("merge")
+
+
 def site_posteriors(scored: DataFrame) -> DataFrame:
     """host, path, p (posterior share of good documents of the path), p_all (of all): from the columns host, path and p_text."""
     paths = staged(scored.groupBy("host", "path").agg(F.sum("p_text").alias("good"), F.count(F.lit(1)).alias("n")))
@@ -101,7 +106,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("p_all", F.lit(p_all))
     a = _strength(hosts, "host_good", "host_n", "p_all")
     hosts = hosts.withColumn("p_host", (F.col("host_good") + a * p_all) / (F.col("host_n") + a))
-    joined = paths.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host")))
+    joined = paths.join(_sent(hosts.withColumnRenamed("host", "__host")), F.col("host").eqNullSafe(F.col("__host")))
     b = _strength(joined, "good", "n", "p_host")
     return joined.select("host", "path", ((F.col("good") + b * F.col("p_host")) / (F.col("n") + b)).alias("p"), "p_all")
 
@@ -121,7 +126,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Col
     counted = staged(counted if with_text else counted.drop(text))
     columns = [F.col(f"`{c}`") for c in base.columns if c.lower() not in FEATURE_STATS and (with_text or c != text)]
     known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("__id"), F.col(label).cast("double").alias("__y")).dropDuplicates(["__id"])
-    # Labels are so small as files that Spark would take them for a side to broadcast, however many rows they have.
+    # By their files' size Spark would take labels or counts for a side to broadcast, however many rows they have.
     sample = counted.select(F.col(key).alias("__id"), F.array(*features()).alias("__x")).join(known.hint("merge"), "__id")
     rows = _first_rows(sample, "__id", most_labelled).select("__x", "__y", "__at").toArrow().sort_by("__at")
     x = rows["__x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -133,8 +138,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Col
     scored = counted.select(*columns, "__host", "__path", bounded.alias("__score")).withColumn("p_text", 1 / (1 + F.exp(-F.col("__score"))))
     sites = staged(site_posteriors(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), "p_text")))
     sites = sites.select(*[F.col(c).alias(f"__site_{c}") for c in sites.columns])
-    sites = F.broadcast(sites) if sites.count() <= MOST_SENT_SITES else sites
-    joined = scored.join(sites, F.col("__host").eqNullSafe(F.col("__site_host")) & F.col("__path").eqNullSafe(F.col("__site_path")))
+    joined = scored.join(_sent(sites), F.col("__host").eqNullSafe(F.col("__site_host")) & F.col("__path").eqNullSafe(F.col("__site_path")))
     site, whole = F.col("__site_p"), F.col("__site_p_all")
     moved = F.col("__score") + SITE_WEIGHT * (F.log(site / (1 - site)) - F.log(whole / (1 - whole)))
     out = joined.withColumn("quality", 1 / (1 + F.exp(-moved)))

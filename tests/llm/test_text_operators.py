@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import prefix_free
+from tapeloom.llm import prefix_free, site_bayes
 from tapeloom.llm.automaton import find_contamination, remove_contamination
 from tapeloom.llm.lsh_forest import keep_one_of_each, least_estimate, near_duplicates
 from tapeloom.llm.poisson_mix import mix_sources
@@ -358,6 +358,19 @@ def test_the_driver_gets_no_table_of_labels(spark):
         assert classify_quality(docs, labels, F.col("source"), F.col("lang")).select("doc_id", "kept").distinct().count() == 8000
 
 
+def test_the_driver_gets_no_table_of_many_sites(spark, monkeypatch):
+    """A site of its own for every document gives the same as sites that are sent."""
+    docs = short_texts(spark).withColumn("source", F.expr("concat(sha2(string(doc_id), 256), sha2(string(-doc_id), 256))"))
+    docs = docs.withColumn("source", F.when(F.col("doc_id") > 0, F.col("source")))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 < 2 AS int) AS quality").filter("doc_id < 300")
+    run = lambda: classify_quality(docs, labels, F.col("source"), F.col("lang")).select("doc_id", "quality", "p_site").toPandas().sort_values("doc_id")
+    sent = run()
+    monkeypatch.setattr(site_bayes, "MOST_SENT_SITES", 100)
+    with driver_takes(spark, "700k"):
+        shuffled = run()
+    assert len(shuffled) == 6000 and np.allclose(shuffled, sent, rtol=1e-9)
+
+
 @pytest.mark.parametrize("most", [0, 1, 700, 2999, 3000, 50_000])
 def test_the_smallest_hashes_are_fitted(spark, most):
     """With 3,000 labelled rows, fitting `most` of them is the same as knowing only the labels of those."""
